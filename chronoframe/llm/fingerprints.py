@@ -17,7 +17,7 @@ from pyspark.sql.window import Window
 
 from chronoframe.llm.common import partitions, read, text_of
 
-SAMPLES = 32
+SAMPLES = 40
 LOW = (1 << 32) - 1
 #: ln a lies within -192 and 64; 2^23 steps to a unit keep it under 31 bits.
 SHIFT, STEPS = 192.0, float(1 << 23)
@@ -26,29 +26,29 @@ SHIFT, STEPS = 192.0, float(1 << 23)
 def _sample(term: Column, log_w: Column, j: int) -> Column:
     h = F.xxhash64(term, F.lit(j))
     g = F.xxhash64(h)
-    r = -F.log((h.bitwiseAND(F.lit(LOW)) + F.lit(0.5)) / F.lit(2.0**32) * ((F.shiftrightunsigned(h, 32) + F.lit(0.5)) / F.lit(2.0**32)))
-    c = -F.log((g.bitwiseAND(F.lit((1 << 22) - 1)) + F.lit(0.5)) / F.lit(2.0**22) * ((F.shiftrightunsigned(g, 42) + F.lit(0.5)) / F.lit(2.0**22)))
-    b = (F.shiftrightunsigned(g, 22).bitwiseAND(F.lit((1 << 20) - 1)) + F.lit(0.5)) / F.lit(2.0**20)
+    uniform = lambda bits: bits + F.lit(0.5)
+    r = -F.log(uniform(h.bitwiseAND(F.lit(LOW))) * uniform(F.shiftrightunsigned(h, 32)) * F.lit(2.0**-64))
+    c = -F.log(uniform(g.bitwiseAND(F.lit((1 << 22) - 1))) * uniform(F.shiftrightunsigned(g, 42)) * F.lit(2.0**-44))
+    b = uniform(F.shiftrightunsigned(g, 22).bitwiseAND(F.lit((1 << 20) - 1))) * F.lit(2.0**-20)
     t = F.floor(log_w / r + b)
     log_a = F.log(c) - r * (t - b + F.lit(1.0))
     rank = F.shiftleft(((log_a + F.lit(SHIFT)) * F.lit(STEPS)).cast("long"), 32)
     return rank.bitwiseOR(term.bitwiseXOR(t).bitwiseAND(F.lit(LOW)))
 
 
-def samples_of(terms: DataFrame, keys: list[str], n_samples: int = SAMPLES, also: tuple[Column, ...] = ()) -> DataFrame:
-    """terms: keys and one row per term occurrence, `term` BIGINT. Returns keys, s0 .. and the aggregates in `also`, taken
-    over the distinct terms (`also` may use the keys and `term`). No shuffle if terms is already dealt out by some of the keys."""
-    weighted = terms.groupBy(*keys, "term").agg(F.count("*").alias("n")).withColumn("log_w", F.log(F.col("n").cast("double")))
-    return weighted.groupBy(*keys).agg(*[F.min(_sample(F.col("term"), F.col("log_w"), j)).alias(f"s{j}") for j in range(n_samples)], *also)
+def _sampled(weighted: DataFrame, keys: list[str], weights: dict[str, str], n_samples: int) -> DataFrame:
+    """weighted: keys, `term` BIGINT and counts, one row per term. Returns keys and, for each name -> count column in
+    weights, the array of samples. No shuffle if weighted is already dealt out by some of the keys. What does not
+    depend on the weight is computed once for all of them."""
+    logs = weighted.select(*keys, "term", *[F.when(F.col(n) > 0, F.log(F.col(n).cast("double"))).alias(f"log_{n}") for n in weights.values()])
+    least = [F.min(_sample(F.col("term"), F.col(f"log_{n}"), j)).alias(f"{name}{j}") for j in range(n_samples) for name, n in weights.items()]
+    packed = logs.groupBy(*keys).agg(*least)
+    return packed.select(*keys, *[F.array(*[F.col(f"{name}{j}").bitwiseAND(F.lit(LOW)) for j in range(n_samples)]).alias(name) for name in weights])
 
 
 def words(text: Column) -> Column:
     """Lower-case words between white space; a text without words has the one term ''."""
-    return F.split(F.trim(F.regexp_replace(F.lower(text), r"\s+", " ")), " ")
-
-
-def signature(n_samples: int = SAMPLES) -> Column:
-    return F.array(*[F.col(f"s{j}").bitwiseAND(F.lit(LOW)) for j in range(n_samples)])
+    return F.split(F.trim(F.translate(F.lower(text), "\t\n\x0b\x0c\r", "     ")), " +")
 
 
 def as_text(samples: Column) -> Column:
@@ -63,8 +63,8 @@ def likeness(a: Column, b: Column) -> Column:
 def fingerprint(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n_samples: int = SAMPLES) -> DataFrame:
     """(doc_id, fingerprint): the general form. Rows with the same id and text, and only those, are one; a null text is empty."""
     d = docs.select(F.col(id_col).alias("doc_id"), text_of(text_col).alias("text")).withColumn("key", F.xxhash64("text"))
-    terms = d.select("doc_id", "key", F.explode(words(F.col("text"))).alias("word")).select("doc_id", "key", F.xxhash64("word").alias("term"))
-    return samples_of(terms, ["doc_id", "key"], n_samples).select("doc_id", as_text(signature(n_samples)).alias("fingerprint"))
+    terms = d.select("doc_id", "key", F.explode(words(F.col("text"))).alias("word")).groupBy("doc_id", "key", F.xxhash64("word").alias("term")).agg(F.count("*").alias("n"))
+    return _sampled(terms, ["doc_id", "key"], {"own": "n"}, n_samples).select("doc_id", as_text(F.col("own")).alias("fingerprint"))
 
 
 def with_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -108,38 +108,23 @@ def edited_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     d = with_next(docs, id_col, text_col)
     n = F.length("text")
     cut = F.floor(n / 4).cast("int")
-    d = d.withColumn("n_chars", n.cast("long")).withColumn(
-        "edited", F.when(~F.col("ghost"), F.concat(F.substring(F.col("text"), F.lit(1), n - cut), F.substring(F.col("next_text"), F.lit(1), cut)))
-    )
-    sha = F.sha2(F.encode("edited", "UTF-8"), 256)
-    parts = [F.conv(F.substring(sha, 1 + 15 * i, 15), 16, 10).cast("long").alias(f"p{i}") for i in range(5)]
-    d = d.select("bucket", "rid", "ghost", "doc_id", "n_chars", *parts, F.explode(F.array(F.struct(F.lit(0).alias("which"), F.col("text").alias("body")), F.struct(F.lit(1).alias("which"), F.col("edited").alias("body")))).alias("v"))
-    keys = ["bucket", "rid", "ghost", "doc_id", "n_chars", "p0", "p1", "p2", "p3", "p4", "which"]
-    terms = d.where(F.col("v.body").isNotNull()).select(*keys[:-1], F.col("v.which").alias("which"), F.explode(words(F.col("v.body"))).alias("word"))
-    short = ["bucket", "rid", "which"]
-    carried = [k for k in keys if k not in short]
-    # what is constant within a text rides along as a maximum, so that the hash keys stay short
-    weighted = terms.groupBy(*short, F.xxhash64("word").alias("term")).agg(F.count("*").alias("n"), *[F.max(k).alias(k) for k in carried])
-    weighted = weighted.withColumn("log_w", F.log(F.col("n").cast("double")))
-    sampled = weighted.groupBy(*short).agg(*[F.min(_sample(F.col("term"), F.col("log_w"), j)).alias(f"s{j}") for j in range(n_samples)], *[F.max(k).alias(k) for k in carried])
-    sampled = sampled.select(*keys, signature(n_samples).alias("samples"))
-    pair = sampled.groupBy("bucket", "rid").agg(
-        *[F.max(k).alias(k) for k in carried],
-        F.max(F.when(F.col("which") == 0, F.col("samples"))).alias("own"),
-        F.max(F.when(F.col("which") == 1, F.col("samples"))).alias("edit"),
-    )
-    w = Window.partitionBy("bucket").orderBy("rid")
-    pair = pair.withColumn("following", F.lead("own").over(w)).where(~F.col("ghost"))
-    digest = F.concat(*[F.lpad(F.lower(F.hex(f"p{i}")), 15, "0") for i in range(4)], F.lpad(F.lower(F.hex("p4")), 4, "0"))
-    return pair.select(
-        "doc_id",
-        "n_chars",
-        digest.alias("edited_sha256"),
+    edited = F.when(~F.col("ghost"), F.concat(F.substring(F.col("text"), F.lit(1), n - cut), F.substring(F.col("next_text"), F.lit(1), cut)))
+    body = d.select("bucket", "rid", F.posexplode(F.array("text", edited)).alias("which", "body")).where(F.col("body").isNotNull())
+    terms = body.select("bucket", "rid", "which", F.explode(words(F.col("body"))).alias("word"))
+    weighted = terms.groupBy("bucket", "rid", F.xxhash64("word").alias("term")).agg(F.count("*").alias("n"), F.sum("which").alias("n_edit"))
+    weighted = weighted.withColumn("n_own", F.col("n") - F.col("n_edit"))
+    sampled = _sampled(weighted, ["bucket", "rid"], {"own": "n_own", "edit": "n_edit"}, n_samples)
+    following = F.lead("own").over(Window.partitionBy("bucket").orderBy("rid"))
+    found = sampled.withColumn("following", following).select(
+        "bucket",
+        "rid",
         as_text(F.col("own")).alias("fingerprint"),
         as_text(F.col("edit")).alias("edited_fingerprint"),
         likeness(F.col("own"), F.col("edit")).alias("near_edited"),
         likeness(F.col("own"), F.col("following")).alias("near_next"),
     )
+    facts = d.where(~F.col("ghost")).select("bucket", "rid", "doc_id", n.cast("long").alias("n_chars"), F.sha2(F.encode(edited, "UTF-8"), 256).alias("edited_sha256"))
+    return facts.join(found, ["bucket", "rid"]).select("doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next")
 
 
 def op1_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
