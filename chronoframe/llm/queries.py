@@ -7,9 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
-from chronoframe.llm import fingerprints
+from chronoframe.llm import fingerprints, mixing
 
-OPERATORS = (fingerprints,)
+OPERATORS = (fingerprints, mixing)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
