@@ -7,9 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
-from chronoframe.llm import fingerprints, mixing
+from chronoframe.llm import fingerprints, mixing, packing
 
-OPERATORS = (fingerprints, mixing)
+OPERATORS = (fingerprints, mixing, packing)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
