@@ -7,9 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
-from chronoframe.llm import fingerprints, mixing, packing
+from chronoframe.llm import fingerprints, mixing, packing, quality
 
-OPERATORS = (fingerprints, mixing, packing)
+OPERATORS = (fingerprints, mixing, packing, quality)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
