@@ -22,7 +22,7 @@ from chronoframe.llm.common import read
 #: Rows that the index is fitted on, chosen by hash of the id.
 SAMPLE = 20_000
 #: At most so many cells; the share of them that a query visits, and at least so many; quantisers; codes that are reranked in a shard.
-CELLS, VISITED, LEAST_VISITED, QUANTISERS, RERANKED = 1024, 0.6, 8, 16, 100
+CELLS, VISITED, LEAST_VISITED, QUANTISERS, RERANKED = 1024, 0.65, 32, 16, 100
 #: Rows of a shard at least.
 SHARD = 256
 
