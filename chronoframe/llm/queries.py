@@ -7,9 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
-from chronoframe.llm import fingerprints, mixing, neighbours, packing, personal, quality, urls
+from chronoframe.llm import fingerprints, mixing, neardup, neighbours, packing, personal, quality, urls
 
-OPERATORS = (fingerprints, mixing, packing, quality, urls, personal, neighbours)
+OPERATORS = (fingerprints, mixing, packing, quality, urls, personal, neardup, neighbours)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
