@@ -7,9 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
-from chronoframe.llm import fingerprints, lines, mixing, neardup, neighbours, packing, personal, quality, urls
+from chronoframe.llm import fingerprints, lines, mixing, neardup, neighbours, packing, personal, quality, suffixes, urls
 
-OPERATORS = (fingerprints, mixing, packing, quality, urls, personal, lines, neardup, neighbours)
+OPERATORS = (fingerprints, mixing, packing, quality, urls, personal, lines, neardup, suffixes, neighbours)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
