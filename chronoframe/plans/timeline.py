@@ -1 +1,397 @@
-"""Queries over the driver tables."""
+"""Queries over the driver tables, seen as timelines.
+
+`events` of a user are segments and scenes of a recording, in microseconds; `conversations` are captions, with the running length of the text as
+time; lines and words of `documents` stand for captions and recognised words.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.window import Window
+
+from chronoframe.functions import scalar
+from chronoframe.operators import budget, captions, intervals, recognition, report, sampling, selection
+from chronoframe.plans.registry import query
+from chronoframe.sources import media
+from chronoframe.streaming import windows as streaming
+
+#: Six hours in microseconds.
+GAP = 21_600_000_000
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def micros(column: str):
+    """Microseconds since 1970 of a timestamp without zone, whatever the session's zone."""
+    return F.expr(f"timestampdiff(MICROSECOND, TIMESTAMP_NTZ'1970-01-01 00:00:00', {column})")
+
+
+def segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = table(spark, sf_dir, "events")
+    start = micros("ts")
+    return e.select(F.col("user_id").alias("video_id"), F.col("event_id").alias("seq"), start.alias("start"), (start + F.floor(F.col("value") * 60e6).cast("long")).alias("end"), F.col("event_type").alias("text"), "event_type")
+
+
+def ranges(segs: DataFrame) -> DataFrame:
+    return segs.groupBy("video_id").agg(F.min("start").alias("lo"), F.max("end").alias("hi"))
+
+
+def windows(segs: DataFrame) -> DataFrame:
+    return intervals.islands(segs, F.lit(GAP))
+
+
+def spoken(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """conversations as captions, a character lasting a tenth of a second."""
+    c = table(spark, sf_dir, "conversations").where("text is not null")
+    w = Window.partitionBy("conv_id").orderBy("turn").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    end = F.sum(F.length("text")).over(w)
+    return c.select(F.col("conv_id").alias("video_id"), F.col("turn").alias("seq"), ((end - F.length("text")) / 10.0).alias("start"), (end / 10.0).alias("end"), "text", F.col("role").alias("speaker"))
+
+
+_SEG = """seg AS (SELECT user_id AS video_id, event_id AS seq, epoch_us(ts) AS s, epoch_us(ts) + floor(value * 60e6)::BIGINT AS e, event_type FROM events)"""
+_ISL = (
+    _SEG
+    + f""", mk AS (SELECT *, CASE WHEN s - max(e) OVER (PARTITION BY video_id ORDER BY s, seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) <= {GAP} THEN 0 ELSE 1 END AS new FROM seg),
+nm AS (SELECT *, sum(new) OVER (PARTITION BY video_id ORDER BY s, seq ROWS UNBOUNDED PRECEDING)::BIGINT AS win FROM mk),
+win AS (SELECT video_id, win, min(s) AS s, max(e) AS e, count(*) AS n FROM nm GROUP BY ALL),
+rng AS (SELECT video_id, min(s) AS lo, max(e) AS hi FROM seg GROUP BY ALL)"""
+)
+
+
+@query("speech_windows", f'WITH {_ISL} SELECT video_id, win, s AS "start", e AS "end", n FROM win')
+def speech_windows(spark, sf_dir):
+    return windows(segments(spark, sf_dir))
+
+
+@query("window_totals", f"WITH {_ISL} SELECT video_id, count(*) AS n_windows, least(sum(win.e - win.s), any_value(hi - lo))::BIGINT AS covered FROM win JOIN rng USING (video_id) GROUP BY video_id")
+def window_totals(spark, sf_dir):
+    s = segments(spark, sf_dir)
+    w = windows(s)
+    return intervals.totals(w, ranges(s)).join(w.groupBy("video_id").agg(F.count("*").alias("n_windows")), "video_id").select("video_id", "n_windows", "covered")
+
+
+_SCOPE = "b AS (SELECT video_id, lo + (hi - lo) // 4 AS a, hi - (hi - lo) // 4 AS z FROM rng)"
+
+
+def _scopes(s: DataFrame) -> DataFrame:
+    """The middle half of each recording."""
+    quarter = F.floor((F.col("hi") - F.col("lo")) / 4).cast("long")
+    return ranges(s).select("video_id", (F.col("lo") + quarter).alias("lo"), (F.col("hi") - quarter).alias("hi"))
+
+
+@query("overlap_filter", f'WITH {_ISL}, {_SCOPE} SELECT video_id, seq, s AS "start", e AS "end" FROM seg JOIN b USING (video_id) WHERE e >= a AND s <= z')
+def overlap_filter(spark, sf_dir):
+    s = segments(spark, sf_dir)
+    return intervals.overlapping(s.join(_scopes(s), "video_id"), F.col("lo"), F.col("hi")).select("video_id", "seq", "start", "end")
+
+
+@query("clipped_windows", f'WITH {_ISL}, {_SCOPE} SELECT video_id, win, greatest(s, a) AS "start", least(e, z) AS "end" FROM win JOIN b USING (video_id) WHERE least(e, z) > greatest(s, a)')
+def clipped_windows(spark, sf_dir):
+    s = segments(spark, sf_dir)
+    return intervals.clipped(windows(s), _scopes(s)).select("video_id", "win", "start", "end")
+
+
+_GAPS = """u AS (SELECT video_id, s, e FROM win UNION ALL SELECT video_id, hi, hi FROM rng),
+g0 AS (SELECT video_id, s, greatest(lo, coalesce(max(e) OVER (PARTITION BY video_id ORDER BY s, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), lo)) AS c FROM u JOIN rng USING (video_id)),
+gap AS (SELECT video_id, c AS s, s AS e FROM g0 WHERE s > c)"""
+
+
+@query("gap_complement", f'WITH {_ISL}, {_GAPS} SELECT video_id, s AS "start", e AS "end" FROM gap')
+def gap_complement(spark, sf_dir):
+    s = segments(spark, sf_dir)
+    return intervals.gaps(windows(s), ranges(s))
+
+
+def scenes(s: DataFrame) -> DataFrame:
+    return s.where("event_type = 'purchase'").select("video_id", F.col("seq").alias("scene_no"), "start", "end")
+
+
+_SCENES = "sc AS (SELECT video_id, seq AS scene_no, s, e, (s + e) / 2 AS mid FROM seg WHERE event_type = 'purchase')"
+
+
+@query("midpoint_in_window", f"WITH {_ISL}, {_SCENES} SELECT sc.video_id, scene_no, mid AS midpoint, win FROM sc JOIN win ON sc.video_id = win.video_id AND mid BETWEEN win.s AND win.e")
+def midpoint_in_window(spark, sf_dir):
+    s = segments(spark, sf_dir)
+    return intervals.points_in_windows(intervals.with_midpoints(scenes(s)), windows(s), "midpoint").select("video_id", "scene_no", "midpoint", "win")
+
+
+@query("frame_tag", f"""WITH {_ISL}, {_SCENES}, w2 AS (SELECT * FROM win WHERE n > 1)
+SELECT sc.video_id, scene_no, CASE WHEN EXISTS (SELECT 1 FROM w2 WHERE w2.video_id = sc.video_id AND mid BETWEEN w2.s AND w2.e) THEN '[speech]' ELSE '[silent]' END AS tag FROM sc""")
+def frame_tag(spark, sf_dir):
+    s = segments(spark, sf_dir)
+    return intervals.tagged(intervals.with_midpoints(scenes(s)), windows(s).where("n > 1"), "midpoint").select("video_id", "scene_no", "tag")
+
+
+@query("speech_frame_counts", f"""WITH {_ISL}, {_SCENES}, w2 AS (SELECT * FROM win WHERE n > 1)
+SELECT video_id, count(*) FILTER (hit) AS in_speech, count(*) FILTER (NOT hit) AS outside FROM (SELECT sc.video_id, EXISTS (SELECT 1 FROM w2 WHERE w2.video_id = sc.video_id AND mid BETWEEN w2.s AND w2.e) AS hit FROM sc) GROUP BY 1""")
+def speech_frame_counts(spark, sf_dir):
+    s = segments(spark, sf_dir)
+    t = intervals.tagged(intervals.with_midpoints(scenes(s)), windows(s).where("n > 1"), "midpoint")
+    return t.groupBy("video_id").agg(F.count_if(F.col("tag") == "[speech]").alias("in_speech"), F.count_if(F.col("tag") == "[silent]").alias("outside"))
+
+
+def _durations(spark, sf_dir):
+    """Window lengths in seconds, a thousandth of them: from seconds to about an hour."""
+    return windows(segments(spark, sf_dir)).select("video_id", "win", ((F.col("end") - F.col("start")) / 1e9).alias("d"))
+
+
+def _budget_sql(cases: str, fps0: str, n0: int) -> str:
+    return f"""WITH {_ISL}, d AS (SELECT video_id, win, (e - s) / 1e9 AS d FROM win), t AS (SELECT *, least({cases}, 80) AS t FROM d)
+SELECT video_id, win, CASE WHEN d > 0 THEN least(t / d, 2.0::DOUBLE) ELSE {fps0}::DOUBLE END AS fps,
+CASE WHEN d > 0 THEN least(80, greatest(1, round_even(least(t / d, 2.0::DOUBLE) * d, 0)::BIGINT)) ELSE {n0} END::BIGINT AS frames FROM t"""
+
+
+@query("budget_full", _budget_sql("CASE WHEN d <= 30 THEN greatest(12, round_even(d, 0)::BIGINT) WHEN d <= 60 THEN 40 WHEN d <= 180 THEN 60 ELSE 80 END", "1.0", 1))
+def budget_full(spark, sf_dir):
+    fps, n = budget.full_budget(F.col("d"), F.lit(80))
+    return _durations(spark, sf_dir).select("video_id", "win", fps.alias("fps"), n.alias("frames"))
+
+
+@query("budget_focus", _budget_sql("CASE WHEN d <= 5 THEN greatest(10, round_even(d * 6, 0)::BIGINT) WHEN d <= 15 THEN greatest(30, round_even(d * 4, 0)::BIGINT) WHEN d <= 30 THEN 60 ELSE 80 END", "2.0", 2))
+def budget_focus(spark, sf_dir):
+    fps, n = budget.focus_budget(F.col("d"), F.lit(80))
+    return _durations(spark, sf_dir).select("video_id", "win", fps.alias("fps"), n.alias("frames"))
+
+
+@query("budget_allocate", f"""WITH {_ISL}, a AS (SELECT *, e - s AS len, sum(e - s) OVER (PARTITION BY video_id) AS total FROM win),
+b AS (SELECT *, greatest(1, round_even(56 * (len / total), 0)::BIGINT) AS k FROM a), c AS (SELECT *, sum(k) OVER (PARTITION BY video_id) - 56 AS over, row_number() OVER (PARTITION BY video_id ORDER BY len DESC, win) = 1 AS longest FROM b),
+u AS (SELECT video_id, win, over, unnest(generate_series(2, k)) AS h FROM c WHERE over > 0 AND k > 1), r AS (SELECT *, row_number() OVER (PARTITION BY video_id ORDER BY h DESC, win) AS rk FROM u),
+l AS (SELECT video_id, win, count(*) AS less FROM r WHERE rk <= over GROUP BY ALL)
+SELECT c.video_id, c.win, (k - coalesce(less, 0) + CASE WHEN over < 0 AND longest THEN -over ELSE 0 END)::BIGINT AS frames FROM c LEFT JOIN l USING (video_id, win)""")
+def budget_allocate(spark, sf_dir):
+    w = windows(segments(spark, sf_dir)).withColumn("budget", F.lit(56).cast("long"))
+    return budget.allocated(w).select("video_id", "win", "frames")
+
+
+@query("even_spacing", f"""WITH {_ISL} SELECT video_id, win, unnest(generate_series(1, n)) AS i, s + ((e - s) / (n + 1)) * unnest(generate_series(1, n)) AS t FROM win WHERE e > s""")
+def even_spacing(spark, sf_dir):
+    w = windows(segments(spark, sf_dir))
+    points = w.select("video_id", "win", F.posexplode(sampling.evenly_spaced(F.col("start"), F.col("end"), F.col("n"))).alias("i", "t"))
+    return points.select("video_id", "win", (F.col("i") + 1).cast("long").alias("i"), "t")
+
+
+@query("thinning", f"""WITH {_ISL}, c AS (SELECT video_id, count(*) AS n FROM win GROUP BY 1)
+SELECT DISTINCT video_id, CASE WHEN n <= 12 THEN i ELSE round_even(i * ((n - 1) / 11), 0)::BIGINT END AS idx FROM (SELECT video_id, n, unnest(generate_series(0, least(n, 12) - 1)) AS i FROM c)""")
+def thinning(spark, sf_dir):
+    c = windows(segments(spark, sf_dir)).groupBy("video_id").agg(F.count("*").cast("int").alias("n"))
+    return c.select("video_id", F.explode(sampling.thin_indices(F.col("n"), F.lit(12))).alias("idx")).withColumn("idx", F.col("idx").cast("long"))
+
+
+def _seconds(w: DataFrame, lo: str = "start", hi: str = "end") -> DataFrame:
+    return w.withColumn(lo, F.col(lo) / 1e6).withColumn(hi, F.col(hi) / 1e6)
+
+
+@query("window_pick")
+def window_pick(spark, sf_dir):
+    s = segments(spark, sf_dir)
+    mids = intervals.with_midpoints(scenes(s)).groupBy("video_id").agg(F.collect_list(F.col("midpoint") / 1e6).alias("mids"))
+    w = _seconds(windows(s)).join(mids, "video_id", "left").withColumn("mids", F.coalesce("mids", F.array().cast("array<double>")))
+    return w.select("video_id", "win", sampling.picked(F.col("start"), F.col("end"), F.col("mids"), F.lit(4)).alias("moments"))
+
+
+@query("two_pass_plan")
+def two_pass_plan(spark, sf_dir):
+    s = segments(spark, sf_dir)
+    r = _seconds(ranges(s), "lo", "hi").withColumn("max_frames", F.lit(80).cast("long"))
+    mids = intervals.with_midpoints(scenes(s)).select("video_id", (F.col("midpoint") / 1e6).alias("midpoint"))
+    return sampling.two_pass_plan(r, _seconds(windows(s)), mids)
+
+
+@query("run_collapse", """WITH l AS (SELECT doc_id AS video_id, unnest(string_split(text, chr(10))) AS text, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS seq FROM documents),
+b AS (SELECT *, lag(text) OVER (PARTITION BY video_id ORDER BY seq) AS p FROM l), c AS (SELECT *, CASE WHEN p IS NULL OR NOT (text = p OR starts_with(text, p || ' ')) THEN 1 ELSE 0 END AS new FROM b),
+r AS (SELECT *, sum(new) OVER (PARTITION BY video_id ORDER BY seq ROWS UNBOUNDED PRECEDING) AS run FROM c)
+SELECT video_id, min(seq)::BIGINT AS seq, min(seq)::BIGINT AS "start", max(seq)::BIGINT + 1 AS "end", arg_max(text, seq) AS text FROM r GROUP BY video_id, run""")
+def run_collapse(spark, sf_dir):
+    d = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("video_id"), F.posexplode(F.split("text", "\n", -1)).alias("seq", "text"))
+    d = d.select("video_id", F.col("seq").cast("long").alias("seq"), F.col("seq").cast("long").alias("start"), (F.col("seq") + 1).cast("long").alias("end"), "text")
+    return captions.collapse_runs(d)
+
+
+_SPOKEN = """sp AS (SELECT conv_id AS video_id, turn AS seq, (sum(length(text)) OVER w - length(text)) / 10.0::DOUBLE AS s, (sum(length(text)) OVER w) / 10.0::DOUBLE AS e, text, role AS speaker
+FROM conversations WHERE text IS NOT NULL WINDOW w AS (PARTITION BY conv_id ORDER BY turn ROWS UNBOUNDED PRECEDING))"""
+
+
+@query("speaker_transcript", f"""WITH {_SPOKEN}, l AS (SELECT *, CASE WHEN coalesce(speaker, '') <> '' THEN '[' || speaker || '] (' || (trunc(s)::BIGINT // 60) || ':' || lpad((trunc(s)::BIGINT % 60)::VARCHAR, 2, '0') || '-' || (trunc(e)::BIGINT // 60) || ':' || lpad((trunc(e)::BIGINT % 60)::VARCHAR, 2, '0') || ') ' || text
+ELSE '[' || lpad((trunc(s)::BIGINT // 60)::VARCHAR, 2, '0') || ':' || lpad((trunc(s)::BIGINT % 60)::VARCHAR, 2, '0') || '] ' || text END AS line FROM sp)
+SELECT video_id, string_agg(line, chr(10) ORDER BY seq, line) AS transcript FROM l GROUP BY 1""")
+def speaker_transcript(spark, sf_dir):
+    return captions.transcripts(spoken(spark, sf_dir))
+
+
+@query("speakers", "SELECT conv_id AS video_id, string_agg(DISTINCT role, ', ' ORDER BY role) AS speakers, bool_or(role IS NOT NULL) AS diarised FROM conversations WHERE text IS NOT NULL GROUP BY 1")
+def speakers(spark, sf_dir):
+    return captions.speakers(spoken(spark, sf_dir))
+
+
+_CLOCK = "(round_even({0}, 0)::BIGINT // 60) || ':' || lpad((round_even({0}, 0)::BIGINT % 60)::VARCHAR, 2, '0')"
+
+
+@query("window_summary", f"""WITH {_ISL}, q AS (SELECT video_id, win, (s - lo) / 1e9 AS a, (e - lo) / 1e9 AS z, (hi - lo) / 1e9 AS f, e - s AS len FROM win JOIN rng USING (video_id))
+SELECT video_id, string_agg({_CLOCK.format('a')} || '-' || {_CLOCK.format('z')}, ', ' ORDER BY win) || ' (covering ' || round_even(sum(len)::BIGINT / 1e9, 0)::BIGINT || 's of ' || round_even(any_value(f), 0)::BIGINT || 's)' AS summary FROM q GROUP BY 1""")
+def window_summary(spark, sf_dir):
+    s = segments(spark, sf_dir)
+    d = windows(s).join(ranges(s), "video_id")
+    at = lambda c: (F.col(c) - F.col("lo")) / 1e9
+    d = d.groupBy("video_id").agg(F.array_sort(F.collect_list(F.struct("win", at("start").alias("start"), at("end").alias("end")))).alias("ws"), F.sum(F.col("end") - F.col("start")).alias("c"), F.max(F.col("hi") - F.col("lo")).alias("f"))
+    return d.select("video_id", report.window_summary(F.col("ws"), F.col("c") / 1e9, F.col("f") / 1e9).alias("summary"))
+
+
+@query("time_parse_format", """WITH t AS (SELECT event_id, event_id % 3 AS k, event_id % 40 AS h, event_id % 90 AS m, (event_id % 1200) / 10 AS s FROM events),
+p AS (SELECT *, CASE k WHEN 0 THEN s WHEN 1 THEN m * 60 + s ELSE (h * 3600 + m * 60) + s END::DOUBLE AS sec FROM t), r AS (SELECT *, round_even(sec, 0)::BIGINT AS n FROM p)
+SELECT event_id, sec AS seconds, CASE WHEN n >= 3600 THEN (n // 3600) || ':' || lpad((n % 3600 // 60)::VARCHAR, 2, '0') || ':' || lpad((n % 60)::VARCHAR, 2, '0') ELSE lpad((n // 60)::VARCHAR, 2, '0') || ':' || lpad((n % 60)::VARCHAR, 2, '0') END AS long_form,
+(n // 60) || ':' || lpad((n % 60)::VARCHAR, 2, '0') AS clock, '[' || lpad((floor(sec)::BIGINT // 60)::VARCHAR, greatest(2, length((floor(sec)::BIGINT // 60)::VARCHAR))::INTEGER, '0') || ':' || lpad((floor(sec)::BIGINT % 60)::VARCHAR, 2, '0') || ']' AS stamp FROM r""")
+def time_parse_format(spark, sf_dir):
+    e = table(spark, sf_dir, "events")
+    i = F.col("event_id")
+    s = ((i % 1200) / 10).cast("string")
+    text = F.when(i % 3 == 0, s).when(i % 3 == 1, F.concat_ws(":", (i % 90).cast("string"), s)).otherwise(F.concat_ws(":", (i % 40).cast("string"), (i % 90).cast("string"), s))
+    d = e.select("event_id", scalar.parse_time(text).alias("seconds"))
+    return d.select("event_id", "seconds", scalar.format_time(F.col("seconds")).alias("long_form"), scalar.format_clock(F.col("seconds")).alias("clock"), scalar.cue_stamp(F.col("seconds")).alias("stamp"))
+
+
+@query("tag_strip_collapse", r"SELECT page_id, trim(regexp_replace(regexp_replace(html, '<[^>]+>', '', 'g'), '[\s\x0B\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x1C-\x1F]+', ' ', 'g')) AS plain FROM pages")
+def tag_strip_collapse(spark, sf_dir):
+    return table(spark, sf_dir, "pages").select("page_id", scalar.collapse_space(scalar.strip_tags(F.col("html"))).alias("plain"))
+
+
+@query("url_classify", r"""SELECT page_id, coalesce(regexp_matches(url, '(?i)^https?://[^/?#]+'), false) AS is_url,
+coalesce(regexp_replace(regexp_replace(lower(regexp_extract(url, '(?i)^[a-z][a-z0-9+.-]*://([^/?#]*)', 1)), '^www\.', ''), '^m\.', '') IN ('youtube.com', 'youtu.be'), false) AS is_video_host FROM pages""")
+def url_classify(spark, sf_dir):
+    return table(spark, sf_dir, "pages").select("page_id", scalar.is_url(F.col("url")).alias("is_url"), scalar.is_video_host(F.col("url")).alias("is_video_host"))
+
+
+def _words(spark, sf_dir):
+    """Words of a document's text with a confidence by position, as strings, some of which are not numbers."""
+    d = table(spark, sf_dir, "documents").where("text is not null").select("doc_id", F.split("text", "[ \n]", -1).alias("w"))
+    c = F.transform("w", lambda _, i: F.when(i % 11 == 10, F.lit("x")).otherwise(((i * 37) % 100).cast("string")))
+    return d.withColumn("c", c)
+
+
+_WORDS = """w AS (SELECT doc_id, unnest(regexp_split_to_array(text, '[ \n]')) AS word, generate_subscripts(regexp_split_to_array(text, '[ \n]'), 1) - 1 AS i FROM documents WHERE text IS NOT NULL),
+t AS (SELECT doc_id, coalesce(string_agg(word, ' ' ORDER BY i) FILTER (i % 11 <> 10 AND (i * 37) % 100 >= 50 AND trim(word) <> ''), '') AS text FROM w GROUP BY 1)"""
+
+
+@query("word_concat", f"WITH {_WORDS} SELECT doc_id, text FROM t")
+def word_concat(spark, sf_dir):
+    return _words(spark, sf_dir).select("doc_id", recognition.confident_text(F.col("w"), F.col("c")).alias("text"))
+
+
+@query("ocr_significance", f"WITH {_WORDS} SELECT doc_id, length(replace(text, ' ', '')) >= 10 AS significant, CASE WHEN length(replace(text, ' ', '')) >= 10 THEN 1024 ELSE 512 END::INTEGER AS width FROM t")
+def ocr_significance(spark, sf_dir):
+    d = _words(spark, sf_dir).select("doc_id", recognition.confident_text(F.col("w"), F.col("c")).alias("text"))
+    return d.select("doc_id", scalar.is_significant(F.col("text")).alias("significant"), recognition.target_width(F.col("text"), F.lit(512)).alias("width"))
+
+
+@query("ocr_join", "SELECT l.doc_id AS path, coalesce(d.text, '') AS text FROM labels l LEFT JOIN (SELECT doc_id, text FROM documents WHERE lang = 'en') d USING (doc_id)")
+def ocr_join(spark, sf_dir):
+    frames = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("path"))
+    texts = table(spark, sf_dir, "documents").where("lang = 'en'").select(F.col("doc_id").alias("path"), "text")
+    return recognition.with_text(frames, texts)
+
+
+@query("frames_with_text", "SELECT source, count(*) AS frames, count(*) FILTER (trim(coalesce(text, ''), ' ' || chr(9) || chr(10) || chr(13)) <> '') AS with_text FROM documents GROUP BY 1")
+def frames_with_text(spark, sf_dir):
+    return table(spark, sf_dir, "documents").groupBy("source").agg(F.count("*").alias("frames"), F.count_if(scalar.strip(F.coalesce("text", F.lit(""))) != "").alias("with_text"))
+
+
+@query("json_project", """SELECT event_id, event_type AS title, CASE WHEN event_id % 2 = 0 THEN 'u' || user_id ELSE 'c' || (user_id % 7) END AS uploader, value AS duration, CASE WHEN event_id % 3 = 0 THEN 'src' || event_id ELSE 'w' || event_id END AS url,
+CASE WHEN event_id % 4 = 0 THEN NULL ELSE 640 END::INTEGER AS width, event_id % 5 = 0 AS has_audio, json_extract_string(props, '$.k')::BIGINT AS k FROM events""")
+def json_project(spark, sf_dir):
+    e = table(spark, sf_dir, "events")
+    i, u = F.col("event_id"), F.col("user_id")
+    raw = F.to_json(F.struct(F.col("event_type").alias("title"), F.when(i % 2 == 0, F.concat(F.lit("u"), u.cast("string"))).otherwise("").alias("uploader"), F.concat(F.lit("c"), (u % 7).cast("string")).alias("channel"), F.col("value").alias("duration"), F.when(i % 3 == 0, "").otherwise(F.concat(F.lit("w"), i.cast("string"))).alias("webpage_url")))
+    video = F.struct(F.lit("video").alias("codec_type"), F.when(i % 4 != 0, F.lit(640)).alias("width"))
+    audio = F.struct(F.when(i % 5 == 0, "audio").otherwise("data").alias("codec_type"), F.lit(None).cast("int").alias("width"))
+    probe = F.to_json(F.struct(F.array(audio, video).alias("streams")))
+    d = e.select("event_id", media.info(raw, F.concat(F.lit("src"), i.cast("string"))).alias("m"), media.probe(probe).alias("p"), F.get_json_object("props", "$.k").cast("long").alias("k"))
+    return d.select("event_id", "m.title", "m.uploader", "m.duration", "m.url", "p.width", "p.has_audio", "k")
+
+
+@query("source_priority", "SELECT source AS video_id, arg_min(doc_id, (p, doc_id)) AS doc_id, min(p)::INTEGER AS priority FROM (SELECT *, CASE lang WHEN 'en' THEN 0 WHEN 'de' THEN 1 WHEN 'fr' THEN 2 ELSE 3 END AS p FROM documents) WHERE length(text) > 500 GROUP BY 1")
+def source_priority(spark, sf_dir):
+    rank = F.when(F.col("lang") == "en", 0).when(F.col("lang") == "de", 1).when(F.col("lang") == "fr", 2).otherwise(3)
+    c = table(spark, sf_dir, "documents").where(F.length("text") > 500).select(F.col("source").alias("video_id"), F.struct(rank.alias("p"), "doc_id").alias("priority"), "doc_id")
+    return selection.by_priority(c, F.lit(True)).select("video_id", "doc_id", F.col("priority.p").alias("priority"))
+
+
+_FILES = """f AS (SELECT user_id AS video_id, 'video.' || (event_id % 9) || CASE event_id % 4 WHEN 0 THEN '.en.vtt' WHEN 1 THEN '.es.vtt' WHEN 2 THEN '.mkv' ELSE '.avi' END AS name FROM events)"""
+
+
+def _files(spark, sf_dir):
+    i = F.col("event_id")
+    tail = F.when(i % 4 == 0, ".en.vtt").when(i % 4 == 1, ".es.vtt").when(i % 4 == 2, ".mkv").otherwise(".avi")
+    return table(spark, sf_dir, "events").select(F.col("user_id").alias("video_id"), F.concat(F.lit("video."), (i % 9).cast("string"), tail).alias("name"))
+
+
+@query("subtitle_pick", f"WITH {_FILES} SELECT video_id, arg_min(name, (NOT contains(name, '.en'), name)) AS name FROM f WHERE name LIKE 'video%.vtt' GROUP BY 1")
+def subtitle_pick(spark, sf_dir):
+    return selection.subtitle(_files(spark, sf_dir))
+
+
+@query("video_pick", f"WITH {_FILES} SELECT video_id, arg_min(name, (CASE WHEN name LIKE '%.mkv' THEN 2 ELSE 5 END, name)) AS name FROM f WHERE name NOT LIKE '%.vtt' GROUP BY 1")
+def video_pick(spark, sf_dir):
+    return selection.video(_files(spark, sf_dir))
+
+
+@query("sampling_mode", f"""WITH {_ISL}, a AS (SELECT video_id, count(*) FILTER (n > 1) AS w FROM win GROUP BY 1), b AS (SELECT video_id, count(*) FILTER (event_type = 'purchase') AS sc FROM seg GROUP BY 1)
+SELECT video_id, CASE WHEN video_id % 5 <> 0 AND video_id % 2 = 0 AND w > 0 THEN 'two-pass' WHEN video_id % 5 <> 0 AND sc > 0 THEN 'scenes' ELSE 'fps' END AS mode FROM a JOIN b USING (video_id)""")
+def sampling_mode(spark, sf_dir):
+    s = segments(spark, sf_dir)
+    d = windows(s).groupBy("video_id").agg(F.count_if(F.col("n") > 1).alias("w")).join(s.groupBy("video_id").agg(F.count_if(F.col("event_type") == "purchase").alias("sc")), "video_id")
+    v = F.col("video_id")
+    return d.select("video_id", selection.sampling_mode(v % 2 == 0, F.lit(True), F.when(v % 5 == 0, 1.0), F.col("w"), F.col("sc")).alias("mode"))
+
+
+def _vtt(spark, sf_dir):
+    """Conversations written as caption files, some cues without hours or text."""
+    c = spoken(spark, sf_dir).withColumn("ms", (F.col("start") * 1000).cast("long")).withColumn("me", (F.col("end") * 1000).cast("long"))
+    stamp = lambda m: F.format_string("%02d:%02d:%02d.%03d", F.floor(m / 3600000), F.floor(m / 60000) % 60, F.floor(m / 1000) % 60, m % 1000)
+    cue = F.concat(stamp(F.col("ms")), F.lit(" --> "), stamp(F.col("me")), F.lit(" align:start\n<c>"), F.regexp_replace("text", r"\s+", " "), F.lit("</c>\n"))
+    d = c.select("video_id", "seq", cue.alias("cue"))
+    return d.groupBy("video_id").agg(captions.ordered_text("seq", "cue").alias("body")).select("video_id", F.concat(F.lit("WEBVTT\n\n"), F.col("body")).alias("value"))
+
+
+@query("vtt_parse")
+def vtt_parse(spark, sf_dir):
+    return captions.parse_vtt(_vtt(spark, sf_dir))
+
+
+@query("response_normalise", """SELECT event_id AS video_id, 0::BIGINT AS seq, CASE WHEN event_id % 3 = 0 THEN 0.0 ELSE event_id::DOUBLE END AS "start", CASE WHEN event_id % 3 = 0 THEN 0.0 ELSE event_id + 1.5 END::DOUBLE AS "end", event_type AS text FROM events""")
+def response_normalise(spark, sf_dir):
+    i = F.col("event_id")
+    part = F.struct(i.cast("double").alias("start"), (i + 1.5).alias("end"), F.when(i % 3 == 0, "  ").otherwise(F.concat(F.lit(" "), F.col("event_type"))).alias("text"))
+    raw = F.to_json(F.struct(F.array(part).alias("segments"), F.col("event_type").alias("text")))
+    return captions.normalised_response(table(spark, sf_dir, "events").select(i.alias("video_id"), raw.alias("json")))
+
+
+@query("scene_report", f"WITH {_ISL}, {_SCENES} SELECT video_id, count(*) AS scene_count, sum(mid) AS midpoints FROM sc GROUP BY 1")
+def scene_report(spark, sf_dir):
+    j = report.scene_report(scenes(segments(spark, sf_dir)))
+    d = j.select("video_id", F.from_json("json", "scene_count long, scenes array<struct<midpoint:double>>").alias("r"))
+    return d.select("video_id", "r.scene_count", F.aggregate("r.scenes", F.lit(0.0), lambda a, x: a + x["midpoint"]).alias("midpoints"))
+
+
+@query("text_map", "SELECT source AS video_id, count(*) AS n FROM documents WHERE text IS NOT NULL GROUP BY 1")
+def text_map(spark, sf_dir):
+    d = table(spark, sf_dir, "documents").where("text is not null").select(F.col("source").alias("video_id"), F.col("doc_id").cast("string").alias("path"), "text")
+    return report.text_map(d).select("video_id", F.size(F.map_keys(F.from_json("json", "map<string,string>"))).cast("long").alias("n"))
+
+
+@query("report_text")
+def report_text(spark, sf_dir):
+    s, c = segments(spark, sf_dir), spoken(spark, sf_dir)
+    r = ranges(s).select("video_id", F.lit(None).cast("string").alias("title"), ((F.col("hi") - F.col("lo")) / 1e6).alias("duration"))
+    f = intervals.tagged(intervals.with_midpoints(scenes(s)), windows(s).where("n > 1"), "midpoint").join(ranges(s), "video_id")
+    lines = f.select("video_id", F.col("scene_no").alias("idx"), report.frame_line(F.concat(F.lit("frame_"), F.col("scene_no").cast("string")), (F.col("midpoint") - F.col("lo")) / 1e6, F.col("tag"), F.lit(None).cast("string")).alias("line"))
+    return report.reports(r, lines, captions.transcripts(c), window_summary(spark, sf_dir).withColumnRenamed("summary", "windows"))
+
+
+@query("stream_windows", f'WITH {_ISL} SELECT video_id, s AS "start", e AS "end", n FROM win')
+def stream_windows(spark, sf_dir):
+    e = table(spark, sf_dir, "events")
+    d = e.select(F.col("user_id").alias("video_id"), F.timestamp_micros(micros("ts")).alias("at"), (F.floor(F.col("value") * 60e6) / 1e6).alias("seconds"))
+    out = streaming.activity_windows(d)
+    return out.select("video_id", F.unix_micros("start").alias("start"), F.unix_micros("end").alias("end"), "n")
