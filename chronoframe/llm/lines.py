@@ -9,6 +9,7 @@ occurrence stays, by doc_id and line.
 from __future__ import annotations
 
 import hashlib
+import os
 import re
 from collections.abc import Iterator
 from itertools import combinations
@@ -76,19 +77,29 @@ def edits(a: str, b: str) -> int:
 
 
 def alike(a: str, b: str, similarity: float = SIMILARITY) -> bool:
-    """Whether SimHashes differ in few bits and 1 - edits / longer length reaches the similarity."""
+    """Whether 1 - edits / longer length reaches the similarity."""
     allowed = (1 - similarity) * max(len(a), len(b)) + 1e-9
     if abs(len(a) - len(b)) > allowed:
         return False
-    x, y = simhashes([a, b])
-    if int(x ^ y).bit_count() > BITS:
-        return False
-    head = next((i for i, (c, d) in enumerate(zip(a, b, strict=False)) if c != d), min(len(a), len(b)))
+    head = len(os.path.commonprefix([a, b]))
     a, b = a[head:], b[head:]
-    tail = next((i for i, (c, d) in enumerate(zip(reversed(a), reversed(b), strict=False)) if c != d), min(len(a), len(b)))
+    tail = len(os.path.commonprefix([a[::-1], b[::-1]]))
     return edits(a[: len(a) - tail], b[: len(b) - tail]) <= allowed
 
 
+class Hashed:
+    """Normalised lines with their SimHashes."""
+
+    def __init__(self, lines):
+        self.lines, self.simhash = lines, simhashes(lines)
+
+    def possible(self, x: int, ys: np.ndarray) -> np.ndarray:
+        return ys[np.bitwise_count(self.simhash[ys] ^ self.simhash[x]) <= BITS]
+
+    def same(self, x: int, y: int) -> bool:
+        return alike(self.lines[x], self.lines[y])
+
+
 def _doc_key(doc_id, text):
     return F.xxhash64(F.lit("doc"), doc_id, F.md5(F.encode(text, "UTF-8")))
 
@@ -142,7 +153,7 @@ def marked(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> t
     keys = F.array(*[F.xxhash64(F.lit(k), F.col("simhash").bitwiseAND(F.lit(mask - (1 << 64) if mask >> 63 else mask))) for k, mask in enumerate(_MASKS)])
     members = distinct.where("compared").select(F.explode(keys).alias("key"), "id")
     where = distinct.select("id", "first.doc", "first.line")
-    roots = link(members, lambda ids: _lines_with(d, where.join(ids, "id")), alike)
+    roots = link(members, lambda ids: _lines_with(d, where.join(ids, "id")), Hashed)
     groups = distinct.join(roots, "id", "left").select("id", "first", F.coalesce("root", "id").alias("root"))
     best = groups.groupBy("root").agg(F.min("first").alias("best"))
     state = materialize(groups.join(best, "root").select("id", "best"), "line-groups")

@@ -8,8 +8,10 @@ no bucket's pairs are ever written out.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
+from typing import Protocol
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -21,6 +23,17 @@ from chronoframe.llm.common import materialize
 CHUNK, BROADCAST_IDS = 256, 1_000_000
 
 
+class Values(Protocol):
+    """Values that are compared with each other, prepared once each. What it keeps must be small next to the values."""
+
+    def __init__(self, values: Sequence[str]): ...
+
+    def possible(self, x: int, ys: np.ndarray) -> np.ndarray:
+        """Those of the positions ys that may be the same as x; a quick test that never leaves one out."""
+
+    def same(self, x: int, y: int) -> bool: ...
+
+
 def components(edges: DataFrame) -> DataFrame:
     """edges: a, b. Returns id, root: every node that has an edge to another, with the least node of its connected group.
 
@@ -49,8 +62,8 @@ def only(rows: DataFrame, ids: DataFrame, column: str) -> DataFrame:
     return rows.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, rows[column] == ids["_only"], "left_semi")
 
 
-def link(members: DataFrame, payload: Callable[[DataFrame], DataFrame], same: Callable[[str, str], bool]) -> DataFrame:
-    """members: key BIGINT, id BIGINT, distinct. payload(ids) gives id, value for a table of ids. same(x, y) compares two values.
+def link(members: DataFrame, payload: Callable[[DataFrame], DataFrame], values_of: type[Values]) -> DataFrame:
+    """members: key BIGINT, id BIGINT, distinct. payload(ids) gives id, value for a table of ids; values_of compares values.
 
     Returns id, root for all ids that are connected with another one by pairs that share a key and are the same.
     """
@@ -64,8 +77,12 @@ def link(members: DataFrame, payload: Callable[[DataFrame], DataFrame], same: Ca
 
     def verify(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            kept = [same(x, y) for x, y in zip(batch["x"], batch["y"], strict=True)]
-            yield batch.loc[kept, ["a", "b"]]
+            for at in range(0, len(batch), CHUNK):
+                part = batch.iloc[at : at + CHUNK]
+                codes, texts = pd.factorize(pd.concat([part["x"], part["y"]]))
+                values, n = values_of(list(texts)), len(part)
+                kept = [len(values.possible(x, np.array([y]))) > 0 and values.same(x, y) for x, y in zip(codes[:n], codes[n:], strict=True)]
+                yield part.loc[kept, ["a", "b"]]
 
     star = materialize(with_values.select("a", "b", "x", "y").mapInPandas(verify, "a long, b long"), "star-links")
     roots = components(star)
@@ -96,15 +113,13 @@ def link(members: DataFrame, payload: Callable[[DataFrame], DataFrame], same: Ca
                 x = above[x]
             return x
 
-        ids, roots_, value, rest_ = (group[c].tolist() for c in ("id", "root", "value", "rest"))
+        ids, roots_ = group["id"].tolist(), group["root"].tolist()
+        values, rest_at = values_of(group["value"].tolist()), group["rest"].to_numpy()
         out = []
-        for x in range(len(ids)):
-            if not rest_[x]:
-                continue
-            for y in range(len(ids)):
-                if (rest_[y] and y <= x) or top(roots_[x]) == top(roots_[y]):
-                    continue
-                if same(value[x], value[y]):
+        for x in np.flatnonzero(rest_at):
+            others = np.arange(len(ids))
+            for y in values.possible(int(x), others[~rest_at | (others > x)]).tolist():
+                if top(roots_[x]) != top(roots_[y]) and values.same(int(x), y):
                     above[top(roots_[x])] = top(roots_[y])
                     out.append((ids[x], ids[y]))
         return pd.DataFrame(out, columns=["a", "b"])

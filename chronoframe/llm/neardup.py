@@ -86,26 +86,52 @@ def sketches(h: np.ndarray, least: int = LEAST) -> np.ndarray:
     return out.view(np.int64)
 
 
+def _allowed(total, similarity: float = SIMILARITY):
+    """Shingles of both texts together that may be left unmatched."""
+    return np.floor(total * (1 - similarity) / (1 + similarity) + 1e-9)
+
+
 def near(a: np.ndarray, b: np.ndarray, similarity: float = SIMILARITY) -> bool:
     """Whether the longest common subsequence is that share of both sequences together. Only the diagonals within the number of
     unmatched shingles that the share allows are visited."""
-    n, m = len(a), len(b)
-    allowed = int((n + m) * (1 - similarity) / (1 + similarity) + 1e-9)
-    if abs(n - m) > allowed:
-        return False
-    x, y = np.sort(a), np.sort(b)
-    (ux, cx), (uy, cy) = np.unique(x, return_counts=True), np.unique(y, return_counts=True)
-    _, ix, iy = np.intersect1d(ux, uy, assume_unique=True, return_indices=True)
-    if n + m - 2 * int(np.minimum(cx[ix], cy[iy]).sum()) > allowed:  # matched in any order
+    allowed = int(_allowed(len(a) + len(b), similarity))
+    if abs(len(a) - len(b)) > allowed:
         return False
-    short = min(n, m)
+    short = min(len(a), len(b))
     differ = np.flatnonzero(a[:short] != b[:short])
     head = int(differ[0]) if len(differ) else short
     a, b = a[head:], b[head:]
     short = min(len(a), len(b))
     differ = np.flatnonzero(a[::-1][:short] != b[::-1][:short])
     tail = int(differ[0]) if len(differ) else short
-    return _unmatched(a[: len(a) - tail].tolist(), b[: len(b) - tail].tolist(), allowed) is not None
+    a, b = a[: len(a) - tail], b[: len(b) - tail]
+    both = np.concatenate([np.unique(a), np.unique(b)])
+    if len(both) - 2 * (len(both) - len(np.unique(both))) > allowed:  # different shingles of which the other has none
+        return False
+    return _unmatched(a.tolist(), b.tolist(), allowed) is not None
+
+
+class Shingled:
+    """Texts as shingles, with a histogram of their hashes: its overlap bounds the number that can be matched."""
+
+    BINS = 1024
+
+    def __init__(self, texts):
+        self.shingles = [shingles(t) for t in texts]
+        self.sizes = np.array([len(h) for h in self.shingles])
+        self.bins = np.stack([np.minimum(np.bincount((h % np.uint64(self.BINS)).astype(np.int64), minlength=self.BINS), 65535).astype(np.uint16) for h in self.shingles]) if len(texts) else None
+
+    def possible(self, x: int, ys: np.ndarray) -> np.ndarray:
+        total = self.sizes[x] + self.sizes[ys]
+        ys = ys[np.abs(self.sizes[x] - self.sizes[ys]) <= _allowed(total)]
+        if self.sizes[x] > 60_000:  # bins are cut off there
+            return ys
+        matched = np.minimum(self.bins[x], self.bins[ys]).sum(1, dtype=np.int64)
+        total = self.sizes[x] + self.sizes[ys]
+        return ys[total - 2 * matched <= _allowed(total)]
+
+    def same(self, x: int, y: int) -> bool:
+        return near(self.shingles[x], self.shingles[y])
 
 
 def _unmatched(a: list, b: list, allowed: int) -> int | None:
@@ -126,10 +152,6 @@ def _unmatched(a: list, b: list, allowed: int) -> int | None:
     return None
 
 
-def _same(x: str, y: str) -> bool:
-    return near(shingles(x), shingles(y))
-
-
 def text_key(text: Column) -> Column:
     """64 bits of the MD5 of a text."""
     return F.conv(F.substring(F.md5(F.encode(text, "UTF-8")), 1, 15), 16, 10).cast("long")
@@ -151,7 +173,7 @@ def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     sketched = materialize(d.select(text_key(F.col("text")).alias("key"), "doc_id", "text").mapInPandas(sketch, "key long, doc_id long, sketches array<long>"), "sketches")
     members = sketched.groupBy("key").agg(F.any_value("sketches").alias("sketches")).select(F.explode("sketches").alias("bucket"), "key").distinct().toDF("key", "id")
     keyed = d.select(text_key(F.col("text")).alias("id"), F.col("text").alias("value"))
-    roots = link(members, lambda ids: only(keyed, ids, "id").dropDuplicates(["id"]), _same)
+    roots = link(members, lambda ids: only(keyed, ids, "id").dropDuplicates(["id"]), Shingled)
     rows = sketched.select("key", "doc_id")
     # a text's rows are summed up before groups meet
     texts = rows.groupBy("key").agg(F.min("doc_id").alias("least"), F.count("*").alias("same_text"))
