@@ -105,8 +105,9 @@ def near(a: np.ndarray, b: np.ndarray, similarity: float = SIMILARITY) -> bool:
     differ = np.flatnonzero(a[::-1][:short] != b[::-1][:short])
     tail = int(differ[0]) if len(differ) else short
     a, b = a[: len(a) - tail], b[: len(b) - tail]
-    both = np.concatenate([np.unique(a), np.unique(b)])
-    if len(both) - 2 * (len(both) - len(np.unique(both))) > allowed:  # different shingles of which the other has none
+    values, which = np.unique(np.concatenate([a, b]), return_inverse=True)
+    in_a, in_b = np.bincount(which[: len(a)], minlength=len(values)), np.bincount(which[len(a) :], minlength=len(values))
+    if np.abs(in_a - in_b).sum() > allowed:  # unmatched in any order
         return False
     return _unmatched(a.tolist(), b.tolist(), allowed) is not None
 
