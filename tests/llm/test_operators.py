@@ -1,0 +1,302 @@
+"""The corpus operators against brute force, exact round trips and held-out labels, with nulls, ties and empty tables."""
+
+import hashlib
+import random
+import zlib
+from collections import Counter
+from pathlib import Path
+
+import duckdb
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from chronoframe.llm import fingerprints, lines, mixing, neardup, neighbours, packing, personal, quality, queries, suffixes, urls
+
+DATA = "/root/testdata/sf0.001"
+SCHEMA = "doc_id long, text string, source string, size string, ghost int, lang string, n_chars long"
+
+
+def docs_of(spark, rows):
+    """With columns whose names clash with the operators' own."""
+    return spark.createDataFrame([(i, t, s, "x", 1, "en", None) for i, t, s in rows], SCHEMA)
+
+
+def sentence(seed, n=40):
+    r = random.Random(seed)
+    return " ".join("".join(r.choice("abcdefgh") for _ in range(r.randint(2, 7))) for _ in range(n))
+
+
+@pytest.fixture(scope="module")
+def odd(spark):
+    """Null, empty, blank and long texts, copies, repeated rows, a null id."""
+    long = "\n".join(sentence(k, 60) for k in range(40))
+    rows = [(1, sentence(1), "a"), (2, sentence(1), "b"), (3, None, None), (4, "", "a"), (5, " \n ", "a"), (6, long, "b"), (6, long, "b"), (None, sentence(2), "c"), (8, sentence(2) + " end", "c")]
+    return docs_of(spark, rows), rows
+
+
+def test_fingerprints(spark, odd):
+    df, rows = odd
+    got = fingerprints.edited_fingerprints(df).collect()
+    assert len(got) == len(rows)
+    order = sorted(((i is not None, i or 0, t or "") for i, t, _ in rows))
+    texts = [t for *_, t in order]
+    for k, (known, i, t) in enumerate(order):
+        following = texts[(k + 1) % len(texts)]
+        cut = len(t) // 4
+        sha = hashlib.sha256((t[: len(t) - cut] + following[:cut]).encode()).hexdigest()
+        assert any(r.doc_id == (i if known else None) and r.n_chars == len(t) and r.edited_sha256 == sha for r in got)
+    by = {r.doc_id: r for r in got}
+    assert by[1].fingerprint == by[2].fingerprint != by[6].fingerprint
+    assert by[1].near_next == 1.0 and all(0 <= r.near_edited <= 1 for r in got)
+    assert fingerprints.edited_fingerprints(df.limit(0)).count() == 0
+
+
+def test_fingerprints_estimate_generalised_jaccard(spark):
+    a, b = sentence(5, 60) + " x" * 20, sentence(5, 60) + " x" * 5 + " " + sentence(6, 30)
+    n, m = Counter(a.split()), Counter(b.split())
+    truth = sum((n & m).values()) / sum((n | m).values())
+    rows = fingerprints.fingerprint(spark.createDataFrame([(1, a), (2, b)], "doc_id long, text string"), n_samples=512).orderBy("doc_id").collect()
+    x, y = rows[0].fingerprint, rows[1].fingerprint
+    assert abs(np.mean([x[k : k + 8] == y[k : k + 8] for k in range(0, len(x), 8)]) - truth) < 0.08
+
+
+def test_mixing(spark, odd):
+    df, rows = odd
+    got = mixing.mix(df).collect()
+    assert len(got) == len(rows) and all(r.taken <= 2 * r.size for r in got)
+    assert sum({r.source: r.target for r in got}.values()) == pytest.approx(1.5 * sum(r.size for r in got))
+    assert sorted(map(tuple, mixing.mix(df).collect()), key=str) == sorted(map(tuple, got), key=str)
+    assert mixing.mixed_documents(df).columns == df.columns
+    assert mixing.mixed_documents(df).count() == sum(r.copies for r in got)
+    assert mixing.mix(df.limit(0)).count() == 0
+
+
+def test_packing(spark, odd):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    t = Tokenizer.from_file(path)
+    df, rows = odd
+    got = packing.packed_documents(df, path, capacity=512, with_ids=True).collect()
+    for i, text, _ in rows:
+        ids = np.array([*t.encode(text or "", add_special_tokens=False).ids, 1], "<u4")
+        for k in range(0, len(ids), 512):
+            part = ids[k : k + 512].tobytes()
+            assert any(r.doc_id == i and r.start == k and bytes(r.ids) == part and r.ids_crc32 == zlib.crc32(part) for r in got)
+    for s in {r.sequence_id for r in got}:
+        end = 0
+        for r in sorted((r for r in got if r.sequence_id == s), key=lambda r: r.offset):
+            assert r.offset == end
+            end += r.length
+        assert end <= 512
+    assert packing.packed_documents(df.limit(0), path).count() == 0
+    encode = packing.encoder(path)
+    for x in ["It's 12² ½ x\x85y z İI Σας <|endoftext|> _a_b don'T é ﬁ", "\x1c a\x0bb", "''s'll"]:
+        assert encode(x) == np.array(t.encode(x, add_special_tokens=False).ids, "<u4").tobytes()
+
+
+def test_local_search_empties_bins():
+    lengths = np.array([6, 4, 5, 3, 2])
+    bins = packing.local_search([[0], [1, 3], [2, 4]], lengths, 10)
+    assert len(bins) == 2 and sorted(i for b in bins for i in b) == [0, 1, 2, 3, 4]
+
+
+def test_quality(spark, odd):
+    got = queries.queries()["op4_quality"](spark, DATA).toPandas().merge(spark.read.parquet(f"{DATA}/labels.parquet").toPandas(), on="doc_id")
+    aside = got[got.held_out]
+    assert (aside.held_out == [zlib.crc32(str(i).encode()) % 5 == 0 for i in aside.doc_id]).all()
+    assert (aside.predicted == aside.quality).mean() >= 0.8
+    df, rows = odd
+    model = quality.fit([], np.zeros(0))
+    assert [r.score for r in quality.scored(df, model).collect()] == [0.5] * len(rows) or quality.scored(df, model).count() == len(rows)
+    data = bytes(range(256)) * 9
+    trained = quality.fit([data, b"ab" * 50], np.array([1, 0], np.float32), epochs=1)
+    assert quality._batch_scores([data, b"", b"ab"], trained) == pytest.approx([quality.score(x, trained) for x in (data, b"", b"ab")], abs=1e-5)
+
+
+def test_urls(spark):
+    rows = [(1, "HTTP://Blog.Example.COM/en/7x?q"), (2, "https://a.com/en/9#f"), (3, "http://x.net/de/1"), (4, "http://www.example.net/de/8"), (5, "http://org/es/"), (6, None), (7, "no scheme"), (8, "http://a.io?x"), (8, "http://xcom/en/1")]
+    got = {(r.page_id, r.host): r for r in urls.judged(spark.createDataFrame(rows, "page_id long, url string")).collect()}
+    assert (got[1, "blog.example.com"].rule, got[1, "blog.example.com"].verdict, got[1, "blog.example.com"].path) == ("example.com/en/7", "allow", "/en/7x")
+    assert [(k[0], r.rule, r.verdict) for k, r in sorted(got.items()) if r.rule] == [(1, "example.com/en/7", "allow"), (2, "com/en/", "block"), (3, "net/de/", "allow"), (4, "example.net/de/8", "block"), (5, "org/es/", "block")]
+    assert got[6, ""].path == "" and got[7, ""].verdict in ("allow", "block") and got[8, "a.io"].path == ""
+    counts = np.zeros((2, urls.CELLS))
+    for k, text in enumerate((b"aaaa", b"bbbb")):
+        g, c, _ = urls.cells([text])
+        np.add.at(counts[k], np.concatenate([g.ravel(), c.ravel()]), 1)
+    good, bad, none = urls.log_ratio([b"aaa", b"bbb", b""], counts)
+    assert good > 0 > bad and none == 0
+
+
+def test_personal(spark):
+    t = ["+1 (476) 555-6291, +14765556291, Jo.Doe9@mail.example.com JO.DOE9@MAIL.EXAMPLE.COM 10.2.3.4. 4111 1111 1111 1111", "Mr. John Smith, Mrs Anna Smith, Mr Smith, госпожа Анна Иванова", "clean 12345 v1.2", None, ""]
+    df = spark.createDataFrame(list(enumerate(t)), "doc_id long, text string")
+    got = {r.doc_id: r for r in personal.replaced(df).collect()}
+    assert [got[k].text for k in (2, 3, 4)] == t[2:] and [got[k].n_entities for k in range(5)] == [6, 4, 0, 0, 0]
+    a, b = got[0].text, got[1].text
+    assert "555-6291" not in a and "10.2.3.4" not in a and "Smith" not in b
+    spread, plain = a.split(", ")[0], a.split(", ")[1]
+    assert "".join(filter(str.isdigit, spread)) == plain[1:]
+    mails = [w for w in a.split() if "@" in w]
+    assert mails[0].upper() == mails[1]
+    digits = [int(c) for c in a[-19:].replace(" ", "")]
+    assert sum(sum(divmod(2 * d, 10)) if k % 2 == 0 else d for k, d in enumerate(digits)) % 10 == 0
+    names = b.replace(",", "").split()
+    assert names[2] == names[5] == names[7] and names[-1][0].isupper() and ord(names[-1][0]) > 0x400
+    many = spark.range(400).select(F.lit("family").alias("kind"), F.concat(F.lit("n"), F.col("id").cast("string")).alias("word"))
+    raised = personal.raised_attempts(many)
+    new = many.join(raised, ["kind", "word"], "left").select(personal.surrogate(F.col("kind"), F.col("word"), F.coalesce("attempt", F.lit(0))))
+    assert new.distinct().count() == 400
+    assert personal.replaced(df.limit(0)).count() == 0
+
+
+def test_edit_distance():
+    r = random.Random(0)
+    for _ in range(300):
+        a, b = ("".join(r.choice("abc") for _ in range(r.randint(0, 12))) for _ in range(2))
+        row = list(range(len(b) + 1))
+        for i, c in enumerate(a):
+            new = [i + 1]
+            for j, d in enumerate(b):
+                new.append(min(new[-1] + 1, row[j + 1] + 1, row[j] + (c != d)))
+            row = new
+        assert lines.edits(a, b) == row[-1]
+
+
+def expected_lines(rows):
+    """Kept texts by plain comparison of all lines."""
+    occurrences = [(i is None, i or 0, k, lines.normalised(x), (i, t)) for i, t in rows for k, x in enumerate(t.split("\n"))]
+    norms = sorted({o[3] for o in occurrences if o[3]})
+    group = {n: n for n in norms}
+    values = lines.Hashed(norms)
+    for x, n in enumerate(norms):
+        for y in range(x):
+            if min(n.count(" "), norms[y].count(" ")) >= 4 and len(values.possible(x, np.array([y]))) and values.same(x, y):
+                old, new = group[n], group[norms[y]]
+                group = {k: new if g == old else g for k, g in group.items()}
+    first = {}
+    for o in sorted((o for o in occurrences if o[3]), key=lambda o: o[:3]):
+        first.setdefault(group[o[3]], (o[4], o[2]))
+    return {(i, t): "\n".join(x for k, x in enumerate(t.split("\n")) if not lines.normalised(x) or first[group[lines.normalised(x)]] == ((i, t), k)) for i, t in rows}
+
+
+def test_lines(spark):
+    base = sentence(9, 60)
+    near = base.replace(base.split()[30], base.split()[30] + "q")
+    rows = [(1, f"{base}\n\n!!\n{sentence(3)}"), (2, f"{near}\n{sentence(4)}\nshort"), (3, f"Short\n{base.upper()}\n{sentence(3)} x"), (4, ""), (None, f"{sentence(4)}\nown line here")]
+    got = lines.deduplicated(docs_of(spark, [(i, t, "s") for i, t in rows] + [(9, None, "s")])).collect()
+    expected = expected_lines(rows)
+    assert {r.doc_id: r.text for r in got} == {i: t for (i, _), t in expected.items()} | {9: None}
+    assert lines.deduplicated(docs_of(spark, []).limit(0)).count() == 0
+
+
+def test_near_duplicates(spark, odd):
+    for _ in range(200):
+        a, b = (np.array([random.randint(0, 6) for _ in range(random.randint(1, 20))], np.uint64) for _ in range(2))
+        table = np.zeros((len(a) + 1, len(b) + 1), int)
+        for i in range(len(a)):
+            for j in range(len(b)):
+                table[i + 1, j + 1] = table[i, j] + 1 if a[i] == b[j] else max(table[i, j + 1], table[i + 1, j])
+        matched = table[-1, -1]
+        assert neardup.near(a, b, 0.5) == (matched / (len(a) + len(b) - matched) >= 0.5)
+    text = sentence(1, 300)
+    words = text.split()
+    words[150] = "changed"
+    other = " ".join(words[150:] + words[:150])
+    rows = [(5, text, "a"), (7, " ".join(words), "a"), (8, other[::-1], "a"), (9, text, "a"), (None, text.upper(), "a"), (3, None, "a"), (4, "", "b"), (2, "one two", "b"), (2, "one two", "b")]
+    df = docs_of(spark, rows)
+    got = sorted(((r.doc_id, r.class_id) for r in neardup.classes(df).collect()), key=str)
+    assert got == sorted([(5, 5), (7, 5), (8, 8), (9, 5), (None, 5), (3, 3), (4, 3), (2, 2), (2, 2)], key=str)
+    kept = neardup.one_of_each(df)
+    assert kept.columns == df.columns and sorted(r.doc_id for r in kept.collect()) == [2, 3, 5, 8]
+    assert neardup.classes(df.limit(0)).count() == 0
+
+
+def test_links_lose_nothing(spark):
+    """A bucket whose least member is like no other one, and chains beyond one chunk."""
+    from chronoframe.llm import linking
+
+    class Numbers:
+        def __init__(self, values):
+            self.v = [int(x) for x in values]
+
+        def possible(self, x, ys):
+            return ys
+
+        def same(self, x, y):
+            return abs(self.v[x] - self.v[y]) <= 1
+
+    ids = [0, *range(10, 320), *range(400, 410)]
+    members = spark.createDataFrame([(1, i) for i in ids], "key long, id long")
+    roots = {r.id: r.root for r in linking.link(members, lambda t: t.select("id", F.col("id").cast("string").alias("value")), Numbers).collect()}
+    assert len({roots[i] for i in range(10, 320)}) == 1 and len({roots[i] for i in range(400, 410)}) == 1 and roots[10] != roots[400] and roots.get(0, 0) == 0
+
+
+def test_suffix_array():
+    r = random.Random(1)
+    for _ in range(400):
+        k = r.choice([1, 2, 5])
+        a = [r.randint(0, k) for _ in range(r.randint(0, 40))]
+        assert suffixes.suffix_array(np.array(a, int)).tolist() == sorted(range(len(a)), key=lambda i: a[i:])
+
+
+@pytest.mark.parametrize("most", [1024, 1])
+def test_repeated_bytes(spark, monkeypatch, most):
+    monkeypatch.setattr(suffixes, "MOST", most)
+    shared = sentence(11, 70)
+    texts = [sentence(1, 30) + shared + sentence(2, 30), sentence(3, 50) + shared[:230] + "é" * 120 + sentence(4, 10), "a" * 500, "", None, sentence(5, 90), shared + shared, sentence(5, 90)]
+    got = {r.doc_id: r for r in suffixes.without_repeats(docs_of(spark, [(i, t, "s") for i, t in enumerate(texts)])).collect()}
+    data = [(t or "").encode() for t in texts]
+    count = Counter(d[k : k + 200] for d in data for k in range(len(d) - 199))
+    for i, d in enumerate(data):
+        gone = np.zeros(len(d), bool)
+        for k in range(len(d) - 199):
+            if count[d[k : k + 200]] > 1:
+                gone[k : k + 200] = True
+        spans = sum(1 for k in range(len(d)) if gone[k] and (k == 0 or not gone[k - 1]))
+        assert (got[i].n_bytes, got[i].n_removed, got[i].n_spans, bytes(got[i].kept)) == (len(d), gone.sum(), spans, bytes(np.frombuffer(d, np.uint8)[~gone]))
+
+
+def test_neighbours(spark):
+    rng = np.random.default_rng(0)
+    x = rng.normal(size=(800, 16)).astype(np.float32)
+    x[5] = x[0]
+    rows = [(i, v.tolist()) for i, v in enumerate(x)] + [(900, None), (1000, [0.0] * 16), (1100, [float("nan")] * 16), (None, [1.0] * 16), (1201, [])]
+    got = neighbours.search(spark.createDataFrame(rows, "vec_id long, embedding array<float>"), F.col("vec_id") % 100 == 0).collect()
+    hits = 0
+    for q in range(0, 800, 100):
+        d = np.sqrt(((x.astype(float) - x[q].astype(float)) ** 2).sum(1))
+        d[q] = np.inf
+        best = np.lexsort((np.arange(800), d))[:10]
+        own = sorted((r.rank, r.vec_id, r.score) for r in got if r.query_id == q)
+        assert [r[0] for r in own] == list(range(1, 11)) and all(s == pytest.approx(d[v]) for _, v, s in own)
+        hits += len({v for _, v, _ in own} & set(best.tolist()))
+    assert hits >= 72 and {r.query_id for r in got} == set(range(0, 800, 100))
+    assert neighbours.search(spark.createDataFrame([], "vec_id long, embedding array<float>"), F.lit(True)).count() == 0
+
+
+def test_queries_against_sql(spark):
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{Path(DATA)}/documents.parquet'")
+    for name, sql in queries.oracle_sql().items():
+        got = queries.queries()[name](spark, DATA).toPandas()
+        expected = con.execute(sql).df()[list(got.columns)]
+        assert sorted(map(tuple, got.values.tolist())) == sorted(map(tuple, expected.values.tolist()))
+
+
+def test_pipeline(spark):
+    import corpus_pipeline as p
+
+    docs = spark.read.parquet(f"{DATA}/documents.parquet")
+    kept = p.quality(spark, docs, DATA)
+    assert kept.columns == list(p.COLUMNS) and 0 < kept.count() <= docs.count()
+    thin = p.line_dedup(spark, kept, DATA)
+    assert thin.count() == kept.count()
+    one = p.near_duplicates(spark, thin, DATA).cache()
+    mixed = p.mixture(spark, one, DATA)
+    words = one.agg(F.sum(mixing.words_of(F.col("text")))).first()[0]
+    assert 1.2 * words < mixed.agg(F.sum(mixing.words_of(F.col("text")))).first()[0] < 1.6 * words
+    packed = p.packing(spark, mixed, DATA)
+    assert packed.where("piece = 0").count() == mixed.count()
