@@ -4,6 +4,7 @@ import random
 from pathlib import Path
 
 import duckdb
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -181,5 +182,6 @@ def test_query(spark, views, name):
     expected = views.execute(registry.oracle_sql()[name]).df()
     columns = sorted(rows.columns)
     assert columns == sorted(expected.columns)
-    key = lambda df: sorted(map(tuple, df[columns].astype(object).where(df[columns].notna(), None).map(lambda v: None if v != v else float(v) if isinstance(v, int | float) and not isinstance(v, bool) else v).values.tolist()), key=str)
+    plain = lambda v: None if pd.isna(v) else float(v) if isinstance(v, int | float) and not isinstance(v, bool) else v
+    key = lambda df: sorted((tuple(plain(v) for v in r) for r in df[columns].astype(object).values.tolist()), key=str)
     assert key(rows) == key(expected)
