@@ -21,7 +21,7 @@ KEY = "chronoframe"
 #: Rounds of collision checks before giving up; each round's surrogates are drawn from a larger space.
 ROUNDS = 40
 
-EMAIL = r"[A-Za-z0-9][A-Za-z0-9._%+-]*@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}"
+EMAIL = r"(?<![A-Za-z])[A-Za-z0-9][A-Za-z0-9._%+-]*+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}"
 IP = r"(?<![\w.])(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?![\w]|\.\d)"
 TOKEN = r"(?<![0-9A-Za-z])(?:[0-9a-f]{32,128}|[0-9A-F]{32,128})(?![0-9A-Za-z])"
 PHONE = r"\+\d{1,3}[ .-]?(?:\(\d{1,4}\)[ .-]?)?\d{2,4}(?:[ .-]?\d{2,4}){1,4}(?!\d)|\(\d{3}\) ?\d{3}[ .-]\d{4}(?!\d)|(?<![\d.-])\d{3}[ .-]\d{3}[ .-]\d{4}(?![\d-])"
@@ -31,7 +31,9 @@ CARD = r"(?<![\d.-])\d(?:[ -]?\d){12,18}(?![\d-])"
 MALE = ("Mr", "Sir", "Herr", "Monsieur", "Señor", "Sr", "господин", "Господин", "κύριος", "Κύριος")
 FEMALE = ("Mrs", "Ms", "Miss", "Frau", "Madame", "Mme", "Señora", "Sra", "госпожа", "Госпожа", "κυρία", "Κυρία")
 NAME = rf"(?<!\p{{L}})(?:{'|'.join(sorted(MALE + FEMALE, key=len, reverse=True))})\.? \p{{Lu}}\p{{L}}+(?: \p{{Lu}}\p{{L}}+){{0,2}}"
-ANY = "|".join((EMAIL, IP, IBAN, TOKEN, PHONE, SSN, CARD, NAME))
+#: What each pattern's first character may be, looked at first: most places in a text are ruled out by it.
+_STARTS = (("[A-Za-z0-9]", EMAIL), (r"\d", IP), ("[A-Z]", IBAN), ("[0-9A-Fa-f]", TOKEN), (r"[\d+(]", PHONE), (r"\d", SSN), (r"\d", CARD), ("[FHMSГгΚκ]", NAME))
+ANY = "|".join(f"(?={start})(?:{pattern})" for start, pattern in _STARTS)
 
 #: Syllables of made-up names; the endings tell the gender of given names.
 SYLLABLES = {"latin": "ka ri mo le sa ni to ve da lu be no ra mi so te la ju ne vi".split(), "cyrillic": "ка ри мо ле са ни то ве да лу бе но ра ми со те ла зу не ви".split(), "greek": "κα ρι μο λε σα νι το βε δα λυ πε νο ρα μι σο τε λα ζυ νε βι".split()}
@@ -99,27 +101,32 @@ def _name(kind: Column, word: Column, seed: Column, attempt: Column) -> Column:
     return F.when(word.rlike(r"\p{IsCyrillic}"), of("cyrillic")).when(word.rlike(r"\p{IsGreek}"), of("greek")).otherwise(of("latin"))
 
 
-def surrogate(kind: Column, word: Column, attempt: Column, key: str = KEY) -> Column:
-    """The canonical form of the replacement of an entity in canonical form."""
-    seed = F.sha2(F.concat_ws("\x1f", F.lit(key), kind, word, attempt.cast("string")), 256)
+def with_surrogate(df: DataFrame, kind: str, word: str, attempt: Column, key: str = KEY) -> DataFrame:
+    """df with `new`, the canonical form of the replacement of the entity whose kind and canonical form are in the columns so named.
+
+    The seed is a column of its own: inside the functions over characters it would be drawn anew for each of them.
+    """
+    k, w, seed, card = F.col(kind), F.col(word), F.col("_seed"), F.col("_card")
+    seeded = df.withColumn("_seed", F.sha2(F.concat_ws("\x1f", F.lit(key), k, w, attempt.cast("string")), 256)).withColumn("_attempt", attempt)
+    front = F.substring(w, F.lit(1), F.length(w) - 1)
+    seeded = seeded.withColumn("_front", F.when(k == "card", front)).withColumn("_card", F.when(k == "card", _shaped(F.col("_front"), seed, F.lit(1))))
     octets = F.array_join(F.transform(F.sequence(F.lit(1), F.lit(4)), lambda i: (_draw(seed, i, 254) + 1).cast("string")), ".")
-    tld = F.regexp_extract(word, r"\.[a-z]+$", 0)
-    body = F.substring(word, F.lit(1), F.length(word) - F.length(tld))
-    card = _shaped(F.substring(word, F.lit(1), F.length(word) - 1), seed, F.lit(1))
-    last = F.substring(word, -1, 1)
-    checked = _luhn(F.substring(word, F.lit(1), F.length(word) - 1)) == last
-    card = F.concat(card, F.when(checked, _luhn(card)).otherwise(_draw(seed, 99, 10).cast("string")))
-    hex_token = F.array_join(F.transform(F.sequence(F.lit(1), F.length(word)), lambda i: F.substring(F.lit("0123456789abcdef"), _draw(seed, i, 16) + 1, F.lit(1))), "")
-    return (
-        F.when(kind == "email", F.concat(_shaped(body, seed, F.lit(0)), tld))
-        .when(kind == "ip", octets)
-        .when(kind == "token", hex_token)
-        .when(kind == "card", card)
-        .when(kind == "phone", _shaped(word, seed, F.lit(1)))
-        .when(kind == "ssn", _shaped(word, seed, F.lit(0)))
-        .when(kind == "iban", _shaped(word, seed, F.lit(2)))
-        .otherwise(_name(kind, word, seed, attempt))
+    tld = F.regexp_extract(w, r"\.[a-z]+$", 0)
+    body = F.substring(w, F.lit(1), F.length(w) - F.length(tld))
+    checked = _luhn(F.col("_front")) == F.substring(w, -1, 1)
+    digits = F.concat(card, F.when(checked, _luhn(card)).otherwise(_draw(seed, 99, 10).cast("string")))
+    hex_token = F.array_join(F.transform(F.sequence(F.lit(1), F.length(w)), lambda i: F.substring(F.lit("0123456789abcdef"), _draw(seed, i, 16) + 1, F.lit(1))), "")
+    new = (
+        F.when(k == "email", F.concat(_shaped(body, seed, F.lit(0)), tld))
+        .when(k == "ip", octets)
+        .when(k == "token", hex_token)
+        .when(k == "card", digits)
+        .when(k == "phone", _shaped(w, seed, F.lit(1)))
+        .when(k == "ssn", _shaped(w, seed, F.lit(0)))
+        .when(k == "iban", _shaped(w, seed, F.lit(2)))
+        .otherwise(_name(k, w, seed, F.col("_attempt")))
     )
+    return seeded.withColumn("new", new).drop("_seed", "_attempt", "_front", "_card")
 
 
 def in_format(kind: Column, word: Column, new: Column) -> Column:
@@ -136,7 +143,7 @@ def raised_attempts(entities: DataFrame, key: str = KEY) -> DataFrame:
     pending = entities.withColumn("attempt", F.lit(0))
     settled = raised = None
     for _ in range(ROUNDS):
-        drawn = pending.withColumn("new", surrogate(F.col("kind"), F.col("word"), F.col("attempt"), key))
+        drawn = with_surrogate(pending, "kind", "word", F.col("attempt"), key)
         free = drawn.join(known, ["kind", "new"], "left_anti")
         free = free if settled is None else free.join(settled, ["kind", "new"], "left_anti")
         # of several that draw the same, the least keeps it
@@ -152,10 +159,9 @@ def raised_attempts(entities: DataFrame, key: str = KEY) -> DataFrame:
     raise RuntimeError(f"surrogates still collide after {ROUNDS} rounds")
 
 
-def mentions(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """hash of the text, place, part, kind, word (as written), canonical: one row per part of a mention in every distinct text."""
-    d = docs.select(text_of(text_col).alias("text")).withColumn("found", F.regexp_extract_all("text", F.lit(ANY), F.lit(0))).where(F.size("found") > 0)
-    d = d.select(F.sha2("text", 256).alias("hash"), "found").dropDuplicates(["hash"])
+def mentions(found: DataFrame) -> DataFrame:
+    """found: hash, found. Returns hash, place, part, kind, word (as written), canonical: one row per part of a mention in every distinct text."""
+    d = found.where(F.size("found") > 0).dropDuplicates(["hash"])
     d = d.select("hash", F.posexplode("found").alias("place", "match")).select("hash", "place", F.posexplode(parts_of(F.col("match"))).alias("part", "p")).select("hash", "place", "part", "p.kind", "p.word")
     return d.withColumn("canonical", canonical(F.col("kind"), F.col("word")))
 
@@ -163,25 +169,27 @@ def mentions(docs: DataFrame, text_col: str = "text") -> DataFrame:
 def replaced(docs: DataFrame, text_col: str = "text", key: str = KEY) -> DataFrame:
     """docs with surrogates in the text, and n_entities, the number of mentions that were replaced.
 
-    Rows without a mention are passed through untouched and unshuffled; null texts stay null. A column named n_entities is replaced.
+    Texts are searched once; what was found is written beside the rows. Rows without a mention are passed through untouched and
+    unshuffled; null texts stay null. A column named n_entities is replaced.
     """
     kept = docs.drop("n_entities")
-    said = materialize(mentions(kept, text_col), "pii-mentions")
+    found = F.regexp_extract_all(text_of(text_col), F.lit(ANY), F.lit(0))
+    searched = materialize(kept.select(F.struct(*kept.columns).alias("row"), F.sha2(text_of(text_col), 256).alias("hash"), found.alias("found")), "pii-searched")
+    said = materialize(mentions(searched.select("hash", "found")), "pii-mentions")
     entities = said.where(F.col("kind") != "title").select("kind", F.col("canonical").alias("word")).distinct()
     raised = raised_attempts(entities, key).withColumnRenamed("word", "canonical")
-    written = said.join(raised, ["kind", "canonical"], "left").withColumn(
-        "new", F.when(F.col("kind") == "title", F.col("word")).otherwise(in_format(F.col("kind"), F.col("word"), surrogate(F.col("kind"), F.col("canonical"), F.coalesce("attempt", F.lit(0)), key)))
-    )
-    by_place = F.sort_array(F.collect_list(F.struct("place", "part", "new")))
-    by_text = written.groupBy("hash").agg(by_place.alias("news"))
-    matched = F.regexp_extract_all(text_of(text_col), F.lit(ANY), F.lit(0))
-    inside = F.coalesce(F.col(text_col).rlike(ANY), F.lit(False))
-    with_mentions = kept.where(inside).select(F.struct(*kept.columns).alias("_row"), F.sha2(text_of(text_col), 256).alias("hash"), F.size(matched).alias("_n"), F.split(F.col(text_col), ANY, -1).alias("_between"))
+    drawn = with_surrogate(said.join(raised, ["kind", "canonical"], "left"), "kind", "canonical", F.coalesce("attempt", F.lit(0)), key)
+    written = drawn.withColumn("new", F.when(F.col("kind") == "title", F.col("word")).otherwise(in_format(F.col("kind"), F.col("word"), F.col("new"))))
+    # the parts of one mention, then the mentions of one text
+    by_place = written.groupBy("hash", "place").agg(F.sort_array(F.collect_list(F.struct("part", "new"))).alias("parts"))
+    by_place = by_place.select("hash", F.struct("place", F.array_join(F.col("parts.new"), " ").alias("new")).alias("at"))
+    by_text = by_place.groupBy("hash").agg(F.sort_array(F.collect_list("at")).alias("news"))
+    between = F.split(F.col("row")[text_col], ANY, -1)
+    with_mentions = searched.where(F.size("found") > 0).select("row", "hash", F.size("found").alias("_n"), between.alias("_between"))
     joined = with_mentions.join(by_text, "hash")
-    new_at = lambda i: F.array_join(F.transform(F.filter(F.col("news"), lambda x: x["place"] == i), lambda x: x["new"]), " ")
-    rebuilt = F.array_join(F.transform(F.col("_between"), lambda between, i: F.when(i < F.col("_n"), F.concat(between, new_at(i))).otherwise(between)), "")
-    changed = joined.select(*[(rebuilt if c == text_col else F.col("_row")[c]).alias(c) for c in kept.columns], F.col("_n").cast("long").alias("n_entities"))
-    same = kept.where(~inside).withColumn("n_entities", F.lit(0).cast("long"))
+    rebuilt = F.array_join(F.zip_with("_between", "news", lambda text, at: F.concat(text, F.coalesce(at["new"], F.lit("")))), "")
+    changed = joined.select(*[(rebuilt if c == text_col else F.col("row")[c]).alias(c) for c in kept.columns], F.col("_n").cast("long").alias("n_entities"))
+    same = searched.where(F.size("found") == 0).select(*[F.col("row")[c].alias(c) for c in kept.columns], F.lit(0).cast("long").alias("n_entities"))
     return changed.unionByName(same)
 
 

@@ -147,7 +147,7 @@ def test_personal(spark):
     assert names[2] == names[5] == names[7] and names[-1][0].isupper() and ord(names[-1][0]) > 0x400
     many = spark.range(400).select(F.lit("family").alias("kind"), F.concat(F.lit("n"), F.col("id").cast("string")).alias("word"))
     raised = personal.raised_attempts(many)
-    new = many.join(raised, ["kind", "word"], "left").select(personal.surrogate(F.col("kind"), F.col("word"), F.coalesce("attempt", F.lit(0))))
+    new = personal.with_surrogate(many.join(raised, ["kind", "word"], "left"), "kind", "word", F.coalesce("attempt", F.lit(0))).select("new")
     assert new.distinct().count() == 400
     assert personal.replaced(df.limit(0)).count() == 0
 
