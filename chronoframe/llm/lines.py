@@ -1,9 +1,12 @@
-"""Line deduplication: SimHash of normalised lines, pigeonhole blocks, edit similarity, one occurrence per connected group.
+"""Line deduplication: SimHash and MinHash buckets of normalised lines, edit similarity, one occurrence per connected group.
 
-A line is normalised to its words in lower case. Lines with equal words are one. The 64-bit SimHashes of two lines with at most 3 different
-bits agree in at least two of five blocks; every pair of blocks is a bucket key. Lines that share a bucket and whose
-SimHashes differ in at most 3 bits are linked if their edit similarity is 0.8 or more. Of every connected group the first
-occurrence stays, by doc_id and line.
+A line is normalised to its words in lower case. Lines with equal words are one. Lines that share a bucket are linked if their
+edit similarity is 0.8 or more, whatever their hashes. Of every connected group the first occurrence stays, by doc_id and line.
+
+The buckets of a line are: the pairs of five blocks of its 64-bit SimHash over character n-grams, of which two agree if at most 3 bits
+differ; bands of MinHashes over character n-grams, for pairs whose SimHashes differ in more; and for short lines all that
+is left after deleting as many characters as the similarity allows, which finds every pair of short lines. n-grams are shorter for
+shorter lines; lines between have both, so that a pair of similar lines always has a length of n-grams in common.
 """
 
 from __future__ import annotations
@@ -21,14 +24,21 @@ from pyspark.sql import functions as F
 
 from chronoframe.llm.common import materialize, read, text_of
 from chronoframe.llm.linking import link
-from chronoframe.llm.neardup import word_hashes
-
-#: Bits that may differ, blocks, similarity, and the words from which a line is compared by likeness.
-BITS, BLOCKS, SIMILARITY, WORDS = 3, 5, 0.8, 5
+from chronoframe.llm.neardup import _mix
+
+#: Bits within which SimHash blocks find a pair for certain, blocks, similarity, and the length up to which short lines are found for certain.
+BITS, BLOCKS, SIMILARITY, SHORT = 3, 5, 0.8, 14
+#: n-gram lengths with the least and most characters of a line that has them, MinHashes to a band, and bands. A range starts at or below 0.8 of the end before.
+GRAMS, BAND, BANDS = ((4, 12, 80), (8, 60, None)), 3, 16
+#: Lines that a task remembers to have sent.
+SENT = 200_000
 _words = re.compile(r"\w+").findall
 _EDGES = [round(64 * k / BLOCKS) for k in range(BLOCKS + 1)]
 _MASKS = [sum(((1 << (_EDGES[b + 1] - _EDGES[b])) - 1) << _EDGES[b] for b in pair) for pair in combinations(range(BLOCKS), BLOCKS - BITS)]
 
+_SALT = 0xD6E8FEB86659FD93
+_ODD = [int(x) | 1 for x in _mix(np.arange(1, BAND * BANDS + 1, dtype=np.uint64) * np.uint64(_SALT))]
+
 
 def normalised(line: str) -> str:
     return " ".join(_words(line.lower()))
@@ -39,19 +49,59 @@ def line_id(norm: str) -> int:
     return int.from_bytes(hashlib.blake2b(norm.encode("utf-8", "replace"), digest_size=8).digest(), "little", signed=True) if norm else 0
 
 
-def simhashes(norms: list[str]) -> np.ndarray:
-    """SimHash over the words of each line; lines without words get 0."""
-    counts = np.array([n.count(" ") + 1 if n else 0 for n in norms])
-    if not counts.sum():
-        return np.zeros(len(norms), np.uint64)
-    words = word_hashes(" ".join(n for n in norms if n))
-    bits = np.unpackbits(words.view(np.uint8).reshape(-1, 8), axis=1)
-    full = np.flatnonzero(counts)
-    starts = np.cumsum(counts[full]) - counts[full]
-    ones = np.add.reduceat(bits, starts, axis=0, dtype=np.int32)
-    out = np.zeros(len(norms), np.uint64)
-    out[full] = np.packbits(2 * ones > counts[full][:, None], axis=1).view(np.uint64).ravel()
-    return out
+def _grams(lines: list[str], n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the n-grams of lines of at least n characters, one after another, and where each line's begin."""
+    data = np.frombuffer("".join(lines).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+    sizes = np.array([len(x) for x in lines])
+    h = np.zeros(len(data) - n + 1, np.uint64)
+    for k in range(n):
+        h = h * np.uint64(0x9E3779B97F4A7C15) + data[k : k + len(h)] + np.uint64(1)
+    counts = sizes - n + 1
+    begin = np.cumsum(counts) - counts
+    at = np.arange(counts.sum()) + np.repeat(np.cumsum(sizes) - sizes - begin, counts)
+    return _mix(h[at]), begin
+
+
+def _simhash(h: np.ndarray, begin: np.ndarray) -> np.ndarray:
+    counts = np.diff(np.append(begin, len(h)))
+    out = np.zeros((len(begin), 64), bool)
+    for bit in range(64):
+        ones = np.add.reduceat((h >> np.uint64(bit)) & np.uint64(1), begin)
+        out[:, bit] = 2 * ones > counts
+    return np.packbits(out, axis=1).view(np.uint64).ravel()
+
+
+def _shortened(line: str, deletions: int) -> set[str]:
+    """The line with at most so many characters left out."""
+    found = last = {line}
+    for _ in range(deletions):
+        last = {x[:i] + x[i + 1 :] for x in last for i in range(len(x))}
+        found = found | last
+    return found
+
+
+def bucket_keys(norms: list[str]) -> list[np.ndarray]:
+    """The bucket keys of each line."""
+    out: list[list] = [[] for _ in norms]
+    for q, least, most in GRAMS:
+        which = [k for k, n in enumerate(norms) if len(n) >= least and (most is None or len(n) <= most)]
+        if not which:
+            continue
+        h, begin = _grams([norms[k] for k in which], q)
+        simhash = _simhash(h, begin)
+        keys = [_mix((simhash & np.uint64(mask)) ^ np.uint64(_SALT * (64 * q + k) % 2**64)) for k, mask in enumerate(_MASKS)]
+        for band in range(BANDS):
+            key = np.full(len(which), 64 * q + 32 + band, np.uint64)
+            for k in range(BAND):
+                key = _mix(key * np.uint64(31) + np.minimum.reduceat(h * np.uint64(_ODD[band * BAND + k]), begin))
+            keys.append(key)
+        for k, row in zip(which, np.stack(keys, 1), strict=True):
+            out[k].append(row.view(np.int64))
+    for k, n in enumerate(norms):
+        if len(n) <= SHORT:
+            longest = min(SHORT, int(len(n) / SIMILARITY + 1e-9))
+            out[k].append(np.array([line_id(x or " ") for x in _shortened(n, int((1 - SIMILARITY) * longest + 1e-9))]))
+    return [np.concatenate(x) for x in out]
 
 
 def edits(a: str, b: str) -> int:
@@ -88,13 +138,21 @@ def alike(a: str, b: str, similarity: float = SIMILARITY) -> bool:
 
 
 class Hashed:
-    """Normalised lines with their SimHashes."""
+    """Normalised lines with histograms of their characters: these bound the edits from below."""
+
+    BINS = 64
 
     def __init__(self, lines):
-        self.lines, self.simhash = lines, simhashes(lines)
+        self.lines, self.sizes = lines, np.array([len(x) for x in lines])
+        self.bins = np.zeros((len(lines), self.BINS), np.int32)
+        for k, x in enumerate(lines):
+            self.bins[k] = np.bincount(np.frombuffer(x.encode("utf-32-le", "surrogatepass"), np.uint32) % self.BINS, minlength=self.BINS)
 
     def possible(self, x: int, ys: np.ndarray) -> np.ndarray:
-        return ys[np.bitwise_count(self.simhash[ys] ^ self.simhash[x]) <= BITS]
+        longer = np.maximum(self.sizes[x], self.sizes[ys])
+        # an edit changes the length or two characters' counts
+        edits = (np.abs(self.bins[ys] - self.bins[x]).sum(1) + np.abs(self.sizes[ys] - self.sizes[x])) // 2
+        return ys[edits <= (1 - SIMILARITY) * longer + 1e-9]
 
     def same(self, x: int, y: int) -> bool:
         return alike(self.lines[x], self.lines[y])
@@ -105,23 +163,20 @@ def _doc_key(doc_id, text):
 
 
 def lines_of(docs: DataFrame) -> DataFrame:
-    """docs: doc_id, text. Returns doc, doc_id, line, id, simhash, compared: one row per line with words."""
-    schema = "doc long, doc_id long, line int, id long, simhash long, compared boolean"
+    """docs: doc_id, text. Returns doc, doc_id, line, id: one row per line with words."""
+    schema = "doc long, doc_id long, line int, id long"
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for at in range(0, len(batch), 64):
                 part = batch.iloc[at : at + 64]
                 rows = [(doc, doc_id, k, n) for doc, doc_id, text in zip(part["doc"], part["doc_id"], part["text"], strict=True) for k, line in enumerate(text.split("\n")) if (n := normalised(line))]
-                norms = [r[3] for r in rows]
                 yield pd.DataFrame(
                     {
                         "doc": [r[0] for r in rows],
                         "doc_id": pd.array([None if pd.isna(r[1]) else int(r[1]) for r in rows], "Int64"),
                         "line": [r[2] for r in rows],
-                        "id": [line_id(n) for n in norms],
-                        "simhash": simhashes(norms).view(np.int64) if rows else [],
-                        "compared": [n.count(" ") >= WORDS - 1 for n in norms],
+                        "id": [line_id(r[3]) for r in rows],
                     }
                 )
 
@@ -144,16 +199,32 @@ def _lines_with(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     return texts.join(by_doc, "doc").select("text", "lines").mapInPandas(run, "id long, value string").dropDuplicates(["id"])
 
 
+def members_of(docs: DataFrame) -> DataFrame:
+    """key, id of the buckets of every distinct line, dealt by key. A task sends a line once, however often it occurs."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        sent: set[int] = set()
+        for batch in batches:
+            for at in range(0, len(batch), 64):
+                found = {line_id(n): n for text in batch["text"].iloc[at : at + 64] for line in text.split("\n") if (n := normalised(line))}
+                new = {k: n for k, n in found.items() if k not in sent}
+                sent = set() if len(sent) > SENT else sent
+                sent.update(new)
+                if new:
+                    keys = [np.unique(x) for x in bucket_keys(list(new.values()))]
+                    yield pd.DataFrame({"key": np.concatenate(keys), "id": np.repeat(np.array(list(new)), [len(x) for x in keys])})
+
+    return docs.select("text").mapInPandas(run, "key long, id long").repartition("key").dropDuplicates(["key", "id"])
+
+
 def marked(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
     """(docs as doc_id, text; the lines to remove as doc, line)."""
     d = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_of(text_col).alias("text"))
     lines = materialize(lines_of(d), "lines")
     place = F.struct(F.col("doc_id").isNull().alias("unknown"), "doc_id", "doc", "line")
-    distinct = materialize(lines.groupBy("id").agg(F.min(place).alias("first"), F.any_value("simhash").alias("simhash"), F.any_value("compared").alias("compared"), F.count("*").alias("n")), "distinct-lines")
-    keys = F.array(*[F.xxhash64(F.lit(k), F.col("simhash").bitwiseAND(F.lit(mask - (1 << 64) if mask >> 63 else mask))) for k, mask in enumerate(_MASKS)])
-    members = distinct.where("compared").select(F.explode(keys).alias("key"), "id")
+    distinct = materialize(lines.groupBy("id").agg(F.min(place).alias("first"), F.count("*").alias("n")), "distinct-lines")
     where = distinct.select("id", "first.doc", "first.line")
-    roots = link(members, lambda ids: _lines_with(d, where.join(ids, "id")), Hashed)
+    roots = link(members_of(d), lambda ids: _lines_with(d, where.join(ids, "id")), Hashed)
     groups = distinct.join(roots, "id", "left").select("id", "first", F.coalesce("root", "id").alias("root"))
     best = groups.groupBy("root").agg(F.min("first").alias("best"))
     state = materialize(groups.join(best, "root").select("id", "best"), "line-groups")

@@ -104,25 +104,44 @@ def link(members: DataFrame, payload: Callable[[DataFrame], DataFrame], values_o
     columns = ["key", "i", "j", "id", "root", "rest"]
     tasks = as_main.select(columns).unionByName(with_main.select(columns)).unionByName(with_rest.select(columns)).join(values, "id")
 
-    def compare(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values("id")
-        above: dict = {}
-
-        def top(x):
-            while above.get(x, x) != x:
-                x = above[x]
-            return x
-
-        ids, roots_ = group["id"].tolist(), group["root"].tolist()
-        values, rest_at = values_of(group["value"].tolist()), group["rest"].to_numpy()
-        out = []
-        for x in np.flatnonzero(rest_at):
-            others = np.arange(len(ids))
-            for y in values.possible(int(x), others[~rest_at | (others > x)]).tolist():
-                if top(roots_[x]) != top(roots_[y]) and values.same(int(x), y):
-                    above[top(roots_[x])] = top(roots_[y])
-                    out.append((ids[x], ids[y]))
+    def compared(group: pd.DataFrame, starts: list[int]) -> pd.DataFrame:
+        codes, first = pd.factorize(group["id"])
+        values = values_of(group["value"].iloc[np.unique(codes, return_index=True)[1]].tolist())
+        roots_, rest_of, out = group["root"].tolist(), group["rest"].to_numpy(), []
+        for begin, end in zip(starts, [*starts[1:], len(group)], strict=True):
+            above: dict = {}
+
+            def top(x, above=above):
+                while above.get(x, x) != x:
+                    x = above[x]
+                return x
+
+            own, rest_at = codes[begin:end], rest_of[begin:end]
+            root_of = dict(zip(own.tolist(), roots_[begin:end], strict=True))
+            for k in np.flatnonzero(rest_at).tolist():
+                x = int(own[k])
+                for y in values.possible(x, own[~rest_at | (np.arange(len(own)) > k)]).tolist():
+                    if top(root_of[x]) != top(root_of[y]) and values.same(x, y):
+                        above[top(root_of[x])] = top(root_of[y])
+                        out.append((first[x], first[y]))
         return pd.DataFrame(out, columns=["a", "b"])
 
-    more = materialize(tasks.groupBy("key", "i", "j").applyInPandas(compare, "a long, b long"), "more-links")
+    def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """Groups by key, i, j lie together; many small ones are prepared at once."""
+        left = None
+        for batch in batches:
+            batch = batch if left is None else pd.concat([left, batch], ignore_index=True)
+            task = batch[["key", "i", "j"]].to_numpy()
+            starts = [0, *(np.flatnonzero((task[1:] != task[:-1]).any(1)) + 1).tolist()]
+            begin = 0
+            for k in range(1, len(starts)):
+                if starts[k] - starts[begin] >= CHUNK or k == len(starts) - 1:
+                    yield compared(batch.iloc[starts[begin] : starts[k]], [s - starts[begin] for s in starts[begin:k]])
+                    begin = k
+            left = batch.iloc[starts[-1] :]
+        if left is not None and len(left):
+            yield compared(left, [0])
+
+    together = tasks.select("key", "i", "j", "id", "root", "rest", "value").repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "id")
+    more = materialize(together.mapInPandas(compare, "a long, b long"), "more-links")
     return roots if more.isEmpty() else components(star.unionByName(more))

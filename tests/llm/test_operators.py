@@ -192,6 +192,22 @@ def test_lines(spark):
     assert lines.deduplicated(docs_of(spark, []).limit(0)).count() == 0
 
 
+def test_lines_by_edit_similarity_alone(spark):
+    """One word of twelve, many of sixty and letters of short lines differ; no hash and no number of words decides."""
+    few, many = sentence(21, 12).split(), sentence(22, 60).split()
+    pairs = [(" ".join(few), " ".join([*few[:5], few[5][::-1] + "z", *few[6:]])), (" ".join(many), " ".join(w + "x" if k % 8 == 0 else w for k, w in enumerate(many))), ("read on here", "read in here"), ("abcdefgh", "abcdefghij")]
+    assert all(lines.alike(a, b) for a, b in pairs) and not lines.alike("abcd", "abcx")
+    rows = [(k, x) for k, x in enumerate([a for a, _ in pairs] + ["abcd"] + [b for _, b in pairs] + ["abcx"])]
+    got = {r.doc_id: r.n_removed for r in lines.deduplicated(docs_of(spark, [(i, t, "s") for i, t in rows])).collect()}
+    assert [got[k] for k in range(10)] == [0] * 5 + [1] * 4 + [0]
+
+
+def test_short_lines_share_a_bucket_exactly_when_alike():
+    words = [a + b + c for a in ("abcde", "abxde", "abcdefghi") for b in ("", "q", "fghij") for c in ("", "z", "yz")]
+    keys = [set(k.tolist()) for k in lines.bucket_keys(words)]
+    assert all(keys[x] & keys[y] for x in range(len(words)) for y in range(x) if max(len(words[x]), len(words[y])) <= lines.SHORT and lines.alike(words[x], words[y]))
+
+
 def test_near_duplicates(spark, odd):
     for _ in range(200):
         a, b = (np.array([random.randint(0, 6) for _ in range(random.randint(1, 20))], np.uint64) for _ in range(2))
