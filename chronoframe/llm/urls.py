@@ -5,8 +5,9 @@ rule decides. An order's estimate leans on the next lower one: p_k = (n(context,
 difference of its log-likelihoods, divided by its length. The score from which a URL is accepted is calibrated on URLs with
 rules that neither model has counted.
 
-Counts are kept in a table of fixed size, addressed by a hash of context and character, so the models stay small enough to be
-broadcast however many URLs are counted.
+Counts are exact: an n-gram of up to six bytes is a 64-bit number of its own, and the counts are a table that grows with the
+input. A byte's share of the score depends on it and the five bytes before alone, so it is worked out once for every distinct
+run of six bytes and joined to the URLs' runs, salted, since some runs are in every URL.
 """
 
 from __future__ import annotations
@@ -19,9 +20,11 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chronoframe.llm.common import read
+from chronoframe.llm.common import materialize, read
 
 ORDER, CELLS, A = 5, 1 << 19, 2.0
+#: Parts into which the occurrences of a run of bytes are dealt.
+SALTS = 16
 #: Scores are calibrated in steps of 0.01 between -5 and 5.
 STEP, LIMIT = 0.01, 5.0
 
@@ -35,16 +38,31 @@ class Rule(NamedTuple):
 RULES = (Rule("block", "com", "/en/"), Rule("allow", "example.com", "/en/7"), Rule("allow", "net", "/de/"), Rule("block", "example.net", "/de/8"), Rule("block", "org", "/es/"))
 
 
-class Model(NamedTuple):
-    counts: np.ndarray  # 2 x CELLS: accepted, rejected
-    threshold: float
-
-
 def _mix(h: np.ndarray) -> np.ndarray:
     h = (h ^ (h >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15)
     return h ^ (h >> np.uint64(29))
 
 
+def runs(urls: Sequence[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """For every byte of every URL: the run of ORDER + 1 bytes that ends with it, zeros before the URL, as a number; and the URL it is in."""
+    lead = bytes(ORDER)
+    data = np.frombuffer(b"".join([lead + u for u in urls]), np.uint8).astype(np.int64)
+    sizes = np.array([len(u) for u in urls], np.int64)
+    owner = np.repeat(np.arange(len(urls)), sizes)
+    at = np.arange(sizes.sum()) + (owner + 1) * len(lead)
+    run = np.zeros(len(at), np.int64)
+    for k in range(ORDER, -1, -1):
+        run = run << 8 | data[at - k]
+    return run, owner
+
+
+def keys_of(run: Column) -> Column:
+    """The run's n-grams of 1 to ORDER + 1 bytes, then their contexts of 0 to ORDER bytes; each number tells its length and kind."""
+    grams = [run.bitwiseAND(F.lit((1 << 8 * (k + 1)) - 1)).bitwiseOR(F.lit(2 * k << 48)) for k in range(ORDER + 1)]
+    contexts = [F.shiftright(run, 8).bitwiseAND(F.lit((1 << 8 * k) - 1)).bitwiseOR(F.lit((2 * k + 1) << 48)) for k in range(ORDER + 1)]
+    return F.array(*grams, *contexts)
+
+
 def cells(urls: Sequence[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """For every byte of every URL: the cells of its n-grams and of their contexts, each bytes x (ORDER + 1); and the URL it is in."""
     lead = bytes(ORDER + 1)
@@ -104,63 +122,87 @@ def ruled(pages: DataFrame, rules: Sequence[Rule] = RULES, id_col: str = "page_i
     return d.withColumn("_rule", matching_rule(F.col("host"), F.col("path"), rules)).select("page_id", "url", "host", "path", "_rule.rule", "_rule.verdict")
 
 
-def _count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _runs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """row, run, n of row, url."""
     for batch in batches:
-        for verdict, part in batch.groupby("verdict"):
-            grams, contexts, _ = cells([u.encode() for u in part["url"]])
-            cell, n = np.unique(np.concatenate([grams.ravel(), contexts.ravel()]), return_counts=True)
-            yield pd.DataFrame({"cell": cell, "rejected": verdict == "block", "n": n})
-
-
-def train(decided: DataFrame) -> Model:
-    """decided: page_id, url, verdict of URLs with a rule. A fifth of them, by hash of the id, only calibrates the threshold."""
-    decided = decided.where(F.col("url").isNotNull())
-    aside = F.pmod(F.xxhash64("page_id", "url"), F.lit(5)) == 0
-    counted = decided.where(~aside).select("url", "verdict").mapInPandas(_count, "cell long, rejected boolean, n long").groupBy("cell", "rejected").agg(F.sum("n").alias("n")).toArrow()
-    counts = np.zeros((2, CELLS))  # at most two rows a cell come to the driver
-    counts[counted["rejected"].to_numpy().astype(int), counted["cell"].to_numpy()] = counted["n"].to_numpy()
-    if not counts.any(1).all():
-        return Model(counts, 0.0)
-    score_of = scorer(counts)
-    step = F.floor(F.greatest(F.lit(-LIMIT), F.least(F.lit(LIMIT), score_of(F.col("url")))) / STEP).cast("int")
-    rows = decided.where(aside).groupBy(step.alias("step")).agg(F.count_if(F.col("verdict") == "allow").alias("good"), F.count_if(F.col("verdict") == "block").alias("bad")).orderBy("step").collect()
+        run, owner = runs([u.encode("utf-8", "replace") for u in batch["url"]])
+        found = pd.DataFrame({"row": batch["row"].to_numpy()[owner], "run": run})
+        yield found.groupby(["row", "run"], as_index=False).size().rename(columns={"size": "n"})
+
+
+def shares(counted: DataFrame, wanted: DataFrame) -> DataFrame:
+    """run, share: ln p(accepted) - ln p(rejected) of the wanted runs' last bytes. counted: run, good, bad; wanted: run; both distinct."""
+    counts = counted.select(F.explode(keys_of(F.col("run"))).alias("key"), "good", "bad").groupBy("key").agg(F.sum("good").alias("good"), F.sum("bad").alias("bad"))
+    asked = wanted.select("run", F.posexplode(keys_of(F.col("run"))).alias("k", "key"))
+    # short keys are in most runs: what is joined is one row a key, and the runs of a key are dealt by salt
+    salted = counts.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    seen = asked.withColumn("salt", F.pmod(F.xxhash64("run"), F.lit(SALTS)).cast("int")).join(salted, ["key", "salt"], "left")
+    at = [(F.coalesce(F.max(F.when(F.col("k") == k, F.col(c))), F.lit(0)).alias(f"{c}{k}")) for k in range(2 * (ORDER + 1)) for c in ("good", "bad")]
+
+    def log_p(c: str) -> Column:
+        p = F.lit(1 / 256)
+        for k in range(ORDER + 1):
+            p = (F.col(f"{c}{k}") + A * p) / (F.col(f"{c}{k + ORDER + 1}") + A)
+        return F.ln(p)
+
+    return seen.groupBy("run").agg(*at).select("run", (log_p("good") - log_p("bad")).alias("share"))
+
+
+def threshold_of(rows: Sequence) -> float:
+    """The score from which URLs are accepted. rows: step, good, bad in order of step."""
     good, bad = sum(r["good"] for r in rows), sum(r["bad"] for r in rows)
     if not good or not bad:
-        return Model(counts, 0.0)
+        return 0.0
     best, lost, kept_out = (-1.0, 0.0), 0, 0
     for r in rows:
         fair = (good - lost) / good + kept_out / bad
         if (fair, -abs(r["step"] * STEP)) > (best[0], -abs(best[1])):
             best = (fair, r["step"] * STEP)
         lost, kept_out = lost + r["good"], kept_out + r["bad"]
-    return Model(counts, best[1])
-
-
-def scorer(counts: np.ndarray):
-    counts = counts.astype(np.float32)
-
-    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for batch in batches:
-            yield pd.Series(log_ratio([(u or "").encode() for u in batch], counts) if len(batch) else [], dtype=float)
-
-    return F.pandas_udf(run, "double")
+    return best[1]
 
 
 def judged(pages: DataFrame, rules: Sequence[Rule] = RULES, id_col: str = "page_id", url_col: str = "url") -> DataFrame:
     """page_id, host, path, rule, verdict, score: one row per row of pages. score is null where a rule decides.
 
     A null or empty URL without a rule has the score 0. Without both accepted and rejected URLs to learn from, scores do not
-    tell anything apart and URLs without a rule are allowed. Extra columns are left out.
+    tell anything apart and URLs without a rule are allowed. Extra columns are left out. A fifth of the URLs with rules, by hash of
+    id and URL, only calibrates the threshold.
     """
     d = ruled(pages, rules, id_col, url_col)
-    model = train(d.where(F.col("rule").isNotNull()))
-    free = F.col("rule").isNull()
-    by_rule = d.where(~free).select("page_id", "host", "path", "rule", "verdict", F.lit(None).cast("double").alias("score"))
-    learnt = bool(model.counts.any(1).all())
-    score = scorer(model.counts)(F.coalesce(F.col("url"), F.lit(""))) if learnt else F.lit(0.0)
-    by_model = d.where(free).select("page_id", "host", "path", "rule", score.alias("score"))
-    verdict = F.when(F.col("score") >= model.threshold, F.lit("allow")).otherwise(F.lit("block")) if learnt else F.lit("allow")
-    return by_rule.unionByName(by_model.withColumn("verdict", verdict).select("page_id", "host", "path", "rule", "verdict", "score"))
+    row, aside = F.xxhash64("url", F.lit(1)), F.pmod(F.xxhash64("page_id", "url"), F.lit(5)) == 0
+    decided = F.col("rule").isNotNull()
+    free = F.coalesce(F.col("url"), F.lit("")).alias("url")
+    d = d.withColumn("counted", decided & ~aside & F.col("url").isNotNull())
+    by_rule = d.where(decided).select("page_id", "host", "path", "rule", "verdict", F.lit(None).cast("double").alias("score"))
+    taught = d.where("counted").groupBy("url").agg(F.count_if(F.col("verdict") == "allow").alias("good"), F.count_if(F.col("verdict") == "block").alias("bad"))
+    taught = materialize(taught.withColumn("row", row), "url-taught")
+    learnt = taught.agg(F.sum("good").alias("good"), F.sum("bad").alias("bad")).first()
+    if not (learnt["good"] and learnt["bad"]):
+        return by_rule.unionByName(d.where(~decided).select("page_id", "host", "path", "rule", F.lit("allow").alias("verdict"), F.lit(0.0).alias("score")))
+    said = lambda t: t.select("row", "url").mapInPandas(_runs, "row long, run long, n long")
+
+    def weighed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            run, owner = runs([u.encode("utf-8", "replace") for u in batch["url"]])
+            found = pd.DataFrame({"run": run, "good": batch["good"].to_numpy()[owner], "bad": batch["bad"].to_numpy()[owner]})
+            yield found.groupby("run", as_index=False).sum()
+
+    counted = taught.select("url", "good", "bad").mapInPandas(weighed, "run long, good long, bad long").groupBy("run").agg(F.sum("good").alias("good"), F.sum("bad").alias("bad"))
+    counted = materialize(counted, "url-runs-taught")
+    asked = d.where(~F.col("counted")).select(free).where("url <> ''").distinct().withColumn("row", row)
+    asked = materialize(said(asked), "url-runs")
+    share = shares(counted, asked.select("run").distinct())
+    share = materialize(share, "url-shares").withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    found = asked.withColumn("salt", F.pmod(F.col("row"), F.lit(SALTS)).cast("int")).join(share, ["run", "salt"])
+    scores = materialize(found.groupBy("row").agg((F.sum(F.col("share") * F.col("n")) / F.sum("n")).alias("score")), "url-scores")
+    rest = d.where(~F.col("counted")).withColumn("row", F.xxhash64(free, F.lit(1))).join(scores, "row", "left").withColumn("score", F.coalesce("score", F.lit(0.0)))
+    step = F.floor(F.greatest(F.lit(-LIMIT), F.least(F.lit(LIMIT), F.col("score"))) / STEP).cast("int")
+    known = rest.where(decided & F.col("url").isNotNull())
+    threshold = threshold_of(known.groupBy(step.alias("step")).agg(F.count_if(F.col("verdict") == "allow").alias("good"), F.count_if(F.col("verdict") == "block").alias("bad")).orderBy("step").collect())
+    verdict = F.when(F.col("score") >= threshold, F.lit("allow")).otherwise(F.lit("block"))
+    by_model = rest.where(~decided).select("page_id", "host", "path", "rule", verdict.alias("verdict"), "score")
+    return by_rule.unionByName(by_model)
 
 
 def op7_urls(spark: SparkSession, sf_dir: str) -> DataFrame:

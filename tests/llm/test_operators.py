@@ -130,6 +130,35 @@ def test_urls(spark):
     assert good > 0 > bad and none == 0
 
 
+def test_url_scores_from_exact_counts(spark, monkeypatch):
+    """A table of few cells must not blur the models, and the score is that of plain counting."""
+    monkeypatch.setattr(urls, "CELLS", 8)
+    known = [(k, f"http://a.com/en/{k}x{k * k}") for k in range(40)] + [(k + 40, f"http://b.net/de/{k}yé{k * 7}") for k in range(40)]
+    free = [(90, "http://c.io/1x1"), (91, "http://c.io/yé7"), (92, "zz"), (93, None)]
+    df = spark.createDataFrame(known + free, "page_id long, url string")
+    got = {r.page_id: r for r in urls.judged(df).collect()}
+    aside = {r.page_id for r in df.where(F.pmod(F.xxhash64("page_id", "url"), F.lit(5)) == 0).collect()}
+    counts = {"allow": Counter(), "block": Counter()}
+    pad = lambda u: bytes(5) + u.encode()
+    for k, u in known:
+        if k not in aside:
+            b = pad(u)
+            for i in range(5, len(b)):
+                for o in range(6):
+                    counts[got[k].verdict][b[i - o : i + 1]] += 1
+                    counts[got[k].verdict]["context", b[i - o : i]] += 1
+    for k, u in free[:3]:
+        b, total = pad(u), 0.0
+        for i in range(5, len(b)):
+            for verdict, sign in (("allow", 1), ("block", -1)):
+                p = 1 / 256
+                for o in range(6):
+                    p = (counts[verdict][b[i - o : i + 1]] + 2 * p) / (counts[verdict]["context", b[i - o : i]] + 2)
+                total += sign * np.log(p)
+        assert got[k].score == pytest.approx(total / (len(b) - 5))
+    assert got[93].score == 0 and got[90].score < got[91].score
+
+
 def test_personal(spark):
     t = ["+1 (476) 555-6291, +14765556291, Jo.Doe9@mail.example.com JO.DOE9@MAIL.EXAMPLE.COM 10.2.3.4. 4111 1111 1111 1111", "Mr. John Smith, Mrs Anna Smith, Mr Smith, госпожа Анна Иванова", "clean 12345 v1.2", None, ""]
     df = spark.createDataFrame(list(enumerate(t)), "doc_id long, text string")
