@@ -67,10 +67,14 @@ def ordered_text(order: str, line: str, separator: str = "\n") -> Column:
     return F.array_join(F.transform(F.sort_array(F.collect_list(F.struct(order, line))), lambda x: x[line]), separator)
 
 
+def transcript_lines(segments: DataFrame, key: str = "video_id") -> DataFrame:
+    """key, seq, line: one row per segment; speakers are shown where known."""
+    return segments.select(key, "seq", transcript_line(F.col("start"), F.col("end"), F.col("text"), F.col("speaker")).alias("line"))
+
+
 def transcripts(segments: DataFrame, key: str = "video_id") -> DataFrame:
-    """key, transcript: one line per segment; speakers are shown where known."""
-    d = segments.withColumn("_line", transcript_line(F.col("start"), F.col("end"), F.col("text"), F.col("speaker")))
-    return d.groupBy(key).agg(ordered_text("seq", "_line").alias("transcript"))
+    """key, transcript: the lines of each recording in one text, for recordings that fit in a row."""
+    return transcript_lines(segments, key).groupBy(key).agg(ordered_text("seq", "line").alias("transcript"))
 
 
 def speakers(segments: DataFrame, key: str = "video_id") -> DataFrame:

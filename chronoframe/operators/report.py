@@ -1,4 +1,4 @@
-"""Reports: one text per recording."""
+"""Reports: ordered lines and JSON entries of each recording, a row each, so that no row grows with its recording."""
 
 from __future__ import annotations
 
@@ -6,7 +6,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from chronoframe.functions.scalar import collapse_space, format_clock, format_time, half_even
-from chronoframe.operators.captions import ordered_text
 
 
 def window_summary(windows: Column, covered: Column | None = None, full: Column | None = None) -> Column:
@@ -30,33 +29,42 @@ def long_warning(duration: Column, focused: Column) -> Column:
 
 
 def reports(media: DataFrame, frames: DataFrame, transcripts: DataFrame, summaries: DataFrame, key: str = "video_id") -> DataFrame:
-    """key, report. media: key, title, duration. frames: key, idx, line. transcripts: key, transcript. summaries: key, windows."""
-    listed = frames.groupBy(key).agg(F.count("*").alias("n_frames"), ordered_text("idx", "line").alias("frame_lines"))
-    d = media.join(listed, key, "left").join(transcripts, key, "left").join(summaries, key, "left")
+    """key, section, idx, line: a report's lines, by section (0 head, 1 frames, 2 transcript) and idx within it; idx of titles is null, first.
+
+    media: key, title, duration. frames: key, idx, line. transcripts: key, seq, line. summaries: key, windows.
+    """
+    d = media.join(frames.groupBy(key).agg(F.count("*").alias("n_frames")), key, "left").join(transcripts.groupBy(key).agg(F.count("*").alias("n_lines")), key, "left").join(summaries, key, "left")
     lines = F.array(
         F.concat(F.lit("# "), F.coalesce("title", key)),
         F.concat(F.lit("- duration: "), format_time(F.col("duration"))),
         F.concat(F.lit("- frames: "), F.coalesce("n_frames", F.lit(0)).cast("string")),
         F.concat(F.lit("- speech: "), F.coalesce("windows", F.lit("(none)"))),
         long_warning(F.col("duration"), F.lit(False)),
-        F.lit("## Frames"),
-        F.col("frame_lines"),
-        F.lit("## Transcript"),
-        F.coalesce("transcript", F.lit("(none)")),
     )
-    return d.select(key, F.array_join(lines, "\n").alias("report"))
+    row = lambda section, idx, line: (F.lit(section).alias("section"), idx.cast("long").alias("idx"), line.alias("line"))
+    none = F.lit(None)
+    heads = d.select(key, F.posexplode(lines).alias("at", "head")).select(key, *row(0, F.col("at"), F.col("head")))
+    frame_title, transcript_title = d.select(key, *row(1, none, F.lit("## Frames"))), d.select(key, *row(2, none, F.lit("## Transcript")))
+    silent = d.where("n_lines is null").select(key, *row(2, F.lit(0), F.lit("(none)")))
+    known = media.select(key)
+    listed = frames.join(known, key, "left_semi").select(key, *row(1, F.col("idx"), F.col("line")))
+    said = transcripts.join(known, key, "left_semi").select(key, *row(2, F.col("seq"), F.col("line")))
+    return heads.unionByName(frame_title).unionByName(listed).unionByName(transcript_title).unionByName(silent).unionByName(said).where("line is not null")
 
 
 def text_map(texts: DataFrame, key: str = "video_id") -> DataFrame:
-    """key, json: a JSON object path -> text per recording; recordings without text have no row."""
-    pairs = F.map_from_entries(F.array_sort(F.collect_list(F.struct("path", "text"))))
-    return texts.groupBy(key).agg(F.to_json(pairs).alias("json"))
+    """key, path, json: the entry path -> text as a JSON object, one row per row of texts; written out with partitionBy(key), a recording is a folder.
+
+    Repeated paths keep all their rows; a null path counts as an empty one.
+    """
+    path = F.coalesce("path", F.lit(""))
+    return texts.select(key, path.alias("path"), F.to_json(F.create_map(path, "text")).alias("json"))
 
 
 def scene_report(scenes: DataFrame, key: str = "video_id") -> DataFrame:
-    """key, json: scene_count and the scenes with midpoints."""
+    """key, scene_no, json: each scene with its midpoint, one row per scene."""
     each = F.struct("scene_no", "start", "end", ((F.col("start") + F.col("end")) / 2).alias("midpoint"))
-    return scenes.groupBy(key).agg(F.count("*").alias("scene_count"), F.array_sort(F.collect_list(each)).alias("scenes")).select(key, F.to_json(F.struct("scene_count", "scenes")).alias("json"))
+    return scenes.select(key, "scene_no", F.to_json(each).alias("json"))
 
 
 def chat_payload(frames: DataFrame, prompts: DataFrame, key: str = "video_id") -> DataFrame:

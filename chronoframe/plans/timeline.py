@@ -370,14 +370,14 @@ def response_normalise(spark, sf_dir):
 @query("scene_report", f"WITH {_ISL}, {_SCENES} SELECT video_id, count(*) AS scene_count, sum(mid) AS midpoints FROM sc GROUP BY 1")
 def scene_report(spark, sf_dir):
     j = report.scene_report(scenes(segments(spark, sf_dir)))
-    d = j.select("video_id", F.from_json("json", "scene_count long, scenes array<struct<midpoint:double>>").alias("r"))
-    return d.select("video_id", "r.scene_count", F.aggregate("r.scenes", F.lit(0.0), lambda a, x: a + x["midpoint"]).alias("midpoints"))
+    d = j.select("video_id", F.from_json("json", "midpoint double")["midpoint"].alias("midpoint"))
+    return d.groupBy("video_id").agg(F.count("*").alias("scene_count"), F.sum("midpoint").alias("midpoints"))
 
 
 @query("text_map", "SELECT source AS video_id, count(*) AS n FROM documents WHERE text IS NOT NULL GROUP BY 1")
 def text_map(spark, sf_dir):
     d = table(spark, sf_dir, "documents").where("text is not null").select(F.col("source").alias("video_id"), F.col("doc_id").cast("string").alias("path"), "text")
-    return report.text_map(d).select("video_id", F.size(F.map_keys(F.from_json("json", "map<string,string>"))).cast("long").alias("n"))
+    return report.text_map(d).groupBy("video_id").agg(F.count("json").alias("n"))
 
 
 @query("report_text")
@@ -386,7 +386,7 @@ def report_text(spark, sf_dir):
     r = ranges(s).select("video_id", F.lit(None).cast("string").alias("title"), ((F.col("hi") - F.col("lo")) / 1e6).alias("duration"))
     f = intervals.tagged(intervals.with_midpoints(scenes(s)), windows(s).where("n > 1"), "midpoint").join(ranges(s), "video_id")
     lines = f.select("video_id", F.col("scene_no").alias("idx"), report.frame_line(F.concat(F.lit("frame_"), F.col("scene_no").cast("string")), (F.col("midpoint") - F.col("lo")) / 1e6, F.col("tag"), F.lit(None).cast("string")).alias("line"))
-    return report.reports(r, lines, captions.transcripts(c), window_summary(spark, sf_dir).withColumnRenamed("summary", "windows"))
+    return report.reports(r, lines, captions.transcript_lines(c), window_summary(spark, sf_dir).withColumnRenamed("summary", "windows"))
 
 
 @query("stream_windows", f'WITH {_ISL} SELECT video_id, s AS "start", e AS "end", n FROM win')
