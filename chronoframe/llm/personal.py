@@ -2,8 +2,8 @@
 
 An entity is known by its canonical form: digits alone for numbers, lower case for addresses, tokens and names. Its surrogate is a
 function of a key, its kind, its canonical form and an attempt, so that every mention anywhere gets the same one, written
-in the mention's own format: separators, upper case, lengths and check digits stay. Names are replaced word by word, so
-a later mention by family name alone matches. Attempts are raised, in rounds over the distinct entities, until no two entities of
+in the mention's own format: separators, upper case, lengths and check digits stay. Names are found after a title and replaced word by
+word; in a text with such a name its words are replaced wherever they stand alone with a capital, with or without a title. Attempts are raised, in rounds over the distinct entities, until no two entities of
 a kind share a surrogate and no surrogate is an entity of the corpus. Only entities with a raised attempt have to be looked up.
 
 All of it is DataFrame expressions.
@@ -159,6 +159,16 @@ def raised_attempts(entities: DataFrame, key: str = KEY) -> DataFrame:
     raise RuntimeError(f"surrogates still collide after {ROUNDS} rounds")
 
 
+#: Words and what is between them; together all of a text.
+_TOKENS = r"\p{L}+|\P{L}+"
+
+
+def bare(token: Column, names: Column) -> Column:
+    """The surrogate of a capitalised word that is part of a name of its text, written as it is; null for other tokens."""
+    new = F.when(token.rlike(r"^\p{Lu}\p{L}"), F.try_element_at(names, F.lower(token)))
+    return F.when(F.upper(token) == token, F.upper(new)).otherwise(F.initcap(new))
+
+
 def mentions(found: DataFrame) -> DataFrame:
     """found: hash, found. Returns hash, place, part, kind, word (as written), canonical: one row per part of a mention in every distinct text."""
     d = found.where(F.size("found") > 0).dropDuplicates(["hash"])
@@ -167,7 +177,7 @@ def mentions(found: DataFrame) -> DataFrame:
 
 
 def replaced(docs: DataFrame, text_col: str = "text", key: str = KEY) -> DataFrame:
-    """docs with surrogates in the text, and n_entities, the number of mentions that were replaced.
+    """docs with surrogates in the text, and n_entities, the number of mentions that were replaced; a bare word of a name is one.
 
     Texts are searched once; what was found is written beside the rows. Rows without a mention are passed through untouched and
     unshuffled; null texts stay null. A column named n_entities is replaced.
@@ -179,6 +189,10 @@ def replaced(docs: DataFrame, text_col: str = "text", key: str = KEY) -> DataFra
     entities = said.where(F.col("kind") != "title").select("kind", F.col("canonical").alias("word")).distinct()
     raised = raised_attempts(entities, key).withColumnRenamed("word", "canonical")
     drawn = with_surrogate(said.join(raised, ["kind", "canonical"], "left"), "kind", "canonical", F.coalesce("attempt", F.lit(0)), key)
+    drawn = materialize(drawn.select("hash", "place", "part", "kind", "word", "canonical", "new"), "pii-drawn")
+    # of a word that is a family name and a given name in one text, the family name's
+    alone = drawn.where(F.col("kind").isin("given_m", "given_f", "family")).groupBy("hash", "canonical").agg(F.min(F.struct("kind", "new")).alias("w"))
+    names = alone.groupBy("hash").agg(F.map_from_entries(F.collect_list(F.struct("canonical", "w.new"))).alias("_names"))
     written = drawn.withColumn("new", F.when(F.col("kind") == "title", F.col("word")).otherwise(in_format(F.col("kind"), F.col("word"), F.col("new"))))
     # the parts of one mention, then the mentions of one text
     by_place = written.groupBy("hash", "place").agg(F.sort_array(F.collect_list(F.struct("part", "new"))).alias("parts"))
@@ -186,7 +200,14 @@ def replaced(docs: DataFrame, text_col: str = "text", key: str = KEY) -> DataFra
     by_text = by_place.groupBy("hash").agg(F.sort_array(F.collect_list("at")).alias("news"))
     between = F.split(F.col("row")[text_col], ANY, -1)
     with_mentions = searched.where(F.size("found") > 0).select("row", "hash", F.size("found").alias("_n"), between.alias("_between"))
-    joined = with_mentions.join(by_text, "hash")
+    joined = with_mentions.join(by_text.join(names, "hash", "left"), "hash")
+    tokens = F.transform("_between", lambda text: F.regexp_extract_all(text, F.lit(_TOKENS), F.lit(0)))
+    joined = joined.withColumn("_tokens", F.when(F.col("_names").isNotNull(), tokens))
+    news = F.transform("_tokens", lambda ts: F.transform(ts, lambda t: bare(t, F.col("_names"))))
+    joined = joined.withColumn("_bare", news)
+    joined = joined.withColumn("_n", F.col("_n") + F.coalesce(F.aggregate("_bare", F.lit(0), lambda n, ts: n + F.size(F.filter(ts, lambda t: t.isNotNull()))), F.lit(0)))
+    named = F.zip_with("_tokens", "_bare", lambda ts, ns: F.array_join(F.zip_with(ts, ns, lambda t, new: F.coalesce(new, t)), ""))
+    joined = joined.withColumn("_between", F.coalesce(named, F.col("_between")))
     rebuilt = F.array_join(F.zip_with("_between", "news", lambda text, at: F.concat(text, F.coalesce(at["new"], F.lit("")))), "")
     changed = joined.select(*[(rebuilt if c == text_col else F.col("row")[c]).alias(c) for c in kept.columns], F.col("_n").cast("long").alias("n_entities"))
     same = searched.where(F.size("found") == 0).select(*[F.col("row")[c].alias(c) for c in kept.columns], F.lit(0).cast("long").alias("n_entities"))

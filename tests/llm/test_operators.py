@@ -181,6 +181,18 @@ def test_personal(spark):
     assert personal.replaced(df.limit(0)).count() == 0
 
 
+def test_bare_names(spark):
+    """Later mentions without a title get the surrogate of the titled one, in the same text only."""
+    t = ["Mr. John Smith came.\nSmith left; SMITH's coat and John stayed. smith, Smithson", "Smith left.", "Mail a.b@example.com to Smith", "κυρία Άννα Ιωάννου, Ιωάννου"]
+    got = {r.doc_id: r for r in personal.replaced(spark.createDataFrame(list(enumerate(t)), "doc_id long, text string")).collect()}
+    _, john, smith, *_ = got[0].text.replace("\n", " ").split()
+    assert got[0].text == f"Mr. {john} {smith} came.\n{smith} left; {smith.upper()}'s coat and {john} stayed. smith, Smithson"
+    assert {"John", "Smith"}.isdisjoint((john, smith)) and got[0].n_entities == 4
+    assert got[1].text == t[1] and got[2].text.endswith(" to Smith") and got[2].n_entities == 1
+    greek = got[3].text.replace(",", "").split()
+    assert greek[2] == greek[3] != "Ιωάννου" and got[3].n_entities == 2
+
+
 def test_edit_distance():
     r = random.Random(0)
     for _ in range(300):
