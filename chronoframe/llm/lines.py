@@ -1,74 +1,115 @@
 """Line deduplication: SimHash and MinHash buckets of normalised lines, edit similarity, one occurrence per connected group.
 
 A line is normalised to its words in lower case. Lines with equal words are one. Lines that share a bucket are linked if their
-edit similarity is 0.8 or more, whatever their hashes. Of every connected group the first occurrence stays, by doc_id and line.
+edit similarity is 0.8 or more. Of every connected group the first occurrence stays, by doc_id and line.
 
-The buckets of a line are: the pairs of five blocks of its 64-bit SimHash over character n-grams, of which two agree if at most 3 bits
-differ; bands of MinHashes over character n-grams, for pairs whose SimHashes differ in more; and for short lines all that
-is left after deleting as many characters as the similarity allows, which finds every pair of short lines. n-grams are shorter for
-shorter lines; lines between have both, so that a pair of similar lines always has a length of n-grams in common.
+The buckets of a line are: the two blocks of its 64-bit SimHash over n-grams of bytes, of which one agrees if at most one bit
+differs; bands of MinHashes over the same n-grams, since the SimHashes of most pairs of similarity 0.8 differ in more; and for short
+lines all that is left after deleting as many characters as the similarity allows, which finds every pair of short lines. n-grams are shorter for
+shorter lines; lines between have both, so that a pair of similar lines always has a length of n-grams in common. Pairs
+whose SimHashes differ in over 22 bits are passed over: most similar lines differ in 8 to 20.
 """
 
 from __future__ import annotations
 
-import hashlib
-import os
-import re
 from collections.abc import Iterator
 from itertools import combinations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chronoframe.llm.common import materialize, read, text_of
-from chronoframe.llm.linking import link
+from chronoframe.llm.common import discard, materialize, read, text_of
+from chronoframe.llm.edits import distance, some_alignment
+from chronoframe.llm.linking import link, only
 from chronoframe.llm.neardup import _mix
 
-#: Bits within which SimHash blocks find a pair for certain, blocks, similarity, and the length up to which short lines are found for certain.
-BITS, BLOCKS, SIMILARITY, SHORT = 3, 5, 0.8, 14
-#: n-gram lengths with the least and most characters of a line that has them, MinHashes to a band, and bands. A range starts at or below 0.8 of the end before.
-GRAMS, BAND, BANDS = ((4, 12, 80), (8, 60, None)), 3, 16
-#: Lines that a task remembers to have sent.
-SENT = 200_000
-_words = re.compile(r"\w+").findall
+#: Blocks of a SimHash, how many make a key, bits in which a pair of a star may differ; similarity; and the length up to which short lines are found for certain.
+BLOCKS, TAKEN, MOST_BITS, SIMILARITY, SHORT = 2, 1, 22, 0.8, 14
+#: n-gram lengths with the least and most bytes of a line that has them, MinHashes to a band, and bands. A range starts at or below 0.8 of the end before.
+GRAMS, BAND, BANDS = ((4, 12, 80), (8, 64, 1 << 62)), 3, 9
+#: Characters that are prepared at once, besides a longer text's; lines that a task remembers to have sent.
+AT_ONCE, SENT = 1 << 18, 400_000
+#: Places of lines up to this many are broadcast (some 30 bytes each) to find them in the documents.
+BROADCAST_LINES = 500_000
 _EDGES = [round(64 * k / BLOCKS) for k in range(BLOCKS + 1)]
-_MASKS = [sum(((1 << (_EDGES[b + 1] - _EDGES[b])) - 1) << _EDGES[b] for b in pair) for pair in combinations(range(BLOCKS), BLOCKS - BITS)]
-
-_SALT = 0xD6E8FEB86659FD93
-_ODD = [int(x) | 1 for x in _mix(np.arange(1, BAND * BANDS + 1, dtype=np.uint64) * np.uint64(_SALT))]
-
-
-def normalised(line: str) -> str:
-    return " ".join(_words(line.lower()))
-
-
-def line_id(norm: str) -> int:
-    """64 bits of a digest of the normalised line; 0 for a line without words, which is never a duplicate."""
-    return int.from_bytes(hashlib.blake2b(norm.encode("utf-8", "replace"), digest_size=8).digest(), "little", signed=True) if norm else 0
-
-
-def _grams(lines: list[str], n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of the n-grams of lines of at least n characters, one after another, and where each line's begin."""
-    data = np.frombuffer("".join(lines).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
-    sizes = np.array([len(x) for x in lines])
-    h = np.zeros(len(data) - n + 1, np.uint64)
-    for k in range(n):
-        h = h * np.uint64(0x9E3779B97F4A7C15) + data[k : k + len(h)] + np.uint64(1)
-    counts = sizes - n + 1
-    begin = np.cumsum(counts) - counts
-    at = np.arange(counts.sum()) + np.repeat(np.cumsum(sizes) - sizes - begin, counts)
-    return _mix(h[at]), begin
-
-
-def _simhash(h: np.ndarray, begin: np.ndarray) -> np.ndarray:
-    counts = np.diff(np.append(begin, len(h)))
-    out = np.zeros((len(begin), 64), bool)
-    for bit in range(64):
-        ones = np.add.reduceat((h >> np.uint64(bit)) & np.uint64(1), begin)
-        out[:, bit] = 2 * ones > counts
-    return np.packbits(out, axis=1).view(np.uint64).ravel()
+_MASKS = [sum(((1 << (_EDGES[b + 1] - _EDGES[b])) - 1) << _EDGES[b] for b in pair) for pair in combinations(range(BLOCKS), TAKEN)]
+_FACTOR, _SALT = 0x5851F42D4C957F2D, 0xD6E8FEB86659FD93
+_ODD = _mix(np.arange(1, BAND * BANDS + 1, dtype=np.uint64) * np.uint64(_SALT)) | np.uint64(1)
+_NONE = np.uint64(0xFFFFFFFF)
+
+
+#: Letters, digits, underscores and all beyond ASCII stay, line feeds too; the rest separates words.
+_WORDS = bytes(c if c > 127 or c == 10 or chr(c).isalnum() or c == 95 else 32 for c in range(256))
+
+
+def normalised(text: str) -> list[bytes]:
+    """The normalised lines of a text, in UTF-8."""
+    return [b" ".join(line.split()) for line in text.lower().encode("utf-8", "replace").translate(_WORDS).split(b"\n")]
+
+
+def characters(line: bytes) -> int:
+    return len(line) if line.isascii() else len(line.decode())
+
+
+def digests(lines: list[bytes]) -> np.ndarray:
+    """128 bits of every line, as two numbers."""
+    return np.frombuffer(b"".join([xxhash.xxh3_128_digest(x) for x in lines]), np.int64).reshape(-1, 2)
+
+
+def _grams(lines: list[bytes], n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes of the runs of n = 4 or 8 bytes of lines of at least n, one after another, where each line's begin, and how many they are."""
+    data, sizes = b"".join(lines), np.array([len(x) for x in lines])
+    h = np.ndarray(len(data) - n + 1, f"<u{n}", data, strides=(1,))
+    counts, within, ends = sizes - n + 1, np.ones(len(h), bool), np.cumsum(sizes)[:-1]
+    for k in range(1, n):
+        within[ends - k] = False
+    h = h[within].astype(np.uint64)
+    h *= np.uint64(_FACTOR)
+    h ^= h >> np.uint64(32)
+    h *= np.uint64(_SALT)
+    h ^= h >> np.uint64(29)
+    return h, np.cumsum(counts) - counts, counts
+
+
+def _simhash(h: np.ndarray, begin: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """A bit is set if over half of a line's n-grams have it. Bits are summed in lanes of 8, at most 255 n-grams at once."""
+    pieces = -(-counts // 255)
+    first = np.cumsum(pieces) - pieces
+    at = np.repeat(begin, pieces) + 255 * (np.arange(pieces.sum()) - np.repeat(first, pieces))
+    out = np.zeros(len(begin), np.uint64)
+    for k in range(8):
+        lanes = np.add.reduceat((h >> np.uint64(k)) & np.uint64(0x0101010101010101), at).view(np.uint8).reshape(-1, 8)
+        ones = np.add.reduceat(lanes.astype(np.int64), first, axis=0)
+        out |= (2 * ones > counts[:, None]).astype(np.uint8).view(np.uint64).ravel() << np.uint64(k)
+    return out
+
+
+def _minhashes(h: np.ndarray, begin: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """BAND * BANDS MinHashes of each line. Lines of many n-grams deal these to as many bins and take the least of each bin, empty bins
+    that of the next one that is not; a short line takes the least under so many hashes."""
+    n = BAND * BANDS
+    if counts.min() < n:
+        out = np.empty((len(begin), n), np.uint64)
+        for k in range(n):
+            out[:, k] = np.minimum.reduceat(h * _ODD[k], begin)
+        return out
+    low = np.full(len(begin) * n, _NONE, np.uint64)
+    bins = (h >> np.uint64(32)) * np.uint64(n)
+    bins >>= np.uint64(32)
+    bins += np.repeat(np.arange(len(begin), dtype=np.uint64) * np.uint64(n), counts)
+    np.minimum.at(low, bins.view(np.int64), h & _NONE)
+    low = low.reshape(-1, n)
+    out, empty, step = low.copy(), low == _NONE, 0
+    while empty.any() and step < n:
+        step += 1
+        following = np.roll(low, -step, axis=1)
+        fill = empty & (following != _NONE)
+        out[fill] = following[fill] + np.uint64(step << 32)
+        empty &= ~fill
+    return out
 
 
 def _shortened(line: str, deletions: int) -> set[str]:
@@ -80,178 +121,180 @@ def _shortened(line: str, deletions: int) -> set[str]:
     return found
 
 
-def bucket_keys(norms: list[str]) -> list[np.ndarray]:
-    """The bucket keys of each line."""
-    out: list[list] = [[] for _ in norms]
+def bucket_keys(lines: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(position of a line, key, SimHash) for all buckets of all lines."""
+    where, keys, marks = [], [], []
     for q, least, most in GRAMS:
-        which = [k for k, n in enumerate(norms) if len(n) >= least and (most is None or len(n) <= most)]
-        if not which:
-            continue
-        h, begin = _grams([norms[k] for k in which], q)
-        simhash = _simhash(h, begin)
-        keys = [_mix((simhash & np.uint64(mask)) ^ np.uint64(_SALT * (64 * q + k) % 2**64)) for k, mask in enumerate(_MASKS)]
-        for band in range(BANDS):
-            key = np.full(len(which), 64 * q + 32 + band, np.uint64)
-            for k in range(BAND):
-                key = _mix(key * np.uint64(31) + np.minimum.reduceat(h * np.uint64(_ODD[band * BAND + k]), begin))
-            keys.append(key)
-        for k, row in zip(which, np.stack(keys, 1), strict=True):
-            out[k].append(row.view(np.int64))
-    for k, n in enumerate(norms):
-        if len(n) <= SHORT:
-            longest = min(SHORT, int(len(n) / SIMILARITY + 1e-9))
-            out[k].append(np.array([line_id(x or " ") for x in _shortened(n, int((1 - SIMILARITY) * longest + 1e-9))]))
-    return [np.concatenate(x) for x in out]
-
-
-def edits(a: str, b: str) -> int:
-    """Levenshtein distance, one column at a time in the bits of two integers."""
-    if len(a) < len(b):
-        a, b = b, a
-    if not b:
-        return len(a)
-    mask, top = (1 << len(a)) - 1, 1 << (len(a) - 1)
-    at: dict[str, int] = {}
-    for i, c in enumerate(a):
-        at[c] = at.get(c, 0) | (1 << i)
-    plus, minus, distance = mask, 0, len(a)
-    for c in b:
-        eq = at.get(c, 0)
-        x = eq | minus
-        d = (((eq & plus) + plus) ^ plus) | eq | minus
-        up, down = minus | ~(d | plus) & mask, plus & d
-        distance += bool(up & top) - bool(down & top)
-        up, down = (up << 1) | 1, down << 1
-        plus, minus = (down | ~(x | up)) & mask, up & x & mask
-    return distance
+        chosen = [k for k, x in enumerate(lines) if least <= len(x) <= most]
+        if chosen:
+            h, begin, counts = _grams([lines[k] for k in chosen], q)
+            simhash, low = _simhash(h, begin, counts), _minhashes(h, begin, counts)
+            own = [_mix((simhash & np.uint64(mask)) ^ np.uint64(_SALT * (64 * q + k) % 2**64)) for k, mask in enumerate(_MASKS)]
+            for band in range(BANDS):
+                key = np.full(len(low), 64 * q + 32 + band, np.uint64)
+                for k in range(BAND):
+                    key = _mix(key * np.uint64(31) + low[:, band * BAND + k])
+                own.append(key)
+            where.append(np.tile(np.array(chosen), len(own)))
+            keys.append(np.concatenate(own))
+            marks.append(np.tile(simhash, len(own)))
+    for k, line in enumerate(lines):
+        if 0 < len(line) <= 4 * SHORT and (n := characters(line)) <= SHORT:
+            longest = min(SHORT, int(n / SIMILARITY + 1e-9))
+            short = [xxhash.xxh3_64_intdigest(x.encode()) for x in _shortened(line.decode(), int((1 - SIMILARITY) * longest + 1e-9))]
+            where.append(np.full(len(short), k))
+            keys.append(np.array(short, np.uint64))
+            marks.append(np.zeros(len(short), np.uint64))
+    none = np.zeros(0, np.uint64)
+    return np.concatenate([none.astype(np.int64), *where]), np.concatenate([none, *keys]), np.concatenate([none, *marks])
 
 
 def alike(a: str, b: str, similarity: float = SIMILARITY) -> bool:
     """Whether 1 - edits / longer length reaches the similarity."""
-    allowed = (1 - similarity) * max(len(a), len(b)) + 1e-9
-    if abs(len(a) - len(b)) > allowed:
-        return False
-    head = len(os.path.commonprefix([a, b]))
-    a, b = a[head:], b[head:]
-    tail = len(os.path.commonprefix([a[::-1], b[::-1]]))
-    return edits(a[: len(a) - tail], b[: len(b) - tail]) <= allowed
+    return distance(a, b) <= (1 - similarity) * max(len(a), len(b)) + 1e-9
 
 
-class Hashed:
+class Lines:
     """Normalised lines with histograms of their characters: these bound the edits from below."""
 
     BINS = 64
 
     def __init__(self, lines):
-        self.lines, self.sizes = lines, np.array([len(x) for x in lines])
-        self.bins = np.zeros((len(lines), self.BINS), np.int32)
-        for k, x in enumerate(lines):
-            self.bins[k] = np.bincount(np.frombuffer(x.encode("utf-32-le", "surrogatepass"), np.uint32) % self.BINS, minlength=self.BINS)
-
-    def possible(self, x: int, ys: np.ndarray) -> np.ndarray:
-        longer = np.maximum(self.sizes[x], self.sizes[ys])
+        self.lines, self.words, self.sizes = lines, {}, np.array([len(x) for x in lines], int)
+        codes = np.frombuffer("".join(lines).encode("utf-32-le", "surrogatepass"), np.uint32)
+        at = np.repeat(np.arange(len(lines)) * self.BINS, self.sizes)
+        self.bins = np.bincount(at + codes % self.BINS, minlength=len(lines) * self.BINS).reshape(-1, self.BINS).astype(np.int32)
+
+    @staticmethod
+    def near(size_x, mark_x, size_y, mark_y):
+        return (np.minimum(size_x, size_y) >= SIMILARITY * np.maximum(size_x, size_y) - 1e-9) & (np.bitwise_count((mark_x ^ mark_y).view(np.uint64)) <= MOST_BITS)
+
+    @staticmethod
+    def near_columns(size_x, mark_x, size_y, mark_y):
+        return (F.least(size_x, size_y) >= F.lit(SIMILARITY) * F.greatest(size_x, size_y) - F.lit(1e-9)) & (F.bit_count(mark_x.bitwiseXOR(mark_y)) <= MOST_BITS)
+
+    def possible(self, xs: np.ndarray, ys: np.ndarray) -> np.ndarray:
+        longer, apart = np.maximum(self.sizes[xs], self.sizes[ys]), np.abs(self.sizes[ys] - self.sizes[xs])
+        allowed = (1 - SIMILARITY) * longer + 1e-9
+        out = apart <= allowed
         # an edit changes the length or two characters' counts
-        edits = (np.abs(self.bins[ys] - self.bins[x]).sum(1) + np.abs(self.sizes[ys] - self.sizes[x])) // 2
-        return ys[edits <= (1 - SIMILARITY) * longer + 1e-9]
+        out[out] = (np.abs(self.bins[ys[out]] - self.bins[xs[out]]).sum(1) + apart[out]) // 2 <= allowed[out]
+        return out
 
     def same(self, x: int, y: int) -> bool:
-        return alike(self.lines[x], self.lines[y])
+        for k in (x, y):
+            if k not in self.words:
+                self.words[k] = self.lines[k].split(" ")
+        allowed = int((1 - SIMILARITY) * max(self.sizes[x], self.sizes[y]) + 1e-9)
+        return some_alignment(self.words[x], self.words[y], allowed) or distance(self.lines[x], self.lines[y]) <= allowed
 
 
 def _doc_key(doc_id, text):
-    return F.xxhash64(F.lit("doc"), doc_id, F.md5(F.encode(text, "UTF-8")))
+    """64 bits of a document; together with its id they name it."""
+    return F.xxhash64(F.lit("doc"), doc_id, text)
+
+
+def _parts(texts: list[str]) -> Iterator[slice]:
+    """Neighbouring texts of about AT_ONCE characters."""
+    begin = size = 0
+    for k, t in enumerate(texts):
+        size += len(t)
+        if size >= AT_ONCE or k == len(texts) - 1:
+            yield slice(begin, k + 1)
+            begin, size = k + 1, 0
 
 
 def lines_of(docs: DataFrame) -> DataFrame:
-    """docs: doc_id, text. Returns doc, doc_id, line, id: one row per line with words."""
-    schema = "doc long, doc_id long, line int, id long"
+    """docs: doc_id, text. Returns doc, doc_id, line, id, check: one row per line with words; id and check are 128 bits of the normalised line."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, len(batch), 64):
-                part = batch.iloc[at : at + 64]
-                rows = [(doc, doc_id, k, n) for doc, doc_id, text in zip(part["doc"], part["doc_id"], part["text"], strict=True) for k, line in enumerate(text.split("\n")) if (n := normalised(line))]
-                yield pd.DataFrame(
-                    {
-                        "doc": [r[0] for r in rows],
-                        "doc_id": pd.array([None if pd.isna(r[1]) else int(r[1]) for r in rows], "Int64"),
-                        "line": [r[2] for r in rows],
-                        "id": [line_id(r[3]) for r in rows],
-                    }
-                )
+            texts = batch.column("text").to_pylist()
+            for part in _parts(texts):
+                lines = [(doc, k, x) for doc, t in enumerate(texts[part], part.start) for k, x in enumerate(normalised(t)) if x]
+                digest, doc = digests([x[2] for x in lines]), pa.array([x[0] for x in lines], pa.int64())
+                yield pa.RecordBatch.from_arrays([batch.column("doc").take(doc), batch.column("doc_id").take(doc), pa.array([x[1] for x in lines], pa.int32()), pa.array(digest[:, 0]), pa.array(digest[:, 1])], ["doc", "doc_id", "line", "id", "check"])
 
-    return docs.select(_doc_key(F.col("doc_id"), F.col("text")).alias("doc"), "doc_id", "text").mapInPandas(run, schema)
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    return docs.select(_doc_key(F.col("doc_id"), F.col("text")).alias("doc"), "doc_id", "text").mapInArrow(run, f"doc long, doc_id {kind}, line int, id long, check long")
 
 
 def _lines_with(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """id, value of the wanted lines. wanted: id, doc, line."""
-    texts = docs.select(_doc_key(F.col("doc_id"), F.col("text")).alias("doc"), "text")
-    by_doc = wanted.groupBy("doc").agg(F.collect_list(F.struct("id", "line")).alias("lines"))
+    """id, value of the wanted lines. wanted: id, doc, doc_id, line."""
+    texts = docs.select(_doc_key(F.col("doc_id"), F.col("text")).alias("doc"), "doc_id", "text")
+    by_doc = wanted.groupBy("doc", F.col("doc_id").alias("_id")).agg(F.collect_list("id").alias("ids"), F.collect_list("line").alias("lines"), F.count("*").alias("n"))
+    by_doc = materialize(by_doc.withColumnRenamed("doc", "_doc"), "wanted-lines")
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = []
-            for text, lines in zip(batch["text"], batch["lines"], strict=True):
-                all_lines = text.split("\n")
-                out += [(x["id"], normalised(all_lines[x["line"]])) for x in lines]
-            yield pd.DataFrame(out, columns=["id", "value"])
+            for k, text in enumerate(batch.column("text")):
+                lines = normalised(text.as_py())
+                yield pa.RecordBatch.from_arrays([batch.column("ids")[k].values, pa.array([lines[x].decode() for x in batch.column("lines")[k].as_py()], pa.string())], ["id", "value"])
 
-    return texts.join(by_doc, "doc").select("text", "lines").mapInPandas(run, "id long, value string").dropDuplicates(["id"])
+    few = (by_doc.agg(F.sum("n")).first()[0] or 0) <= BROADCAST_LINES
+    same = (F.col("doc") == F.col("_doc")) & F.col("doc_id").eqNullSafe(F.col("_id"))
+    texts = texts if few else only(texts, by_doc.select("_doc").distinct(), "doc")
+    return texts.join(F.broadcast(by_doc) if few else by_doc, same).select("text", "ids", "lines").mapInArrow(run, "id long, value string").dropDuplicates(["id"])
 
 
 def members_of(docs: DataFrame) -> DataFrame:
-    """key, id of the buckets of every distinct line, dealt by key. A task sends a line once, however often it occurs."""
+    """key, id, size, mark of the buckets of every line. A task sends a line once, however often it occurs."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sent: set[int] = set()
         for batch in batches:
-            for at in range(0, len(batch), 64):
-                found = {line_id(n): n for text in batch["text"].iloc[at : at + 64] for line in text.split("\n") if (n := normalised(line))}
-                new = {k: n for k, n in found.items() if k not in sent}
-                sent = set() if len(sent) > SENT else sent
-                sent.update(new)
-                if new:
-                    keys = [np.unique(x) for x in bucket_keys(list(new.values()))]
-                    yield pd.DataFrame({"key": np.concatenate(keys), "id": np.repeat(np.array(list(new)), [len(x) for x in keys])})
-
-    return docs.select("text").mapInPandas(run, "key long, id long").repartition("key").dropDuplicates(["key", "id"])
-
-
-def marked(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
-    """(docs as doc_id, text; the lines to remove as doc, line)."""
-    d = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_of(text_col).alias("text"))
+            texts = batch.column("text").to_pylist()
+            for part in _parts(texts):
+                lines, new = [x for t in texts[part] for x in normalised(t) if x], []
+                ids, sent = digests(lines)[:, 0], set() if len(sent) > SENT else sent
+                for k, x in enumerate(ids.tolist()):
+                    if x not in sent:
+                        sent.add(x)
+                        new.append(k)
+                lines = [lines[k] for k in new]
+                sizes, (where, keys, marks) = np.array([characters(x) for x in lines], np.int32), bucket_keys(lines)
+                yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(ids[new][where]), pa.array(sizes[where]), pa.array(marks.view(np.int64))], ["key", "id", "size", "mark"])
+
+    return docs.select("text").mapInArrow(run, "key long, id long, size int, mark long")
+
+
+def marked(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The lines to remove as doc, doc_id, line."""
+    d = docs.select(F.col(id_col).alias("doc_id"), text_of(text_col).alias("text"))
     lines = materialize(lines_of(d), "lines")
     place = F.struct(F.col("doc_id").isNull().alias("unknown"), "doc_id", "doc", "line")
-    distinct = materialize(lines.groupBy("id").agg(F.min(place).alias("first"), F.count("*").alias("n")), "distinct-lines")
-    where = distinct.select("id", "first.doc", "first.line")
-    roots = link(members_of(d), lambda ids: _lines_with(d, where.join(ids, "id")), Hashed)
-    groups = distinct.join(roots, "id", "left").select("id", "first", F.coalesce("root", "id").alias("root"))
-    best = groups.groupBy("root").agg(F.min("first").alias("best"))
-    state = materialize(groups.join(best, "root").select("id", "best"), "line-groups")
-    extra = lines.join(state, "id").where((F.col("doc") != F.col("best.doc")) | (F.col("line") != F.col("best.line")))
-    return d, materialize(extra.select("doc", "line"), "repeated-lines")
+    distinct = materialize(lines.groupBy("id", "check").agg(F.min(place).alias("first"), F.count("*").alias("n")), "distinct-lines")
+    # should two lines share 64 bits, only one of them is compared with others; equality goes by all 128
+    speakers = distinct.groupBy("id").agg(F.min("check").alias("check"))
+    roots = link(members_of(d), lambda ids: _lines_with(d, only(distinct, ids, "id").join(speakers, ["id", "check"]).select("id", "first.doc", "first.doc_id", "first.line")), Lines)
+    linked = distinct.join(speakers, ["id", "check"]).join(roots, "id").select("id", "check", "first", "root")
+    best = linked.groupBy("root").agg(F.min("first").alias("best"))
+    moved = linked.join(best, "root").select("id", "check", "best")
+    copied = distinct.where("n > 1").join(moved, ["id", "check"], "left_anti").select("id", "check", F.col("first").alias("best"))
+    state = materialize(moved.unionByName(copied), "line-groups")
+    extra = lines.join(state, ["id", "check"]).where((F.col("doc") != F.col("best.doc")) | (F.col("line") != F.col("best.line")) | ~F.col("doc_id").eqNullSafe(F.col("best.doc_id")))
+    extra = materialize(extra.select("doc", "doc_id", "line"), "repeated-lines")
+    discard(lines, distinct, roots, state)
+    return extra
 
 
 def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs with repeated lines taken out of the text, and n_lines, n_removed. No row is dropped; a text may become empty.
 
     Lines end at line feeds. Blank lines and lines of punctuation stay. Null texts stay null and have no line. Rows that
-    share id and text are the same document and are treated alike. Columns named n_lines and n_removed are replaced.
+    share id and text are the same document and are treated alike. Ids are of any type that can be ordered; null ids come last. Columns named
+    n_lines and n_removed are replaced.
     """
     kept = docs.drop("n_lines", "n_removed")
-    _, extra = marked(kept, id_col, text_col)
-    by_doc = extra.groupBy("doc").agg(F.sort_array(F.collect_set("line")).alias("_gone"))
-    rows = kept.select(F.struct(*kept.columns).alias("_row"), _doc_key(F.col(id_col).cast("long"), text_of(text_col)).alias("doc"))
-    joined = rows.join(by_doc, "doc", "left")
-    split = F.split(F.col("_row")[text_col], "\n", -1)
-    # the removed lines as a map, so that a lookup does not walk through them
-    gone = F.map_from_arrays("_gone", F.array_repeat(F.lit(True), F.size("_gone")))
-    joined = joined.withColumn("_map", gone)
-    left = F.array_join(F.filter(split, lambda _, i: F.try_element_at(F.col("_map"), i).isNull()), "\n")
-    text = F.when(F.col("_gone").isNull(), F.col("_row")[text_col]).otherwise(left)
-    n = F.coalesce(F.size(split), F.lit(0))
-    n = F.when(F.col("_row")[text_col].isNull(), F.lit(0)).otherwise(n)
-    return joined.select(*[(text if c == text_col else F.col("_row")[c]).alias(c) for c in kept.columns], n.cast("long").alias("n_lines"), F.coalesce(F.size("_gone"), F.lit(0)).cast("long").alias("n_removed"))
+    extra = marked(kept, id_col, text_col)
+    by_doc = extra.groupBy("doc", F.col("doc_id").alias("_id")).agg(F.sort_array(F.collect_set("line")).alias("_gone")).withColumnRenamed("doc", "_doc")
+    rows = kept.select(F.struct(*kept.columns).alias("_row"), _doc_key(F.col(id_col), text_of(text_col)).alias("doc"))
+    same = (F.col("doc") == F.col("_doc")) & F.col("_row")[id_col].eqNullSafe(F.col("_id"))
+    joined = rows.join(F.broadcast(by_doc) if extra.count() <= BROADCAST_LINES else by_doc, same, "left")
+    old = F.col("_row")[text_col]
+    left = F.array_join(F.filter(F.split(old, "\n", -1), lambda _, i: ~F.array_contains("_gone", i)), "\n")
+    n = F.when(old.isNull(), F.lit(0)).otherwise(F.octet_length(old) - F.octet_length(F.replace(old, F.lit("\n"), F.lit(""))) + 1)
+    return joined.select(*[(F.when(F.col("_gone").isNull(), old).otherwise(left) if c == text_col else F.col("_row")[c]).alias(c) for c in kept.columns], n.cast("long").alias("n_lines"), F.coalesce(F.size("_gone"), F.lit(0)).cast("long").alias("n_removed"))
 
 
 def op5_lines(spark: SparkSession, sf_dir: str) -> DataFrame:

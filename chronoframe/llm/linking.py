@@ -1,9 +1,11 @@
 """Links between members of buckets, verified, and the connected groups that they make.
 
-A member of a bucket is first compared with the bucket's least member: as many pairs as members. What these links leave apart
-is compared in full, but in tasks of bounded size: only members that are not yet connected meet, chunk by chunk, and a
-task skips pairs that its earlier links already connect. So no link between different groups is lost, no bucket is limited, and
-no bucket's pairs are ever written out.
+A member of a bucket is first compared with the bucket's least member, its hub: as many pairs as members. What these links leave
+apart is compared in full, but in tasks of bounded size: only members that are not yet connected meet, chunk by chunk, and a task
+skips pairs that its earlier links already connect. So no link between different groups is lost, no bucket is limited, and
+no bucket's pairs are ever written out. Of buckets with the same members only one is compared.
+
+Rows of buckets are narrow (key, id, size, mark); values are fetched for those members only whose pairs sizes and marks allow.
 """
 
 from __future__ import annotations
@@ -13,14 +15,14 @@ from typing import Protocol
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
-from chronoframe.llm.common import materialize
+from chronoframe.llm.common import discard, materialize
 
-#: Members of a bucket that a task compares at once, twice; ids up to this many are broadcast (8 bytes each) to filter a table.
-CHUNK, BROADCAST_IDS = 256, 1_000_000
+#: Members of a bucket that a task compares at once, twice; pairs tested at once; ids up to this many are broadcast (8 bytes each) to filter a table.
+CHUNK, PAIRS, BROADCAST_IDS = 256, 8192, 1_000_000
+TASK = ["key", "i", "j", "id", "root", "rest", "chunk", "size", "mark"]
 
 
 class Values(Protocol):
@@ -28,8 +30,16 @@ class Values(Protocol):
 
     def __init__(self, values: Sequence[str]): ...
 
-    def possible(self, x: int, ys: np.ndarray) -> np.ndarray:
-        """Those of the positions ys that may be the same as x; a quick test that never leaves one out."""
+    @staticmethod
+    def near(size_x: np.ndarray, mark_x: np.ndarray, size_y: np.ndarray, mark_y: np.ndarray) -> np.ndarray:
+        """For pairs of members, whether sizes and marks allow that they are the same."""
+
+    @staticmethod
+    def near_columns(size_x: Column, mark_x: Column, size_y: Column, mark_y: Column) -> Column:
+        """The same as near(), of columns."""
+
+    def possible(self, xs: np.ndarray, ys: np.ndarray) -> np.ndarray:
+        """For pairs of positions, whether they may be the same: a quick test that never denies a pair that is."""
 
     def same(self, x: int, y: int) -> bool: ...
 
@@ -44,15 +54,18 @@ def components(edges: DataFrame) -> DataFrame:
     found = materialize(edges.select(F.col("a").alias("id")).union(edges.select("b")).distinct().withColumn("root", F.col("id")), "roots")
     while not edges.isEmpty():
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        up = both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("p")).withColumnRenamed("a", "n")
-        up = materialize(up, "parents")
+        hooked = materialize(both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("p")).withColumnRenamed("a", "n"), "parents")
+        up = hooked
         for _ in range(2):
             over = up.select(F.col("n").alias("p"), F.col("p").alias("pp"))
             up = up.join(over, "p", "left").select("n", F.coalesce("pp", "p").alias("p"))
         up = materialize(up, "parents")
+        before = found, edges, hooked, up
         found = materialize(found.join(up, found["root"] == up["n"], "left").select("id", F.coalesce("p", "root").alias("root")), "roots")
         left, right = up.select(F.col("n").alias("a"), F.col("p").alias("x")), up.select(F.col("n").alias("b"), F.col("p").alias("y"))
         edges = materialize(edges.join(left, "a", "left").join(right, "b", "left").select(F.coalesce("x", "a").alias("a"), F.coalesce("y", "b").alias("b")).where("a != b").distinct(), "links")
+        discard(*before)
+    discard(edges)
     return found
 
 
@@ -62,86 +75,155 @@ def only(rows: DataFrame, ids: DataFrame, column: str) -> DataFrame:
     return rows.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, rows[column] == ids["_only"], "left_semi")
 
 
-def link(members: DataFrame, payload: Callable[[DataFrame], DataFrame], values_of: type[Values]) -> DataFrame:
-    """members: key BIGINT, id BIGINT, distinct. payload(ids) gives id, value for a table of ids; values_of compares values.
-
-    Returns id, root for all ids that are connected with another one by pairs that share a key and are the same.
-    """
-    per_key = Window.partitionBy("key")
-    shared = members.withColumn("n", F.count("*").over(per_key)).withColumn("hub", F.min("id").over(per_key)).where("n > 1")
-    shared = materialize(shared, "buckets")
-    ids = materialize(shared.select("id").distinct(), "bucket-ids")
-    values = materialize(payload(ids), "values")
-    pairs = shared.where("id != hub").select(F.col("id").alias("a"), F.col("hub").alias("b")).distinct()
-    with_values = pairs.join(values.toDF("b", "y"), "b").join(values.toDF("a", "x"), "a")
+def _verified(values_of: type[Values]):
+    """Of rows a, b, x, y those whose values x and y are the same."""
 
     def verify(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            for at in range(0, len(batch), CHUNK):
-                part = batch.iloc[at : at + CHUNK]
+            for at in range(0, len(batch), PAIRS // 8):
+                part = batch.iloc[at : at + PAIRS // 8]
                 codes, texts = pd.factorize(pd.concat([part["x"], part["y"]]))
                 values, n = values_of(list(texts)), len(part)
-                kept = [len(values.possible(x, np.array([y]))) > 0 and values.same(x, y) for x, y in zip(codes[:n], codes[n:], strict=True)]
+                kept = values.possible(codes[:n], codes[n:])
+                for k in np.flatnonzero(kept).tolist():
+                    kept[k] = values.same(int(codes[k]), int(codes[n + k]))
                 yield part.loc[kept, ["a", "b"]]
 
-    star = materialize(with_values.select("a", "b", "x", "y").mapInPandas(verify, "a long, b long"), "star-links")
-    roots = components(star)
-    # buckets that still hold several groups
-    rooted = shared.select("key", "id").join(roots, "id", "left").select("key", "id", F.coalesce("root", "id").alias("root"))
-    sizes = rooted.groupBy("key", "root").agg(F.count("*").alias("n"))
-    split = sizes.groupBy("key").agg(F.count("*").alias("groups"), F.sum("n").alias("all"), F.max(F.struct("n", "root")).alias("main")).where("groups > 1")
-    split = materialize(split.select("key", F.col("main.root").alias("main"), F.col("main.n").alias("n_main"), (F.col("all") - F.col("main.n")).alias("n_rest")), "split-buckets")
-    if split.isEmpty():
-        return roots
-    # members of the largest group only meet the others; the others also meet each other
-    r = rooted.join(split, "key").withColumn("rest", F.col("root") != F.col("main"))
-    chunks = lambda n: F.ceil(F.col(n) / CHUNK).cast("int")
-    r = r.withColumn("chunk", F.pmod(F.xxhash64("id"), F.when(F.col("rest"), chunks("n_rest")).otherwise(chunks("n_main"))).cast("int"))
-    as_main = r.where(~F.col("rest")).withColumn("i", F.explode(F.sequence(F.lit(0), chunks("n_rest") - 1))).withColumn("j", -F.col("chunk") - 1)
-    rest = r.where("rest")
-    with_main = rest.withColumn("i", F.col("chunk")).withColumn("j", F.explode(F.sequence(-chunks("n_main"), F.lit(-1))))
-    with_rest = rest.withColumn("o", F.explode(F.sequence(F.lit(0), chunks("n_rest") - 1))).withColumn("i", F.least("chunk", "o")).withColumn("j", F.greatest("chunk", "o")).drop("o")
-    columns = ["key", "i", "j", "id", "root", "rest"]
-    tasks = as_main.select(columns).unionByName(with_main.select(columns)).unionByName(with_rest.select(columns)).join(values, "id")
+    return verify
+
+
+def _alone(near: Callable[[np.ndarray, np.ndarray, np.ndarray, np.ndarray], np.ndarray]):
+    """Of the members of tasks (key, i, j) that lie together those with a partner that sizes and marks allow."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for group, starts in _grouped(batches):
+            found, sizes, marks = np.zeros(len(group), bool), group["size"].to_numpy(), group["mark"].to_numpy()
+            for xs, ys in _meeting(group, starts):
+                met = near(sizes[xs], marks[xs], sizes[ys], marks[ys])
+                found[xs[met]] = found[ys[met]] = True
+            yield group.loc[found]
+
+    return run
+
+
+def _meeting(group: pd.DataFrame, starts: list[int]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Positions of the pairs of each task's members: the rest with the largest group, or with itself within a chunk or across two."""
+    roots, rest, chunk = pd.factorize(group["root"])[0], group["rest"].to_numpy(), group["chunk"].to_numpy()
+    largest, across = (group["j"] < 0).to_numpy(), (group["i"] != group["j"]).to_numpy()
+    for begin, end in zip(starts, [*starts[1:], len(group)], strict=True):
+        at = np.arange(begin, end)
+        own, step = at[rest[begin:end]], max(1, PAIRS // len(at))
+        for k in range(0, len(own), step):
+            xs, ys = np.repeat(own[k : k + step], len(at)), np.tile(at, len(own[k : k + step]))
+            met = (roots[xs] != roots[ys]) & (~rest[ys] if largest[begin] else (ys > xs) & ((chunk[xs] != chunk[ys]) if across[begin] else rest[ys]))
+            yield xs[met], ys[met]
+
+
+def _grouped(batches: Iterator[pd.DataFrame]) -> Iterator[tuple[pd.DataFrame, list[int]]]:
+    """Whole tasks, many small ones at once, and where each begins."""
+    left = None
+    for batch in batches:
+        batch = batch if left is None else pd.concat([left, batch], ignore_index=True)
+        task = batch[["key", "i", "j"]].to_numpy()
+        starts = [0, *(np.flatnonzero((task[1:] != task[:-1]).any(1)) + 1).tolist()]
+        begin = 0
+        for k in range(1, len(starts)):
+            if starts[k] - starts[begin] >= 4 * CHUNK or k == len(starts) - 1:
+                yield batch.iloc[starts[begin] : starts[k]].reset_index(drop=True), [s - starts[begin] for s in starts[begin:k]]
+                begin = k
+        left = batch.iloc[starts[-1] :]
+    if left is not None and len(left):
+        yield left.reset_index(drop=True), [0]
+
+
+def _compared(values_of: type[Values], near: Callable[[np.ndarray, np.ndarray, np.ndarray, np.ndarray], np.ndarray]):
+    """Links between members of tasks (key, i, j) that lie together."""
 
     def compared(group: pd.DataFrame, starts: list[int]) -> pd.DataFrame:
         codes, first = pd.factorize(group["id"])
         values = values_of(group["value"].iloc[np.unique(codes, return_index=True)[1]].tolist())
-        roots_, rest_of, out = group["root"].tolist(), group["rest"].to_numpy(), []
-        for begin, end in zip(starts, [*starts[1:], len(group)], strict=True):
-            above: dict = {}
-
-            def top(x, above=above):
-                while above.get(x, x) != x:
-                    x = above[x]
-                return x
-
-            own, rest_at = codes[begin:end], rest_of[begin:end]
-            root_of = dict(zip(own.tolist(), roots_[begin:end], strict=True))
-            for k in np.flatnonzero(rest_at).tolist():
-                x = int(own[k])
-                for y in values.possible(x, own[~rest_at | (np.arange(len(own)) > k)]).tolist():
-                    if top(root_of[x]) != top(root_of[y]) and values.same(x, y):
-                        above[top(root_of[x])] = top(root_of[y])
-                        out.append((first[x], first[y]))
+        roots, sizes, marks, out = pd.factorize(group["root"])[0], group["size"].to_numpy(), group["mark"].to_numpy(), []
+        above = list(range(len(roots)))
+
+        def top(x: int) -> int:
+            while above[x] != x:
+                above[x] = above[above[x]]
+                x = above[x]
+            return x
+
+        for xs, ys in _meeting(group, starts):
+            met = near(sizes[xs], marks[xs], sizes[ys], marks[ys])
+            met[met] = values.possible(codes[xs[met]], codes[ys[met]])
+            for x, y in zip(xs[met].tolist(), ys[met].tolist(), strict=True):
+                if (r := top(roots[x])) != (s := top(roots[y])) and values.same(int(codes[x]), int(codes[y])):
+                    above[r] = s
+                    out.append((first[codes[x]], first[codes[y]]))
         return pd.DataFrame(out, columns=["a", "b"])
 
     def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        """Groups by key, i, j lie together; many small ones are prepared at once."""
-        left = None
-        for batch in batches:
-            batch = batch if left is None else pd.concat([left, batch], ignore_index=True)
-            task = batch[["key", "i", "j"]].to_numpy()
-            starts = [0, *(np.flatnonzero((task[1:] != task[:-1]).any(1)) + 1).tolist()]
-            begin = 0
-            for k in range(1, len(starts)):
-                if starts[k] - starts[begin] >= CHUNK or k == len(starts) - 1:
-                    yield compared(batch.iloc[starts[begin] : starts[k]], [s - starts[begin] for s in starts[begin:k]])
-                    begin = k
-            left = batch.iloc[starts[-1] :]
-        if left is not None and len(left):
-            yield compared(left, [0])
-
-    together = tasks.select("key", "i", "j", "id", "root", "rest", "value").repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "id")
-    more = materialize(together.mapInPandas(compare, "a long, b long"), "more-links")
-    return roots if more.isEmpty() else components(star.unionByName(more))
+        for group, starts in _grouped(batches):
+            yield compared(group, starts)
+
+    return compare
+
+
+def _tasks(split: DataFrame) -> DataFrame:
+    """The members, once for every pair of chunks that meet as a task (key, i, j). split: members with root and rest, and their
+    bucket's n_main and n_rest. Members of a bucket's largest group only meet the rest; the rest also meets itself.
+    """
+    chunks = lambda n: F.ceil(F.col(n) / CHUNK).cast("int")
+    r = split.withColumn("chunk", F.pmod(F.xxhash64("id"), F.when(F.col("rest"), chunks("n_rest")).otherwise(chunks("n_main"))).cast("int"))
+    rest = r.where("rest")
+    main = r.where(~F.col("rest")).withColumn("i", F.explode(F.sequence(F.lit(0), chunks("n_rest") - 1))).withColumn("j", -F.col("chunk") - 1)
+    with_main = rest.withColumn("i", F.col("chunk")).withColumn("j", F.explode(F.sequence(-chunks("n_main"), F.lit(-1))))
+    with_rest = rest.where("n_rest > 1").withColumn("o", F.explode(F.sequence(F.lit(0), chunks("n_rest") - 1))).withColumn("i", F.least("chunk", "o")).withColumn("j", F.greatest("chunk", "o"))
+    return main.select(TASK).unionByName(with_main.select(TASK)).unionByName(with_rest.select(TASK))
+
+
+def link(members: DataFrame, payload: Callable[[DataFrame], DataFrame], values_of: type[Values]) -> DataFrame:
+    """members: key BIGINT, id BIGINT, size INT, mark BIGINT; a row may repeat. payload(ids) gives id, value for a table of ids.
+
+    Returns id, root for all ids that are connected with another one by pairs that share a key and are the same.
+    """
+    near, near_columns = values_of.near, values_of.near_columns
+    dealt = members.repartition("key")
+    # all columns, so that both sides of the join read one shuffle
+    stats = dealt.groupBy("key").agg(F.min("id").alias("hub"), F.max("id").alias("last"), F.max("size").alias("s"), F.max("mark").alias("m")).where("hub < last and s is not null and m is not null").select("key", "hub")
+    shared = materialize(dealt.join(stats.hint("shuffle_hash"), "key").select("key", "hub", "id", "size", "mark"), "buckets")
+    # one of the buckets with the same members, by two sums over their ids
+    own = F.col("id") == F.col("hub")
+    single = shared.groupBy("key", "hub", "id").agg(F.max("size").alias("size"), F.max("mark").alias("mark"))
+    facts = single.groupBy("key", "hub").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("id")).alias("x"), F.bit_xor(F.xxhash64("id", F.lit(1))).alias("y"), F.max(F.when(own, F.col("size"))).alias("hub_size"), F.max(F.when(own, F.col("mark"))).alias("hub_mark"))
+    buckets = materialize(facts.dropDuplicates(["hub", "n", "x", "y"]).select("key", "hub_size", "hub_mark"), "different-buckets")
+    rows = shared.where("id != hub").join(buckets, "key").groupBy("key", "hub", "id").agg(*[F.max(c).alias(c) for c in ("size", "mark", "hub_size", "hub_mark")])
+    rows = materialize(rows.withColumn("near", near_columns(F.col("size"), F.col("mark"), F.col("hub_size"), F.col("hub_mark"))).drop("hub_size", "hub_mark"), "different-members")
+    discard(shared, buckets)
+    pairs = materialize(rows.where("near").select(F.col("id").alias("a"), F.col("hub").alias("b")).distinct(), "pairs")
+    ids = materialize(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct(), "pair-ids")
+    values = materialize(payload(ids), "values")
+    with_values = pairs.join(values.toDF("b", "y"), "b").join(values.toDF("a", "x"), "a")
+    star = materialize(with_values.select("a", "b", "x", "y").mapInPandas(_verified(values_of), "a long, b long"), "star-links")
+    roots = components(star)
+    discard(pairs, ids, values)
+    # buckets that still hold several groups besides their hub, which has met them all
+    rooted = rows.join(roots, "id", "left").select("key", "id", "size", "mark", F.coalesce("root", "id").alias("root"))
+    sizes = rooted.groupBy("key", "root").agg(F.count("*").alias("n"))
+    split = sizes.groupBy("key").agg(F.count("*").alias("groups"), F.sum("n").alias("all"), F.max(F.struct("n", "root")).alias("main")).where("groups > 1")
+    split = split.select("key", F.col("main.root").alias("main"), F.col("main.n").alias("n_main"), (F.col("all") - F.col("main.n")).alias("n_rest"))
+    tasks = _tasks(rooted.join(split, "key").withColumn("rest", F.col("root") != F.col("main")))
+    together = lambda t: t.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "id")
+    tasks = materialize(together(tasks).mapInPandas(_alone(near), tasks.schema), "tasks")
+    discard(rows)
+    if tasks.isEmpty():
+        discard(tasks, star)
+        return roots
+    ids = materialize(tasks.select("id").distinct(), "task-ids")
+    values = materialize(payload(ids), "values")
+    more = materialize(together(tasks.join(values, "id").select(*TASK, "value")).mapInPandas(_compared(values_of, near), "a long, b long"), "more-links")
+    discard(tasks, ids, values)
+    if more.isEmpty():
+        discard(star, more)
+        return roots
+    both = components(star.unionByName(more))
+    discard(star, more, roots)
+    return both

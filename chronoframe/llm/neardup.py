@@ -3,7 +3,7 @@
 A document is the sequence of its five-word shingles. Repeated shingles are told apart by how often they have occurred before. Each of several
 sketches takes the least few occurrence-labelled shingles under its own hash and keeps them in the order of the text, so that two
 documents share a sketch only if the sampled shingles agree and stand in the same order. Documents that share a sketch are
-aligned within a band: they are near-duplicates if the shingles matched in order are 0.8 or more of the shingles of both together.
+aligned word by word within a band: they are near-duplicates if at most 0.2 of the longer one's words are edited.
 """
 
 from __future__ import annotations
@@ -13,13 +13,16 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chronoframe.llm.common import materialize, read, text_of
+from chronoframe.llm.common import discard, materialize, read, text_of, with_text_id
+from chronoframe.llm.edits import banded, distance, trimmed
 from chronoframe.llm.linking import link, only
 
-WORDS, SIMILARITY, SKETCHES, LEAST = 5, 0.8, 12, 2
+WORDS, SIMILARITY, SKETCHES, LEAST = 5, 0.8, 16, 2
+#: Edited words up to which the band grows with the distance; beyond them whole columns are worked out in bits.
+BAND = 40
 
 _WORD = np.zeros(256, bool)
 _WORD[[*range(48, 58), *range(97, 123), 95, *range(128, 256)]] = True
@@ -34,6 +37,9 @@ def _mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
+_ODDS = _mix(_SEEDS) | np.uint64(1)
+
+
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """Powers of an odd number and of its inverse modulo 2^64."""
     if len(_POWERS[0]) < n:
@@ -56,9 +62,8 @@ def word_hashes(text: str) -> np.ndarray:
     return _mix((sums[ends] - sums[starts]) * inverse[starts] + (ends - starts).astype(np.uint64))
 
 
-def shingles(text: str, words: int = WORDS) -> np.ndarray:
-    """Hashes of the runs of so many words, in order. A shorter text is one shingle; one without words is a shingle of its characters."""
-    w = word_hashes(text)
+def shingles(text: str, w: np.ndarray, words: int = WORDS) -> np.ndarray:
+    """Hashes of the runs of so many words of a text, in order. A shorter text is one shingle; one without words is a shingle of its characters."""
     if not len(w):
         return np.frombuffer(hashlib.blake2b(text.encode("utf-8", "replace"), digest_size=8).digest(), np.uint64)
     n = max(1, len(w) - words + 1)
@@ -72,12 +77,10 @@ def sketches(h: np.ndarray, least: int = LEAST) -> np.ndarray:
     """One hash per sketch: the least occurrence-labelled shingles in the order of the text."""
     order = np.argsort(h, kind="stable")
     ranked = h[order]
-    first = np.concatenate([[True], ranked[1:] != ranked[:-1]])
-    runs = np.flatnonzero(first)
+    runs = np.flatnonzero(np.concatenate([[True], ranked[1:] != ranked[:-1]]))
     seen = np.empty(len(h), np.uint64)
     seen[order] = np.arange(len(h)) - np.repeat(runs, np.diff(np.append(runs, len(h))))
-    labelled = _mix(h + seen * np.uint64(0xD6E8FEB86659FD93))
-    values = _mix(labelled[None, :] ^ _SEEDS[:, None])
+    values = _mix(h + seen * np.uint64(0xD6E8FEB86659FD93))[None, :] * _ODDS[:, None]
     k = min(least, len(h))
     chosen = np.sort(np.argpartition(values, k - 1, axis=1)[:, :k], axis=1) if k < len(h) else np.broadcast_to(np.arange(k), (len(_SEEDS), k))
     out = _SEEDS.copy()
@@ -86,116 +89,87 @@ def sketches(h: np.ndarray, least: int = LEAST) -> np.ndarray:
     return out.view(np.int64)
 
 
-def _allowed(total, similarity: float = SIMILARITY):
-    """Shingles of both texts together that may be left unmatched."""
-    return np.floor(total * (1 - similarity) / (1 + similarity) + 1e-9)
-
-
-def near(a: np.ndarray, b: np.ndarray, similarity: float = SIMILARITY) -> bool:
-    """Whether the longest common subsequence is that share of both sequences together. Only the diagonals within the number of
-    unmatched shingles that the share allows are visited."""
-    allowed = int(_allowed(len(a) + len(b), similarity))
-    if abs(len(a) - len(b)) > allowed:
-        return False
-    short = min(len(a), len(b))
-    differ = np.flatnonzero(a[:short] != b[:short])
-    head = int(differ[0]) if len(differ) else short
-    a, b = a[head:], b[head:]
-    short = min(len(a), len(b))
-    differ = np.flatnonzero(a[::-1][:short] != b[::-1][:short])
-    tail = int(differ[0]) if len(differ) else short
-    a, b = a[: len(a) - tail], b[: len(b) - tail]
-    values, which = np.unique(np.concatenate([a, b]), return_inverse=True)
-    in_a, in_b = np.bincount(which[: len(a)], minlength=len(values)), np.bincount(which[len(a) :], minlength=len(values))
-    if np.abs(in_a - in_b).sum() > allowed:  # unmatched in any order
+def alike(a: np.ndarray, b: np.ndarray, similarity: float = SIMILARITY) -> bool:
+    """Whether 1 - edits / longer length reaches the similarity, for sequences of words. Texts without words are like no other text."""
+    longer = max(len(a), len(b))
+    allowed = int((1 - similarity) * longer + 1e-9)
+    if not longer or abs(len(a) - len(b)) > allowed:
         return False
-    return _unmatched(a.tolist(), b.tolist(), allowed) is not None
+    a, b = (x.tolist() for x in trimmed(a, b))
+    if banded(a, b, min(allowed, BAND)) is not None:
+        return True
+    return allowed > BAND and distance(a, b) <= allowed
 
 
-class Shingled:
-    """Texts as shingles, with a histogram of their hashes: its overlap bounds the number that can be matched."""
+class Texts:
+    """Texts as words, with a histogram of their hashes: what two have in common bounds their edits from below."""
 
     BINS = 1024
 
     def __init__(self, texts):
-        self.shingles = [shingles(t) for t in texts]
-        self.sizes = np.array([len(h) for h in self.shingles])
-        self.bins = np.stack([np.minimum(np.bincount((h % np.uint64(self.BINS)).astype(np.int64), minlength=self.BINS), 65535).astype(np.uint16) for h in self.shingles]) if len(texts) else None
-
-    def possible(self, x: int, ys: np.ndarray) -> np.ndarray:
-        total = self.sizes[x] + self.sizes[ys]
-        ys = ys[np.abs(self.sizes[x] - self.sizes[ys]) <= _allowed(total)]
-        if self.sizes[x] > 60_000:  # bins are cut off there
-            return ys
-        matched = np.minimum(self.bins[x], self.bins[ys]).sum(1, dtype=np.int64)
-        total = self.sizes[x] + self.sizes[ys]
-        return ys[total - 2 * matched <= _allowed(total)]
+        self.words = [word_hashes(t) for t in texts]
+        self.sizes = np.array([len(h) for h in self.words], int)
+        at = np.repeat(np.arange(len(texts)) * self.BINS, self.sizes)
+        words = np.concatenate([*self.words, np.zeros(0, np.uint64)]) % np.uint64(self.BINS)
+        self.bins = np.bincount(at + words.astype(int), minlength=len(texts) * self.BINS).reshape(-1, self.BINS).astype(np.int32)
+
+    @staticmethod
+    def near(size_x, mark_x, size_y, mark_y):
+        return np.minimum(size_x, size_y) >= SIMILARITY * np.maximum(size_x, size_y) - 1e-9
+
+    @staticmethod
+    def near_columns(size_x, mark_x, size_y, mark_y):
+        return F.least(size_x, size_y) >= F.lit(SIMILARITY) * F.greatest(size_x, size_y) - F.lit(1e-9)
+
+    def possible(self, xs: np.ndarray, ys: np.ndarray) -> np.ndarray:
+        longer = np.maximum(self.sizes[xs], self.sizes[ys])
+        common = np.empty(len(xs), int)
+        for k in range(0, len(xs), 1024):
+            common[k : k + 1024] = np.minimum(self.bins[xs[k : k + 1024]], self.bins[ys[k : k + 1024]]).sum(1)
+        return longer - common <= (1 - SIMILARITY) * longer + 1e-9
 
     def same(self, x: int, y: int) -> bool:
-        return near(self.shingles[x], self.shingles[y])
+        return alike(self.words[x], self.words[y])
 
 
-def _unmatched(a: list, b: list, allowed: int) -> int | None:
-    """Elements of both that the longest common subsequence leaves out, or None if over `allowed`."""
-    n, m = len(a), len(b)
-    reach = {1: 0}
-    for d in range(allowed + 1):
-        for k in range(-d, d + 1, 2):
-            if k > n or -k > m:
-                continue
-            x = reach.get(k + 1, -1) if k == -d or (k != d and reach.get(k - 1, -1) < reach.get(k + 1, -1)) else reach[k - 1] + 1
-            y = x - k
-            while x < n and y < m and a[x] == b[y]:
-                x, y = x + 1, y + 1
-            reach[k] = x
-            if x >= n and y >= m:
-                return d
-    return None
+def groups(docs: DataFrame) -> DataFrame:
+    """docs: id, doc_id, text. Returns id, class_id, same_text, least, best: one row per different text.
 
-
-def text_key(text: Column) -> Column:
-    """64 bits of the MD5 of a text."""
-    return F.conv(F.substring(F.md5(F.encode(text, "UTF-8")), 1, 15), 16, 10).cast("long")
-
-
-def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, class_id, key, same_text, first: one row per row of docs. class_id is the least doc_id of the connected group.
-
-    first is true for one row of each group, the one with the least doc_id (nulls last; if rows share id and text, one of
-    these). Texts are linked by equality or by near(); null texts are empty, and all empty texts are one group.
+    class_id is the least doc_id of the connected group, least that of the text, same_text its number of rows; best is true for one
+    text of each group, the one with the least doc_id (nulls last). Texts are linked if alike(); null texts are empty.
     """
-    d = docs.select(F.col(id_col).alias("doc_id"), text_of(text_col).alias("text"))
 
     def sketch(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            keys = [sketches(shingles(t)) for t in batch["text"]]
-            yield pd.DataFrame({"key": batch["key"], "doc_id": batch["doc_id"], "sketches": keys})
-
-    sketched = materialize(d.select(text_key(F.col("text")).alias("key"), "doc_id", "text").mapInPandas(sketch, "key long, doc_id long, sketches array<long>"), "sketches")
-    members = sketched.groupBy("key").agg(F.any_value("sketches").alias("sketches")).select(F.explode("sketches").alias("bucket"), "key").distinct().toDF("key", "id")
-    keyed = d.select(text_key(F.col("text")).alias("id"), F.col("text").alias("value"))
-    roots = link(members, lambda ids: only(keyed, ids, "id").dropDuplicates(["id"]), Shingled)
-    rows = sketched.select("key", "doc_id")
+            words = [word_hashes(t) for t in batch["text"]]
+            yield pd.DataFrame({"id": batch["id"], "size": [len(w) for w in words], "sketches": [sketches(shingles(t, w)) for t, w in zip(batch["text"], words, strict=True)]})
+
+    sketched = materialize(docs.select("id", "text").mapInPandas(sketch, "id long, size int, sketches array<long>"), "sketches")
+    members = sketched.select(F.explode("sketches").alias("key"), "id", "size", F.lit(0).cast("long").alias("mark"))
+    roots = link(members, lambda ids: only(docs, ids, "id").select("id", F.col("text").alias("value")).dropDuplicates(["id"]), Texts)
     # a text's rows are summed up before groups meet
-    texts = rows.groupBy("key").agg(F.min("doc_id").alias("least"), F.count("*").alias("same_text"))
-    texts = texts.join(roots, texts["key"] == roots["id"], "left").select("key", "least", "same_text", F.coalesce("root", "key").alias("root"))
-    best = texts.groupBy("root").agg(F.min(F.struct(F.col("least").isNull().alias("unknown"), "least", "key")).alias("b")).select("root", F.col("b.least").alias("class_id"), F.col("b.key").alias("best_key"))
-    return materialize(texts.join(best, "root").select("key", "class_id", "same_text", "best_key", "least"), "classes")
+    texts = docs.groupBy("id").agg(F.min("doc_id").alias("least"), F.count("*").alias("same_text"))
+    texts = texts.join(roots, "id", "left").withColumn("root", F.coalesce("root", "id"))
+    best = texts.groupBy("root").agg(F.min(F.struct(F.col("least").isNull().alias("unknown"), "least", "id")).alias("b"))
+    out = texts.join(best, "root").select("id", F.col("b.least").alias("class_id"), "same_text", "least", (F.col("b.id") == F.col("id")).alias("best"))
+    out = materialize(out, "classes")
+    discard(sketched, roots)
+    return out
 
 
 def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, class_id, same_text: one row per row of docs."""
-    d = docs.select(F.col(id_col).alias("doc_id"), text_key(text_of(text_col)).alias("key"))
-    return d.join(groups(docs, id_col, text_col), "key").select("doc_id", "class_id", "same_text")
+    d = with_text_id(docs.select(F.col(id_col).alias("doc_id"), text_of(text_col).alias("text")), "text", "id")
+    return d.select("id", "doc_id").join(groups(d), "id").select("doc_id", "class_id", "same_text")
 
 
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of docs, one of each group: the one with the least id, nulls last. Of rows that share id and text, one stays."""
-    names = docs.columns
-    chosen = groups(docs, id_col, text_col).where("key = best_key").select(F.col("key").alias("_k"), F.col("least").alias("_least"))
-    rows = docs.select(F.struct(*names).alias("row"), F.col(id_col).alias("_id"), text_key(text_of(text_col)).alias("_key"))
-    kept = rows.join(chosen, (F.col("_key") == F.col("_k")) & F.col("_id").eqNullSafe(F.col("_least")))
-    return kept.groupBy("_key").agg(F.any_value("row").alias("row")).select("row.*")
+    rows = docs.select(F.struct(*docs.columns).alias("row"), F.col(id_col).alias("doc_id"), text_of(text_col).alias("text"))
+    d = with_text_id(rows, "text", "id")
+    chosen = groups(d.drop("row")).where("best").select("id", F.col("least").alias("_least"))
+    kept = d.join(chosen, "id").where(F.col("doc_id").eqNullSafe(F.col("_least")))
+    return kept.dropDuplicates(["id"]).select("row.*")
 
 
 def op9_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -6,21 +6,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-import corpus_pipeline
-from chronoframe.llm import fingerprints, lines, mixing, neardup, neighbours, packing, personal, quality, suffixes, urls
+from chronoframe.llm import fingerprints, lines, mixing, neardup, neighbours, packing, personal, pipeline, quality, suffixes, urls
 
 OPERATORS = (fingerprints, mixing, packing, quality, urls, personal, lines, neardup, suffixes, neighbours)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = {name: function for module in OPERATORS for name, function in module.QUERIES.items()}
-    if corpus_pipeline.STAGES:
-        found["pipeline"] = corpus_pipeline.run
-    return found
+    return found | {"pipeline": pipeline.run}
 
 
 def oracle_sql() -> dict[str, str]:
-    found = {name: sql for module in OPERATORS for name, sql in getattr(module, "SQL", {}).items()}
-    if corpus_pipeline.ORACLE_SQL:
-        found["pipeline"] = corpus_pipeline.ORACLE_SQL
-    return found
+    return {name: sql for module in OPERATORS for name, sql in getattr(module, "SQL", {}).items()}

@@ -23,9 +23,8 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chronoframe.llm.common import materialize, partitions, read, text_of
+from chronoframe.llm.common import materialize, partitions, read, text_of, with_text_id
 from chronoframe.llm.linking import BROADCAST_IDS, only
-from chronoframe.llm.neardup import text_key
 
 WINDOW, GRAM, BLOCK = 200, 16, 8
 SPREAD = WINDOW - GRAM  # an anchor begins 0 to SPREAD bytes after its window
@@ -329,7 +328,7 @@ def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     One row per row of docs. Null texts are empty. A text that two rows hold is covered wholly if it has 200 bytes. Texts without
     a repeated window are neither shuffled nor handed to Python a second time. Extra columns are left out.
     """
-    d = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_of(text_col).alias("text")).withColumn("doc", text_key(F.col("text")))
+    d = with_text_id(docs.select(F.col(id_col).cast("long").alias("doc_id"), text_of(text_col).alias("text")), "text", "doc")
     ranges = materialize(covered(d.select("doc", "text")).groupBy("doc").agg(F.collect_set(F.struct("lo", "hi")).alias("ranges")), "covered")
     ids = ranges.select("doc")
     if ids.count() <= BROADCAST_IDS:
