@@ -30,8 +30,8 @@ def distance(a, b) -> int:
     return out
 
 
-def some_alignment(a: list[str], b: list[str], allowed: int) -> bool:
-    """Whether some way to edit the words a into the words b within `allowed` characters is found; False tells nothing.
+def some_alignment(a: list[str], b: list[str], allowed: int) -> int | None:
+    """Characters that some way to edit the words a into the words b takes, if one within `allowed` is found; None tells nothing.
 
     For 0, 1, 2, ... edited words the furthest word that each diagonal reaches is worked out, but only on diagonals that are close behind
     the one that has come furthest, and with it the characters that its edits cost at most.
@@ -48,14 +48,14 @@ def some_alignment(a: list[str], b: list[str], allowed: int) -> bool:
             if x + y > best:
                 best = x + y
             if x == n and y == m and cost[i] <= allowed:
-                return True
+                return cost[i]
         first, last = 0, len(reach) - 1
         while first < last and (2 * reach[first] - low - first < best - BEHIND or cost[first] > allowed):
             first += 1
         while last > first and (2 * reach[last] - low - last < best - BEHIND or cost[last] > allowed):
             last -= 1
         if cost[first] > allowed and first == last:
-            return False
+            return None
         kept, paid, low = reach[first : last + 1], cost[first : last + 1], low + first - 1
         reach, cost = [], []
         for i in range(len(kept) + 2):
@@ -77,7 +77,7 @@ def some_alignment(a: list[str], b: list[str], allowed: int) -> bool:
         while len(reach) > 1 and cost[-1] > allowed:
             reach.pop()
             cost.pop()
-    return False
+    return None
 
 
 def banded(a: list, b: list, allowed: int) -> int | None:

@@ -29,7 +29,7 @@ from chronoframe.llm.neardup import _mix
 #: Blocks of a SimHash, how many make a key, bits in which a pair of a star may differ; similarity; and the length up to which short lines are found for certain.
 BLOCKS, TAKEN, MOST_BITS, SIMILARITY, SHORT = 2, 1, 22, 0.8, 14
 #: n-gram lengths with the least and most bytes of a line that has them, MinHashes to a band, and bands. A range starts at or below 0.8 of the end before.
-GRAMS, BAND, BANDS = ((4, 12, 80), (8, 64, 1 << 62)), 3, 9
+GRAMS, BAND, BANDS = ((4, 12, 80), (8, 64, 1 << 62)), 4, 10
 #: Characters that are prepared at once, besides a longer text's; lines that a task remembers to have sent.
 AT_ONCE, SENT = 1 << 18, 400_000
 #: Places of lines up to this many are broadcast (some 30 bytes each) to find them in the documents.
@@ -173,20 +173,21 @@ class Lines:
     def near_columns(size_x, mark_x, size_y, mark_y):
         return (F.least(size_x, size_y) >= F.lit(SIMILARITY) * F.greatest(size_x, size_y) - F.lit(1e-9)) & (F.bit_count(mark_x.bitwiseXOR(mark_y)) <= MOST_BITS)
 
-    def possible(self, xs: np.ndarray, ys: np.ndarray) -> np.ndarray:
-        longer, apart = np.maximum(self.sizes[xs], self.sizes[ys]), np.abs(self.sizes[ys] - self.sizes[xs])
-        allowed = (1 - SIMILARITY) * longer + 1e-9
-        out = apart <= allowed
+    @staticmethod
+    def allowed(size_x, size_y):
+        return ((1 - SIMILARITY) * np.maximum(size_x, size_y) + 1e-9).astype(np.int64)
+
+    def least(self, xs: np.ndarray, ys: np.ndarray) -> np.ndarray:
         # an edit changes the length or two characters' counts
-        out[out] = (np.abs(self.bins[ys[out]] - self.bins[xs[out]]).sum(1) + apart[out]) // 2 <= allowed[out]
-        return out
+        return (np.abs(self.bins[ys] - self.bins[xs]).sum(1, dtype=np.int64) + np.abs(self.sizes[ys] - self.sizes[xs])) // 2
 
-    def same(self, x: int, y: int) -> bool:
+    def measured(self, x: int, y: int) -> tuple[int, int]:
         for k in (x, y):
             if k not in self.words:
                 self.words[k] = self.lines[k].split(" ")
-        allowed = int((1 - SIMILARITY) * max(self.sizes[x], self.sizes[y]) + 1e-9)
-        return some_alignment(self.words[x], self.words[y], allowed) or distance(self.lines[x], self.lines[y]) <= allowed
+        allowed = int(self.allowed(self.sizes[x], self.sizes[y]))
+        most = some_alignment(self.words[x], self.words[y], allowed)
+        return (0, most) if most is not None else (exact := distance(self.lines[x], self.lines[y]), exact)
 
 
 def _doc_key(doc_id, text):

@@ -5,7 +5,8 @@ apart is compared in full, but in tasks of bounded size: only members that are n
 skips pairs that its earlier links already connect. So no link between different groups is lost, no bucket is limited, and
 no bucket's pairs are ever written out. Of buckets with the same members only one is compared.
 
-Rows of buckets are narrow (key, id, size, mark); values are fetched for those members only whose pairs sizes and marks allow.
+Rows of buckets are narrow (key, id, size, mark); values are fetched for those members only whose pairs sizes and marks allow. The
+measure is a metric: two members whose distances from their hub differ by more than two like members may be apart are not compared.
 """
 
 from __future__ import annotations
@@ -22,11 +23,13 @@ from chronoframe.llm.common import discard, materialize
 
 #: Members of a bucket that a task compares at once, twice; pairs tested at once; ids up to this many are broadcast (8 bytes each) to filter a table.
 CHUNK, PAIRS, BROADCAST_IDS = 256, 8192, 1_000_000
-TASK = ["key", "i", "j", "id", "root", "rest", "chunk", "size", "mark"]
+#: A distance that none exceeds.
+FAR = 1 << 30
+TASK = ["key", "i", "j", "id", "root", "rest", "chunk", "size", "mark", "low", "high"]
 
 
 class Values(Protocol):
-    """Values that are compared with each other, prepared once each. What it keeps must be small next to the values."""
+    """Values between which a metric of whole numbers is measured, prepared once each. What it keeps must be small next to the values."""
 
     def __init__(self, values: Sequence[str]): ...
 
@@ -38,10 +41,15 @@ class Values(Protocol):
     def near_columns(size_x: Column, mark_x: Column, size_y: Column, mark_y: Column) -> Column:
         """The same as near(), of columns."""
 
-    def possible(self, xs: np.ndarray, ys: np.ndarray) -> np.ndarray:
-        """For pairs of positions, whether they may be the same: a quick test that never denies a pair that is."""
+    @staticmethod
+    def allowed(size_x: np.ndarray, size_y: np.ndarray) -> np.ndarray:
+        """The distance up to which two values of these sizes are the same."""
+
+    def least(self, xs: np.ndarray, ys: np.ndarray) -> np.ndarray:
+        """For pairs of positions, a distance that they have at least: a quick bound."""
 
-    def same(self, x: int, y: int) -> bool: ...
+    def measured(self, x: int, y: int) -> tuple[int, int]:
+        """Bounds of a distance from below and above; the upper one is within what is allowed if the distance is."""
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -76,7 +84,7 @@ def only(rows: DataFrame, ids: DataFrame, column: str) -> DataFrame:
 
 
 def _verified(values_of: type[Values]):
-    """Of rows a, b, x, y those whose values x and y are the same."""
+    """Of rows a, b, size, hub_size, x, y the bounds of the distance from x to y, and whether it links a and b."""
 
     def verify(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -84,31 +92,33 @@ def _verified(values_of: type[Values]):
                 part = batch.iloc[at : at + PAIRS // 8]
                 codes, texts = pd.factorize(pd.concat([part["x"], part["y"]]))
                 values, n = values_of(list(texts)), len(part)
-                kept = values.possible(codes[:n], codes[n:])
-                for k in np.flatnonzero(kept).tolist():
-                    kept[k] = values.same(int(codes[k]), int(codes[n + k]))
-                yield part.loc[kept, ["a", "b"]]
+                low, high = values.least(codes[:n], codes[n:]), np.full(n, FAR)
+                allowed = values_of.allowed(part["size"].to_numpy(), part["hub_size"].to_numpy())
+                for k in np.flatnonzero(low <= allowed).tolist():
+                    low[k], high[k] = values.measured(int(codes[k]), int(codes[n + k]))
+                yield pd.DataFrame({"a": part["a"], "b": part["b"], "low": low, "high": high, "linked": high <= allowed})
 
     return verify
 
 
-def _alone(near: Callable[[np.ndarray, np.ndarray, np.ndarray, np.ndarray], np.ndarray]):
-    """Of the members of tasks (key, i, j) that lie together those with a partner that sizes and marks allow."""
+def _alone(values_of: type[Values]):
+    """Of the members of tasks (key, i, j) that lie together those with a partner that sizes, marks and distances from the hub allow."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for group, starts in _grouped(batches):
-            found, sizes, marks = np.zeros(len(group), bool), group["size"].to_numpy(), group["mark"].to_numpy()
-            for xs, ys in _meeting(group, starts):
-                met = near(sizes[xs], marks[xs], sizes[ys], marks[ys])
-                found[xs[met]] = found[ys[met]] = True
+            found = np.zeros(len(group), bool)
+            for xs, ys in _meeting(values_of, group, starts):
+                found[xs] = found[ys] = True
             yield group.loc[found]
 
     return run
 
 
-def _meeting(group: pd.DataFrame, starts: list[int]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Positions of the pairs of each task's members: the rest with the largest group, or with itself within a chunk or across two."""
+def _meeting(values_of: type[Values], group: pd.DataFrame, starts: list[int]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Positions of the pairs of each task's members that may be the same: the rest with the largest group, or with itself within
+    a chunk or across two."""
     roots, rest, chunk = pd.factorize(group["root"])[0], group["rest"].to_numpy(), group["chunk"].to_numpy()
+    sizes, marks, low, high = (group[c].to_numpy() for c in ("size", "mark", "low", "high"))
     largest, across = (group["j"] < 0).to_numpy(), (group["i"] != group["j"]).to_numpy()
     for begin, end in zip(starts, [*starts[1:], len(group)], strict=True):
         at = np.arange(begin, end)
@@ -116,6 +126,9 @@ def _meeting(group: pd.DataFrame, starts: list[int]) -> Iterator[tuple[np.ndarra
         for k in range(0, len(own), step):
             xs, ys = np.repeat(own[k : k + step], len(at)), np.tile(at, len(own[k : k + step]))
             met = (roots[xs] != roots[ys]) & (~rest[ys] if largest[begin] else (ys > xs) & ((chunk[xs] != chunk[ys]) if across[begin] else rest[ys]))
+            xs, ys = xs[met], ys[met]
+            met = values_of.near(sizes[xs], marks[xs], sizes[ys], marks[ys])
+            met &= np.maximum(low[xs] - high[ys], low[ys] - high[xs]) <= values_of.allowed(sizes[xs], sizes[ys])
             yield xs[met], ys[met]
 
 
@@ -136,13 +149,13 @@ def _grouped(batches: Iterator[pd.DataFrame]) -> Iterator[tuple[pd.DataFrame, li
         yield left.reset_index(drop=True), [0]
 
 
-def _compared(values_of: type[Values], near: Callable[[np.ndarray, np.ndarray, np.ndarray, np.ndarray], np.ndarray]):
+def _compared(values_of: type[Values]):
     """Links between members of tasks (key, i, j) that lie together."""
 
     def compared(group: pd.DataFrame, starts: list[int]) -> pd.DataFrame:
         codes, first = pd.factorize(group["id"])
         values = values_of(group["value"].iloc[np.unique(codes, return_index=True)[1]].tolist())
-        roots, sizes, marks, out = pd.factorize(group["root"])[0], group["size"].to_numpy(), group["mark"].to_numpy(), []
+        roots, sizes, out = pd.factorize(group["root"])[0], group["size"].to_numpy(), []
         above = list(range(len(roots)))
 
         def top(x: int) -> int:
@@ -151,11 +164,11 @@ def _compared(values_of: type[Values], near: Callable[[np.ndarray, np.ndarray, n
                 x = above[x]
             return x
 
-        for xs, ys in _meeting(group, starts):
-            met = near(sizes[xs], marks[xs], sizes[ys], marks[ys])
-            met[met] = values.possible(codes[xs[met]], codes[ys[met]])
-            for x, y in zip(xs[met].tolist(), ys[met].tolist(), strict=True):
-                if (r := top(roots[x])) != (s := top(roots[y])) and values.same(int(codes[x]), int(codes[y])):
+        for xs, ys in _meeting(values_of, group, starts):
+            allowed = values_of.allowed(sizes[xs], sizes[ys])
+            met = values.least(codes[xs], codes[ys]) <= allowed
+            for x, y, most in zip(xs[met].tolist(), ys[met].tolist(), allowed[met].tolist(), strict=True):
+                if (r := top(roots[x])) != (s := top(roots[y])) and values.measured(int(codes[x]), int(codes[y]))[1] <= most:
                     above[r] = s
                     out.append((first[codes[x]], first[codes[y]]))
         return pd.DataFrame(out, columns=["a", "b"])
@@ -185,45 +198,48 @@ def link(members: DataFrame, payload: Callable[[DataFrame], DataFrame], values_o
 
     Returns id, root for all ids that are connected with another one by pairs that share a key and are the same.
     """
-    near, near_columns = values_of.near, values_of.near_columns
     dealt = members.repartition("key")
     # all columns, so that both sides of the join read one shuffle
     stats = dealt.groupBy("key").agg(F.min("id").alias("hub"), F.max("id").alias("last"), F.max("size").alias("s"), F.max("mark").alias("m")).where("hub < last and s is not null and m is not null").select("key", "hub")
-    shared = materialize(dealt.join(stats.hint("shuffle_hash"), "key").select("key", "hub", "id", "size", "mark"), "buckets")
+    shared = dealt.join(stats.hint("shuffle_hash"), "key").groupBy("key", "hub", "id").agg(F.max("size").alias("size"), F.max("mark").alias("mark"))
+    shared = materialize(shared, "buckets")
     # one of the buckets with the same members, by two sums over their ids
     own = F.col("id") == F.col("hub")
-    single = shared.groupBy("key", "hub", "id").agg(F.max("size").alias("size"), F.max("mark").alias("mark"))
-    facts = single.groupBy("key", "hub").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("id")).alias("x"), F.bit_xor(F.xxhash64("id", F.lit(1))).alias("y"), F.max(F.when(own, F.col("size"))).alias("hub_size"), F.max(F.when(own, F.col("mark"))).alias("hub_mark"))
+    facts = shared.groupBy("key", "hub").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("id")).alias("x"), F.bit_xor(F.xxhash64("id", F.lit(1))).alias("y"), F.max(F.when(own, F.col("size"))).alias("hub_size"), F.max(F.when(own, F.col("mark"))).alias("hub_mark"))
     buckets = materialize(facts.dropDuplicates(["hub", "n", "x", "y"]).select("key", "hub_size", "hub_mark"), "different-buckets")
-    rows = shared.where("id != hub").join(buckets, "key").groupBy("key", "hub", "id").agg(*[F.max(c).alias(c) for c in ("size", "mark", "hub_size", "hub_mark")])
-    rows = materialize(rows.withColumn("near", near_columns(F.col("size"), F.col("mark"), F.col("hub_size"), F.col("hub_mark"))).drop("hub_size", "hub_mark"), "different-members")
+    rows = shared.where("id != hub").join(buckets, "key").withColumn("near", values_of.near_columns(F.col("size"), F.col("mark"), F.col("hub_size"), F.col("hub_mark"))).drop("hub_mark")
+    rows = materialize(rows, "different-members")
     discard(shared, buckets)
-    pairs = materialize(rows.where("near").select(F.col("id").alias("a"), F.col("hub").alias("b")).distinct(), "pairs")
+    pairs = materialize(rows.where("near").select(F.col("id").alias("a"), F.col("hub").alias("b"), "size", "hub_size").distinct(), "pairs")
     ids = materialize(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct(), "pair-ids")
     values = materialize(payload(ids), "values")
     with_values = pairs.join(values.toDF("b", "y"), "b").join(values.toDF("a", "x"), "a")
-    star = materialize(with_values.select("a", "b", "x", "y").mapInPandas(_verified(values_of), "a long, b long"), "star-links")
-    roots = components(star)
+    star = materialize(with_values.select("a", "b", "size", "hub_size", "x", "y").mapInPandas(_verified(values_of), "a long, b long, low long, high long, linked boolean"), "star-distances")
+    links = star.where("linked").select("a", "b")
+    roots = components(links)
     discard(pairs, ids, values)
     # buckets that still hold several groups besides their hub, which has met them all
-    rooted = rows.join(roots, "id", "left").select("key", "id", "size", "mark", F.coalesce("root", "id").alias("root"))
+    rooted = rows.join(roots, "id", "left").select("key", "hub", "id", "size", "mark", F.coalesce("root", "id").alias("root"))
     sizes = rooted.groupBy("key", "root").agg(F.count("*").alias("n"))
     split = sizes.groupBy("key").agg(F.count("*").alias("groups"), F.sum("n").alias("all"), F.max(F.struct("n", "root")).alias("main")).where("groups > 1")
     split = split.select("key", F.col("main.root").alias("main"), F.col("main.n").alias("n_main"), (F.col("all") - F.col("main.n")).alias("n_rest"))
-    tasks = _tasks(rooted.join(split, "key").withColumn("rest", F.col("root") != F.col("main")))
+    split = rooted.join(split, "key").withColumn("rest", F.col("root") != F.col("main"))
+    bounds = star.select(F.col("a").alias("id"), F.col("b").alias("hub"), "low", "high")
+    split = split.join(bounds, ["id", "hub"], "left").withColumns({"low": F.coalesce("low", F.lit(0)), "high": F.coalesce("high", F.lit(FAR))})
+    tasks = _tasks(split)
     together = lambda t: t.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "id")
-    tasks = materialize(together(tasks).mapInPandas(_alone(near), tasks.schema), "tasks")
+    tasks = materialize(together(tasks).mapInPandas(_alone(values_of), tasks.schema), "tasks")
     discard(rows)
     if tasks.isEmpty():
         discard(tasks, star)
         return roots
     ids = materialize(tasks.select("id").distinct(), "task-ids")
     values = materialize(payload(ids), "values")
-    more = materialize(together(tasks.join(values, "id").select(*TASK, "value")).mapInPandas(_compared(values_of, near), "a long, b long"), "more-links")
+    more = materialize(together(tasks.join(values, "id").select(*TASK, "value")).mapInPandas(_compared(values_of), "a long, b long"), "more-links")
     discard(tasks, ids, values)
     if more.isEmpty():
         discard(star, more)
         return roots
-    both = components(star.unionByName(more))
+    both = components(links.unionByName(more))
     discard(star, more, roots)
     return both

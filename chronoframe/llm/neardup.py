@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from chronoframe.llm.common import discard, materialize, read, text_of, with_text_id
 from chronoframe.llm.edits import banded, distance, trimmed
-from chronoframe.llm.linking import link, only
+from chronoframe.llm.linking import FAR, link, only
 
 WORDS, SIMILARITY, SKETCHES, LEAST = 5, 0.8, 16, 2
 #: Edited words up to which the band grows with the distance; beyond them whole columns are worked out in bits.
@@ -89,18 +89,6 @@ def sketches(h: np.ndarray, least: int = LEAST) -> np.ndarray:
     return out.view(np.int64)
 
 
-def alike(a: np.ndarray, b: np.ndarray, similarity: float = SIMILARITY) -> bool:
-    """Whether 1 - edits / longer length reaches the similarity, for sequences of words. Texts without words are like no other text."""
-    longer = max(len(a), len(b))
-    allowed = int((1 - similarity) * longer + 1e-9)
-    if not longer or abs(len(a) - len(b)) > allowed:
-        return False
-    a, b = (x.tolist() for x in trimmed(a, b))
-    if banded(a, b, min(allowed, BAND)) is not None:
-        return True
-    return allowed > BAND and distance(a, b) <= allowed
-
-
 class Texts:
     """Texts as words, with a histogram of their hashes: what two have in common bounds their edits from below."""
 
@@ -121,15 +109,27 @@ class Texts:
     def near_columns(size_x, mark_x, size_y, mark_y):
         return F.least(size_x, size_y) >= F.lit(SIMILARITY) * F.greatest(size_x, size_y) - F.lit(1e-9)
 
-    def possible(self, xs: np.ndarray, ys: np.ndarray) -> np.ndarray:
-        longer = np.maximum(self.sizes[xs], self.sizes[ys])
-        common = np.empty(len(xs), int)
+    @staticmethod
+    def allowed(size_x, size_y):
+        """Texts without words are like no other one."""
+        longer = np.maximum(size_x, size_y)
+        return np.where(longer > 0, ((1 - SIMILARITY) * longer + 1e-9).astype(np.int64), -1)
+
+    def least(self, xs: np.ndarray, ys: np.ndarray) -> np.ndarray:
+        common = np.empty(len(xs), np.int64)
         for k in range(0, len(xs), 1024):
             common[k : k + 1024] = np.minimum(self.bins[xs[k : k + 1024]], self.bins[ys[k : k + 1024]]).sum(1)
-        return longer - common <= (1 - SIMILARITY) * longer + 1e-9
-
-    def same(self, x: int, y: int) -> bool:
-        return alike(self.words[x], self.words[y])
+        return np.maximum(self.sizes[xs], self.sizes[ys]) - common
+
+    def measured(self, x: int, y: int) -> tuple[int, int]:
+        allowed = int(self.allowed(self.sizes[x], self.sizes[y]))
+        a, b = (w.tolist() for w in trimmed(self.words[x], self.words[y]))
+        d = banded(a, b, min(allowed, BAND))
+        if d is None:
+            if allowed <= BAND:
+                return allowed + 1, FAR
+            d = distance(a, b)
+        return d, d
 
 
 def groups(docs: DataFrame) -> DataFrame:
