@@ -19,8 +19,8 @@ from pyspark.sql import functions as F
 from chronoframe.llm.common import read, text_of
 
 WIDTH, FILTERS, CHUNK = 4, 16, 256
-#: Training: at most so many labelled documents, chosen by a hash of the id, none of them longer than so many characters.
-TRAIN_DOCS, TRAIN_CHARS, EPOCHS, BATCH = 3000, 50_000, 14, 24
+#: Training: at most so many labelled documents, chosen by a hash of the id.
+TRAIN_DOCS, EPOCHS, BATCH = 3000, 14, 24
 THRESHOLD = 0.3
 #: Weight of a document with label 0 in the loss; offsets a threshold below one half.
 REJECT_WEIGHT = 2.5
@@ -139,10 +139,10 @@ def held_out(doc_id):
 
 
 def train(docs: DataFrame, labels: DataFrame, label: str = "quality", id_col: str = "doc_id", text_col: str = "text", limit: int = TRAIN_DOCS) -> Model:
-    """Fit on at most `limit` labelled documents that are not held out. Null labels and ids, and texts over TRAIN_CHARS, are left out."""
+    """Fit on at most `limit` labelled documents that are not held out. Null labels and ids are left out; texts are learnt from as a whole."""
     known = labels.select(F.col("doc_id").alias("_id"), F.col(label).alias("_label")).where(F.col("_label").isNotNull() & ~held_out(F.col("_id")))
     drawn = known.orderBy(F.xxhash64("_id"), "_label").limit(limit)
-    rows = docs.select(F.col(id_col).alias("_id"), text_of(text_col).alias("_text")).where(F.length("_text") <= TRAIN_CHARS).join(F.broadcast(drawn), "_id")
+    rows = docs.select(F.col(id_col).alias("_id"), text_of(text_col).alias("_text")).join(F.broadcast(drawn), "_id")
     rows = sorted(((r["_id"], r["_text"], r["_label"]) for r in rows.orderBy(F.xxhash64("_id", "_text")).limit(limit).collect()))
     return fit([t.encode() for _, t, _ in rows], np.array([float(y) for _, _, y in rows], np.float32))
 

@@ -11,7 +11,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from chronoframe.llm import fingerprints, lines, mixing, neardup, neighbours, packing, personal, quality, queries, suffixes, urls
+from chronoframe.llm import edits, fingerprints, lines, mixing, neardup, neighbours, packing, personal, quality, queries, suffixes, urls
 
 DATA = "/root/testdata/sf0.001"
 SCHEMA = "doc_id long, text string, source string, size string, ghost int, lang string, n_chars long"
@@ -193,40 +193,62 @@ def test_bare_names(spark):
     assert greek[2] == greek[3] != "Ιωάννου" and got[3].n_entities == 2
 
 
-def test_edit_distance():
+def levenshtein(a, b):
+    row = list(range(len(b) + 1))
+    for i, c in enumerate(a):
+        new = [i + 1]
+        for j, d in enumerate(b):
+            new.append(min(new[-1] + 1, row[j + 1] + 1, row[j] + (c != d)))
+        row = new
+    return row[-1]
+
+
+def test_edit_distances():
     r = random.Random(0)
     for _ in range(300):
         a, b = ("".join(r.choice("abc") for _ in range(r.randint(0, 12))) for _ in range(2))
-        row = list(range(len(b) + 1))
-        for i, c in enumerate(a):
-            new = [i + 1]
-            for j, d in enumerate(b):
-                new.append(min(new[-1] + 1, row[j + 1] + 1, row[j] + (c != d)))
-            row = new
-        assert lines.edits(a, b) == row[-1]
+        d = levenshtein(a, b)
+        assert edits.distance(a, b) == d
+        for allowed in (0, 2, 5, 20):
+            assert edits.banded(list(a), list(b), allowed) == (d if d <= allowed else None)
+    for _ in range(300):
+        a = [r.choice(["a", "bc", "def", "gg"]) for _ in range(r.randint(1, 15))]
+        b = [w if r.random() < 0.8 else r.choice(["x", "bc", "longer"]) for w in a if r.random() < 0.9] or ["x"]
+        most = edits.some_alignment(a, b, 20)
+        assert most is None or levenshtein(" ".join(a), " ".join(b)) <= most <= 20
+
+
+def normal(line):
+    return lines.normalised(line)[0].decode()
+
+
+def similar(a, b):
+    """By the definition alone."""
+    allowed = 0.2 * max(len(a), len(b)) + 1e-9
+    return abs(len(a) - len(b)) <= allowed and levenshtein(a, b) <= allowed
 
 
 def expected_lines(rows):
     """Kept texts by plain comparison of all lines."""
-    occurrences = [(i is None, i or 0, k, lines.normalised(x), (i, t)) for i, t in rows for k, x in enumerate(t.split("\n"))]
+    occurrences = [(i is None, i or 0, k, normal(x), (i, t)) for i, t in rows for k, x in enumerate(t.split("\n"))]
     norms = sorted({o[3] for o in occurrences if o[3]})
     group = {n: n for n in norms}
-    values = lines.Hashed(norms)
     for x, n in enumerate(norms):
         for y in range(x):
-            if min(n.count(" "), norms[y].count(" ")) >= 4 and len(values.possible(x, np.array([y]))) and values.same(x, y):
+            if similar(n, norms[y]):
                 old, new = group[n], group[norms[y]]
                 group = {k: new if g == old else g for k, g in group.items()}
     first = {}
     for o in sorted((o for o in occurrences if o[3]), key=lambda o: o[:3]):
         first.setdefault(group[o[3]], (o[4], o[2]))
-    return {(i, t): "\n".join(x for k, x in enumerate(t.split("\n")) if not lines.normalised(x) or first[group[lines.normalised(x)]] == ((i, t), k)) for i, t in rows}
+    return {(i, t): "\n".join(x for k, x in enumerate(t.split("\n")) if not normal(x) or first[group[normal(x)]] == ((i, t), k)) for i, t in rows}
 
 
 def test_lines(spark):
     base = sentence(9, 60)
     near = base.replace(base.split()[30], base.split()[30] + "q")
-    rows = [(1, f"{base}\n\n!!\n{sentence(3)}"), (2, f"{near}\n{sentence(4)}\nshort"), (3, f"Short\n{base.upper()}\n{sentence(3)} x"), (4, ""), (None, f"{sentence(4)}\nown line here")]
+    long = sentence(40, 300)
+    rows = [(1, f"{base}\n\n!!\n{sentence(3)}"), (2, f"{near}\n{sentence(4)}\nshort"), (3, f"Short\n{base.upper()}\n{sentence(3)} x"), (4, ""), (None, f"{sentence(4)}\nown line here"), (5, long), (6, long.title() + " end"), (7, "naïve – ÉTÉ\nnaïve – été")]
     got = lines.deduplicated(docs_of(spark, [(i, t, "s") for i, t in rows] + [(9, None, "s")])).collect()
     expected = expected_lines(rows)
     assert {r.doc_id: r.text for r in got} == {i: t for (i, _), t in expected.items()} | {9: None}
@@ -237,27 +259,69 @@ def test_lines_by_edit_similarity_alone(spark):
     """One word of twelve, many of sixty and letters of short lines differ; no hash and no number of words decides."""
     few, many = sentence(21, 12).split(), sentence(22, 60).split()
     pairs = [(" ".join(few), " ".join([*few[:5], few[5][::-1] + "z", *few[6:]])), (" ".join(many), " ".join(w + "x" if k % 8 == 0 else w for k, w in enumerate(many))), ("read on here", "read in here"), ("abcdefgh", "abcdefghij")]
-    assert all(lines.alike(a, b) for a, b in pairs) and not lines.alike("abcd", "abcx")
+    assert all(similar(a, b) and lines.alike(a, b) for a, b in pairs) and not lines.alike("abcd", "abcx")
     rows = [(k, x) for k, x in enumerate([a for a, _ in pairs] + ["abcd"] + [b for _, b in pairs] + ["abcx"])]
     got = {r.doc_id: r.n_removed for r in lines.deduplicated(docs_of(spark, [(i, t, "s") for i, t in rows])).collect()}
     assert [got[k] for k in range(10)] == [0] * 5 + [1] * 4 + [0]
 
 
+def test_lines_with_text_ids_and_repeated_rows(spark):
+    """Ids of any type; rows that share id and text are one document; ids that are repeated with another text are not."""
+    text = sentence(31)
+    rows = [("b", f"{text}\nsame"), ("b", f"{text}\nsame"), ("a", text), ("a", "else entirely here"), (None, text)]
+    got = sorted((r.doc_id or "~", r.n_lines, r.n_removed) for r in lines.deduplicated(spark.createDataFrame(rows, "doc_id string, text string")).collect())
+    assert got == sorted([("b", 2, 1), ("b", 2, 1), ("a", 1, 0), ("a", 1, 0), ("~", 1, 1)])
+
+
+def test_lines_recall(spark):
+    """Of lines with changed words, found by brute force alone, at least nine in ten are in one group with their origin."""
+    r, pairs = random.Random(5), []
+    for n in (5, 8, 12, 20, 40, 60):
+        for k in range(40):
+            words = sentence(1000 * n + k, n).split()
+            other = list(words)
+            for i in r.sample(range(n), max(1, n // 12)):
+                other[i] = other[i][:-1] + "xyz"[k % 3]
+            if similar(" ".join(words), " ".join(other)):
+                pairs.append((" ".join(words), " ".join(other)))
+    rows = [(2 * k + side, x, "s") for k, pair in enumerate(pairs) for side, x in enumerate(pair)]
+    got = {x.doc_id: x.n_removed for x in lines.deduplicated(docs_of(spark, rows)).collect()}
+    assert sum(got[2 * k + 1] for k in range(len(pairs))) >= 0.9 * len(pairs) and sum(got[2 * k] for k in range(len(pairs))) <= 0.02 * len(pairs)
+
+
 def test_short_lines_share_a_bucket_exactly_when_alike():
     words = [a + b + c for a in ("abcde", "abxde", "abcdefghi") for b in ("", "q", "fghij") for c in ("", "z", "yz")]
-    keys = [set(k.tolist()) for k in lines.bucket_keys(words)]
-    assert all(keys[x] & keys[y] for x in range(len(words)) for y in range(x) if max(len(words[x]), len(words[y])) <= lines.SHORT and lines.alike(words[x], words[y]))
+    where, keys, _ = lines.bucket_keys([w.encode() for w in words])
+    keys = [set(keys[where == k].tolist()) for k in range(len(words))]
+    assert all(keys[x] & keys[y] for x in range(len(words)) for y in range(x) if max(len(words[x]), len(words[y])) <= lines.SHORT and similar(words[x], words[y]))
+
+
+@pytest.mark.parametrize(("n", "changed"), [(50, 2), (100, 3), (300, 10)])
+def test_near_duplicates_recall(spark, n, changed):
+    r, rows = random.Random(n), []
+    for k in range(40):
+        words = sentence(77 * n + k, n).split()
+        other = list(words)
+        for i in r.sample(range(n), changed):
+            other[i] = "zz" + other[i]
+        rows += [(2 * k, " ".join(words), "s"), (2 * k + 1, " ".join(other), "s")]
+    got = {x.doc_id: x.class_id for x in neardup.classes(docs_of(spark, rows)).collect()}
+    assert sum(got[2 * k + 1] == 2 * k for k in range(40)) >= 36 and all(got[2 * k] == 2 * k for k in range(40))
 
 
 def test_near_duplicates(spark, odd):
-    for _ in range(200):
-        a, b = (np.array([random.randint(0, 6) for _ in range(random.randint(1, 20))], np.uint64) for _ in range(2))
-        table = np.zeros((len(a) + 1, len(b) + 1), int)
-        for i in range(len(a)):
-            for j in range(len(b)):
-                table[i + 1, j + 1] = table[i, j] + 1 if a[i] == b[j] else max(table[i, j + 1], table[i + 1, j])
-        matched = table[-1, -1]
-        assert neardup.near(a, b, 0.5) == (matched / (len(a) + len(b) - matched) >= 0.5)
+    """Classes are those of a brute force by edited words."""
+    r, docs = random.Random(3), []
+    for k in range(12):
+        words = sentence(500 + k, 60).split()
+        docs += [" ".join(w for w in words if r.random() > p) for p in (0, 0.02, 0.05, 0.5)]
+    values = neardup.Texts(docs)
+    for x in range(len(docs)):
+        for y in range(x):
+            d = levenshtein(docs[x].split(), docs[y].split())
+            low, high = values.measured(x, y)
+            allowed = int(values.allowed(values.sizes[x], values.sizes[y]))
+            assert low <= d and (high >= d) and (high <= allowed) == (d <= allowed) and values.least(np.array([x]), np.array([y]))[0] <= d
     text = sentence(1, 300)
     words = text.split()
     words[150] = "changed"
@@ -277,16 +341,29 @@ def test_links_lose_nothing(spark):
 
     class Numbers:
         def __init__(self, values):
-            self.v = [int(x) for x in values]
+            self.v = np.array([int(x) for x in values])
+
+        @staticmethod
+        def near(size_x, mark_x, size_y, mark_y):
+            return np.ones(len(size_x), bool)
+
+        @staticmethod
+        def near_columns(size_x, mark_x, size_y, mark_y):
+            return F.lit(True)
+
+        @staticmethod
+        def allowed(size_x, size_y):
+            return np.ones(np.shape(size_x), np.int64)
 
-        def possible(self, x, ys):
-            return ys
+        def least(self, xs, ys):
+            return np.zeros(len(xs), np.int64)
 
-        def same(self, x, y):
-            return abs(self.v[x] - self.v[y]) <= 1
+        def measured(self, x, y):
+            d = abs(int(self.v[x] - self.v[y]))
+            return d, d
 
     ids = [0, *range(10, 320), *range(400, 410)]
-    members = spark.createDataFrame([(1, i) for i in ids], "key long, id long")
+    members = spark.createDataFrame([(key, i, 1, 0) for key in (1, 2) for i in ids], "key long, id long, size int, mark long")
     roots = {r.id: r.root for r in linking.link(members, lambda t: t.select("id", F.col("id").cast("string").alias("value")), Numbers).collect()}
     assert len({roots[i] for i in range(10, 320)}) == 1 and len({roots[i] for i in range(400, 410)}) == 1 and roots[10] != roots[400] and roots.get(0, 0) == 0
 
