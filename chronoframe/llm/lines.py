@@ -6,8 +6,9 @@ edit similarity is 0.8 or more. Of every connected group the first occurrence st
 The buckets of a line are: the two blocks of its 64-bit SimHash over n-grams of bytes, of which one agrees if at most one bit
 differs; bands of MinHashes over the same n-grams, since the SimHashes of most pairs of similarity 0.8 differ in more; and for short
 lines all that is left after deleting as many characters as the similarity allows, which finds every pair of short lines. n-grams are shorter for
-shorter lines; lines between have both, so that a pair of similar lines always has a length of n-grams in common. Pairs
-whose SimHashes differ in over 22 bits are passed over: most similar lines differ in 8 to 20.
+shorter lines; lines between have both, so that a pair of similar lines always has a length of n-grams in common. A
+bucket's hub and a member whose SimHashes differ in over 20 bits are passed over, and two members that differ in over 16: most similar lines
+differ in 8 to 18.
 """
 
 from __future__ import annotations
@@ -23,11 +24,11 @@ from pyspark.sql import functions as F
 
 from chronoframe.llm.common import discard, materialize, read, text_of
 from chronoframe.llm.edits import distance, some_alignment
-from chronoframe.llm.linking import link, only
+from chronoframe.llm.linking import BROADCAST_IDS, link, only
 from chronoframe.llm.neardup import _mix
 
-#: Blocks of a SimHash, how many make a key, bits in which a pair of a star may differ; similarity; and the length up to which short lines are found for certain.
-BLOCKS, TAKEN, MOST_BITS, SIMILARITY, SHORT = 2, 1, 22, 0.8, 14
+#: Blocks of a SimHash, how many make a key, bits in which a member and its hub and in which two members may differ; similarity; and the length up to which short lines are found for certain.
+BLOCKS, TAKEN, MOST_BITS, MORE_BITS, SIMILARITY, SHORT = 2, 1, 20, 16, 0.8, 14
 #: n-gram lengths with the least and most bytes of a line that has them, MinHashes to a band, and bands. A range starts at or below 0.8 of the end before.
 GRAMS, BAND, BANDS = ((4, 12, 80), (8, 64, 1 << 62)), 4, 10
 #: Characters that are prepared at once, besides a longer text's; lines that a task remembers to have sent.
@@ -167,7 +168,7 @@ class Lines:
 
     @staticmethod
     def near(size_x, mark_x, size_y, mark_y):
-        return (np.minimum(size_x, size_y) >= SIMILARITY * np.maximum(size_x, size_y) - 1e-9) & (np.bitwise_count((mark_x ^ mark_y).view(np.uint64)) <= MOST_BITS)
+        return (np.minimum(size_x, size_y) >= SIMILARITY * np.maximum(size_x, size_y) - 1e-9) & (np.bitwise_count((mark_x ^ mark_y).view(np.uint64)) <= MORE_BITS)
 
     @staticmethod
     def near_columns(size_x, mark_x, size_y, mark_y):
@@ -259,23 +260,33 @@ def members_of(docs: DataFrame) -> DataFrame:
     return docs.select("text").mapInArrow(run, "key long, id long, size int, mark long")
 
 
+def _joined(rows: DataFrame, few: DataFrame, on: str, most: int, how: str = "inner") -> DataFrame:
+    """By broadcast where `few` has at most so many rows, else by a shuffled join."""
+    return rows.join(F.broadcast(few) if few.count() <= most else few, on, how)
+
+
 def marked(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The lines to remove as doc, doc_id, line."""
     d = docs.select(F.col(id_col).alias("doc_id"), text_of(text_col).alias("text"))
-    lines = materialize(lines_of(d), "lines")
+    found = materialize(lines_of(d), "lines")
+    # a place of every line; where a line occurs more than once, its first place is looked for below
+    sums = lambda t: materialize(t.groupBy("id").agg(F.count("*").alias("n"), F.min("check").alias("a"), F.max("check").alias("b"), *[F.first(c).alias(c) for c in ("doc", "doc_id", "line")]), "distinct-lines")
+    lines, distinct = found, sums(found)
+    clashes = distinct.where("a != b").select("id", "a")
+    if not clashes.isEmpty():  # different lines that share 64 bits: one keeps its id, others get one that no bucket has
+        lines = lines.join(clashes, "id", "left").withColumn("id", F.when(F.col("check") != F.col("a"), F.xxhash64(F.lit("other"), "check")).otherwise(F.col("id"))).drop("a")
+        lines = materialize(lines, "lines")
+        distinct = sums(lines)
+    roots = link(members_of(d), lambda ids: _lines_with(d, only(distinct, ids, "id").select("id", "doc", "doc_id", "line")), Lines)
     place = F.struct(F.col("doc_id").isNull().alias("unknown"), "doc_id", "doc", "line")
-    distinct = materialize(lines.groupBy("id", "check").agg(F.min(place).alias("first"), F.count("*").alias("n")), "distinct-lines")
-    # should two lines share 64 bits, only one of them is compared with others; equality goes by all 128
-    speakers = distinct.groupBy("id").agg(F.min("check").alias("check"))
-    roots = link(members_of(d), lambda ids: _lines_with(d, only(distinct, ids, "id").join(speakers, ["id", "check"]).select("id", "first.doc", "first.doc_id", "first.line")), Lines)
-    linked = distinct.join(speakers, ["id", "check"]).join(roots, "id").select("id", "check", "first", "root")
-    best = linked.groupBy("root").agg(F.min("first").alias("best"))
-    moved = linked.join(best, "root").select("id", "check", "best")
-    copied = distinct.where("n > 1").join(moved, ["id", "check"], "left_anti").select("id", "check", F.col("first").alias("best"))
-    state = materialize(moved.unionByName(copied), "line-groups")
-    extra = lines.join(state, ["id", "check"]).where((F.col("doc") != F.col("best.doc")) | (F.col("line") != F.col("best.line")) | ~F.col("doc_id").eqNullSafe(F.col("best.doc_id")))
+    firsts = materialize(only(lines, distinct.where("n > 1").select("id"), "id").groupBy("id").agg(F.min(place).alias("first")), "first-places")
+    linked = _joined(distinct, roots, "id", BROADCAST_IDS).select("id", "root", place.alias("own"))
+    linked = materialize(linked.join(firsts, "id", "left").select("id", "root", F.coalesce("first", "own").alias("first")), "linked-lines")
+    moved = linked.join(linked.groupBy("root").agg(F.min("first").alias("best")), "root").select("id", "best")
+    state = materialize(moved.unionByName(firsts.join(linked, "id", "left_anti").select("id", F.col("first").alias("best"))), "line-groups")
+    extra = _joined(lines, state, "id", BROADCAST_LINES).where((F.col("doc") != F.col("best.doc")) | (F.col("line") != F.col("best.line")) | ~F.col("doc_id").eqNullSafe(F.col("best.doc_id")))
     extra = materialize(extra.select("doc", "doc_id", "line"), "repeated-lines")
-    discard(lines, distinct, roots, state)
+    discard(found, lines, distinct, roots, firsts, linked, state)
     return extra
 
 

@@ -39,7 +39,7 @@ class Values(Protocol):
 
     @staticmethod
     def near_columns(size_x: Column, mark_x: Column, size_y: Column, mark_y: Column) -> Column:
-        """The same as near(), of columns."""
+        """The same of columns, for a hub and a member of its bucket; it may allow more."""
 
     @staticmethod
     def allowed(size_x: np.ndarray, size_y: np.ndarray) -> np.ndarray:
