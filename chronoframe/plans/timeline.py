@@ -184,7 +184,10 @@ def _seconds(w: DataFrame, lo: str = "start", hi: str = "end") -> DataFrame:
     return w.withColumn(lo, F.col(lo) / 1e6).withColumn(hi, F.col(hi) / 1e6)
 
 
-@query("window_pick")
+@query("window_pick", f"""WITH {_ISL}, {_SCENES}, m AS (SELECT win.video_id, win.win, any_value(win.s / 1e6) AS a, any_value(win.e / 1e6) AS z, coalesce(list(mid / 1e6 ORDER BY mid) FILTER (mid / 1e6 BETWEEN win.s / 1e6 AND win.e / 1e6), []) AS mids FROM win LEFT JOIN sc USING (video_id) GROUP BY ALL),
+f AS (SELECT *, len(mids) AS n, 4 - len(mids) AS need, list_filter(list_transform(CASE WHEN z > a THEN [1, 2, 3, 4, 5] ELSE [] END, lambda i: a + ((z - a) / 6) * i), lambda c: len(list_filter(mids, lambda x: abs(c - x) <= greatest(0.5, (z - a) * 0.05))) = 0) AS far FROM m)
+SELECT video_id, win, CASE WHEN n = 4 THEN mids WHEN n > 4 THEN list_transform(list_sort(list_distinct(list_transform([0, 1, 2, 3], lambda i: round_even(i * ((n - 1) / 3), 0)::BIGINT))), lambda i: mids[i + 1])
+WHEN len(far) >= need THEN list_sort(list_concat(mids, far[1:need])) ELSE list_sort(list_concat(mids, list_transform(CASE WHEN z > a THEN generate_series(1, need) ELSE [] END, lambda i: a + ((z - a) / (need + 1)) * i))) END AS moments FROM f""")
 def window_pick(spark, sf_dir):
     s = segments(spark, sf_dir)
     mids = intervals.with_midpoints(scenes(s)).groupBy("video_id").agg(F.collect_list(F.col("midpoint") / 1e6).alias("mids"))
@@ -265,12 +268,12 @@ def url_classify(spark, sf_dir):
 
 def _words(spark, sf_dir):
     """Words of a document's text with a confidence by position, as strings, some of which are not numbers."""
-    d = table(spark, sf_dir, "documents").where("text is not null").select("doc_id", F.split("text", "[ \n]", -1).alias("w"))
+    d = table(spark, sf_dir, "documents").select("doc_id", F.split(F.coalesce("text", F.lit("")), "[ \n]", -1).alias("w"))
     c = F.transform("w", lambda _, i: F.when(i % 11 == 10, F.lit("x")).otherwise(((i * 37) % 100).cast("string")))
     return d.withColumn("c", c)
 
 
-_WORDS = """w AS (SELECT doc_id, unnest(regexp_split_to_array(text, '[ \n]')) AS word, generate_subscripts(regexp_split_to_array(text, '[ \n]'), 1) - 1 AS i FROM documents WHERE text IS NOT NULL),
+_WORDS = """w AS (SELECT doc_id, unnest(regexp_split_to_array(coalesce(text, ''), '[ \n]')) AS word, generate_subscripts(regexp_split_to_array(coalesce(text, ''), '[ \n]'), 1) - 1 AS i FROM documents),
 t AS (SELECT doc_id, coalesce(string_agg(word, ' ' ORDER BY i) FILTER (i % 11 <> 10 AND (i * 37) % 100 >= 50 AND trim(word) <> ''), '') AS text FROM w GROUP BY 1)"""
 
 
@@ -346,7 +349,7 @@ def sampling_mode(spark, sf_dir):
 
 
 def _vtt(spark, sf_dir):
-    """Conversations written as caption files, some cues without hours or text."""
+    """Conversations written as caption files."""
     c = spoken(spark, sf_dir).withColumn("ms", (F.col("start") * 1000).cast("long")).withColumn("me", (F.col("end") * 1000).cast("long"))
     stamp = lambda m: F.format_string("%02d:%02d:%02d.%03d", F.floor(m / 3600000), F.floor(m / 60000) % 60, F.floor(m / 1000) % 60, m % 1000)
     cue = F.concat(stamp(F.col("ms")), F.lit(" --> "), stamp(F.col("me")), F.lit(" align:start\n<c>"), F.regexp_replace("text", r"\s+", " "), F.lit("</c>\n"))
@@ -354,7 +357,10 @@ def _vtt(spark, sf_dir):
     return d.groupBy("video_id").agg(captions.ordered_text("seq", "cue").alias("body")).select("video_id", F.concat(F.lit("WEBVTT\n\n"), F.col("body")).alias("value"))
 
 
-@query("vtt_parse")
+@query("vtt_parse", rf"""WITH {_SPOKEN}, q AS (SELECT video_id, s, e, 3 * row_number() OVER (PARTITION BY video_id ORDER BY seq) - 1 AS seq, trim(regexp_replace('<c>' || regexp_replace(text, '\s+', ' ', 'g') || '</c>', '<[^>]+>', '', 'g')) AS text FROM sp),
+b AS (SELECT *, lag(text) OVER (PARTITION BY video_id ORDER BY seq) AS p FROM q WHERE text <> ''), c AS (SELECT *, CASE WHEN p IS NULL OR NOT (text = p OR starts_with(text, p || ' ')) THEN 1 ELSE 0 END AS new FROM b),
+r AS (SELECT *, sum(new) OVER (PARTITION BY video_id ORDER BY seq ROWS UNBOUNDED PRECEDING) AS run FROM c)
+SELECT video_id, min(seq)::BIGINT AS seq, arg_min(s, seq) AS "start", arg_max(e, seq) AS "end", arg_max(text, seq) AS text FROM r GROUP BY video_id, run""")
 def vtt_parse(spark, sf_dir):
     return captions.parse_vtt(_vtt(spark, sf_dir))
 
@@ -367,17 +373,17 @@ def response_normalise(spark, sf_dir):
     return captions.normalised_response(table(spark, sf_dir, "events").select(i.alias("video_id"), raw.alias("json")))
 
 
-@query("scene_report", f"WITH {_ISL}, {_SCENES} SELECT video_id, count(*) AS scene_count, sum(mid) AS midpoints FROM sc GROUP BY 1")
+@query("scene_report", f'WITH {_ISL}, {_SCENES} SELECT video_id, scene_no, s AS "start", e AS "end", mid AS midpoint FROM sc')
 def scene_report(spark, sf_dir):
     j = report.scene_report(scenes(segments(spark, sf_dir)))
-    d = j.select("video_id", F.from_json("json", "midpoint double")["midpoint"].alias("midpoint"))
-    return d.groupBy("video_id").agg(F.count("*").alias("scene_count"), F.sum("midpoint").alias("midpoints"))
+    read = F.from_json("json", "scene_no long, start long, end long, midpoint double")
+    return j.select("video_id", read["scene_no"].alias("scene_no"), read["start"].alias("start"), read["end"].alias("end"), read["midpoint"].alias("midpoint"))
 
 
-@query("text_map", "SELECT source AS video_id, count(*) AS n FROM documents WHERE text IS NOT NULL GROUP BY 1")
+@query("text_map", "SELECT source AS video_id, doc_id::VARCHAR AS path, json_object(doc_id::VARCHAR, text)::VARCHAR AS json FROM documents WHERE text IS NOT NULL")
 def text_map(spark, sf_dir):
     d = table(spark, sf_dir, "documents").where("text is not null").select(F.col("source").alias("video_id"), F.col("doc_id").cast("string").alias("path"), "text")
-    return report.text_map(d).groupBy("video_id").agg(F.count("json").alias("n"))
+    return report.text_map(d)
 
 
 @query("report_text")
