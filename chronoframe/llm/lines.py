@@ -18,11 +18,12 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chronoframe.llm.common import discard, materialize, read, text_of
+from chronoframe.llm.common import discard, give_back, materialize, read, text_of
 from chronoframe.llm.edits import distance, some_alignment
 from chronoframe.llm.linking import BROADCAST_IDS, link, only
 from chronoframe.llm.neardup import _mix
@@ -31,8 +32,8 @@ from chronoframe.llm.neardup import _mix
 BLOCKS, TAKEN, MOST_BITS, MORE_BITS, SIMILARITY, SHORT = 2, 1, 20, 16, 0.8, 14
 #: n-gram lengths with the least and most bytes of a line that has them, MinHashes to a band, and bands. A range starts at or below 0.8 of the end before.
 GRAMS, BAND, BANDS = ((4, 12, 80), (8, 64, 1 << 62)), 4, 10
-#: Characters that are prepared at once, besides a longer text's; lines that a task remembers to have sent.
-AT_ONCE, SENT = 1 << 18, 400_000
+#: Bytes that are prepared at once, besides a longer text's; lines that a task remembers to have sent.
+AT_ONCE, SENT = 1 << 18, 100_000
 #: Places of lines up to this many are broadcast (some 30 bytes each) to find them in the documents.
 BROADCAST_LINES = 500_000
 _EDGES = [round(64 * k / BLOCKS) for k in range(BLOCKS + 1)]
@@ -196,14 +197,15 @@ def _doc_key(doc_id, text):
     return F.xxhash64(F.lit("doc"), doc_id, text)
 
 
-def _parts(texts: list[str]) -> Iterator[slice]:
-    """Neighbouring texts of about AT_ONCE characters."""
-    begin = size = 0
-    for k, t in enumerate(texts):
-        size += len(t)
-        if size >= AT_ONCE or k == len(texts) - 1:
-            yield slice(begin, k + 1)
-            begin, size = k + 1, 0
+def _parts(texts: pa.Array) -> Iterator[tuple[int, list[str]]]:
+    """Neighbouring texts of about AT_ONCE bytes, and the position of the first. Memory is given back after the last."""
+    total = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False))
+    begin = 0
+    while begin < len(texts):
+        end = max(begin + 1, int(np.searchsorted(total, (total[begin - 1] if begin else 0) + AT_ONCE, "right")))
+        yield begin, texts.slice(begin, end - begin).to_pylist()
+        begin = end
+    give_back()
 
 
 def lines_of(docs: DataFrame) -> DataFrame:
@@ -211,9 +213,8 @@ def lines_of(docs: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = batch.column("text").to_pylist()
-            for part in _parts(texts):
-                lines = [(doc, k, x) for doc, t in enumerate(texts[part], part.start) for k, x in enumerate(normalised(t)) if x]
+            for begin, texts in _parts(batch.column("text")):
+                lines = [(doc, k, x) for doc, t in enumerate(texts, begin) for k, x in enumerate(normalised(t)) if x]
                 digest, doc = digests([x[2] for x in lines]), pa.array([x[0] for x in lines], pa.int64())
                 yield pa.RecordBatch.from_arrays([batch.column("doc").take(doc), batch.column("doc_id").take(doc), pa.array([x[1] for x in lines], pa.int32()), pa.array(digest[:, 0]), pa.array(digest[:, 1])], ["doc", "doc_id", "line", "id", "check"])
 
@@ -245,9 +246,8 @@ def members_of(docs: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sent: set[int] = set()
         for batch in batches:
-            texts = batch.column("text").to_pylist()
-            for part in _parts(texts):
-                lines, new = [x for t in texts[part] for x in normalised(t) if x], []
+            for _, texts in _parts(batch.column("text")):
+                lines, new = [x for t in texts for x in normalised(t) if x], []
                 ids, sent = digests(lines)[:, 0], set() if len(sent) > SENT else sent
                 for k, x in enumerate(ids.tolist()):
                     if x not in sent:

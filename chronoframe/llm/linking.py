@@ -19,7 +19,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from chronoframe.llm.common import discard, materialize
+from chronoframe.llm.common import discard, give_back, materialize
 
 #: Members of a bucket that a task compares at once, twice; pairs tested at once; ids up to this many are broadcast (8 bytes each) to filter a table.
 CHUNK, PAIRS, BROADCAST_IDS = 256, 8192, 1_000_000
@@ -97,6 +97,7 @@ def _verified(values_of: type[Values]):
                 for k in np.flatnonzero(low <= allowed).tolist():
                     low[k], high[k] = values.measured(int(codes[k]), int(codes[n + k]))
                 yield pd.DataFrame({"a": part["a"], "b": part["b"], "low": low, "high": high, "linked": high <= allowed})
+        give_back()
 
     return verify
 
@@ -176,6 +177,7 @@ def _compared(values_of: type[Values]):
     def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for group, starts in _grouped(batches):
             yield compared(group, starts)
+        give_back()
 
     return compare
 

@@ -12,11 +12,11 @@ import hashlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chronoframe.llm.common import discard, materialize, read, text_of, with_text_id
+from chronoframe.llm.common import discard, give_back, materialize, read, text_of, with_text_id
 from chronoframe.llm.edits import banded, distance, trimmed
 from chronoframe.llm.linking import FAR, link, only
 
@@ -139,12 +139,18 @@ def groups(docs: DataFrame) -> DataFrame:
     text of each group, the one with the least doc_id (nulls last). Texts are linked if alike(); null texts are empty.
     """
 
-    def sketch(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            words = [word_hashes(t) for t in batch["text"]]
-            yield pd.DataFrame({"id": batch["id"], "size": [len(w) for w in words], "sketches": [sketches(shingles(t, w)) for t, w in zip(batch["text"], words, strict=True)]})
-
-    sketched = materialize(docs.select("id", "text").mapInPandas(sketch, "id long, size int, sketches array<long>"), "sketches")
+            sizes, found = [], []
+            for text in batch.column("text"):
+                words = word_hashes(text := text.as_py())
+                sizes.append(len(words))
+                found.append(sketches(shingles(text, words)))
+            starts = pa.array(np.arange(len(found) + 1, dtype=np.int32) * SKETCHES)
+            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(sizes, pa.int32()), pa.ListArray.from_arrays(starts, pa.array(np.concatenate([*found, np.zeros(0, np.int64)])))], ["id", "size", "sketches"])
+        give_back()
+
+    sketched = materialize(docs.select("id", "text").mapInArrow(sketch, "id long, size int, sketches array<long>"), "sketches")
     members = sketched.select(F.explode("sketches").alias("key"), "id", "size", F.lit(0).cast("long").alias("mark"))
     roots = link(members, lambda ids: only(docs, ids, "id").select("id", F.col("text").alias("value")).dropDuplicates(["id"]), Texts)
     # a text's rows are summed up before groups meet

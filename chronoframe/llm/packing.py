@@ -19,13 +19,13 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chronoframe.llm.common import materialize, partitions, read, text_of
+from chronoframe.llm.common import give_back, materialize, partitions, read, text_of
 
 CAPACITY, END = 4096, 1
 #: Pieces in a shard, and the fill from which a sequence is left alone after a round.
 SHARD, GOOD = 8192, 0.995
 #: Words that a worker keeps the ids of.
-KEPT_WORDS = 600_000
+KEPT_WORDS = 300_000
 
 _encoders: dict = {}
 
@@ -103,6 +103,7 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, id_col: st
             out["doc_id"] = out["doc_id"].astype("Int64")
             out["key"] = np.int64(0)
             yield out[["doc_id", "piece", "start", "length", "ids_crc32", "key", *["ids"] * with_ids]]
+        give_back()
 
     d = docs.select(F.col(id_col).alias("doc_id"), text_of(text_col).alias("text"))
     # a doc_id may repeat: what tells rows apart is their place in the written table

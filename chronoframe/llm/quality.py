@@ -16,7 +16,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chronoframe.llm.common import read, text_of
+from chronoframe.llm.common import give_back, read, text_of
 
 WIDTH, FILTERS, CHUNK = 4, 16, 256
 #: Training: at most so many labelled documents, chosen by a hash of the id.
@@ -154,6 +154,7 @@ def scored(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
         for batch in texts:
             data = [(t or "").encode() for t in batch]
             yield pd.Series(_batch_scores(data, model) if data else [], dtype=float)
+        give_back()
 
     score_of = F.pandas_udf(run, "double")
     return kept.withColumn("score", score_of(text_of(text_col)))
