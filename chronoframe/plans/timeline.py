@@ -185,14 +185,16 @@ def _seconds(w: DataFrame, lo: str = "start", hi: str = "end") -> DataFrame:
 
 
 @query("window_pick", f"""WITH {_ISL}, {_SCENES}, m AS (SELECT win.video_id, win.win, any_value(win.s / 1e6) AS a, any_value(win.e / 1e6) AS z, coalesce(list(mid / 1e6 ORDER BY mid) FILTER (mid / 1e6 BETWEEN win.s / 1e6 AND win.e / 1e6), []) AS mids FROM win LEFT JOIN sc USING (video_id) GROUP BY ALL),
-f AS (SELECT *, len(mids) AS n, 4 - len(mids) AS need, list_filter(list_transform(CASE WHEN z > a THEN [1, 2, 3, 4, 5] ELSE [] END, lambda i: a + ((z - a) / 6) * i), lambda c: len(list_filter(mids, lambda x: abs(c - x) <= greatest(0.5, (z - a) * 0.05))) = 0) AS far FROM m)
-SELECT video_id, win, CASE WHEN n = 4 THEN mids WHEN n > 4 THEN list_transform(list_sort(list_distinct(list_transform([0, 1, 2, 3], lambda i: round_even(i * ((n - 1) / 3), 0)::BIGINT))), lambda i: mids[i + 1])
-WHEN len(far) >= need THEN list_sort(list_concat(mids, far[1:need])) ELSE list_sort(list_concat(mids, list_transform(CASE WHEN z > a THEN generate_series(1, need) ELSE [] END, lambda i: a + ((z - a) / (need + 1)) * i))) END AS moments FROM f""")
+f AS (SELECT *, len(mids) AS n, 4 - len(mids) AS need, list_filter(list_transform(CASE WHEN z > a THEN [1, 2, 3, 4, 5] ELSE [] END, lambda i: a + ((z - a) / 6) * i), lambda c: len(list_filter(mids, lambda x: abs(c - x) <= greatest(0.5, (z - a) * 0.05))) = 0) AS far FROM m),
+p AS (SELECT video_id, win, CASE WHEN n = 4 THEN mids WHEN n > 4 THEN list_transform(list_sort(list_distinct(list_transform([0, 1, 2, 3], lambda i: round_even(i * ((n - 1) / 3), 0)::BIGINT))), lambda i: mids[i + 1])
+WHEN len(far) >= need THEN list_sort(list_concat(mids, far[1:need])) ELSE list_sort(list_concat(mids, list_transform(CASE WHEN z > a THEN generate_series(1, need) ELSE [] END, lambda i: a + ((z - a) / (need + 1)) * i))) END AS moments FROM f)
+SELECT video_id, win, unnest(generate_series(0, len(moments) - 1)) AS at, unnest(moments) AS moment FROM p""")
 def window_pick(spark, sf_dir):
     s = segments(spark, sf_dir)
     mids = intervals.with_midpoints(scenes(s)).groupBy("video_id").agg(F.collect_list(F.col("midpoint") / 1e6).alias("mids"))
     w = _seconds(windows(s)).join(mids, "video_id", "left").withColumn("mids", F.coalesce("mids", F.array().cast("array<double>")))
-    return w.select("video_id", "win", sampling.picked(F.col("start"), F.col("end"), F.col("mids"), F.lit(4)).alias("moments"))
+    d = w.select("video_id", "win", F.posexplode(sampling.picked(F.col("start"), F.col("end"), F.col("mids"), F.lit(4))).alias("at", "moment"))
+    return d.withColumn("at", F.col("at").cast("long"))
 
 
 @query("two_pass_plan")
