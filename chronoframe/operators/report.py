@@ -20,7 +20,38 @@ def window_summary(windows: Column, covered: Column | None = None, full: Column
 
 def frame_line(path: Column, seconds: Column, tag: Column, text: Column) -> Column:
     shown = collapse_space(F.coalesce(text, F.lit("")))
-    return F.concat(F.lit("- `"), path, F.lit("` (t="), format_time(seconds), F.lit(")"), F.coalesce(F.concat(F.lit(" "), tag), F.lit("")), F.when(shown != "", F.concat(F.lit(" - text: "), shown)).otherwise(F.lit("")))
+    return F.concat(F.lit("- `"), path, F.lit("` (t="), format_time(seconds), F.lit(")"), F.coalesce(F.concat(F.lit(" "), tag), F.lit("")), F.when(shown != "", F.concat(F.lit(" — OCR: "), shown)).otherwise(F.lit("")))
+
+
+def head_lines(d: DataFrame, key: str = "video_id") -> DataFrame:
+    """key, idx, line: the head of a report, one row per line that applies; idx numbers them from 0.
+
+    d: key, source, title, uploader, duration, focus_start, focus_end (null: whole recording), width, height, codec, mode (two-pass, scenes or fps),
+    n_frames, n_speech, n_scenes, fps, max_frames, n_text (null: no recognised text), n_segments, transcript_source, question, model. Null fields leave their lines out.
+    """
+    c, text = F.col, lambda x: F.col(x).cast("string")
+    focused = c("focus_start").isNotNull() | c("focus_end").isNotNull()
+    lo, hi = F.coalesce("focus_start", F.lit(0.0)), F.coalesce("focus_end", "duration")
+    scope, item = F.when(focused, F.lit("focused")).otherwise(F.lit("full")), lambda name, *parts: F.concat(F.lit(f"- **{name}:** "), *parts)
+    two_pass = F.concat(text("n_frames"), F.lit(" extracted via two-pass ("), text("n_speech"), F.lit(" in speech windows, "), (c("n_frames") - c("n_speech")).cast("string"), F.lit(" outside; max "), text("max_frames"), F.lit(", "), scope, F.lit(" mode)"))
+    scenes = F.concat(text("n_scenes"), F.lit(" scenes detected, "), text("n_frames"), F.lit(" extracted at scene midpoints (max "), text("max_frames"), F.lit(", "), scope, F.lit(" mode)"))
+    rate = F.concat(text("n_frames"), F.lit(" @ "), F.format_string("%.3f", c("fps")), F.lit(" fps, "), scope, F.lit(" mode (max "), text("max_frames"), F.lit(")"))
+    filled = lambda name: F.nullif(c(name), F.lit(""))
+    lines = F.array(
+        item("Source", c("source")),
+        item("Title", filled("title")),
+        item("Uploader", filled("uploader")),
+        item("Duration", format_time(c("duration")), F.format_string(" (%.1fs)", c("duration"))),
+        F.when(focused, item("Focus range", format_time(lo), F.lit(" → "), format_time(hi), F.format_string(" (%.1fs)", F.greatest(F.lit(0.0), hi - lo)))),
+        F.when((c("width") > 0) & (c("height") > 0), item("Resolution", text("width"), F.lit("x"), text("height"), F.lit(" ("), F.coalesce(filled("codec"), F.lit("unknown codec")), F.lit(")"))),
+        item("Frames", F.when(c("mode") == "two-pass", two_pass).when(c("mode") == "scenes", scenes).otherwise(rate)),
+        item("OCR", text("n_text"), F.lit("/"), text("n_frames"), F.lit(" frames had detected text")),
+        F.when(c("n_segments") > 0, item("Transcript", text("n_segments"), F.lit(" segments"), F.when(focused, F.lit(" in range")).otherwise(F.lit("")), F.lit(" (via "), F.coalesce(filled("transcript_source"), F.lit("captions")), F.lit(")"))).otherwise(F.lit("- **Transcript:** none available")),
+        item("Vision model", filled("model")),
+        item("Question", filled("question")),
+        F.concat(F.lit("> "), long_warning(c("duration"), focused)),
+    )
+    return d.select(key, F.posexplode(F.filter(lines, lambda x: x.isNotNull())).alias("idx", "line"))
 
 
 def long_warning(duration: Column, focused: Column) -> Column:

@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from chronoframe.functions import scalar
-from chronoframe.operators import budget, captions, intervals, recognition, report, sampling, selection
+from chronoframe.operators import budget, captions, frames, intervals, recognition, report, sampling, selection
 from chronoframe.plans import registry
 from chronoframe.sources import media
 
@@ -166,6 +166,26 @@ def test_reports_are_rows(spark):
     assert w[0] == "# W" and w[2:] == ["- frames: 0", "- speech: (none)", "## Frames", "## Transcript", "(none)"] and {r.video_id for r in rows} == {"v", "w"}
 
 
+def test_frames(spark):
+    times = [(2.675,), (1.005,), (0.125,), (0.375,), (12.344999,), (None,)]
+    assert values(spark, frames.rounded_time(F.col("t")), times, "t double") == [2.67, 1.0, 0.12, 0.38, 12.34, None]
+    asked = spark.createDataFrame([("a", 0.5), ("a", 2.675), ("a", 9.0), ("b", None)], "video_id string, at double")
+    done = spark.createDataFrame([("a", 0.5), ("a", 9.0), ("b", 9.0)], "video_id string, at double")
+    assert sorted(frames.at_moments(asked, done).collect()) == [("a", 0, 0.5, "frame_0001.jpg"), ("a", 2, 9.0, "frame_0003.jpg")]
+    scores = spark.createDataFrame([("a", 0.0, 0.0), ("a", 1.0, 27.0), ("a", 2.0, None), ("a", 3.0, 26.9), ("b", 0.0, 99.0), (None, None, 99.0)], "video_id string, at double, score double")
+    assert sorted(frames.scenes_of(scores).collect()) == [("a", 0, 0.0, 1.0), ("a", 1, 1.0, 3.0)]
+    many = spark.createDataFrame([("a", 0.0, 2.0, 250), ("b", 0.0, 2.0, 0)], "video_id string, start double, fps double, frames int")
+    assert frames.at_fixed_rate(many, ["video_id"]).groupBy("video_id").count().collect() == [("a", budget.MAX_FRAMES)]
+
+
+def test_chain_and_label(spark):
+    attempts = spark.createDataFrame([("a", "x", None), ("a", "y", []), ("a", "z", ["s"]), ("b", "x", ["s"]), ("c", "w", ["s"]), ("d", "z", None)], "video_id string, model string, segments array<string>")
+    assert sorted(frames.by_chain(attempts, ["x", "x", "y", "z"]).collect()) == [("a", "y", []), ("b", "x", ["s"])]
+    rows = [("local", "big", True, True), ("assemblyai", None, True, False), ("groq", None, None, False)]
+    label = frames.backend_label(F.col("b"), F.col("m"), F.col("d"), F.col("s"))
+    assert values(spark, label, rows, "b string, m string, d boolean, s boolean") == ["whisper (local, big, --audio)", "whisper (assemblyai, diarized)", "whisper (groq)"]
+
+
 def test_stream_equals_batch(spark, tmp_path):
     from chronoframe.streaming.windows import activity_windows
 
