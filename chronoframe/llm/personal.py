@@ -2,8 +2,9 @@
 
 An entity is known by its canonical form: digits alone for numbers, lower case for addresses, tokens and names. Its surrogate is a
 function of a key, its kind, its canonical form and an attempt, so that every mention anywhere gets the same one, written
-in the mention's own format: separators, upper case, lengths and check digits stay. Names are found after a title and replaced word by
-word; in a text with such a name its words are replaced wherever they stand alone with a capital, with or without a title. Attempts are raised, in rounds over the distinct entities, until no two entities of
+in the mention's own format: separators, upper case, lengths and valid check digits stay. The key is the session's (KEY_CONF); where that is unset
+a session draws its own, so surrogates of different sessions cannot be matched. Names are found after a title and replaced word by word; after
+a title that tells no gender, a given name's ending does; in a text with such a name its words are replaced wherever they stand alone with a capital, with or without a title. Attempts are raised, in rounds over the distinct entities, until no two entities of
 a kind share a surrogate and no surrogate is an entity of the corpus. Only entities with a raised attempt have to be looked up.
 
 All of it is DataFrame expressions.
@@ -11,28 +12,36 @@ All of it is DataFrame expressions.
 
 from __future__ import annotations
 
+import secrets
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from chronoframe.llm.common import materialize, read, text_of
 
-KEY = "chronoframe"
+#: The setting that holds the key of surrogates.
+KEY_CONF = "spark.chronoframe.surrogateKey"
 #: Rounds of collision checks before giving up; each round's surrogates are drawn from a larger space.
 ROUNDS = 40
 
 EMAIL = r"(?<![A-Za-z])[A-Za-z0-9][A-Za-z0-9._%+-]*+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}"
 IP = r"(?<![\w.])(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?![\w]|\.\d)"
 TOKEN = r"(?<![0-9A-Za-z])(?:[0-9a-f]{32,128}|[0-9A-F]{32,128})(?![0-9A-Za-z])"
+IP6 = r"(?<![\w:])(?:(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}|(?:[0-9A-Fa-f]{1,4}:){2,6}(?::[0-9A-Fa-f]{1,4}){1,5}|[Ff][Ee]80:(?::[0-9A-Fa-f]{1,4}){1,4})(?![\w:])"
+SECRET = r"(?<![0-9A-Za-z])(?:AKIA[0-9A-Z]{16}|gh[opsur]_[0-9A-Za-z]{36,255}|sk-[0-9A-Za-z_-]{20,200}|xox[abprs]-[0-9A-Za-z-]{10,200})(?![0-9A-Za-z])"
 PHONE = r"\+\d{1,3}[ .-]?(?:\(\d{1,4}\)[ .-]?)?\d{2,4}(?:[ .-]?\d{2,4}){1,4}(?!\d)|\(\d{3}\) ?\d{3}[ .-]\d{4}(?!\d)|(?<![\d.-])\d{3}[ .-]\d{3}[ .-]\d{4}(?![\d-])"
 SSN = r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])"
 IBAN = r"(?<![0-9A-Za-z])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?![0-9A-Za-z])"
 CARD = r"(?<![\d.-])\d(?:[ -]?\d){12,18}(?![\d-])"
 MALE = ("Mr", "Sir", "Herr", "Monsieur", "Señor", "Sr", "господин", "Господин", "κύριος", "Κύριος")
 FEMALE = ("Mrs", "Ms", "Miss", "Frau", "Madame", "Mme", "Señora", "Sra", "госпожа", "Госпожа", "κυρία", "Κυρία")
-NAME = rf"(?<!\p{{L}})(?:{'|'.join(sorted(MALE + FEMALE, key=len, reverse=True))})\.? \p{{Lu}}\p{{L}}+(?: \p{{Lu}}\p{{L}}+){{0,2}}"
+NEUTRAL = ("Dr", "Prof", "Professor")
+#: Titles in capitals, before a name in capitals.
+CAPITALS = ("MR", "SIR", "MRS", "MISS", "DR", "PROF")
+NAME = rf"(?<!\p{{L}})(?:(?:{'|'.join(sorted(MALE + FEMALE + NEUTRAL, key=len, reverse=True))})\.? \p{{Lu}}\p{{L}}+(?: \p{{Lu}}\p{{L}}+){{0,2}}|(?:{'|'.join(CAPITALS)})\.? \p{{Lu}}{{2,}}(?: \p{{Lu}}{{2,}}){{0,2}}(?!\p{{L}}))"
 #: What each pattern's first character may be, looked at first: most places in a text are ruled out by it.
-_STARTS = (("[A-Za-z0-9]", EMAIL), (r"\d", IP), ("[A-Z]", IBAN), ("[0-9A-Fa-f]", TOKEN), (r"[\d+(]", PHONE), (r"\d", SSN), (r"\d", CARD), ("[FHMSГгΚκ]", NAME))
+_STARTS = (("[A-Za-z0-9]", EMAIL), (r"\d", IP), ("[A-Z]", IBAN), ("[0-9A-Fa-f]", TOKEN), ("[0-9A-Fa-f]", IP6), ("[Agsx]", SECRET), (r"[\d+(]", PHONE), (r"\d", SSN), (r"\d", CARD), ("[DFHMPSГгΚκ]", NAME))
 ANY = "|".join(f"(?={start})(?:{pattern})" for start, pattern in _STARTS)
 
 #: Syllables of made-up names; the endings tell the gender of given names.
@@ -42,7 +51,7 @@ ENDINGS = {"latin": ("n", "a", "r"), "cyrillic": ("н", "я", "р"), "greek": ("
 
 def kind_of(match: Column) -> Column:
     """Of a whole match of ANY; the first pattern that matches all of it."""
-    kinds = (("email", EMAIL), ("ip", IP), ("iban", IBAN), ("token", TOKEN), ("phone", PHONE), ("ssn", SSN), ("card", CARD))
+    kinds = (("email", EMAIL), ("ip", IP), ("iban", IBAN), ("token", TOKEN), ("ip6", IP6), ("secret", SECRET), ("phone", PHONE), ("ssn", SSN), ("card", CARD))
     out = F.lit("name")
     for kind, pattern in reversed(kinds):
         out = F.when(match.rlike(f"^(?:{pattern})$"), F.lit(kind)).otherwise(out)
@@ -53,14 +62,15 @@ def parts_of(match: Column) -> Column:
     """Array of (kind, word): a name's title is kept, its last word is a family name, the words before are given names."""
     words = F.split(match, " ")
     title = F.regexp_replace(F.get(words, 0), r"\.$", "")
-    given = F.when(title.isin(*FEMALE), F.lit("given_f")).otherwise(F.lit("given_m"))
+    capitals = F.upper(title)
+    told = F.when(title.isin(*FEMALE) | capitals.isin("MRS", "MISS"), F.lit("given_f")).when(~capitals.isin("DR", "PROF", "PROFESSOR"), F.lit("given_m"))
     part = lambda kind, word: F.struct(kind.alias("kind"), word.alias("word"))
-    name = F.transform(words, lambda w, i: part(F.when(i == 0, F.lit("title")).when(i == F.size(words) - 1, F.lit("family")).otherwise(given), w))
+    name = F.transform(words, lambda w, i: part(F.when(i == 0, F.lit("title")).when(i == F.size(words) - 1, F.lit("family")).otherwise(F.coalesce(told, F.when(w.rlike("(?iu)[aeаяαη]$"), F.lit("given_f")).otherwise(F.lit("given_m")))), w))
     return F.when(kind_of(match) == "name", name).otherwise(F.array(part(kind_of(match), match)))
 
 
 def canonical(kind: Column, word: Column) -> Column:
-    return F.when(kind.isin("phone", "ssn", "card"), F.regexp_replace(word, r"\D", "")).when(kind == "iban", F.replace(word, F.lit(" "), F.lit(""))).otherwise(F.lower(word))
+    return F.when(kind.isin("phone", "ssn", "card"), F.regexp_replace(word, r"\D", "")).when(kind == "iban", F.replace(word, F.lit(" "), F.lit(""))).when(kind == "secret", word).otherwise(F.lower(word))
 
 
 def _draw(seed: Column, i: Column | int, n: int) -> Column:
@@ -90,6 +100,17 @@ def _luhn(digits: Column) -> Column:
     return F.pmod(-F.aggregate(F.sequence(F.lit(0), n - 1), F.lit(0), weigh), F.lit(10)).cast("string")
 
 
+def _mod97(iban: Column) -> Column:
+    """The remainder by 97 of the number that an IBAN without spaces stands for, letters as 10 to 35; 1 for a valid one."""
+    moved = F.concat(F.substring(iban, F.lit(5), F.length(iban)), F.substring(iban, 1, 4))
+
+    def add(rest: Column, i: Column) -> Column:
+        c = F.substring(moved, i, F.lit(1))
+        return F.when(c.rlike("[A-Z]"), (rest * 100 + F.ascii(c) - 55) % 97).otherwise((rest * 10 + c.cast("int")) % 97)
+
+    return F.aggregate(F.sequence(F.lit(1), F.length(moved)), F.lit(0), add)
+
+
 def _name(kind: Column, word: Column, seed: Column, attempt: Column) -> Column:
     """Two syllables or more, the more the later the attempt, and an ending that fits the gender."""
 
@@ -101,7 +122,7 @@ def _name(kind: Column, word: Column, seed: Column, attempt: Column) -> Column:
     return F.when(word.rlike(r"\p{IsCyrillic}"), of("cyrillic")).when(word.rlike(r"\p{IsGreek}"), of("greek")).otherwise(of("latin"))
 
 
-def with_surrogate(df: DataFrame, kind: str, word: str, attempt: Column, key: str = KEY) -> DataFrame:
+def with_surrogate(df: DataFrame, kind: str, word: str, attempt: Column, key: str) -> DataFrame:
     """df with `new`, the canonical form of the replacement of the entity whose kind and canonical form are in the columns so named.
 
     The seed is a column of its own: inside the functions over characters it would be drawn anew for each of them.
@@ -110,6 +131,12 @@ def with_surrogate(df: DataFrame, kind: str, word: str, attempt: Column, key: st
     seeded = df.withColumn("_seed", F.sha2(F.concat_ws("\x1f", F.lit(key), k, w, attempt.cast("string")), 256)).withColumn("_attempt", attempt)
     front = F.substring(w, F.lit(1), F.length(w) - 1)
     seeded = seeded.withColumn("_front", F.when(k == "card", front)).withColumn("_card", F.when(k == "card", _shaped(F.col("_front"), seed, F.lit(1))))
+    # an IBAN's two check digits follow from its country and the rest
+    bank = F.when(k == "iban", F.concat(F.substring(w, 1, 2), F.lit("00"), F.substring(_shaped(w, seed, F.lit(2)), F.lit(5), F.length(w))))
+    seeded = seeded.withColumn("_bank", bank)
+    with_check = F.concat(F.substring("_bank", 1, 2), F.format_string("%02d", F.lit(98) - _mod97(F.col("_bank"))), F.substring(F.col("_bank"), F.lit(5), F.length(w)))
+    loose = F.concat(F.substring(w, 1, 2), F.format_string("%02d", _draw(seed, 98, 100)), F.substring(F.col("_bank"), F.lit(5), F.length(w)))
+    prefix = F.length(F.regexp_extract(w, r"^(?:AKIA|gh[opsur]_|sk-|xox[abprs]-)", 0))
     octets = F.array_join(F.transform(F.sequence(F.lit(1), F.lit(4)), lambda i: (_draw(seed, i, 254) + 1).cast("string")), ".")
     tld = F.regexp_extract(w, r"\.[a-z]+$", 0)
     body = F.substring(w, F.lit(1), F.length(w) - F.length(tld))
@@ -123,10 +150,12 @@ def with_surrogate(df: DataFrame, kind: str, word: str, attempt: Column, key: st
         .when(k == "card", digits)
         .when(k == "phone", _shaped(w, seed, F.lit(1)))
         .when(k == "ssn", _shaped(w, seed, F.lit(0)))
-        .when(k == "iban", _shaped(w, seed, F.lit(2)))
+        .when(k == "iban", F.when(_mod97(w) == 1, with_check).otherwise(loose))
+        .when(k == "secret", _shaped(w, seed, prefix))
+        .when(k == "ip6", F.array_join(F.transform(F.sequence(F.lit(1), F.length(w)), lambda i: F.when(F.substring(w, i, F.lit(1)) == ":", F.lit(":")).otherwise(F.substring(F.lit("0123456789abcdef"), _draw(seed, i, 16) + 1, F.lit(1)))), ""))
         .otherwise(_name(k, w, seed, F.col("_attempt")))
     )
-    return seeded.withColumn("new", new).drop("_seed", "_attempt", "_front", "_card")
+    return seeded.withColumn("new", new).drop("_seed", "_attempt", "_front", "_card", "_bank")
 
 
 def in_format(kind: Column, word: Column, new: Column) -> Column:
@@ -137,7 +166,7 @@ def in_format(kind: Column, word: Column, new: Column) -> Column:
     return F.when(kind.isin("phone", "ssn", "card"), F.array_join(places, "")).when(kind == "iban", F.array_join(spaced, "")).otherwise(cased)
 
 
-def raised_attempts(entities: DataFrame, key: str = KEY) -> DataFrame:
+def raised_attempts(entities: DataFrame, key: str) -> DataFrame:
     """entities: kind, word, distinct. Returns kind, word, attempt of those whose first surrogate collides."""
     known = entities.select("kind", F.col("word").alias("new"))
     pending = entities.withColumn("attempt", F.lit(0))
@@ -176,13 +205,22 @@ def mentions(found: DataFrame) -> DataFrame:
     return d.withColumn("canonical", canonical(F.col("kind"), F.col("word")))
 
 
-def replaced(docs: DataFrame, text_col: str = "text", key: str = KEY) -> DataFrame:
+def session_key(spark: SparkSession) -> str:
+    """The key that the session names; a fresh one, kept for the session, where it names none."""
+    key = spark.conf.get(KEY_CONF, None)
+    if not key:
+        key = secrets.token_hex(32)
+        spark.conf.set(KEY_CONF, key)
+    return key
+
+
+def replaced(docs: DataFrame, text_col: str = "text", key: str | None = None) -> DataFrame:
     """docs with surrogates in the text, and n_entities, the number of mentions that were replaced; a bare word of a name is one.
 
     Texts are searched once; what was found is written beside the rows. Rows without a mention are passed through untouched and
     unshuffled; null texts stay null. A column named n_entities is replaced.
     """
-    kept = docs.drop("n_entities")
+    kept, key = docs.drop("n_entities"), key or session_key(docs.sparkSession)
     found = F.regexp_extract_all(text_of(text_col), F.lit(ANY), F.lit(0))
     searched = materialize(kept.select(F.struct(*kept.columns).alias("row"), F.sha2(text_of(text_col), 256).alias("hash"), found.alias("found")), "pii-searched")
     said = materialize(mentions(searched.select("hash", "found")), "pii-mentions")
