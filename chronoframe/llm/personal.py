@@ -42,7 +42,10 @@ CAPITALS = ("MR", "SIR", "MRS", "MISS", "DR", "PROF")
 NAME = rf"(?<!\p{{L}})(?:(?:{'|'.join(sorted(MALE + FEMALE + NEUTRAL, key=len, reverse=True))})\.? \p{{Lu}}\p{{L}}+(?: \p{{Lu}}\p{{L}}+){{0,2}}|(?:{'|'.join(CAPITALS)})\.? \p{{Lu}}{{2,}}(?: \p{{Lu}}{{2,}}){{0,2}}(?!\p{{L}}))"
 #: What each pattern's first character may be, looked at first: most places in a text are ruled out by it.
 _STARTS = (("[A-Za-z0-9]", EMAIL), (r"\d", IP), ("[A-Z]", IBAN), ("[0-9A-Fa-f]", TOKEN), ("[0-9A-Fa-f]", IP6), ("[Agsx]", SECRET), (r"[\d+(]", PHONE), (r"\d", SSN), (r"\d", CARD), ("[DFHMPSГгΚκ]", NAME))
-ANY = "|".join(f"(?={start})(?:{pattern})" for start, pattern in _STARTS)
+_either = lambda patterns: "|".join(f"(?={start})(?:{pattern})" for start, pattern in _STARTS if pattern in patterns)
+#: Numbers may follow a letter; all others may not, so that most places in a text are ruled out at once.
+_NUMBERS = (PHONE, SSN, CARD)
+ANY = rf"(?<![A-Za-z])(?:{_either([pattern for _, pattern in _STARTS if pattern not in _NUMBERS])})|(?=[\d+(])(?:{_either(_NUMBERS)})"
 
 #: Syllables of made-up names; the endings tell the gender of given names.
 SYLLABLES = {"latin": "ka ri mo le sa ni to ve da lu be no ra mi so te la ju ne vi".split(), "cyrillic": "ка ри мо ле са ни то ве да лу бе но ра ми со те ла зу не ви".split(), "greek": "κα ρι μο λε σα νι το βε δα λυ πε νο ρα μι σο τε λα ζυ νε βι".split()}
