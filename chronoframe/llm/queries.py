@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from chronoframe.llm import fingerprints, lines, mixing, neardup, neighbours, packing, personal, pipeline, quality, suffixes, urls
+from chronoframe.llm import clustering, fingerprints, lines, mixing, neardup, neighbours, packing, personal, pipeline, quality, resampling, suffixes, topk, urls
 
-OPERATORS = (fingerprints, mixing, packing, quality, urls, personal, lines, neardup, suffixes, neighbours)
+OPERATORS = (fingerprints, mixing, packing, quality, urls, personal, lines, neardup, suffixes, neighbours, clustering, topk, resampling)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
