@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -10,17 +9,37 @@ from pyspark.sql import functions as F
 SPACE = r"[\s\x0B\x1C-\x1F\x85\u00A0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000]"
 
 
+def bound(value: Column, then) -> Column:
+    """then(value), with the value computed once, however often it is used."""
+    return F.get(F.transform(F.array(value), then), 0)
+
+
 def half_even(x: Column) -> Column:
     """To the nearest integer, ties to even, as BIGINT."""
     return F.rint(x).cast("long")
 
 
 def exact_round(digits: int):
-    """A vectorised function that rounds doubles correctly from their binary value, ties to even; no built-in does."""
+    """A function of a DOUBLE column that rounds to so many decimals, correctly from the binary value, exact ties to even; no built-in does.
 
-    @F.pandas_udf("double")
-    def rounded(x: pd.Series) -> pd.Series:
-        return x.map(lambda v: round(v, digits), na_action="ignore")
+    x * 10^digits is taken as its rounded product and that product's error, which splitting x into two halves of its bits gives
+    exactly. The error decides what lies next to a tie. Beyond a magnitude the doubles are farther apart than the decimals, and x stays.
+    """
+    scale = float(10**digits)
+    whole = float(1 << (52 - int(scale).bit_length() + 1))
+
+    def rounded(x: Column) -> Column:
+        a = F.abs(x)
+        product = a * scale
+        spread = a * 134217729.0
+        high = spread - (spread - a)
+        error = (high * scale - product) + (a - high) * scale
+        floor = F.floor(product).cast("double")
+        part = product - floor
+        odd = floor % 2 != 0
+        step = F.when((part > 0.5) | ((part == 0.5) & ((error > 0) | ((error == 0) & odd))) | ((part == 0) & (error == 0.5) & odd), 1.0).when((part == 0) & (error == -0.5) & odd, -1.0).otherwise(0.0)
+        nearest = (floor + step) / scale
+        return F.when((a >= whole) | (x == 0), x).when(x < 0, -nearest).otherwise(nearest)
 
     return rounded
 

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from chronoframe.functions.scalar import half_even
+from chronoframe.functions.scalar import bound, half_even
 
 #: Frames per second at most, frames at most, share of frames for speech.
 MAX_FPS, MAX_FRAMES, SPEECH_SHARE = 2.0, 100, 0.7
@@ -74,3 +74,35 @@ def allocated(intervals: DataFrame, key: str = "video_id") -> DataFrame:
     d = d.join(less, [key, "win"], "left")
     frames = F.col("n") - F.coalesce("less", F.lit(0)) + F.when((F.col("over") < 0) & F.col("longest"), -F.col("over")).otherwise(F.lit(0))
     return d.withColumn("frames", frames.cast("long")).drop("len", "total", "n", "over", "longest", "less")
+
+
+def shares(lengths: Column, total: Column, budget: Column) -> Column:
+    """The parts of a budget by length, as `allocated` gives them, of one array of lengths in the order of their intervals.
+
+    Lowering the largest until the sum fits ends with a level: all that stand above it come down to it, and of those on it the first few
+    go one lower. The level is the least at which what stands above it is not more than has to go; only lengths with over one
+    frame, fewer than the budget, are looked at for it.
+    """
+    add = lambda a, x: a + x
+    zero = F.lit(0).cast("long")
+
+    def fitted(n: Column) -> Column:
+        over = F.aggregate(n, zero, add) - budget
+        tall = F.filter(n, lambda x: x > 1)
+
+        def lowered(v: Column) -> Column:
+            """v: over, tall, and the level."""
+            cut = lambda level: F.aggregate(v["tall"], zero, lambda a, x: a + F.greatest(x - level, zero))
+            rest = (v["over"] - cut(v["level"])).cast("int")
+            on_it = F.transform(F.filter(F.transform(n, lambda x, i: F.struct(x.alias("x"), i.alias("i"))), lambda p: p["x"] >= v["level"]), lambda p: p["i"])
+            first = F.when(v["level"] > 1, F.slice(on_it, F.lit(1), rest)).otherwise(F.array().cast("array<int>"))
+            return bound(first, lambda f: F.transform(n, lambda x, i: F.least(x, v["level"]) - F.array_contains(f, i).cast("long")))
+
+        above = lambda level: F.aggregate(tall, zero, lambda a, x: a + F.greatest(x - level, zero))
+        level = F.get(F.filter(F.sequence(F.lit(1).cast("long"), F.array_max(n)), lambda x: above(x) <= over), 0)
+        longest = F.array_position(lengths, F.array_max(lengths)) - 1
+        return F.when(over > 0, bound(F.struct(over.alias("over"), tall.alias("tall"), level.alias("level")), lowered)).otherwise(F.transform(n, lambda x, i: x + F.when(i == longest, -over).otherwise(zero)))
+
+    parts = F.transform(lengths, lambda x: F.greatest(F.lit(1).cast("long"), half_even(budget * (x / total))))
+    return F.when(F.size(lengths) > 0, bound(parts, fitted)).otherwise(F.array().cast("array<bigint>"))
+

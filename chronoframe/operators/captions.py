@@ -86,8 +86,8 @@ def normalised_response(responses: DataFrame, key: str = "video_id", json: str =
     """key, seq, start, end, text from speech services' JSON: segments with text, null times as 0; else the whole text as one."""
     schema = "struct<segments:array<struct<start:double,end:double,text:string>>,text:string>"
     d = responses.select(key, F.from_json(json, schema).alias("r"))
-    filled = F.filter(F.coalesce("r.segments", F.array().cast("array<struct<start:double,end:double,text:string>>")), lambda s: F.trim(F.coalesce(s["text"], F.lit(""))) != "")
-    whole = F.when(F.trim(F.coalesce("r.text", F.lit(""))) != "", F.array(F.struct(F.lit(0.0).alias("start"), F.lit(0.0).alias("end"), F.col("r.text").alias("text")))).otherwise(F.array().cast("array<struct<start:double,end:double,text:string>>"))
+    filled = F.filter(F.coalesce("r.segments", F.array().cast("array<struct<start:double,end:double,text:string>>")), lambda s: strip(F.coalesce(s["text"], F.lit(""))) != "")
+    whole = F.when(strip(F.coalesce("r.text", F.lit(""))) != "", F.array(F.struct(F.lit(0.0).alias("start"), F.lit(0.0).alias("end"), F.col("r.text").alias("text")))).otherwise(F.array().cast("array<struct<start:double,end:double,text:string>>"))
     two = exact_round(2)
     rows = d.select(key, F.posexplode(F.when(F.size(filled) > 0, filled).otherwise(whole)).alias("seq", "s"))
-    return rows.select(key, F.col("seq").cast("long").alias("seq"), two(F.coalesce("s.start", F.lit(0.0))).alias("start"), two(F.coalesce("s.end", F.lit(0.0))).alias("end"), F.trim("s.text").alias("text"))
+    return rows.select(key, F.col("seq").cast("long").alias("seq"), two(F.coalesce("s.start", F.lit(0.0))).alias("start"), two(F.coalesce("s.end", F.lit(0.0))).alias("end"), strip(F.col("s.text")).alias("text"))

@@ -15,10 +15,8 @@ THRESHOLD = 27.0
 
 
 def rounded_time(seconds: Column) -> Column:
-    """To hundredths, ties to even by binary value; only times next to a tie leave generated code."""
-    scaled = seconds * 100
-    tie = F.abs(scaled - F.floor(scaled) - 0.5) < 1e-6
-    return F.when(tie, exact_round(2)(F.when(tie, seconds))).otherwise(F.rint(scaled) / 100)
+    """To hundredths, ties to even by binary value."""
+    return exact_round(2)(seconds)
 
 
 def frame_name(idx: Column) -> Column:

@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from chronoframe.operators.prefix import dealt, running
+
 
 def overlapping(segments: DataFrame, lo: Column | None = None, hi: Column | None = None) -> DataFrame:
     """Segments that touch [lo, hi], ends included, unclipped; a null bound is open."""
@@ -20,8 +22,17 @@ def overlapping(segments: DataFrame, lo: Column | None = None, hi: Column | None
     return out
 
 
-def islands(segments: DataFrame, gap, key: str = "video_id") -> DataFrame:
-    """key, win, start, end, n: segments merged while the next begins at most `gap` after the latest end so far."""
+def islands(segments: DataFrame, gap, key: str = "video_id", parts: int | None = None) -> DataFrame:
+    """key, win, start, end, n: segments merged while the next begins at most `gap` after the latest end so far.
+
+    With `parts`, rows are dealt out in so many ranges, for recordings too large for one task.
+    """
+    if parts is not None:
+        order = ["start", "seq"]
+        d = running(dealt(segments.select(key, "start", "end", "seq"), key, order, parts), key, order, F.col("end"), "latest")
+        new = F.col("latest").isNull() | (F.col("start") - F.col("latest") > gap)
+        numbered = running(d.withColumn("new", new.cast("long")), key, order, F.col("new"), "win", F.sum, current=True)
+        return numbered.groupBy(key, "win").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.count("*").alias("n"))
     w = Window.partitionBy(key).orderBy("start", "seq")
     latest = F.max("end").over(w.rowsBetween(Window.unboundedPreceding, -1))
     new = latest.isNull() | (F.col("start") - latest > gap)
@@ -37,13 +48,19 @@ def clipped(windows: DataFrame, ranges: DataFrame, key: str = "video_id") -> Dat
     return cut.where((lo.isNull() & hi.isNull()) | (F.col("end") > F.col("start")))
 
 
-def gaps(windows: DataFrame, ranges: DataFrame, key: str = "video_id") -> DataFrame:
-    """key, start, end of what the windows leave of [lo, hi]. Windows are expected within their range."""
+def gaps(windows: DataFrame, ranges: DataFrame, key: str = "video_id", parts: int | None = None) -> DataFrame:
+    """key, start, end of what the windows leave of [lo, hi]. Windows are expected within their range; those of keys without a range are left out.
+
+    With `parts`, rows are dealt out in so many ranges, for recordings too large for one task.
+    """
     ends = ranges.select(key, F.col("hi").alias("start"), F.col("hi").alias("end"))
-    w = Window.partitionBy(key).orderBy("start", "end").rowsBetween(Window.unboundedPreceding, -1)
-    walked = windows.select(key, "start", "end").unionByName(ends).withColumn("latest", F.max("end").over(w)).join(ranges.select(key, "lo"), key)
+    walked, order = windows.select(key, "start", "end").unionByName(ends), ["start", "end"]
+    if parts is None:
+        walked = walked.withColumn("latest", F.max("end").over(Window.partitionBy(key).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)))
+    else:
+        walked = running(dealt(walked, key, order, parts), key, order, F.col("end"), "latest")
     begin = F.greatest(F.col("lo"), F.col("latest"))
-    return walked.where(F.col("start") > begin).select(key, begin.alias("start"), F.col("start").alias("end"))
+    return walked.join(ranges.select(key, "lo"), key).where(F.col("start") > begin).select(key, begin.alias("start"), F.col("start").alias("end"))
 
 
 def totals(windows: DataFrame, ranges: DataFrame | None = None, key: str = "video_id") -> DataFrame:
@@ -58,17 +75,60 @@ def with_midpoints(scenes: DataFrame) -> DataFrame:
     return scenes.withColumn("midpoint", (F.col("start") + F.col("end")) / 2)
 
 
-def points_in_windows(points: DataFrame, windows: DataFrame, at: str, key: str = "video_id") -> DataFrame:
-    """One row per point and window that holds it, ends included; equal keys make it a hash join with a residual range test."""
-    w = windows.select(F.col(key).alias("_key"), "win", F.col("start").alias("win_start"), F.col("end").alias("win_end"))
-    return points.join(w, (points[key] == w["_key"]) & F.col(at).between(F.col("win_start"), F.col("win_end"))).drop("_key")
-
-
-def tagged(points: DataFrame, windows: DataFrame, at: str, key: str = "video_id", inside: str = "[speech]", outside: str = "[silent]") -> DataFrame:
-    """Points with a tag that tells whether a window holds them; rows are never multiplied."""
-    held = windows.groupBy(key).agg(F.collect_list(F.struct("start", "end")).alias("_windows"))
-    hit = F.exists(F.coalesce("_windows", F.array().cast("array<struct<start:bigint,end:bigint>>")), lambda w: F.col(at).between(w["start"], w["end"]))
-    return points.join(held, key, "left").withColumn("tag", F.when(hit, F.lit(inside)).otherwise(F.lit(outside))).drop("_windows")
+def _gridded(points: DataFrame, windows: DataFrame, at: str, key: str, margin: Column | None = None) -> tuple[DataFrame, DataFrame]:
+    """Both sides with `_cell`: a point lies in one cell of its key's grid, a window (widened by a margin) in every cell that it touches.
+
+    A key's cells are as wide as its windows are apart on average, or long if they are longer: all windows of a key together lie in
+    at most three times as many cells, and a point meets the windows of its cell only. Large keys are dealt out by cell.
+    """
+    wide = F.lit(0.0) if margin is None else margin.cast("double")
+    w = windows.withColumns({"_from": F.col("start").cast("double") - wide, "_to": F.col("end").cast("double") + wide}).where(F.col("_to") >= F.col("_from"))
+    cell = F.greatest((F.max("_to") - F.min("_from")) / F.count("*"), F.sum(F.col("_to") - F.col("_from")) / F.count("*"))
+    grid = w.groupBy(F.col(key).alias("_key")).agg(F.min("_from").alias("_origin"), F.when(cell > 0, cell).otherwise(F.lit(1.0)).alias("_width"))
+    place = lambda x: F.floor((x - F.col("_origin")) / F.col("_width"))
+    held = w.join(grid, w[key] == grid["_key"]).withColumn("_cell", F.explode(F.sequence(place(F.col("_from")), place(F.col("_to"))))).drop("_key", "_origin", "_width", "_from", "_to")
+    return points.join(grid, points[key] == grid["_key"], "left").withColumn("_cell", place(F.col(at).cast("double"))).drop("_key", "_origin", "_width"), held
+
+
+def points_in_windows(points: DataFrame, windows: DataFrame, at: str, key: str = "video_id", how: str = "inner") -> DataFrame:
+    """One row per point and window that holds it, ends included, with win, win_start and win_end.
+
+    how: "left" keeps the other points too, with nulls; "left_semi" gives each point once if any window holds it, without the window's columns;
+    "left_anti" those that none holds. A null key, point or bound matches nothing.
+    """
+    p, w = _gridded(points, windows.select(key, "win", "start", "end"), at, key)
+    w = w.select(F.col(key).alias("_key"), F.col("_cell").alias("_at"), "win", F.col("start").alias("win_start"), F.col("end").alias("win_end"))
+    return p.join(w, (p[key] == w["_key"]) & (p["_cell"] == w["_at"]) & F.col(at).between(w["win_start"], w["win_end"]), how).drop("_key", "_cell", "_at")
+
+
+def points_away(points: DataFrame, others: DataFrame, at: str, other_at: str, tolerance: str, key: str = "video_id") -> DataFrame:
+    """The points farther than their own tolerance from every one of the key's others."""
+    most = points.groupBy(F.col(key).alias("_key")).agg(F.max(tolerance).alias("_most"))
+    o = others.select(key, F.col(other_at).alias("start"), F.col(other_at).alias("end"))
+    o = o.join(most, o[key] == most["_key"]).drop("_key")
+    slack = F.col("_most") * (1 + 1e-9) + F.abs(F.col("start").cast("double")) * 1e-12  # more than rounding can add
+    p, w = _gridded(points, o, at, key, slack)
+    w = w.select(F.col(key).alias("_key"), F.col("_cell").alias("_at"), F.col("start").alias("_other"))
+    return p.join(w, (p[key] == w["_key"]) & (p["_cell"] == w["_at"]) & (F.abs(p[at] - w["_other"]) <= p[tolerance]), "left_anti").drop("_cell")
+
+
+def tagged(points: DataFrame, windows: DataFrame, at: str, key: str = "video_id", inside: str = "[speech]", outside: str = "[silent]", parts: int | None = None) -> DataFrame:
+    """Points with a tag that tells whether a window holds them; rows are never multiplied.
+
+    Points and starts of windows are walked in one order: a window holds a point if the latest end among those begun so far is not before
+    it. With `parts`, rows are dealt out in so many ranges, for recordings too large for one task.
+    """
+    t = F.struct(*points.columns)
+    starts = windows.where(F.col(key).isNotNull()).select(key, F.col("start").cast("double").alias("_t"), F.lit(0).alias("_kind"), F.col("end").cast("double").alias("_end"), F.lit(None).cast(points.select(t).dtypes[0][1]).alias("_point")).where("_t is not null")
+    asked = points.select(key, F.col(at).cast("double").alias("_t"), F.lit(1).alias("_kind"), F.lit(None).cast("double").alias("_end"), t.alias("_point"))
+    rows, order = starts.unionByName(asked), ["_t", "_kind"]
+    if parts is None:
+        latest = F.max("_end").over(Window.partitionBy(key).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow))
+        walked = rows.withColumn("_latest", latest)
+    else:
+        walked = running(dealt(rows, key, order, parts), key, order, F.col("_end"), "_latest", current=True)
+    hit = F.coalesce(F.col("_latest") >= F.col("_t"), F.lit(False))
+    return walked.where("_kind = 1").select("_point.*", F.when(hit, F.lit(inside)).otherwise(F.lit(outside)).alias("tag"))
 
 
 def away_from(points: Column, others: Column, tolerance: Column) -> Column:

@@ -6,9 +6,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from chronoframe.functions.scalar import exact_round
-from chronoframe.operators.budget import SPEECH_SHARE, allocated, speech_and_silence
-from chronoframe.operators.intervals import away_from, gaps
+from chronoframe.functions.scalar import bound, exact_round
+from chronoframe.operators.budget import SPEECH_SHARE, shares, speech_and_silence
+from chronoframe.operators.intervals import away_from
 
 _NONE = "array<double>"
 
@@ -17,7 +17,7 @@ def evenly_spaced(start: Column, end: Column, n: Column) -> Column:
     """n points that cut [start, end] into n + 1 equal parts; none if n < 1 or the interval is empty."""
     step = (end - start) / (n + 1)
     points = F.transform(F.sequence(F.lit(1), F.greatest(n.cast("int"), F.lit(1))), lambda i: (start + step * i).cast("double"))
-    return F.when((n >= 1) & (end > start), points).otherwise(F.array().cast(_NONE))
+    return F.when((n < 1) | (end <= start), F.array().cast(_NONE)).when(n == 1, F.array(((start + end) / 2).cast("double"))).otherwise(points)
 
 
 def thin_indices(n: Column, m: Column, single: str = "middle") -> Column:
@@ -38,45 +38,60 @@ def picked(start: Column, end: Column, midpoints: Column, budget: Column) -> Col
     Extra points come from one more candidate than the budget, farther than max(0.5, 5 %) from all midpoints, first ones first; if
     these are too few, as many evenly spaced points are taken regardless of midpoints.
     """
-    mids = F.array_sort(F.filter(midpoints, lambda m: m.between(start, end)))
-    need = (budget - F.size(mids)).cast("int")
     tolerance = F.greatest(F.lit(0.5), (end - start) * 0.05)
-    far = away_from(evenly_spaced(start, end, budget + 1), mids, tolerance)
-    extra = F.when(F.size(far) >= need, F.slice(far, F.lit(1), F.greatest(need, F.lit(0)))).otherwise(evenly_spaced(start, end, need))
-    return F.when(budget <= 0, F.array().cast(_NONE)).when(F.size(mids) >= budget, thinned(mids, budget)).otherwise(F.array_sort(F.concat(mids, extra)))
+
+    def topped_up(mids: Column) -> Column:
+        need = (budget - F.size(mids)).cast("int")
+        far = away_from(evenly_spaced(start, end, budget + 1), mids, tolerance)
+        extra = lambda f: F.when(F.size(f) >= need, F.slice(f, F.lit(1), F.greatest(need, F.lit(0)))).otherwise(evenly_spaced(start, end, need))
+        return F.when(F.size(mids) >= budget, thinned(mids, budget)).otherwise(F.array_sort(F.concat(mids, bound(far, extra))))
+
+    mids = F.array_sort(F.filter(midpoints, lambda m: m.between(start, end)))
+    return F.when((budget <= 0) | (end <= start), F.array().cast(_NONE)).otherwise(bound(mids, topped_up))
 
 
 def two_pass_plan(ranges: DataFrame, windows: DataFrame, midpoints: DataFrame, share: float = SPEECH_SHARE, key: str = "video_id") -> DataFrame:
     """Moments for each recording, more of them in speech.
 
-    ranges: key, lo, hi, max_frames. windows: key, win, start, end, within the range. midpoints: key, midpoint. All in seconds.
+    ranges: key, lo, hi, max_frames. windows: key, start, end, disjoint, within the range. midpoints: key, midpoint. All in seconds.
     Returns key, timestamps, speech_count, non_speech_count, speech_total_seconds, non_speech_total_seconds; an empty
-    range or a budget below 1 gives an empty plan.
+    range or a budget below 1 gives an empty plan, a range without speech evenly spaced moments that are not rounded.
+
+    A recording's windows are one array, folded into gaps and shares of the budget. Its pieces and midpoints are then rows again: as pieces
+    tile the range, a midpoint lies in the last piece begun, and in the one before if it is where that one ends.
     """
-    usable = ranges.where((F.col("max_frames") > 0) & (F.col("hi") > F.col("lo")))
-    w = windows.select(key, "win", "start", "end").join(usable.select(key), key, "left_semi")
-    g = gaps(w, usable, key).withColumn("win", F.row_number().over(Window.partitionBy(key).orderBy("start")).cast("long"))
-    pieces = w.withColumn("speech", F.lit(True)).unionByName(g.withColumn("speech", F.lit(False)))
-    length = F.col("end") - F.col("start")
-    sums = pieces.groupBy(key).agg(F.sum(F.when(F.col("speech"), length).otherwise(0.0)).alias("speech_len"), F.sum(F.when(~F.col("speech"), length).otherwise(0.0)).alias("silent_len"))
-    sides = usable.join(sums, key)
-    speech, silent = speech_and_silence(F.col("max_frames"), F.col("speech_len"), F.col("silent_len"), share)
-    sides = sides.withColumn("n_speech", speech).withColumn("n_silent", silent)
-    mids = midpoints.groupBy(key).agg(F.array_sort(F.collect_list("midpoint")).alias("mids"))
-    budgeted = pieces.join(sides.select(key, "n_speech", "n_silent"), key).withColumn("budget", F.when(F.col("speech"), F.col("n_speech")).otherwise(F.col("n_silent"))).where("budget > 0")
-    parts = [allocated(budgeted.where(F.col("speech") == side).select(key, "win", "start", "end", "budget"), key).withColumn("speech", F.lit(side)) for side in (True, False)]
-    both = parts[0].unionByName(parts[1]).join(mids, key, "left").withColumn("mids", F.coalesce("mids", F.array().cast(_NONE)))
-    # without speech the whole range is spaced evenly
-    quiet = both.join(sides.where("n_speech = 0").select(key, F.lit(True).alias("quiet")), key, "left")
-    points = F.when(F.coalesce("quiet", F.lit(False)), evenly_spaced(F.col("start"), F.col("end"), F.col("frames"))).otherwise(picked(F.col("start").cast("double"), F.col("end").cast("double"), F.col("mids"), F.col("frames")))
-    moments = quiet.select(key, F.explode(points).alias("t")).withColumn("t", exact_round(3)(F.col("t"))).distinct()
-    held = w.groupBy(key).agg(F.collect_list(F.struct("start", "end")).alias("held"))
-    listed = moments.groupBy(key).agg(F.array_sort(F.collect_list("t")).alias("all"))
-    out = sides.join(listed, key, "left").join(held, key, "left")
-    out = out.withColumn("timestamps", thinned(F.coalesce("all", F.array().cast(_NONE)), F.col("max_frames"), "first"))
-    inside = F.size(F.filter("timestamps", lambda t: F.exists(F.coalesce("held", F.array().cast("array<struct<start:double,end:double>>")), lambda x: t.between(x["start"], x["end"]))))
-    plan = out.select(
-        key, "timestamps", inside.alias("speech_count"), (F.size("timestamps") - inside).alias("non_speech_count"), F.least("speech_len", F.col("hi") - F.col("lo")).alias("speech_total_seconds"), F.col("silent_len").alias("non_speech_total_seconds")
-    )
-    empty = ranges.join(usable.select(key), key, "left_anti").select(key, F.array().cast(_NONE).alias("timestamps"), F.lit(0).alias("speech_count"), F.lit(0).alias("non_speech_count"), F.lit(0.0).alias("speech_total_seconds"), F.lit(0.0).alias("non_speech_total_seconds"))
-    return plan.unionByName(empty)
+    pair = "array<struct<start:double,end:double>>"
+    held = windows.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(F.col("start").cast("double").alias("start"), F.col("end").cast("double").alias("end")))).alias("held"))
+    d = ranges.select(key, F.col("lo").cast("double").alias("lo"), F.col("hi").cast("double").alias("hi"), F.col("max_frames").cast("long").alias("most")).join(held, key, "left")
+    usable = (F.col("most") > 0) & (F.col("hi") > F.col("lo"))
+    d = d.withColumn("usable", F.coalesce(usable, F.lit(False))).withColumn("held", F.when(F.col("usable") & F.col("held").isNotNull(), F.col("held")).otherwise(F.array().cast(pair)))
+    ends = F.concat("held", F.array(F.struct(F.col("hi").alias("start"), F.col("hi").alias("end"))))
+    gap = F.transform(ends, lambda w, i: F.struct(F.when(i == 0, F.col("lo")).otherwise(F.greatest("lo", F.get("held", i - 1)["end"])).alias("start"), w["start"].alias("end")))
+    d = d.withColumn("gaps", F.when(F.col("usable"), F.filter(gap, lambda g: g["end"] > g["start"])).otherwise(F.array().cast(pair)))
+    lengths = lambda name: F.transform(name, lambda x: x["end"] - x["start"])
+    total = lambda name: F.aggregate(lengths(name), F.lit(0.0), lambda a, x: a + x)
+    d = d.withColumns({"speech_len": F.least(total("held"), F.greatest(F.col("hi") - F.col("lo"), F.lit(0.0))), "silent_len": total("gaps")})
+    speech, silent = speech_and_silence(F.col("most"), F.col("speech_len"), F.col("silent_len"), share)
+    d = d.withColumns({"n_speech": F.when(F.col("usable"), speech).otherwise(0), "n_silent": F.when(F.col("usable"), silent).otherwise(0)})
+    d = d.withColumns({"a": shares(lengths("held"), F.col("speech_len"), F.col("n_speech")), "b": shares(lengths("gaps"), F.col("silent_len"), F.col("n_silent"))})
+    side = lambda name, frames: F.zip_with(name, frames, lambda x, n: F.struct(x["start"].alias("start"), x["end"].alias("end"), n.alias("frames")))
+    none = F.array().cast("array<struct<start:double,end:double,frames:bigint>>")
+    pieces = F.array_sort(F.concat(side("held", "a"), F.when(F.col("n_silent") > 0, side("gaps", "b")).otherwise(none)))
+    d = d.withColumn("pieces", F.when(F.col("n_speech") > 0, F.filter(pieces, lambda p: p["end"] > p["start"])).otherwise(none))
+    # pieces by their start, each with the end of the one before, and midpoints, in one walk
+    numbered = F.transform("pieces", lambda p, i: F.struct(p["start"].alias("t"), i.alias("n"), p.alias("piece"), F.get("pieces", i - 1)["end"].alias("before")))
+    # the outer form, as a filter that a plain explode implies would be pushed below all that makes the array, and make it many times
+    begun = d.select(key, F.explode_outer(numbered).alias("p")).where("p is not null").select(key, "p.t", F.lit(0).alias("kind"), "p.n", "p.piece", "p.before")
+    at = midpoints.where(F.col("midpoint").isNotNull() & F.col(key).isNotNull()).select(key, F.col("midpoint").cast("double").alias("t"), F.lit(1).alias("kind"), *[F.lit(None).cast(begun.schema[c].dataType).alias(c) for c in ("n", "piece", "before")])
+    walk = Window.partitionBy(key).orderBy("t", "kind").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    last = F.last(F.when(F.col("kind") == 0, F.struct("n", F.col("piece.end").alias("end"), "before")), ignorenulls=True).over(walk)
+    walked = begun.unionByName(at).withColumn("last", last)
+    own = F.when(F.col("kind") == 0, F.array("n")).otherwise(F.filter(F.array(F.when(F.col("t") <= F.col("last.end"), F.col("last.n")), F.when(F.col("t") == F.col("last.before"), F.col("last.n") - 1)), lambda x: x.isNotNull()))
+    by_piece = walked.select(key, "kind", "t", "piece", F.explode(own).alias("n")).groupBy(key, "n").agg(F.max("piece").alias("piece"), F.collect_list(F.when(F.col("kind") == 1, F.col("t"))).alias("mids"))
+    chosen = by_piece.select(key, picked(F.col("piece.start"), F.col("piece.end"), F.col("mids"), F.col("piece.frames")).alias("t"))
+    listed = chosen.groupBy(key).agg(F.flatten(F.collect_list("t")).alias("t")).select(key, F.array_sort(F.array_distinct(F.transform("t", exact_round(3)))).alias("all"))
+    out = d.join(listed, key, "left").withColumn("all", F.coalesce("all", F.array().cast(_NONE)))
+    quiet = F.col("usable") & (F.col("n_speech") == 0)
+    out = out.withColumn("timestamps", F.when(quiet, evenly_spaced(F.col("lo"), F.col("hi"), F.col("most"))).otherwise(thinned(F.col("all"), F.col("most"), "first")))
+    inside = F.when(quiet, F.lit(0)).otherwise(F.size(F.filter("timestamps", lambda t: F.exists("held", lambda x: t.between(x["start"], x["end"])))))
+    return out.select(key, "timestamps", inside.alias("speech_count"), (F.size("timestamps") - inside).alias("non_speech_count"), F.when(quiet, F.lit(0.0)).otherwise(F.col("speech_len")).alias("speech_total_seconds"), F.col("silent_len").alias("non_speech_total_seconds"))

@@ -90,9 +90,9 @@ def effective_scope(spark, sf_dir):
 SELECT video_id, win, t FROM p WHERE NOT EXISTS (SELECT 1 FROM m WHERE m.video_id = p.video_id AND abs(p.t - m.mid) <= tol)""")
 def points_away(spark, sf_dir):
     s, a, z = segments(spark, sf_dir), F.col("a"), F.col("z")
-    mids = intervals.with_midpoints(scenes(s)).join(ranges(s), "video_id").groupBy("video_id").agg(F.collect_list((F.col("midpoint") - F.col("lo")) / 1e6).alias("mids"))
-    away = intervals.away_from(sampling.evenly_spaced(a, z, F.lit(10)), F.coalesce("mids", F.array().cast("array<double>")), F.greatest(F.lit(0.5), (z - a) * 0.05))
-    return _relative(spark, sf_dir).join(mids, "video_id", "left").select("video_id", "win", F.explode(away).alias("t"))
+    mids = intervals.with_midpoints(scenes(s)).join(ranges(s), "video_id").select("video_id", ((F.col("midpoint") - F.col("lo")) / 1e6).alias("mid"))
+    points = _relative(spark, sf_dir).select("video_id", "win", F.greatest(F.lit(0.5), (z - a) * 0.05).alias("tolerance"), F.explode(sampling.evenly_spaced(a, z, F.lit(10))).alias("t"))
+    return intervals.points_away(points, mids, "t", "mid", "tolerance").select("video_id", "win", "t")
 
 
 @query("thinning_collisions", f"WITH {_ISL}, {_SCENES}, c AS (SELECT video_id, count(*)::INT AS n FROM sc GROUP BY 1) SELECT video_id, n, least(n, 7)::INT AS picked FROM c")

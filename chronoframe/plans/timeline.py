@@ -187,7 +187,7 @@ def _seconds(w: DataFrame, lo: str = "start", hi: str = "end") -> DataFrame:
 @query("window_pick", f"""WITH {_ISL}, {_SCENES}, m AS (SELECT win.video_id, win.win, any_value(win.s / 1e6) AS a, any_value(win.e / 1e6) AS z, coalesce(list(mid / 1e6 ORDER BY mid) FILTER (mid / 1e6 BETWEEN win.s / 1e6 AND win.e / 1e6), []) AS mids FROM win LEFT JOIN sc USING (video_id) GROUP BY ALL),
 f AS (SELECT *, len(mids) AS n, 4 - len(mids) AS need, list_filter(list_transform(CASE WHEN z > a THEN [1, 2, 3, 4, 5] ELSE [] END, lambda i: a + ((z - a) / 6) * i), lambda c: len(list_filter(mids, lambda x: abs(c - x) <= greatest(0.5, (z - a) * 0.05))) = 0) AS far FROM m),
 p AS (SELECT video_id, win, CASE WHEN n = 4 THEN mids WHEN n > 4 THEN list_transform(list_sort(list_distinct(list_transform([0, 1, 2, 3], lambda i: round_even(i * ((n - 1) / 3), 0)::BIGINT))), lambda i: mids[i + 1])
-WHEN len(far) >= need THEN list_sort(list_concat(mids, far[1:need])) ELSE list_sort(list_concat(mids, list_transform(CASE WHEN z > a THEN generate_series(1, need) ELSE [] END, lambda i: a + ((z - a) / (need + 1)) * i))) END AS moments FROM f)
+WHEN len(far) >= need THEN list_sort(list_concat(mids, far[1:need])) ELSE list_sort(list_concat(mids, CASE WHEN z > a AND need = 1 THEN [(a + z) / 2] ELSE list_transform(CASE WHEN z > a THEN generate_series(1, need) ELSE [] END, lambda i: a + ((z - a) / (need + 1)) * i) END)) END AS moments FROM f)
 SELECT video_id, win, unnest(generate_series(0, len(moments) - 1)) AS at, unnest(moments) AS moment FROM p""")
 def window_pick(spark, sf_dir):
     s = segments(spark, sf_dir)
@@ -197,12 +197,36 @@ def window_pick(spark, sf_dir):
     return d.withColumn("at", F.col("at").cast("long"))
 
 
-@query("two_pass_plan")
+#: Window and gap lengths are summed in order of time, shares taken, trimmed and topped up by side; picks are those of window_pick with each piece's own budget.
+_PLAN = f"""WITH {_ISL}, {_SCENES}, {_GAPS}, pc AS (SELECT video_id, true AS sp, s / 1e6 AS a, e / 1e6 AS z FROM win UNION ALL SELECT video_id, false, s / 1e6, e / 1e6 FROM gap),
+tot AS (SELECT video_id, sp, list_reduce(list(z - a ORDER BY a), lambda x, y: x + y) AS total FROM pc GROUP BY ALL),
+b AS (SELECT video_id, coalesce(max(total) FILTER (sp), 0) AS st, coalesce(max(total) FILTER (NOT sp), 0) AS nt FROM tot GROUP BY 1),
+al AS (SELECT pc.*, z - a AS len, CASE WHEN sp THEN CASE WHEN nt > 0 THEN 56 ELSE 80 END ELSE 24 END AS bud, CASE WHEN sp THEN st ELSE nt END AS total, row_number() OVER (PARTITION BY video_id, sp ORDER BY a) AS i FROM pc JOIN b USING (video_id)),
+k AS (SELECT *, greatest(1, round_even(bud * (len / total), 0)::BIGINT) AS k FROM al),
+c AS (SELECT *, sum(k) OVER (PARTITION BY video_id, sp) - bud AS over, row_number() OVER (PARTITION BY video_id, sp ORDER BY len DESC, i) = 1 AS longest FROM k),
+un AS (SELECT video_id, sp, i, over, unnest(generate_series(2, k)) AS h FROM c WHERE over > 0 AND k > 1), q AS (SELECT *, row_number() OVER (PARTITION BY video_id, sp ORDER BY h DESC, i) AS rk FROM un),
+l AS (SELECT video_id, sp, i, count(*) AS less FROM q WHERE rk <= over GROUP BY ALL),
+f AS (SELECT c.video_id, c.sp, c.i, a, z, (k - coalesce(less, 0) + CASE WHEN over < 0 AND longest THEN -over ELSE 0 END)::BIGINT AS n FROM c LEFT JOIN l USING (video_id, sp, i)),
+m AS (SELECT f.video_id, sp, i, any_value(a) AS a, any_value(z) AS z, any_value(n) AS n, coalesce(list(mid / 1e6 ORDER BY mid) FILTER (mid / 1e6 BETWEEN a AND z), []) AS mids FROM f LEFT JOIN sc USING (video_id) GROUP BY ALL),
+e AS (SELECT *, len(mids) AS h, n - len(mids) AS need, list_filter(list_transform(range(1, n + 2), lambda j: a + ((z - a) / (n + 2)) * j), lambda x: len(list_filter(mids, lambda y: abs(x - y) <= greatest(0.5, (z - a) * 0.05))) = 0) AS far FROM m),
+t AS (SELECT video_id, unnest(CASE WHEN h >= n AND n = 1 THEN [mids[h // 2 + 1]] WHEN h = n THEN mids WHEN h > n THEN list_transform(list_distinct(list_transform(range(n), lambda j: round_even(j * ((h - 1) / (n - 1)), 0)::BIGINT)), lambda j: mids[j + 1])
+WHEN len(far) >= need THEN list_concat(mids, far[1:need]) WHEN need = 1 THEN list_concat(mids, [(a + z) / 2]) ELSE list_concat(mids, list_transform(range(1, need + 1), lambda j: a + ((z - a) / (need + 1)) * j)) END) AS t FROM e),
+d AS (SELECT video_id, list_sort(list_distinct(list(printf('%.3f', t)::DOUBLE))) AS ts FROM t GROUP BY 1),
+o AS (SELECT video_id, CASE WHEN len(ts) > 80 THEN list_transform(list_sort(list_distinct(list_transform(range(80), lambda j: round_even(j * ((len(ts) - 1) / 79), 0)::BIGINT))), lambda j: ts[j + 1]) ELSE ts END AS ts FROM d),
+x AS (SELECT video_id, (unnest(range(len(ts))))::INT AS idx, unnest(ts) AS moment FROM o),
+y AS (SELECT x.*, EXISTS (SELECT 1 FROM pc WHERE sp AND pc.video_id = x.video_id AND moment BETWEEN a AND z) AS hit FROM x)
+SELECT video_id, idx, moment, count(*) FILTER (hit) OVER w AS speech_count, count(*) FILTER (NOT hit) OVER w AS non_speech_count, st AS speech_total_seconds, nt AS non_speech_total_seconds FROM y JOIN b USING (video_id) WINDOW w AS (PARTITION BY video_id)"""
+
+
+@query("two_pass_plan", _PLAN)
 def two_pass_plan(spark, sf_dir):
+    """The plan of each recording, a row per moment."""
     s = segments(spark, sf_dir)
     r = _seconds(ranges(s), "lo", "hi").withColumn("max_frames", F.lit(80).cast("long"))
     mids = intervals.with_midpoints(scenes(s)).select("video_id", (F.col("midpoint") / 1e6).alias("midpoint"))
-    return sampling.two_pass_plan(r, _seconds(windows(s)), mids)
+    plan = sampling.two_pass_plan(r, _seconds(windows(s)), mids)
+    counts = [F.col(c).cast("long").alias(c) for c in ("speech_count", "non_speech_count")]
+    return plan.select("video_id", F.posexplode("timestamps").alias("idx", "moment"), *counts, "speech_total_seconds", "non_speech_total_seconds")
 
 
 @query("run_collapse", """WITH l AS (SELECT doc_id AS video_id, unnest(string_split(text, chr(10))) AS text, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS seq FROM documents),
