@@ -80,7 +80,7 @@ def scope_faults(spark, sf_dir):
 
 @query("effective_scope", f"""WITH {_ISL}, {_REL}, q AS (SELECT *, CASE WHEN n > 1 THEN a END AS x, CASE WHEN n > 2 THEN z END AS y FROM w)
 SELECT video_id, win, coalesce(x, 0.0::DOUBLE) AS "start", coalesce(y, d) AS "end", greatest(0.0::DOUBLE, coalesce(y, d) - coalesce(x, 0.0::DOUBLE)) AS duration, x IS NOT NULL OR y IS NOT NULL AS focused,
-CASE WHEN NOT (x IS NOT NULL OR y IS NOT NULL) AND d > 600 THEN floor(d / 60)::BIGINT::VARCHAR || ' minutes: frames are sparse; ask for a part to see more.' END AS warning FROM q""")
+CASE WHEN NOT (x IS NOT NULL OR y IS NOT NULL) AND d > 600 THEN '> **Warning:** This is a ' || floor(d / 60)::BIGINT::VARCHAR || '-minute video. Frame coverage is sparse at this length — accuracy degrades noticeably on anything over 10 minutes. For better results, re-run with `--start HH:MM:SS --end HH:MM:SS` to zoom into a specific section.' END AS warning FROM q""")
 def effective_scope(spark, sf_dir):
     s, e, length, focused = selection.scope(F.col("d"), F.when(F.col("n") > 1, F.col("a")), F.when(F.col("n") > 2, F.col("z")))
     return _relative(spark, sf_dir).select("video_id", "win", s.alias("start"), e.alias("end"), length.alias("duration"), focused.alias("focused"), report.long_warning(F.col("d"), focused).alias("warning"))
@@ -110,27 +110,3 @@ def text_labels(spark, sf_dir):
     return d.select("doc_id", scalar.size_label(F.col("n_chars") * 100).alias("size"), scalar.shortened(F.col("text")).alias("shortened"), state.alias("state"))
 
 
-_HEAD = f"""WITH {_ISL}, {_REL}, q AS (SELECT *, CASE WHEN n > 1 THEN a END AS x, n > 1 AS f, least(n, 100) AS k, video_id::VARCHAR AS v FROM w),
-l AS (SELECT video_id, win, [
-'- **Source:** ' || v, '- **Title:** recording ' || v,
-'- **Duration:** ' || {_time('d')} || printf(' (%.1fs)', d),
-CASE WHEN f THEN '- **Focus range:** ' || {_time('x')} || ' → ' || {_time('d')} || printf(' (%.1fs)', d - x) END,
-CASE WHEN n > 1 THEN '- **Resolution:** 640x360 (unknown codec)' END,
-'- **Frames:** ' || CASE WHEN n > 2 THEN k || ' extracted via two-pass (' || k // 2 || ' in speech windows, ' || k - k // 2 || ' outside; max 100, ' ELSE k || ' @ 0.500 fps, ' END || CASE WHEN f THEN 'focused' ELSE 'full' END || CASE WHEN n > 2 THEN ' mode)' ELSE ' mode (max 100)' END,
-CASE WHEN n > 1 THEN '- **OCR:** 1/' || k || ' frames had detected text' END,
-'- **Transcript:** ' || CASE WHEN n > 1 THEN n || ' segments in range (via captions)' ELSE n || ' segments (via captions)' END,
-CASE WHEN NOT f AND d > 600 THEN '> ' || floor(d / 60)::BIGINT || ' minutes: frames are sparse; ask for a part to see more.' END] AS lines FROM q),
-p AS (SELECT video_id, win, list_filter(lines, lambda y: y IS NOT NULL) AS lines FROM l)
-SELECT video_id, win, (unnest(range(len(lines))))::INT AS idx, unnest(lines) AS line FROM p"""
-
-
-@query("report_head", _HEAD)
-def report_head(spark, sf_dir):
-    n, none = F.col("n"), F.lit(None).cast("string")
-    k, name = F.least(n, F.lit(100)), F.col("video_id").cast("string")
-    d = _relative(spark, sf_dir).select(
-        F.struct("video_id", "win").alias("key"), name.alias("source"), F.concat(F.lit("recording "), name).alias("title"), none.alias("uploader"), F.col("d").alias("duration"), F.when(n > 1, F.col("a")).alias("focus_start"), F.lit(None).cast("double").alias("focus_end"),
-        F.when(n > 1, 640).alias("width"), F.when(n > 1, 360).alias("height"), none.alias("codec"), F.when(n > 2, "two-pass").otherwise("fps").alias("mode"), k.alias("n_frames"), F.floor(k / 2).alias("n_speech"), F.lit(None).cast("int").alias("n_scenes"), F.lit(0.5).alias("fps"),
-        F.lit(100).alias("max_frames"), F.when(n > 1, 1).alias("n_text"), n.alias("n_segments"), none.alias("transcript_source"), none.alias("question"), none.alias("model"),
-    )
-    return report.head_lines(d, "key").select("key.video_id", "key.win", "idx", "line")

@@ -412,15 +412,6 @@ def text_map(spark, sf_dir):
     return report.text_map(d)
 
 
-@query("report_text")
-def report_text(spark, sf_dir):
-    s, c = segments(spark, sf_dir), spoken(spark, sf_dir)
-    r = ranges(s).select("video_id", F.lit(None).cast("string").alias("title"), ((F.col("hi") - F.col("lo")) / 1e6).alias("duration"))
-    f = intervals.tagged(intervals.with_midpoints(scenes(s)), windows(s).where("n > 1"), "midpoint").join(ranges(s), "video_id")
-    lines = f.select("video_id", F.col("scene_no").alias("idx"), report.frame_line(F.concat(F.lit("frame_"), F.col("scene_no").cast("string")), (F.col("midpoint") - F.col("lo")) / 1e6, F.col("tag"), F.lit(None).cast("string")).alias("line"))
-    return report.reports(r, lines, captions.transcript_lines(c), window_summary(spark, sf_dir).withColumnRenamed("summary", "windows"))
-
-
 @query("stream_windows", f'WITH {_ISL} SELECT video_id, s AS "start", e AS "end", n FROM win')
 def stream_windows(spark, sf_dir):
     e = table(spark, sf_dir, "events")
