@@ -44,6 +44,15 @@ def exact_round(digits: int):
     return rounded
 
 
+#: Fixed pattern: the byte sequences of UTF-8 beyond ASCII, one char of ISO-8859-1 per byte, and any other byte beyond ASCII.
+_MULTIBYTE = "([\\xC2-\\xDF][\\x80-\\xBF]|\\xE0[\\xA0-\\xBF][\\x80-\\xBF]|[\\xE1-\\xEC\\xEE\\xEF][\\x80-\\xBF]{2}|\\xED[\\x80-\\x9F][\\x80-\\xBF]|\\xF0[\\x90-\\xBF][\\x80-\\xBF]{2}|[\\xF1-\\xF3][\\x80-\\xBF]{3}|\\xF4[\\x80-\\x8F][\\x80-\\xBF]{2})|[\\x80-\\xFF]"
+
+
+def lenient_text(content: Column) -> Column:
+    """UTF-8 bytes as text; bytes that are not part of a whole character are left out."""
+    return F.encode(F.regexp_replace(F.decode(content, "ISO-8859-1"), _MULTIBYTE, "$1"), "ISO-8859-1").cast("string")
+
+
 def strip(x: Column) -> Column:
     return F.regexp_replace(x, rf"^{SPACE}+|{SPACE}+$", "")
 

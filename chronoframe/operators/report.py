@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from chronoframe.functions.scalar import collapse_space, exact_round, format_clock, format_time, half_even, is_url, is_video_host
 from chronoframe.operators.budget import SPEECH_SHARE
@@ -171,6 +172,19 @@ def text_map(texts: DataFrame, key: str = "video_id") -> DataFrame:
     return texts.select(key, path.alias("path"), F.to_json(F.create_map(path, "text")).alias("json"))
 
 
+def text_map_lines(texts: DataFrame, key: str = "video_id") -> DataFrame:
+    """key, section, idx, line: one indented JSON object path -> text per recording, in the order of idx; ties come in any order.
+
+    texts: key, idx, path, text. Null paths count as empty ones, a null text is null.
+    """
+    quoted = lambda x: F.regexp_extract(F.to_json(F.array(x), {"ignoreNullFields": "false"}), r"(?s)^\[(.*)\]$", 1)
+    last = F.lead(F.lit(1)).over(Window.partitionBy(key).orderBy("idx")).isNull()
+    entry = F.concat(F.lit("  "), quoted(F.coalesce("path", F.lit(""))), F.lit(": "), quoted(F.col("text")), F.when(last, F.lit("")).otherwise(F.lit(",")))
+    entries = texts.select(key, F.lit(1).alias("section"), F.col("idx").cast("long").alias("idx"), entry.alias("line"))
+    keys = texts.select(key).distinct()
+    return entries.unionByName(_listed(keys, key, 0, [F.lit("{")])).unionByName(_listed(keys, key, 2, [F.lit("}")]))
+
+
 def scene_report(scenes: DataFrame, key: str = "video_id") -> DataFrame:
     """key, scene_no, json: each scene with its midpoint, one row per scene."""
     each = F.struct("scene_no", "start", "end", ((F.col("start") + F.col("end")) / 2).alias("midpoint"))

@@ -7,7 +7,7 @@ from typing import Protocol
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chronoframe.functions.scalar import first_filled
+from chronoframe.functions.scalar import first_filled, lenient_text
 
 SEGMENTS = "video_id string, seq long, start double, end double, text string, speaker string"
 SCENES = "video_id string, scene_no int, start double, end double"
@@ -18,10 +18,10 @@ _PROBE = "struct<streams:array<struct<codec_type:string,codec_name:string,width:
 
 
 def caption_files(spark: SparkSession, path: str) -> DataFrame:
-    """video_id (the file's folder), name, value: whole texts of caption files."""
-    d = spark.read.text(path, wholetext=True).withColumn("_path", F.input_file_name())
-    parts = F.split("_path", "/")
-    return d.select(F.element_at(parts, -2).alias("video_id"), F.element_at(parts, -1).alias("name"), "value")
+    """video_id (the file's folder), name, value: whole texts of caption files, without the bytes that are not UTF-8."""
+    d = spark.read.format("binaryFile").load(path)
+    parts = F.split("path", "/")
+    return d.select(F.element_at(parts, -2).alias("video_id"), F.element_at(parts, -1).alias("name"), lenient_text(F.col("content")).alias("value"))
 
 
 def local_files(spark: SparkSession, path: str) -> DataFrame:
