@@ -23,12 +23,12 @@ def query(name: str, sql: str | None = None):
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    from chronoframe.plans import files, media, reports, timeline  # noqa: F401
+    from chronoframe.plans import files, media, reports, requests, sql, timeline  # noqa: F401
 
     return QUERIES
 
 
 def oracle_sql() -> dict[str, str]:
-    from chronoframe.plans import files, media, reports, timeline  # noqa: F401
+    from chronoframe.plans import files, media, reports, requests, sql, timeline  # noqa: F401
 
     return SQL
