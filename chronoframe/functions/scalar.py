@@ -84,28 +84,28 @@ def parse_time(x: Column, strict: bool = False) -> Column:
 
 
 def format_time(seconds: Column) -> Column:
-    """H:MM:SS, or MM:SS under an hour; rounded half-even."""
+    """H:MM:SS, or MM:SS where the hours are 0; rounded half-even. Null, as in the other forms, stays null."""
     t = half_even(seconds)
     h, m, s = F.floor(t / 3600), F.floor(F.pmod(t, F.lit(3600)) / 60), F.pmod(t, F.lit(60))
-    return F.when(h > 0, F.format_string("%d:%02d:%02d", h, m, s)).otherwise(F.format_string("%02d:%02d", m, s))
+    return F.when(h != 0, F.format_string("%d:%02d:%02d", h, m, s)).when(t.isNotNull(), F.format_string("%02d:%02d", m, s))
 
 
 def format_clock(seconds: Column) -> Column:
     """M:SS without hours; rounded half-even."""
     t = half_even(seconds)
-    return F.format_string("%d:%02d", F.floor(t / 60), F.pmod(t, F.lit(60)))
+    return F.when(t.isNotNull(), F.format_string("%d:%02d", F.floor(t / 60), F.pmod(t, F.lit(60))))
 
 
 def cue_clock(seconds: Column) -> Column:
     """M:SS without hours; truncated."""
     t = seconds.cast("long")
-    return F.format_string("%d:%02d", F.floor(t / 60), F.pmod(t, F.lit(60)))
+    return F.when(t.isNotNull(), F.format_string("%d:%02d", F.floor(t / 60), F.pmod(t, F.lit(60))))
 
 
 def cue_stamp(seconds: Column) -> Column:
     """[MM:SS], truncated; minutes run past 59."""
     t = seconds.cast("long")
-    return F.format_string("[%02d:%02d]", F.floor(t / 60), F.pmod(t, F.lit(60)))
+    return F.when(t.isNotNull(), F.format_string("[%02d:%02d]", F.floor(t / 60), F.pmod(t, F.lit(60))))
 
 
 def is_url(x: Column) -> Column:

@@ -18,7 +18,7 @@ SCALARS = {
 WHEN 1 THEN try_cast({_STRIP.format('t')} AS DOUBLE)
 WHEN 2 THEN CAST(try_cast(split_part({_STRIP.format('t')}, ':', 1) AS BIGINT) AS DOUBLE) * 60 + try_cast(split_part({_STRIP.format('t')}, ':', 2) AS DOUBLE)
 WHEN 3 THEN CAST(try_cast(split_part({_STRIP.format('t')}, ':', 1) AS BIGINT) AS DOUBLE) * 3600 + CAST(try_cast(split_part({_STRIP.format('t')}, ':', 2) AS BIGINT) AS DOUBLE) * 60 + try_cast(split_part({_STRIP.format('t')}, ':', 3) AS DOUBLE) END END"""),
-    "format_time": ("s DOUBLE", "STRING", "CASE WHEN CAST(rint(s) AS BIGINT) >= 3600 THEN format_string('%d:%02d:%02d', CAST(rint(s) AS BIGINT) div 3600, CAST(rint(s) AS BIGINT) % 3600 div 60, CAST(rint(s) AS BIGINT) % 60) WHEN s IS NOT NULL THEN format_string('%02d:%02d', CAST(rint(s) AS BIGINT) div 60, CAST(rint(s) AS BIGINT) % 60) END"),
+    "format_time": ("s DOUBLE", "STRING", "CASE WHEN floor(rint(s) / 3600) <> 0 THEN format_string('%d:%02d:%02d', CAST(floor(rint(s) / 3600) AS BIGINT), pmod(CAST(rint(s) AS BIGINT), 3600) div 60, pmod(CAST(rint(s) AS BIGINT), 60)) WHEN s IS NOT NULL THEN format_string('%02d:%02d', CAST(rint(s) AS BIGINT) div 60, CAST(rint(s) AS BIGINT) % 60) END"),
     "is_significant": ("t STRING", "BOOLEAN", "length(replace(coalesce(t, ''), ' ', '')) >= 10"),
     "is_url": ("u STRING", "BOOLEAN", "coalesce(u RLIKE r'(?i)^https?://[^/?#]+', false)"),
 }

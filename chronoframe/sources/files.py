@@ -24,6 +24,11 @@ def located(path: str) -> tuple[fs.FileSystem, str]:
     return fs.FileSystem.from_uri(path) if "://" in path or path.startswith("file:") else (fs.LocalFileSystem(), path)
 
 
+def _lowered(options: dict) -> dict:
+    """Names of options do not depend on case."""
+    return {k.lower(): v for k, v in options.items()}
+
+
 def lenient(content: bytes) -> str:
     """UTF-8 as text; bytes that are not part of a whole character are left out."""
     return content.decode("utf-8", errors="ignore")
@@ -41,7 +46,7 @@ class CaptionReader(DataSourceReader):
         if not options.get("path"):
             raise ValueError("captions: set the option path to a folder")
         self.path, self.pattern = options["path"], options.get("pattern", "*.vtt")
-        self.by_stem, self.most = options.get("id", "folder") == "stem", int(options.get("maxPartitionBytes", 32 << 20))
+        self.by_stem, self.most = options.get("id", "folder") == "stem", int(options.get("maxpartitionbytes", 32 << 20))
 
     def partitions(self) -> list[InputPartition]:
         system, base = located(self.path)
@@ -75,7 +80,7 @@ class Captions(DataSource):
         return "video_id string, name string, value string"
 
     def reader(self, schema: StructType) -> DataSourceReader:
-        return CaptionReader(dict(self.options))
+        return CaptionReader(_lowered(self.options))
 
 
 @dataclass
@@ -95,7 +100,7 @@ class FilesWriter(DataSourceWriter):
     def __init__(self, options: dict, overwrite: bool):
         if not options.get("path"):
             raise ValueError("recording_files: set the option path to a folder")
-        self.path, self.extension, self.separator = options["path"].rstrip("/"), options.get("extension", "md"), options.get("lineSep", "\n").encode()
+        self.path, self.extension, self.separator = options["path"].rstrip("/"), options.get("extension", "md"), options.get("linesep", "\n").encode()
         self.overwrite, self.job = overwrite, uuid.uuid4().hex
 
     def _staging(self, base: str) -> str:
@@ -158,7 +163,7 @@ class RecordingFiles(DataSource):
     def writer(self, schema: StructType, overwrite: bool) -> DataSourceWriter:
         if [f.dataType.typeName() for f in schema.fields] not in (["string", "string"], ["string", "binary"]):
             raise ValueError(f"recording_files: rows are (STRING, STRING or BINARY), not {schema.simpleString()}")
-        return FilesWriter(dict(self.options), overwrite)
+        return FilesWriter(_lowered(self.options), overwrite)
 
 
 def register(spark: SparkSession) -> None:

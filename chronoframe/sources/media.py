@@ -18,7 +18,7 @@ _PROBE = "struct<streams:array<struct<codec_type:string,codec_name:string,width:
 
 
 def caption_files(spark: SparkSession, path: str) -> DataFrame:
-    """video_id (the file's folder), name, value: whole texts of caption files, without the bytes that are not UTF-8."""
+    """video_id (the file's folder), name, value: whole texts of caption files, without the bytes that are not UTF-8. Spark's readers pass over empty files."""
     d = spark.read.format("binaryFile").load(path)
     parts = F.split("path", "/")
     return d.select(F.element_at(parts, -2).alias("video_id"), F.element_at(parts, -1).alias("name"), lenient_text(F.col("content")).alias("value"))

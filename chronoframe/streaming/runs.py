@@ -37,7 +37,9 @@ class Runs(StatefulProcessor):
         return runs[_OUT].assign(**{self.key: key[0]})[[self.key, *_OUT]]
 
     def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        d = pd.concat(list(rows))[_OUT].assign(last=lambda x: x["seq"])
+        d = pd.concat(list(rows))
+        latest = max(timerValues.getCurrentWatermarkInMs(), int(d["ms"].max()))
+        d = d[_OUT].assign(last=lambda x: x["seq"])
         if self.open.exists():
             held = pd.DataFrame([tuple(self.open.get())], columns=[*_OUT, "last"])
             d = pd.concat([held, d[d["seq"] > held["last"][0]]])
@@ -46,7 +48,7 @@ class Runs(StatefulProcessor):
         self.open.update((int(tail["seq"]), float(tail["start"]), float(tail["end"]), tail["text"], int(tail["last"])))
         for t in list(self.handle.listTimers()):
             self.handle.deleteTimer(t)
-        self.handle.registerTimer(timerValues.getCurrentWatermarkInMs() + self.idle_ms)
+        self.handle.registerTimer(latest + self.idle_ms)
         yield self._given(key, runs.iloc[:-1])
 
     def handleExpiredTimer(self, key: tuple, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
@@ -62,9 +64,9 @@ def collapsed_runs(segments: DataFrame, late: str = "10 seconds", idle_seconds:
     """key, seq, start, end, text: runs of a stream of segments, given out as soon as they end.
 
     segments: key, seq, start, end, text and `at` TIMESTAMP, when a segment was said; rows come about in the order of seq. A run ends with the first row that does
-    not continue it, or once the watermark, `late` behind the latest `at`, has moved on by `idle_seconds` since the recording's last batch. Rows older than the
+    not continue it, or once the watermark, `late` behind the latest `at`, is `idle_seconds` past the latest `at` of the recording's last batch. Rows older than the
     watermark and rows not after the last one folded are left out; null texts are empty ones. Needs the RocksDB state store.
     """
-    d = segments.withWatermark("at", late).where(F.col(key).isNotNull() & F.col("seq").isNotNull()).select(key, "at", F.col("seq").cast("long").alias("seq"), F.col("start").cast("double").alias("start"), F.col("end").cast("double").alias("end"), F.coalesce("text", F.lit("")).alias("text"))
+    d = segments.withWatermark("at", late).where(F.col(key).isNotNull() & F.col("seq").isNotNull()).select(key, "at", F.unix_millis("at").alias("ms"), F.col("seq").cast("long").alias("seq"), F.col("start").cast("double").alias("start"), F.col("end").cast("double").alias("end"), F.coalesce("text", F.lit("")).alias("text"))
     schema = f"{key} {dict(d.dtypes)[key]}, seq long, start double, end double, text string"
     return d.groupBy(key).transformWithStateInPandas(statefulProcessor=Runs(key, int(idle_seconds * 1000)), outputStructType=schema, outputMode="Append", timeMode="EventTime")

@@ -22,7 +22,7 @@ def values(spark, column, rows, schema):
 
 def test_times(spark):
     assert values(spark, scalar.parse_time(F.col("t")), [("45",), ("0:90",), ("1:02:03.5",), ("",), (None,), ("1:2:3:4",), ("1.5:00",), ("x",)], "t string") == [45, 90, 3723.5, None, None, None, None, None]
-    assert values(spark, scalar.format_time(F.col("t")), [(0.5,), (2.5,), (59.5,), (3599.5,)], "t double") == ["00:00", "00:02", "01:00", "1:00:00"]
+    assert values(spark, scalar.format_time(F.col("t")), [(0.5,), (2.5,), (59.5,), (3599.5,), (-3.0,), (None,)], "t double") == ["00:00", "00:02", "01:00", "1:00:00", "-1:59:57", None]
     assert values(spark, scalar.format_clock(F.col("t")), [(3725.0,)], "t double") == ["62:05"]
     assert values(spark, scalar.cue_stamp(F.col("t")), [(3725.9,)], "t double") == ["[62:05]"]
     assert values(spark, scalar.exact_round(2)(F.col("t")), [(2.675,), (1.005,), (0.125,), (None,)], "t double") == [2.67, 1.0, 0.12, None]
@@ -151,19 +151,11 @@ def test_payload(spark):
 
 
 def test_reports_are_rows(spark):
-    """A repeated and a null path keep their entries, and a report's lines are ordered rows."""
+    """A repeated and a null path keep their entries, and scenes keep their fields."""
     texts = spark.createDataFrame([("v", "a", "x"), ("v", "a", "y"), ("v", None, "z"), ("w", "b", '"')], "video_id string, path string, text string")
     assert sorted((r.video_id, r.path, r.json) for r in report.text_map(texts).collect()) == [("v", "", '{"":"z"}'), ("v", "a", '{"a":"x"}'), ("v", "a", '{"a":"y"}'), ("w", "b", '{"b":"\\""}')]
     scenes = spark.createDataFrame([("v", 0, 0.0, 2.0), ("v", 1, 2.0, 4.0)], "video_id string, scene_no int, start double, end double")
     assert [r.json for r in report.scene_report(scenes).orderBy("scene_no").collect()] == ['{"scene_no":0,"start":0.0,"end":2.0,"midpoint":1.0}', '{"scene_no":1,"start":2.0,"end":4.0,"midpoint":3.0}']
-    media_ = spark.createDataFrame([("v", None, 65.0), ("w", "W", 1.0)], "video_id string, title string, duration double")
-    frames = spark.createDataFrame([("v", 1, "f1"), ("v", 0, "f0"), ("other", 0, "f")], "video_id string, idx int, line string")
-    said = spark.createDataFrame([("v", 5, "t5"), ("v", 2, "t2")], "video_id string, seq long, line string")
-    summaries = spark.createDataFrame([("v", "0:00-0:10")], "video_id string, windows string")
-    rows = report.reports(media_, frames, said, summaries).orderBy("video_id", "section", "idx").collect()
-    v, w = ([r.line for r in rows if r.video_id == k] for k in "vw")
-    assert v[0] == "# v" and v[2:] == ["- frames: 2", "- speech: 0:00-0:10", "## Frames", "f0", "f1", "## Transcript", "t2", "t5"]
-    assert w[0] == "# W" and w[2:] == ["- frames: 0", "- speech: (none)", "## Frames", "## Transcript", "(none)"] and {r.video_id for r in rows} == {"v", "w"}
 
 
 def test_frames(spark):
