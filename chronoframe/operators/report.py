@@ -198,7 +198,7 @@ def chat_payload(frames: DataFrame, prompts: DataFrame, key: str = "video_id") -
     """
     part = lambda kind, text, url: F.struct(F.lit(kind).alias("type"), text.alias("text"), url.alias("image_url"))
     null = F.lit(None).cast("string")
-    image = part("image_url", null, F.concat(F.lit("data:image/jpeg;base64,"), F.base64("content")))
+    image = part("image_url", null, F.concat(F.lit("data:image/jpeg;base64,"), F.translate(F.base64("content"), "\r\n", "")))
     images = frames.groupBy(key).agg(F.count("*").alias("asked"), F.transform(F.sort_array(F.collect_list(F.when(F.col("content").isNotNull(), F.struct("idx", image.alias("part"))))), lambda x: x["part"]).alias("images"))
     d = images.where(F.size("images") > 0).join(prompts, key)
     preamble = F.concat(F.col("asked").cast("string"), F.lit(" frames in order of time."), F.when(F.coalesce("transcript", F.lit("")) != "", F.concat(F.lit(" Transcript: "), F.col("transcript"))).otherwise(F.lit("")))

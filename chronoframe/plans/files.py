@@ -55,3 +55,22 @@ def text_files(spark, sf_dir):
     path = new_path(spark, "texts")
     files.save_files(report.text_map_lines(d), path, ["section", "idx"], extension="json")
     return _whole(spark, f"{path}/*/*.json")
+
+
+@query("chat_parts", """WITH d AS (SELECT conv_id, turn, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS k, coalesce(text, '') AS text FROM conversations), n AS (SELECT conv_id, count(*) AS n, count(*) FILTER (turn % 3 <> 1) AS loaded FROM d GROUP BY 1),
+p AS (SELECT conv_id, 0 AS a, 0 AS k, 'text' AS type, n || ' frames in order of time. Transcript: said ' || conv_id AS content FROM n UNION ALL
+SELECT conv_id, 1, k, 'image_url', 'data:image/jpeg;base64,' || to_base64(encode(text || chr(10))) FROM d WHERE turn % 3 <> 1 UNION ALL SELECT conv_id, 2, 0, 'text', 'why ' || conv_id || '?' FROM n)
+SELECT conv_id::VARCHAR AS video_id, (row_number() OVER (PARTITION BY conv_id ORDER BY a, k) - 1)::INT AS at, type, content FROM p WHERE conv_id IN (SELECT conv_id FROM n WHERE loaded > 0)""")
+def chat_parts(spark, sf_dir):
+    """A request to a vision model per conversation: its turns are written as files and read as images, every third of which is missing; a row per part."""
+    c = table(spark, sf_dir, "conversations").select(F.col("conv_id").cast("string").alias("video_id"), "turn", F.coalesce("text", F.lit("")).alias("text"))
+    path = new_path(spark, "images")
+    named = c.select(F.concat_ws("-", "video_id", "turn").alias("video_id"), "turn", F.col("text").alias("line")).where(F.col("turn") % 3 != 1)
+    files.save_files(named, path, ["turn"], extension="jpg")
+    images = spark.read.format("binaryFile").load(f"{path}/*/*.jpg").select(F.substring_index(F.element_at(F.split("path", "/"), -1), ".", 1).alias("name"), "content")
+    frames = c.withColumn("name", F.concat_ws("-", "video_id", "turn")).join(images, "name", "left").select("video_id", F.col("turn").alias("idx"), "content")
+    v = F.col("video_id")
+    prompts = c.select("video_id").distinct().select("video_id", F.concat(F.lit("why "), v, F.lit("?")).alias("question"), F.concat(F.lit("said "), v).alias("transcript"))
+    parts = F.from_json("json", "array<struct<type:string,text:string,image_url:string>>")
+    d = report.chat_payload(frames, prompts).select("video_id", F.posexplode(parts).alias("at", "p"))
+    return d.select("video_id", "at", "p.type", F.coalesce("p.text", "p.image_url").alias("content"))

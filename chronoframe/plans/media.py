@@ -65,12 +65,12 @@ def model_chain(spark, sf_dir):
     return frames.by_chain(attempts, ["assistant", "assistant", "user"]).select("video_id", "model", F.get("segments", 0).alias("total"))
 
 
-@query("backend_labels", """SELECT doc_id, 'whisper (' || CASE WHEN lang = 'en' THEN 'local, ' || source WHEN n_chars > 1000 THEN 'assemblyai, diarized' ELSE 'assemblyai' END || CASE WHEN n_chars > 5000 THEN ', --audio' ELSE '' END || ')' AS label
-FROM documents WHERE lang IS NOT NULL AND source IS NOT NULL AND n_chars IS NOT NULL""")
+@query("backend_labels", """SELECT doc_id, 'whisper (' || CASE WHEN lang = 'en' THEN 'local, ' || coalesce(source, 'unknown') WHEN n_chars > 1000 THEN 'assemblyai, diarized' ELSE 'assemblyai' END || CASE WHEN n_chars > 5000 THEN ', --audio' ELSE '' END || ')' AS label
+FROM documents""")
 def backend_labels(spark, sf_dir):
-    d = table(spark, sf_dir, "documents").where("lang is not null and source is not null and n_chars is not null")
+    d = table(spark, sf_dir, "documents")
     backend = F.when(F.col("lang") == "en", F.lit("local")).otherwise(F.lit("assemblyai"))
-    return d.select("doc_id", frames.backend_label(backend, F.col("source"), F.col("n_chars") > 1000, F.col("n_chars") > 5000).alias("label"))
+    return d.select("doc_id", frames.backend_label(backend, F.coalesce("source", F.lit("unknown")), F.col("n_chars") > 1000, F.col("n_chars") > 5000).alias("label"))
 
 
 @query("scope_faults", f"""WITH {_ISL}, {_REL} SELECT video_id, win, CASE WHEN a - 3600 < 0 THEN 'start is negative' WHEN z - 7200 <= a - 3600 THEN 'end is not after start' WHEN d > 0 AND a - 3600 >= d THEN 'start is past the end' END AS fault FROM w""")

@@ -44,8 +44,8 @@ def windows(segs: DataFrame) -> DataFrame:
 
 
 def spoken(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """conversations as captions, a character lasting a tenth of a second."""
-    c = table(spark, sf_dir, "conversations").where("text is not null")
+    """conversations as captions, a character lasting a tenth of a second; a null text is an empty one."""
+    c = table(spark, sf_dir, "conversations").withColumn("text", F.coalesce("text", F.lit("")))
     w = Window.partitionBy("conv_id").orderBy("turn").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     end = F.sum(F.length("text")).over(w)
     return c.select(F.col("conv_id").alias("video_id"), F.col("turn").alias("seq"), ((end - F.length("text")) / 10.0).alias("start"), (end / 10.0).alias("end"), "text", F.col("role").alias("speaker"))
@@ -240,7 +240,7 @@ def run_collapse(spark, sf_dir):
 
 
 _SPOKEN = """sp AS (SELECT conv_id AS video_id, turn AS seq, (sum(length(text)) OVER w - length(text)) / 10.0::DOUBLE AS s, (sum(length(text)) OVER w) / 10.0::DOUBLE AS e, text, role AS speaker
-FROM conversations WHERE text IS NOT NULL WINDOW w AS (PARTITION BY conv_id ORDER BY turn ROWS UNBOUNDED PRECEDING))"""
+FROM (SELECT conv_id, turn, role, coalesce(text, '') AS text FROM conversations) WINDOW w AS (PARTITION BY conv_id ORDER BY turn ROWS UNBOUNDED PRECEDING))"""
 
 
 @query("speaker_transcript", f"""WITH {_SPOKEN}, l AS (SELECT *, CASE WHEN coalesce(speaker, '') <> '' THEN '[' || speaker || '] (' || (trunc(s)::BIGINT // 60) || ':' || lpad((trunc(s)::BIGINT % 60)::VARCHAR, 2, '0') || '-' || (trunc(e)::BIGINT // 60) || ':' || lpad((trunc(e)::BIGINT % 60)::VARCHAR, 2, '0') || ') ' || text
@@ -250,7 +250,7 @@ def speaker_transcript(spark, sf_dir):
     return captions.transcripts(spoken(spark, sf_dir))
 
 
-@query("speakers", "SELECT conv_id AS video_id, string_agg(DISTINCT role, ', ' ORDER BY role) AS speakers, bool_or(role IS NOT NULL) AS diarised FROM conversations WHERE text IS NOT NULL GROUP BY 1")
+@query("speakers", "SELECT conv_id AS video_id, string_agg(DISTINCT role, ', ' ORDER BY role) AS speakers, bool_or(role IS NOT NULL) AS diarised FROM conversations GROUP BY 1")
 def speakers(spark, sf_dir):
     return captions.speakers(spoken(spark, sf_dir))
 
@@ -406,9 +406,9 @@ def scene_report(spark, sf_dir):
     return j.select("video_id", read["scene_no"].alias("scene_no"), read["start"].alias("start"), read["end"].alias("end"), read["midpoint"].alias("midpoint"))
 
 
-@query("text_map", "SELECT source AS video_id, doc_id::VARCHAR AS path, json_object(doc_id::VARCHAR, text)::VARCHAR AS json FROM documents WHERE text IS NOT NULL")
+@query("text_map", "SELECT source AS video_id, doc_id::VARCHAR AS path, json_object(doc_id::VARCHAR, coalesce(text, ''))::VARCHAR AS json FROM documents")
 def text_map(spark, sf_dir):
-    d = table(spark, sf_dir, "documents").where("text is not null").select(F.col("source").alias("video_id"), F.col("doc_id").cast("string").alias("path"), "text")
+    d = table(spark, sf_dir, "documents").select(F.col("source").alias("video_id"), F.col("doc_id").cast("string").alias("path"), F.coalesce("text", F.lit("")).alias("text"))
     return report.text_map(d)
 
 

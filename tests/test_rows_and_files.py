@@ -16,7 +16,7 @@ from chronoframe.sources import files, media
 
 def test_rounding_is_that_of_binary_values(spark):
     r = np.random.default_rng(1)
-    n = 120_000
+    n = 60_000
     x = np.concatenate([r.normal(size=n) * 10.0 ** r.integers(-5, 16, n), (r.integers(0, 10**7, n) * 10 + 5) / 1000, (r.integers(0, 10**7, n) * 10 + 5) / 10000, r.integers(-(10**6), 10**6, n) / 64, np.ldexp(1 + r.integers(0, 1 << 52, n) / (1 << 52), r.integers(40, 48, n))])
     x = np.concatenate([x, np.nextafter(x, np.inf)[: n * 3], [0.0, -0.0, -0.001, math.inf, -math.inf, 1e308, 5e-324, 2.675, 1.005, 0.125]])
     d = spark.createDataFrame(pd.DataFrame({"x": x}))
