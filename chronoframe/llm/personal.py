@@ -25,7 +25,8 @@ KEY_CONF = "spark.chronoframe.surrogateKey"
 #: Rounds of collision checks before giving up; each round's surrogates are drawn from a larger space.
 ROUNDS = 40
 
-EMAIL = r"(?<![A-Za-z])[A-Za-z0-9][A-Za-z0-9._%+-]*+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}"
+#: Repeated groups are bounded in all patterns, as each turn of one takes stack, and runs that a pattern tries from many places are bounded too.
+EMAIL = r"(?<![A-Za-z])[A-Za-z0-9][A-Za-z0-9._%+-]{0,254}+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+){0,60}\.[A-Za-z]{2,}"
 IP = r"(?<![\w.])(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?![\w]|\.\d)"
 TOKEN = r"(?<![0-9A-Za-z])(?:[0-9a-f]{32,128}|[0-9A-F]{32,128})(?![0-9A-Za-z])"
 IP6 = r"(?<![\w:])(?:(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}|(?:[0-9A-Fa-f]{1,4}:){2,6}(?::[0-9A-Fa-f]{1,4}){1,5}|[Ff][Ee]80:(?::[0-9A-Fa-f]{1,4}){1,4})(?![\w:])"
@@ -39,7 +40,14 @@ FEMALE = ("Mrs", "Ms", "Miss", "Frau", "Madame", "Mme", "Señora", "Sra", "го
 NEUTRAL = ("Dr", "Prof", "Professor")
 #: Titles in capitals, before a name in capitals.
 CAPITALS = ("MR", "SIR", "MRS", "MISS", "DR", "PROF")
-NAME = rf"(?<!\p{{L}})(?:(?:{'|'.join(sorted(MALE + FEMALE + NEUTRAL, key=len, reverse=True))})\.? \p{{Lu}}\p{{L}}+(?: \p{{Lu}}\p{{L}}+){{0,2}}|(?:{'|'.join(CAPITALS)})\.? \p{{Lu}}{{2,}}(?: \p{{Lu}}{{2,}}){{0,2}}(?!\p{{L}}))"
+#: Small words within family names, which stay.
+PARTICLES = ("al", "bin", "da", "de", "del", "den", "der", "di", "do", "dos", "du", "el", "ibn", "la", "las", "le", "los", "ter", "van", "von", "zu")
+#: An initial, or a word with a capital that an apostrophe may precede and hyphens and apostrophes may go on.
+_PART = r"(?:\p{Lu}\.(?=[ \u00A0])|(?:\p{Lu}['’])?\p{Lu}\p{L}++(?:['’-]\p{L}++){0,3}+)"
+_LOUD = r"\p{Lu}{2,}+(?:['’-]\p{Lu}{2,}+){0,3}+"
+_TITLED = rf"(?:{'|'.join(sorted(MALE + FEMALE + NEUTRAL, key=len, reverse=True))})\.?[\s\u00A0]{{1,3}}{_PART}(?:[ \u00A0]{{1,2}}(?:(?:{'|'.join(PARTICLES)})[ \u00A0]){{0,3}}{_PART}){{0,2}}"
+_PARTICLED = rf"(?:{'|'.join(sorted(MALE + FEMALE + NEUTRAL, key=len, reverse=True))})\.?[\s\u00A0]{{1,3}}(?:(?:{'|'.join(PARTICLES)})[ \u00A0]){{1,3}}{_PART}"
+NAME = rf"(?<!\p{{L}})(?:{_TITLED}|{_PARTICLED}|(?:{'|'.join(CAPITALS)})\.?[\s\u00A0]{{1,3}}{_LOUD}(?:[ \u00A0]{{1,2}}{_LOUD}){{0,2}}(?!\p{{L}}))"
 #: What each pattern's first character may be, looked at first: most places in a text are ruled out by it.
 _STARTS = (("[A-Za-z0-9]", EMAIL), (r"\d", IP), ("[A-Z]", IBAN), ("[0-9A-Fa-f]", TOKEN), ("[0-9A-Fa-f]", IP6), ("[Agsx]", SECRET), (r"[\d+(]", PHONE), (r"\d", SSN), (r"\d", CARD), ("[DFHMPSГгΚκ]", NAME))
 _either = lambda patterns: "|".join(f"(?={start})(?:{pattern})" for start, pattern in _STARTS if pattern in patterns)
@@ -47,6 +55,9 @@ _either = lambda patterns: "|".join(f"(?={start})(?:{pattern})" for start, patte
 _NUMBERS = (PHONE, SSN, CARD)
 ANY = rf"(?<![A-Za-z])(?:{_either([pattern for _, pattern in _STARTS if pattern not in _NUMBERS])})|(?=[\d+(])(?:{_either(_NUMBERS)})"
 
+#: Words and what is between them; together all of a text.
+_TOKENS = r"\p{L}+|\P{L}+"
+
 #: Syllables of made-up names; the endings tell the gender of given names.
 SYLLABLES = {"latin": "ka ri mo le sa ni to ve da lu be no ra mi so te la ju ne vi".split(), "cyrillic": "ка ри мо ле са ни то ве да лу бе но ра ми со те ла зу не ви".split(), "greek": "κα ρι μο λε σα νι το βε δα λυ πε νο ρα μι σο τε λα ζυ νε βι".split()}
 ENDINGS = {"latin": ("n", "a", "r"), "cyrillic": ("н", "я", "р"), "greek": ("ς", "α", "ρ")}
@@ -62,13 +73,16 @@ def kind_of(match: Column) -> Column:
 
 
 def parts_of(match: Column) -> Column:
-    """Array of (kind, word): a name's title is kept, its last word is a family name, the words before are given names."""
-    words = F.split(match, " ")
-    title = F.regexp_replace(F.get(words, 0), r"\.$", "")
+    """Array of (kind, word) that joined give the match: of a name, the title, particles, an s after an apostrophe and what is between words are kept ("title"); its last word of two letters or more is a family name, the words before and initials are given names."""
+    tokens = F.regexp_extract_all(match, F.lit(_TOKENS), F.lit(0))
+    title = F.get(tokens, 0)
     capitals = F.upper(title)
     told = F.when(title.isin(*FEMALE) | capitals.isin("MRS", "MISS"), F.lit("given_f")).when(~capitals.isin("DR", "PROF", "PROFESSOR"), F.lit("given_m"))
     part = lambda kind, word: F.struct(kind.alias("kind"), word.alias("word"))
-    name = F.transform(words, lambda w, i: part(F.when(i == 0, F.lit("title")).when(i == F.size(words) - 1, F.lit("family")).otherwise(F.coalesce(told, F.when(w.rlike("(?iu)[aeаяαη]$"), F.lit("given_f")).otherwise(F.lit("given_m")))), w))
+    counts = lambda t, i: (i > 0) & t.rlike(r"^\p{L}") & ~t.isin(*PARTICLES) & ((F.length(t) > 1) | (F.lower(t) != t))
+    last = F.array_max(F.transform(tokens, lambda t, i: F.when(counts(t, i) & (F.length(t) > 1), i)))
+    given = lambda t: F.coalesce(told, F.when(t.rlike("(?iu)[aeаяαη]$"), F.lit("given_f")).otherwise(F.lit("given_m")))
+    name = F.transform(tokens, lambda t, i: part(F.when(~counts(t, i), F.lit("title")).when(i == last, F.lit("family")).otherwise(given(t)), t))
     return F.when(kind_of(match) == "name", name).otherwise(F.array(part(kind_of(match), match)))
 
 
@@ -165,7 +179,7 @@ def in_format(kind: Column, word: Column, new: Column) -> Column:
     """The canonical replacement written as the mention is: its separators, its upper case, its capital."""
     places = F.transform(F.sequence(F.lit(1), F.length(word)), lambda i: F.when(F.substring(word, i, F.lit(1)).rlike(r"\d"), F.substring(new, F.length(F.regexp_replace(F.substring(word, F.lit(1), i), r"\D", "")), F.lit(1))).otherwise(F.substring(word, i, F.lit(1))))
     spaced = F.transform(F.sequence(F.lit(1), F.length(word)), lambda i: F.when(F.substring(word, i, F.lit(1)) != " ", F.substring(new, F.length(F.replace(F.substring(word, F.lit(1), i), F.lit(" "), F.lit(""))), F.lit(1))).otherwise(F.lit(" ")))
-    cased = F.when((F.upper(word) == word) & (F.lower(word) != word), F.upper(new)).when(kind.isin("given_m", "given_f", "family"), F.initcap(new)).otherwise(new)
+    cased = F.when(kind.isin("given_m", "given_f") & (F.length(word) == 1), F.upper(F.substring(new, 1, 1))).when((F.upper(word) == word) & (F.lower(word) != word), F.upper(new)).when(kind.isin("given_m", "given_f", "family"), F.initcap(new)).otherwise(new)
     return F.when(kind.isin("phone", "ssn", "card"), F.array_join(places, "")).when(kind == "iban", F.array_join(spaced, "")).otherwise(cased)
 
 
@@ -191,10 +205,6 @@ def raised_attempts(entities: DataFrame, key: str) -> DataFrame:
     raise RuntimeError(f"surrogates still collide after {ROUNDS} rounds")
 
 
-#: Words and what is between them; together all of a text.
-_TOKENS = r"\p{L}+|\P{L}+"
-
-
 def bare(token: Column, names: Column) -> Column:
     """The surrogate of a capitalised word that is part of a name of its text, written as it is; null for other tokens."""
     new = F.when(token.rlike(r"^\p{Lu}\p{L}"), F.try_element_at(names, F.lower(token)))
@@ -237,7 +247,7 @@ def replaced(docs: DataFrame, text_col: str = "text", key: str | None = None) ->
     written = drawn.withColumn("new", F.when(F.col("kind") == "title", F.col("word")).otherwise(in_format(F.col("kind"), F.col("word"), F.col("new"))))
     # the parts of one mention, then the mentions of one text
     by_place = written.groupBy("hash", "place").agg(F.sort_array(F.collect_list(F.struct("part", "new"))).alias("parts"))
-    by_place = by_place.select("hash", F.struct("place", F.array_join(F.col("parts.new"), " ").alias("new")).alias("at"))
+    by_place = by_place.select("hash", F.struct("place", F.array_join(F.col("parts.new"), "").alias("new")).alias("at"))
     by_text = by_place.groupBy("hash").agg(F.sort_array(F.collect_list("at")).alias("news"))
     between = F.split(F.col("row")[text_col], ANY, -1)
     with_mentions = searched.where(F.size("found") > 0).select("row", "hash", F.size("found").alias("_n"), between.alias("_between"))

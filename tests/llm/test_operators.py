@@ -193,6 +193,26 @@ def test_bare_names(spark):
     assert greek[2] == greek[3] != "Ιωάννου" and got[3].n_entities == 2
 
 
+def test_names_of_many_forms(spark):
+    """Hyphens, apostrophes, initials, particles and any white space after the title: no word of a name stays, and bare mentions follow."""
+    t = ["Mr. Jean-Luc Picard sat. Picard left with Jean and Luc.", "Mrs Anna de la Cruz and Ms. Maria van der Berg; Cruz, Berg", "Mr. O'Brien's and Dr. J. Smith", "Mr.  Robert\nThanks Mr.\nWilson", "MR. JEAN-LUC PICARD", "Sra. de Souza"]
+    got = [r.text for r in personal.replaced(spark.createDataFrame(list(enumerate(t)), "doc_id long, text string"), key="k").orderBy("doc_id").collect()]
+    for old in "Jean Luc Picard Anna Cruz Maria Berg Brien Smith Robert Wilson JEAN PICARD Souza".split():
+        assert not any(old in x for x in got), old
+    first, last, jean, luc = got[0].split(" sat. ")[0][4:].split(" ")[0], got[0].split(" ")[2], *got[0].split(" sat. ")[0][4:].split(" ")[0].split("-")
+    assert got[0] == f"Mr. {first} {last} sat. {last} left with {jean} and {luc}." and got[4] == f"MR. {first.upper()} {last.upper()}"
+    assert " de la " in got[1] and " van der " in got[1] and got[2].endswith(got[2].split(" ")[-1]) and got[2].split(" ")[4][1] == "." and "'s and Dr. " in got[2] and "\nThanks Mr.\n" in got[3] and got[5].startswith("Sra. de ")
+
+
+def test_personal_data_in_very_long_texts(spark):
+    """A million odd characters of any kind neither end a task nor take long."""
+    n = 1_000_000
+    units = ["a.", "1.", "1 ", "1-", "a:", "0", "A", "Mr. A-", "x@", "a@a.", "é", "(1", "+1 ", "AB12 "]
+    t = [u * (n // len(u)) for u in units] + ["x@" + "a." * (n // 2) + "com", "Mr. " + "A" * n, "Mr. A" + "-b" * (n // 2), "x" * n + "@a.com"]
+    got = personal.replaced(spark.createDataFrame(list(enumerate(t)), "doc_id long, text string"), key="k").selectExpr("doc_id", "length(text) AS n").collect()
+    assert len(got) == len(t) and all(r.n > n // 2 or t[r.doc_id].startswith("Mr. AA") for r in got)  # a name of a million letters becomes a short one
+
+
 def mod97(iban):
     moved = iban.replace(" ", "")
     return int("".join(str(int(c, 36)) for c in moved[4:] + moved[:4])) % 97
