@@ -1,9 +1,9 @@
 """Approximate nearest neighbours: inverted file, product-quantised residuals, asymmetric distances, exact reranking.
 
 Coarse centroids and the quantisers of the residuals are fitted on a bounded sample; every row is indexed. A query visits its
-nearest cells. There, a table of distances from its residual to every quantiser entry ranks the codes, and
+nearest cells, as many as held the neighbours of queries within the sample. There, a table of distances from its residual to every quantiser entry ranks the codes, and
 the best of them are ranked again by their exact distance. Spark deals index rows and queries out by cell; a cell with
-many rows is dealt out as several shards, each of which gets the cell's queries.
+many rows is dealt out as several shards, and its queries as several batches, so that each task holds bounded blocks of both.
 """
 
 from __future__ import annotations
@@ -21,15 +21,16 @@ from chronoframe.llm.common import read
 
 #: Rows that the index is fitted on, chosen by hash of the id.
 SAMPLE = 20_000
-#: At most so many cells; the share of them that a query visits, and at least so many; quantisers; codes that are reranked in a shard.
-CELLS, VISITED, LEAST_VISITED, QUANTISERS, RERANKED = 1024, 0.65, 32, 16, 100
-#: Rows of a shard at least.
-SHARD = 256
+#: Sample rows per cell at least, so many cells at most; share of sample neighbours that visited cells hold; queries of the sample that tell it.
+PER_CELL, HELD, TRIALS = 16, 0.96, 500
+#: Quantisers; codes that are reranked in a shard; rows of a shard and queries of a batch, on average by hash.
+QUANTISERS, RERANKED, SHARD, BATCH = 16, 100, 4096, 2048
 
 
 class Index(NamedTuple):
     centroids: np.ndarray  # cells x dim
     entries: np.ndarray  # quantisers x entries x width, of residuals padded to quantisers * width
+    visited: int  # cells that a query visits
 
 
 def usable(vector: Column) -> Column:
@@ -61,13 +62,33 @@ def parts(residuals: np.ndarray, quantisers: int) -> np.ndarray:
     return padded.reshape(len(residuals), quantisers, width)
 
 
-def fit(sample: np.ndarray, cells: int, quantisers: int = QUANTISERS, seed: int = 11) -> Index:
+def cells_to_visit(sample: np.ndarray, centroids: np.ndarray, k: int, held: float = HELD, trials: int = TRIALS) -> int:
+    """How many cells, nearest first, hold `held` of the k nearest rows of the sample for queries spread over it.
+
+    The sample is thinner than the table, so its neighbours are farther and lie in more cells: what it tells is on the safe side.
+    """
+    cell = nearest(sample, centroids).argmin(1)
+    asked = np.unique(np.linspace(0, len(sample) - 1, min(trials, len(sample))).astype(int))
+    if len(sample) <= k + 1:
+        return len(centroids)
+    ranks = []
+    for part in np.array_split(asked, max(1, len(asked) // 50)):
+        d = nearest(sample[part], sample)
+        d[np.arange(len(part)), part] = np.inf
+        near = np.argpartition(d, k - 1, axis=1)[:, :k]
+        place = np.empty((len(part), len(centroids)), int)
+        np.put_along_axis(place, np.argsort(nearest(sample[part], centroids), 1, kind="stable"), np.arange(len(centroids))[None], 1)
+        ranks.append(np.take_along_axis(place, cell[near], 1).ravel())
+    return int(np.quantile(np.concatenate(ranks), held, method="higher")) + 1
+
+
+def fit(sample: np.ndarray, cells: int, k: int = 10, quantisers: int = QUANTISERS, seed: int = 11) -> Index:
     rng = np.random.default_rng(seed)
     centroids = k_means(sample, cells, rng)
     residuals = parts(sample - centroids[nearest(sample, centroids).argmin(1)], quantisers)
     entries = [k_means(residuals[:, m], 256, rng, 6) for m in range(quantisers)]
     most = max(len(e) for e in entries)  # fewer distinct residuals: the last entry is repeated
-    return Index(centroids, np.stack([np.concatenate([e, np.repeat(e[-1:], most - len(e), 0)]) for e in entries]))
+    return Index(centroids, np.stack([np.concatenate([e, np.repeat(e[-1:], most - len(e), 0)]) for e in entries]), cells_to_visit(sample, centroids, k))
 
 
 def encode(index: Index, vectors: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -115,9 +136,8 @@ def search(vectors: DataFrame, queries: Column, k: int = 10, id_col: str = "vec_
     n = v.count()
     v = v.where(F.size("vector") == dim)
     fitted = np.stack([np.asarray(x, np.float64) for x in sample if len(x) == dim])
-    index = fit(fitted, min(CELLS, max(1, round(n**0.5))))
-    cells = len(index.centroids)
-    visited = min(cells, max(LEAST_VISITED, round(VISITED * cells)))
+    index = fit(fitted, max(1, min(round(n**0.5), len(fitted) // PER_CELL)), k)
+    cells, visited = len(index.centroids), index.visited
 
     def place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -125,30 +145,42 @@ def search(vectors: DataFrame, queries: Column, k: int = 10, id_col: str = "vec_
                 cell, codes = encode(index, np.stack(b["vector"].to_numpy()).astype(np.float64))
                 yield b.assign(cell=cell, codes=[c.tobytes() for c in codes])
 
+    kind = dict(v.dtypes)["vector"]
+    placed = v.mapInPandas(place, f"vec_id long, vector {kind}, cell int, codes binary")
+
+    def by_cell(d: DataFrame) -> np.ndarray:
+        out = np.zeros(cells, np.int64)
+        for r in d.groupBy("cell").count().collect():  # a number per cell
+            out[r["cell"]] = r["count"]
+        return out
+
+    counts = by_cell(placed)
+
     def visit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             if len(b):
-                order = np.argsort(nearest(np.stack(b["vector"].to_numpy()).astype(np.float64), index.centroids), 1, kind="stable")[:, :visited]
-                yield b.loc[b.index.repeat(visited)].assign(cell=order.ravel())
+                order = np.argsort(nearest(np.stack(b["vector"].to_numpy()).astype(np.float64), index.centroids), 1, kind="stable")
+                # more cells where the nearest ones hold too few rows
+                before = np.cumsum(counts[order], 1) - counts[order]
+                row, place = np.nonzero((np.arange(cells) < visited) | (before <= k))
+                yield b.iloc[row].assign(cell=order[row, place])
 
-    kind = dict(v.dtypes)["vector"]
-    placed = v.mapInPandas(place, f"vec_id long, vector {kind}, cell int, codes binary")
     asked = v.where(queries).groupBy("vec_id").agg(F.min("vector").alias("vector")).mapInPandas(visit, f"vec_id long, vector {kind}, cell int")
-    # one row per cell: how many shards it is dealt out to
-    size = max(SHARD, n // cells)
-    shards = [1] * cells
-    for r in placed.groupBy("cell").count().collect():
-        shards[r["cell"]] = -(-r["count"] // size)
-    n_shards = F.get(F.array(*[F.lit(x) for x in shards]), F.col("cell"))
-    placed = placed.withColumn("shard", F.pmod(F.xxhash64("vec_id"), n_shards).cast("int"))
-    asked = asked.withColumn("shard", F.explode(F.sequence(F.lit(0), n_shards - 1)))
+    # how many shards a cell's rows are dealt out to, and how many batches its queries
+    dealt = lambda n, size: np.maximum(1, -(-n // size)).tolist()
+    shards, batches = dealt(counts, SHARD), dealt(by_cell(asked), BATCH)
+    of = lambda numbers: F.get(F.array(*[F.lit(x) for x in numbers]), F.col("cell"))
+    other = lambda numbers: F.explode(F.sequence(F.lit(0), of(numbers) - 1))
+    own = lambda numbers: F.pmod(F.xxhash64("vec_id"), of(numbers)).cast("int")
+    placed = placed.withColumn("shard", own(shards)).withColumn("batch", other(batches))
+    asked = asked.withColumn("batch", own(batches)).withColumn("shard", other(shards))
 
     def find(rows: pd.DataFrame, wanted: pd.DataFrame) -> pd.DataFrame:
         if rows.empty or wanted.empty:
             return pd.DataFrame({"query_id": [], "vec_id": [], "score": []})
         return search_shard(index, rows, wanted, k)
 
-    found = placed.groupBy("cell", "shard").cogroup(asked.groupBy("cell", "shard")).applyInPandas(find, "query_id long, vec_id long, score double")
+    found = placed.groupBy("cell", "shard", "batch").cogroup(asked.groupBy("cell", "shard", "batch")).applyInPandas(find, "query_id long, vec_id long, score double")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy("score", "vec_id"))
     return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
