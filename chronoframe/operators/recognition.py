@@ -14,8 +14,8 @@ MIN_CONFIDENCE, LARGE_WIDTH = 50.0, 1024
 def confident_text(words: Column, confidences: Column, least: float = MIN_CONFIDENCE) -> Column:
     """Words whose confidence is a number of at least `least` (NaN counts), stripped, blank ones left out, joined by spaces."""
     pairs = F.arrays_zip(words.alias("w"), confidences.alias("c"))
-    kept = F.filter(pairs, lambda p: (p["c"].try_cast("double") >= least) & (strip(p["w"]) != ""))
-    return F.array_join(F.transform(kept, lambda p: strip(p["w"])), " ")
+    sure = F.filter(pairs, lambda p: p["c"].try_cast("double") >= least)
+    return F.array_join(F.filter(F.transform(sure, lambda p: strip(p["w"])), lambda w: w != ""), " ")
 
 
 def with_text(frames: DataFrame, texts: DataFrame, on: str = "path") -> DataFrame:

@@ -41,5 +41,5 @@ def scope(duration: Column, start: Column, end: Column) -> tuple[Column, Column,
 
 
 def scope_fault(duration: Column, start: Column, end: Column) -> Column:
-    """What is wrong with a requested part, or null."""
-    return F.when(start < 0, "start is negative").when(end <= F.coalesce(start, F.lit(0.0)), "end is not after start").when((duration > 0) & (start >= duration), "start is past the end")
+    """What is wrong with a requested part, or null; an end without a start is never wrong. routing.time_faults tells all faults."""
+    return F.when(start < 0, "start is negative").when(end <= start, "end is not after start").when((duration > 0) & (start >= duration), "start is past the end")

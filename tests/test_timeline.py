@@ -127,8 +127,8 @@ def test_selection(spark):
     f = spark.createDataFrame([("v", "video.es.vtt"), ("v", "video.en.vtt"), ("v", "video.en-US.vtt"), ("v", "a.avi"), ("v", "b.mkv")], "video_id string, name string")
     assert selection.subtitle(f).first().name == "video.en-US.vtt"
     assert selection.video(f).first().name == "b.mkv"
-    faults = values(spark, selection.scope_fault(F.lit(10.0), F.col("s"), F.col("e")), [(-1.0, None), (3.0, 2.0), (11.0, 12.0), (1.0, 2.0)], "s double, e double")
-    assert faults == ["start is negative", "end is not after start", "start is past the end", None]
+    faults = values(spark, selection.scope_fault(F.lit(10.0), F.col("s"), F.col("e")), [(-1.0, None), (3.0, 2.0), (11.0, 12.0), (1.0, 2.0), (None, -2.0)], "s double, e double")
+    assert faults == ["start is negative", "end is not after start", "start is past the end", None, None]
 
 
 def test_sources_and_adapters(spark, tmp_path):
