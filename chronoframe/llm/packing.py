@@ -85,9 +85,9 @@ def encoder(path: str):
 def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32 and, if asked for, ids BINARY (little-endian unsigned 32 bits); key, unique in effect.
 
-    Null texts are empty and give the end id alone. Extra columns are left out.
+    Null texts are empty and give the end id alone. Extra columns are left out. Ids are of any type that its text gives back, nulls too.
     """
-    schema = "doc_id long, piece int, start long, length long, ids_crc32 long, key long" + ", ids binary" * with_ids
+    schema = "doc_id string, piece int, start long, length long, ids_crc32 long, key long" + ", ids binary" * with_ids
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         encode, end = encoder(tokenizer), np.array([END], "<u4").tobytes()
@@ -97,17 +97,17 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, id_col: st
                 ids = encode(text) + end
                 for k, at in enumerate(range(0, len(ids), 4 * capacity)):
                     part = ids[at : at + 4 * capacity]
-                    rows.append((None if pd.isna(doc) else int(doc), k, at // 4, len(part) // 4, zlib.crc32(part), *[part] * with_ids))
+                    rows.append((doc, k, at // 4, len(part) // 4, zlib.crc32(part), *[part] * with_ids))
             names = ["doc_id", "piece", "start", "length", "ids_crc32", *["ids"] * with_ids]
             out = pd.DataFrame(rows, columns=names)
-            out["doc_id"] = out["doc_id"].astype("Int64")
             out["key"] = np.int64(0)
             yield out[["doc_id", "piece", "start", "length", "ids_crc32", "key", *["ids"] * with_ids]]
         give_back()
 
-    d = docs.select(F.col(id_col).alias("doc_id"), text_of(text_col).alias("text"))
+    kind = docs.select(id_col).schema[0].dataType
+    d = docs.select(F.col(id_col).cast("string").alias("doc_id"), text_of(text_col).alias("text"))
     # a doc_id may repeat: what tells rows apart is their place in the written table
-    return d.mapInPandas(run, schema).withColumn("key", F.monotonically_increasing_id())
+    return d.mapInPandas(run, schema).withColumns({"doc_id": F.col("doc_id").cast(kind), "key": F.monotonically_increasing_id()})
 
 
 def best_fit(lengths: np.ndarray, capacity: int) -> list[list[int]]:
@@ -130,55 +130,75 @@ def best_fit(lengths: np.ndarray, capacity: int) -> list[list[int]]:
 
 
 class _Swaps:
-    """What the underfull bins offer in exchange: every single piece and every pair of pieces, with the room behind it."""
+    """What the underfull bins offer in exchange: nothing (for a plain move), every single piece and every pair of pieces, with the room behind it.
+
+    The offers of all bins lie in one table; a bin that changes leaves its old rows behind as void and adds new ones.
+    """
 
     def __init__(self, bins: list[list[int]], lengths: np.ndarray, capacity: int):
         self.bins, self.lengths, self.capacity = bins, lengths, capacity
-        self.offers: dict[int, np.ndarray] = {}
-        self.fill = np.array([int(sum(lengths[i] for i in b)) for b in bins])
-
-    def offer(self, j: int) -> np.ndarray:
-        """Rows (length, bin, piece, second piece or -1); the first row offers nothing, for a plain move."""
-        if j not in self.offers:
-            items = np.array(self.bins[j], int)
-            x, y = np.triu_indices(len(items), 1)
-            n = self.lengths[items]
-            size = np.concatenate([[0], n, n[x] + n[y]])
-            one, two = np.concatenate([[-1], items, items[x]]), np.concatenate([[-1], np.full(len(items), -1), items[y]])
-            self.offers[j] = np.stack([size, np.full(len(size), j), one, two], 1)
-        return self.offers[j]
-
-    def step(self, k: int, others: list[int]) -> bool:
-        """The exchange that takes most out of bin k, if there is one."""
-        if not others:
-            return False
-        table = np.concatenate([self.offer(j) for j in others])
-        room = self.capacity - self.fill[table[:, 1]]
+        self.void = 2 * capacity
+        self.fill = np.array([int(sum(lengths[i] for i in b)) for b in bins], np.int64)
+        self.table, self.used = np.empty((0, 4), np.int64), 0  # length, bin, piece, second piece (-1: none)
+        self.rows: dict[int, tuple[int, int]] = {}
+        for j in range(len(bins)):
+            self.offer(j)
+
+    def offer(self, j: int) -> None:
+        """Put bin j's offers into the table in place of its earlier ones; empty and full bins offer nothing."""
+        if j in self.rows:
+            begin, end = self.rows.pop(j)
+            self.table[begin:end, 0] = self.void
+        if not self.bins[j] or self.fill[j] == self.capacity:
+            return
+        items = np.array(self.bins[j], np.int64)
+        x, y = np.triu_indices(len(items), 1)
+        n = self.lengths[items]
+        size, none = np.concatenate([[0], n, n[x] + n[y]]), np.full(1 + len(items), -1)
+        new = np.stack([size, np.full(len(size), j), np.concatenate([[-1], items, items[x]]), np.concatenate([none, items[y]])], 1)
+        if self.used + len(new) > len(self.table):
+            self._grow(len(new))
+        self.table[self.used : self.used + len(new)] = new
+        self.rows[j] = (self.used, self.used + len(new))
+        self.used += len(new)
+
+    def _grow(self, more: int) -> None:
+        """Drop void rows and make room for as many again."""
+        live = self.table[: self.used]
+        live = live[live[:, 0] != self.void]
+        starts = np.flatnonzero(np.diff(live[:, 1], prepend=-1))
+        self.rows = {int(live[a, 1]): (int(a), int(b)) for a, b in zip(starts, [*starts[1:], len(live)], strict=True)} if len(live) else {}
+        self.table, self.used = np.concatenate([live, np.empty((len(live) + 2 * more + 1024, 4), np.int64)]), len(live)
+
+    def step(self, k: int) -> bool:
+        """The exchange of bin k that raises the sum of squared fills most, if one does."""
+        table = self.table[: self.used]
+        size, to = table[:, 0], table[:, 1]
+        fill = self.fill[to]
+        most = np.where(to == k, 0, self.capacity - fill + size)  # what fits into the other bin against this offer
+        ahead = fill - self.fill[k] - size
         own = self.bins[k]
-        gives = [(int(self.lengths[i]), [i]) for i in own] + [(int(self.lengths[i] + self.lengths[j]), [i, j]) for x, i in enumerate(own) for j in own[x + 1 :]]
-        best = (0, None, None)
-        for size, give in sorted(gives, key=lambda g: -g[0]):
-            if size <= best[0]:
-                break
-            # two pieces go for one piece at most
-            gain = np.where((size - table[:, 0] <= room) & ((table[:, 3] < 0) | (len(give) == 1)), size - table[:, 0], 0)
-            at = int(gain.argmax())
-            if gain[at] > best[0]:
-                best = (int(gain[at]), give, table[at])
-        gain, give, row = best
-        if not gain:
+        gives = {int(self.lengths[i]): [i] for i in own}
+        gives = [*gives.items(), *{int(self.lengths[i] + self.lengths[j]): [i, j] for x, i in enumerate(own) for j in own[x + 1 :]}.items()]
+        best, found = 0, None
+        for given, give in gives:
+            # squares grow by 2 * gain * (other's fill - own fill + gain); two pieces go for one piece at most
+            fits = (given <= most) & (given > size) & (given + ahead > 0)
+            at = np.flatnonzero(fits if len(give) == 1 else fits & (table[:, 3] < 0))
+            if len(at):
+                gain = (given - size[at]) * (given + ahead[at])
+                if gain.max() > best:
+                    best, found = int(gain.max()), (given, give, table[at[gain.argmax()]].copy())
+        if found is None:
             return False
-        j, back = int(row[1]), [int(i) for i in row[2:] if i >= 0]
-        for i in give:
-            self.bins[k].remove(i)
-            self.bins[j].append(i)
-        for i in back:
-            self.bins[j].remove(i)
-            self.bins[k].append(i)
-        self.fill[k] -= gain
-        self.fill[j] += gain
-        self.offers.pop(j, None)
-        self.offers.pop(k, None)
+        given, give, (taken, j, *back) = found
+        back = [int(i) for i in back if i >= 0]
+        self.bins[k] = [i for i in own if i not in give] + back
+        self.bins[j] = [i for i in self.bins[j] if i not in back] + give
+        self.fill[k] -= given - taken
+        self.fill[j] += given - taken
+        self.offer(int(j))
+        self.offer(k)
         return True
 
 
@@ -190,23 +210,25 @@ def fewest(lengths: np.ndarray, capacity: int) -> int:
 def local_search(bins: list[list[int]], lengths: np.ndarray, capacity: int) -> list[list[int]]:
     """Empty bins by exchanges that raise the sum of squared fills, the emptiest bin first.
 
-    From bin k, a piece moves into another bin; or one piece, or two, change places with one or two shorter pieces there
-    (one for one, one for two, two for one). The receiving bin is at least as full as k, so every step raises the sum of squares,
-    and the search ends: when k is empty, or when it has no step left. It is over when no packing has fewer bins.
+    From bin k, a piece moves into another underfull bin; or one piece, or two, change places with one or two shorter pieces there
+    (one for one, one for two, two for one). The other bin may be less full than k, as long as the sum of squares grows: bins with large
+    pieces get smaller ones for them, until these bins' room is worth a piece. Bins are passed over again until a pass empties
+    none, or no packing has fewer bins.
     """
     state = _Swaps(bins, lengths, capacity)
-    least, n = fewest(lengths, capacity), len(bins)
-    settled: set[int] = set()
-    for k in [int(k) for k in np.argsort(state.fill, kind="stable")]:
-        if n <= least or state.fill[k] == capacity:
-            break
-        while bins[k]:
-            others = [int(j) for j in np.flatnonzero((state.fill >= max(1, state.fill[k])) & (state.fill < capacity)) if j != k and j not in settled]
-            if not state.step(k, others):
-                settled.add(k)
+    least, left = fewest(lengths, capacity), len(bins)
+    before = left + 1
+    while least < left < before:
+        before = left
+        for k in np.argsort(state.fill, kind="stable").tolist():
+            if not state.bins[k]:
+                continue
+            while state.bins[k] and state.fill[k] < capacity and state.step(k):
+                pass
+            left -= not state.bins[k]  # only the bin that gives can become empty
+            if left <= least:
                 break
-        n -= not bins[k]
-    return [b for b in bins if b]
+    return [b for b in state.bins if b]
 
 
 def pack_shard(key: np.ndarray, lengths: np.ndarray, capacity: int) -> pd.DataFrame:

@@ -104,6 +104,26 @@ def test_local_search_empties_bins():
     assert len(bins) == 2 and sorted(i for b in bins for i in b) == [0, 1, 2, 3, 4]
 
 
+def test_local_search_on_hard_mixes():
+    """Best-fit alone takes 727, 1175 and 901 sequences here; no packing takes fewer than 662, 1094 and 831."""
+    rng = np.random.default_rng(0)
+    for low, high, n, most in ((1200, 1500, 2000, 668), (900, 2100, 3000, 1145), (700, 1000, 4000, 850)):
+        lengths = rng.integers(low, high + 1, n)
+        bins = packing.local_search(packing.best_fit(lengths, 4096), lengths, 4096)
+        assert sorted(i for b in bins for i in b) == list(range(n)) and max(int(lengths[b].sum()) for b in bins) <= 4096
+        assert packing.fewest(lengths, 4096) <= len(bins) <= most
+
+
+def test_packing_of_texts_as_ids(spark):
+    import public_tokenizers
+
+    df = spark.createDataFrame([("a", "one two"), (None, "three"), ("a", "one two"), ("b", None)], "doc_id string, text string")
+    got = packing.packed_documents(df, public_tokenizers.path("word_bpe_49k.json")).collect()
+    assert sorted(str(r["doc_id"]) for r in got) == ["None", "a", "a", "b"] and len({r["sequence_id"] for r in got}) == 1
+    big = spark.createDataFrame([((1 << 60) + 1, "x"), (None, "y")], "doc_id long, text string")
+    assert {r["doc_id"] for r in packing.packed_documents(big, public_tokenizers.path("word_bpe_49k.json")).collect()} == {(1 << 60) + 1, None}
+
+
 def test_quality(spark, odd):
     got = queries.queries()["op4_quality"](spark, DATA).toPandas().merge(spark.read.parquet(f"{DATA}/labels.parquet").toPandas(), on="doc_id")
     aside = got[got.held_out]
