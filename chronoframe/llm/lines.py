@@ -6,9 +6,8 @@ edit similarity is 0.8 or more. Of every connected group the first occurrence st
 The buckets of a line are: the two blocks of its 64-bit SimHash over n-grams of bytes, of which one agrees if at most one bit
 differs; bands of MinHashes over the same n-grams, since the SimHashes of most pairs of similarity 0.8 differ in more; and for short
 lines all that is left after deleting as many characters as the similarity allows, which finds every pair of short lines. n-grams are shorter for
-shorter lines; lines between have both, so that a pair of similar lines always has a length of n-grams in common. A
-bucket's hub and a member whose SimHashes differ in over 20 bits are passed over, and two members that differ in over 16: most similar lines
-differ in 8 to 18.
+shorter lines; lines between have both, so that a pair of similar lines always has a length of n-grams in common. All pairs
+that share a bucket count; what else is known of two lines (lengths, characters, distances from a third) only spares work where it rules similarity out.
 """
 
 from __future__ import annotations
@@ -28,8 +27,8 @@ from chronoframe.llm.edits import distance, some_alignment
 from chronoframe.llm.linking import BROADCAST_IDS, link, only
 from chronoframe.llm.neardup import _mix
 
-#: Blocks of a SimHash, how many make a key, bits in which a member and its hub and in which two members may differ; similarity; and the length up to which short lines are found for certain.
-BLOCKS, TAKEN, MOST_BITS, MORE_BITS, SIMILARITY, SHORT = 2, 1, 20, 16, 0.8, 14
+#: Blocks of a SimHash, how many make a key; similarity; and the length up to which short lines are found for certain.
+BLOCKS, TAKEN, SIMILARITY, SHORT = 2, 1, 0.8, 14
 #: n-gram lengths with the least and most bytes of a line that has them, MinHashes to a band, and bands. A range starts at or below 0.8 of the end before.
 GRAMS, BAND, BANDS = ((4, 12, 80), (8, 64, 1 << 62)), 4, 10
 #: Bytes that are prepared at once, besides a longer text's; lines that a task remembers to have sent.
@@ -123,9 +122,9 @@ def _shortened(line: str, deletions: int) -> set[str]:
     return found
 
 
-def bucket_keys(lines: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(position of a line, key, SimHash) for all buckets of all lines."""
-    where, keys, marks = [], [], []
+def bucket_keys(lines: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """(position of a line, key) for all buckets of all lines."""
+    where, keys = [], []
     for q, least, most in GRAMS:
         chosen = [k for k, x in enumerate(lines) if least <= len(x) <= most]
         if chosen:
@@ -139,16 +138,14 @@ def bucket_keys(lines: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]
                 own.append(key)
             where.append(np.tile(np.array(chosen), len(own)))
             keys.append(np.concatenate(own))
-            marks.append(np.tile(simhash, len(own)))
     for k, line in enumerate(lines):
         if 0 < len(line) <= 4 * SHORT and (n := characters(line)) <= SHORT:
             longest = min(SHORT, int(n / SIMILARITY + 1e-9))
             short = [xxhash.xxh3_64_intdigest(x.encode()) for x in _shortened(line.decode(), int((1 - SIMILARITY) * longest + 1e-9))]
             where.append(np.full(len(short), k))
             keys.append(np.array(short, np.uint64))
-            marks.append(np.zeros(len(short), np.uint64))
     none = np.zeros(0, np.uint64)
-    return np.concatenate([none.astype(np.int64), *where]), np.concatenate([none, *keys]), np.concatenate([none, *marks])
+    return np.concatenate([none.astype(np.int64), *where]), np.concatenate([none, *keys])
 
 
 def alike(a: str, b: str, similarity: float = SIMILARITY) -> bool:
@@ -168,12 +165,12 @@ class Lines:
         self.bins = np.bincount(at + codes % self.BINS, minlength=len(lines) * self.BINS).reshape(-1, self.BINS).astype(np.int32)
 
     @staticmethod
-    def near(size_x, mark_x, size_y, mark_y):
-        return (np.minimum(size_x, size_y) >= SIMILARITY * np.maximum(size_x, size_y) - 1e-9) & (np.bitwise_count((mark_x ^ mark_y).view(np.uint64)) <= MORE_BITS)
+    def near(size_x, size_y):
+        return np.minimum(size_x, size_y) >= SIMILARITY * np.maximum(size_x, size_y) - 1e-9
 
     @staticmethod
-    def near_columns(size_x, mark_x, size_y, mark_y):
-        return (F.least(size_x, size_y) >= F.lit(SIMILARITY) * F.greatest(size_x, size_y) - F.lit(1e-9)) & (F.bit_count(mark_x.bitwiseXOR(mark_y)) <= MOST_BITS)
+    def near_columns(size_x, size_y):
+        return F.least(size_x, size_y) >= F.lit(SIMILARITY) * F.greatest(size_x, size_y) - F.lit(1e-9)
 
     @staticmethod
     def allowed(size_x, size_y):
@@ -241,7 +238,7 @@ def _lines_with(docs: DataFrame, wanted: DataFrame) -> DataFrame:
 
 
 def members_of(docs: DataFrame) -> DataFrame:
-    """key, id, size, mark of the buckets of every line. A task sends a line once, however often it occurs."""
+    """key, id, size of the buckets of every line. A task sends a line once, however often it occurs."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sent: set[int] = set()
@@ -254,10 +251,10 @@ def members_of(docs: DataFrame) -> DataFrame:
                         sent.add(x)
                         new.append(k)
                 lines = [lines[k] for k in new]
-                sizes, (where, keys, marks) = np.array([characters(x) for x in lines], np.int32), bucket_keys(lines)
-                yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(ids[new][where]), pa.array(sizes[where]), pa.array(marks.view(np.int64))], ["key", "id", "size", "mark"])
+                sizes, (where, keys) = np.array([characters(x) for x in lines], np.int32), bucket_keys(lines)
+                yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(ids[new][where]), pa.array(sizes[where])], ["key", "id", "size"])
 
-    return docs.select("text").mapInArrow(run, "key long, id long, size int, mark long")
+    return docs.select("text").mapInArrow(run, "key long, id long, size int")
 
 
 def _joined(rows: DataFrame, few: DataFrame, on: str, most: int, how: str = "inner") -> DataFrame:

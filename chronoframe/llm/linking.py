@@ -5,7 +5,7 @@ apart is compared in full, but in tasks of bounded size: only members that are n
 skips pairs that its earlier links already connect. So no link between different groups is lost, no bucket is limited, and
 no bucket's pairs are ever written out. Of buckets with the same members only one is compared.
 
-Rows of buckets are narrow (key, id, size, mark); values are fetched for those members only whose pairs sizes and marks allow. The
+Rows of buckets are narrow (key, id, size); values are fetched for those members only whose pairs the sizes allow. The
 measure is a metric: two members whose distances from their hub differ by more than two like members may be apart are not compared.
 """
 
@@ -25,7 +25,7 @@ from chronoframe.llm.common import discard, give_back, materialize
 CHUNK, PAIRS, BROADCAST_IDS = 256, 8192, 1_000_000
 #: A distance that none exceeds.
 FAR = 1 << 30
-TASK = ["key", "i", "j", "id", "root", "rest", "chunk", "size", "mark", "low", "high"]
+TASK = ["key", "i", "j", "id", "root", "rest", "chunk", "size", "low", "high"]
 
 
 class Values(Protocol):
@@ -34,12 +34,12 @@ class Values(Protocol):
     def __init__(self, values: Sequence[str]): ...
 
     @staticmethod
-    def near(size_x: np.ndarray, mark_x: np.ndarray, size_y: np.ndarray, mark_y: np.ndarray) -> np.ndarray:
-        """For pairs of members, whether sizes and marks allow that they are the same."""
+    def near(size_x: np.ndarray, size_y: np.ndarray) -> np.ndarray:
+        """For pairs of members, whether their sizes allow that they are the same."""
 
     @staticmethod
-    def near_columns(size_x: Column, mark_x: Column, size_y: Column, mark_y: Column) -> Column:
-        """The same of columns, for a hub and a member of its bucket; it may allow more."""
+    def near_columns(size_x: Column, size_y: Column) -> Column:
+        """The same of columns."""
 
     @staticmethod
     def allowed(size_x: np.ndarray, size_y: np.ndarray) -> np.ndarray:
@@ -103,7 +103,7 @@ def _verified(values_of: type[Values]):
 
 
 def _alone(values_of: type[Values]):
-    """Of the members of tasks (key, i, j) that lie together those with a partner that sizes, marks and distances from the hub allow."""
+    """Of the members of tasks (key, i, j) that lie together those with a partner that sizes and distances from the hub allow."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for group, starts in _grouped(batches):
@@ -119,7 +119,7 @@ def _meeting(values_of: type[Values], group: pd.DataFrame, starts: list[int]) ->
     """Positions of the pairs of each task's members that may be the same: the rest with the largest group, or with itself within
     a chunk or across two."""
     roots, rest, chunk = pd.factorize(group["root"])[0], group["rest"].to_numpy(), group["chunk"].to_numpy()
-    sizes, marks, low, high = (group[c].to_numpy() for c in ("size", "mark", "low", "high"))
+    sizes, low, high = (group[c].to_numpy() for c in ("size", "low", "high"))
     largest, across = (group["j"] < 0).to_numpy(), (group["i"] != group["j"]).to_numpy()
     for begin, end in zip(starts, [*starts[1:], len(group)], strict=True):
         at = np.arange(begin, end)
@@ -128,7 +128,7 @@ def _meeting(values_of: type[Values], group: pd.DataFrame, starts: list[int]) ->
             xs, ys = np.repeat(own[k : k + step], len(at)), np.tile(at, len(own[k : k + step]))
             met = (roots[xs] != roots[ys]) & (~rest[ys] if largest[begin] else (ys > xs) & ((chunk[xs] != chunk[ys]) if across[begin] else rest[ys]))
             xs, ys = xs[met], ys[met]
-            met = values_of.near(sizes[xs], marks[xs], sizes[ys], marks[ys])
+            met = values_of.near(sizes[xs], sizes[ys])
             met &= np.maximum(low[xs] - high[ys], low[ys] - high[xs]) <= values_of.allowed(sizes[xs], sizes[ys])
             yield xs[met], ys[met]
 
@@ -196,20 +196,20 @@ def _tasks(split: DataFrame) -> DataFrame:
 
 
 def link(members: DataFrame, payload: Callable[[DataFrame], DataFrame], values_of: type[Values]) -> DataFrame:
-    """members: key BIGINT, id BIGINT, size INT, mark BIGINT; a row may repeat. payload(ids) gives id, value for a table of ids.
+    """members: key BIGINT, id BIGINT, size INT; a row may repeat. payload(ids) gives id, value for a table of ids.
 
     Returns id, root for all ids that are connected with another one by pairs that share a key and are the same.
     """
     dealt = members.repartition("key")
     # all columns, so that both sides of the join read one shuffle
-    stats = dealt.groupBy("key").agg(F.min("id").alias("hub"), F.max("id").alias("last"), F.max("size").alias("s"), F.max("mark").alias("m")).where("hub < last and s is not null and m is not null").select("key", "hub")
-    shared = dealt.join(stats.hint("shuffle_hash"), "key").groupBy("key", "hub", "id").agg(F.max("size").alias("size"), F.max("mark").alias("mark"))
+    stats = dealt.groupBy("key").agg(F.min("id").alias("hub"), F.max("id").alias("last"), F.max("size").alias("s")).where("hub < last and s is not null").select("key", "hub")
+    shared = dealt.join(stats.hint("shuffle_hash"), "key").groupBy("key", "hub", "id").agg(F.max("size").alias("size"))
     shared = materialize(shared, "buckets")
     # one of the buckets with the same members, by two sums over their ids
     own = F.col("id") == F.col("hub")
-    facts = shared.groupBy("key", "hub").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("id")).alias("x"), F.bit_xor(F.xxhash64("id", F.lit(1))).alias("y"), F.max(F.when(own, F.col("size"))).alias("hub_size"), F.max(F.when(own, F.col("mark"))).alias("hub_mark"))
-    buckets = materialize(facts.dropDuplicates(["hub", "n", "x", "y"]).select("key", "hub_size", "hub_mark"), "different-buckets")
-    rows = shared.where("id != hub").join(buckets, "key").withColumn("near", values_of.near_columns(F.col("size"), F.col("mark"), F.col("hub_size"), F.col("hub_mark"))).drop("hub_mark")
+    facts = shared.groupBy("key", "hub").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("id")).alias("x"), F.bit_xor(F.xxhash64("id", F.lit(1))).alias("y"), F.max(F.when(own, F.col("size"))).alias("hub_size"))
+    buckets = materialize(facts.dropDuplicates(["hub", "n", "x", "y"]).select("key", "hub_size"), "different-buckets")
+    rows = shared.where("id != hub").join(buckets, "key").withColumn("near", values_of.near_columns(F.col("size"), F.col("hub_size")))
     rows = materialize(rows, "different-members")
     discard(shared, buckets)
     pairs = materialize(rows.where("near").select(F.col("id").alias("a"), F.col("hub").alias("b"), "size", "hub_size").distinct(), "pairs")
@@ -221,7 +221,7 @@ def link(members: DataFrame, payload: Callable[[DataFrame], DataFrame], values_o
     roots = components(links)
     discard(pairs, ids, values)
     # buckets that still hold several groups besides their hub, which has met them all
-    rooted = rows.join(roots, "id", "left").select("key", "hub", "id", "size", "mark", F.coalesce("root", "id").alias("root"))
+    rooted = rows.join(roots, "id", "left").select("key", "hub", "id", "size", F.coalesce("root", "id").alias("root"))
     sizes = rooted.groupBy("key", "root").agg(F.count("*").alias("n"))
     split = sizes.groupBy("key").agg(F.count("*").alias("groups"), F.sum("n").alias("all"), F.max(F.struct("n", "root")).alias("main")).where("groups > 1")
     split = split.select("key", F.col("main.root").alias("main"), F.col("main.n").alias("n_main"), (F.col("all") - F.col("main.n")).alias("n_rest"))

@@ -102,11 +102,11 @@ class Texts:
         self.bins = np.bincount(at + words.astype(int), minlength=len(texts) * self.BINS).reshape(-1, self.BINS).astype(np.int32)
 
     @staticmethod
-    def near(size_x, mark_x, size_y, mark_y):
+    def near(size_x, size_y):
         return np.minimum(size_x, size_y) >= SIMILARITY * np.maximum(size_x, size_y) - 1e-9
 
     @staticmethod
-    def near_columns(size_x, mark_x, size_y, mark_y):
+    def near_columns(size_x, size_y):
         return F.least(size_x, size_y) >= F.lit(SIMILARITY) * F.greatest(size_x, size_y) - F.lit(1e-9)
 
     @staticmethod
@@ -151,7 +151,7 @@ def groups(docs: DataFrame) -> DataFrame:
         give_back()
 
     sketched = materialize(docs.select("id", "text").mapInArrow(sketch, "id long, size int, sketches array<long>"), "sketches")
-    members = sketched.select(F.explode("sketches").alias("key"), "id", "size", F.lit(0).cast("long").alias("mark"))
+    members = sketched.select(F.explode("sketches").alias("key"), "id", "size")
     roots = link(members, lambda ids: only(docs, ids, "id").select("id", F.col("text").alias("value")).dropDuplicates(["id"]), Texts)
     # a text's rows are summed up before groups meet
     texts = docs.groupBy("id").agg(F.min("doc_id").alias("least"), F.count("*").alias("same_text"))

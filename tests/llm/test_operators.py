@@ -356,7 +356,7 @@ def test_lines_recall(spark):
 
 def test_short_lines_share_a_bucket_exactly_when_alike():
     words = [a + b + c for a in ("abcde", "abxde", "abcdefghi") for b in ("", "q", "fghij") for c in ("", "z", "yz")]
-    where, keys, _ = lines.bucket_keys([w.encode() for w in words])
+    where, keys = lines.bucket_keys([w.encode() for w in words])
     keys = [set(keys[where == k].tolist()) for k in range(len(words))]
     assert all(keys[x] & keys[y] for x in range(len(words)) for y in range(x) if max(len(words[x]), len(words[y])) <= lines.SHORT and similar(words[x], words[y]))
 
@@ -409,11 +409,11 @@ def test_links_lose_nothing(spark):
             self.v = np.array([int(x) for x in values])
 
         @staticmethod
-        def near(size_x, mark_x, size_y, mark_y):
+        def near(size_x, size_y):
             return np.ones(len(size_x), bool)
 
         @staticmethod
-        def near_columns(size_x, mark_x, size_y, mark_y):
+        def near_columns(size_x, size_y):
             return F.lit(True)
 
         @staticmethod
@@ -428,7 +428,7 @@ def test_links_lose_nothing(spark):
             return d, d
 
     ids = [0, *range(10, 320), *range(400, 410)]
-    members = spark.createDataFrame([(key, i, 1, 0) for key in (1, 2) for i in ids], "key long, id long, size int, mark long")
+    members = spark.createDataFrame([(key, i, 1) for key in (1, 2) for i in ids], "key long, id long, size int")
     roots = {r.id: r.root for r in linking.link(members, lambda t: t.select("id", F.col("id").cast("string").alias("value")), Numbers).collect()}
     assert len({roots[i] for i in range(10, 320)}) == 1 and len({roots[i] for i in range(400, 410)}) == 1 and roots[10] != roots[400] and roots.get(0, 0) == 0
 
