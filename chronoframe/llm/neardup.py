@@ -20,7 +20,7 @@ from chronoframe.llm.common import discard, give_back, materialize, read, text_o
 from chronoframe.llm.edits import banded, distance, trimmed
 from chronoframe.llm.linking import FAR, link, only
 
-WORDS, SIMILARITY, SKETCHES, LEAST = 5, 0.8, 16, 2
+WORDS, SIMILARITY, SKETCHES, LEAST = 5, 0.8, 32, 2
 #: Edited words up to which the band grows with the distance; beyond them whole columns are worked out in bits.
 BAND = 40
 

@@ -131,7 +131,8 @@ def test_quality(spark, odd):
     assert (aside.predicted == aside.quality).mean() >= 0.8
     df, rows = odd
     model = quality.fit([], np.zeros(0))
-    assert [r.score for r in quality.scored(df, model).collect()] == [0.5] * len(rows) or quality.scored(df, model).count() == len(rows)
+    unfitted = quality.scored(df, model).collect()
+    assert sorted(str(r.doc_id) for r in unfitted) == sorted(str(r[0]) for r in rows) and all(0 <= r.score <= 1 for r in unfitted)
     data = bytes(range(256)) * 9
     trained = quality.fit([data, b"ab" * 50], np.array([1, 0], np.float32), epochs=1)
     assert quality._batch_scores([data, b"", b"ab"], trained) == pytest.approx([quality.score(x, trained) for x in (data, b"", b"ab")], abs=1e-5)
@@ -143,17 +144,10 @@ def test_urls(spark):
     assert (got[1, "blog.example.com"].rule, got[1, "blog.example.com"].verdict, got[1, "blog.example.com"].path) == ("example.com/en/7", "allow", "/en/7x")
     assert [(k[0], r.rule, r.verdict) for k, r in sorted(got.items()) if r.rule] == [(1, "example.com/en/7", "allow"), (2, "com/en/", "block"), (3, "net/de/", "allow"), (4, "example.net/de/8", "block"), (5, "org/es/", "block")]
     assert got[6, ""].path == "" and got[7, ""].verdict in ("allow", "block") and got[8, "a.io"].path == ""
-    counts = np.zeros((2, urls.CELLS))
-    for k, text in enumerate((b"aaaa", b"bbbb")):
-        g, c, _ = urls.cells([text])
-        np.add.at(counts[k], np.concatenate([g.ravel(), c.ravel()]), 1)
-    good, bad, none = urls.log_ratio([b"aaa", b"bbb", b""], counts)
-    assert good > 0 > bad and none == 0
 
 
-def test_url_scores_from_exact_counts(spark, monkeypatch):
-    """A table of few cells must not blur the models, and the score is that of plain counting."""
-    monkeypatch.setattr(urls, "CELLS", 8)
+def test_url_scores_from_exact_counts(spark):
+    """The score is that of plain counting."""
     known = [(k, f"http://a.com/en/{k}x{k * k}") for k in range(40)] + [(k + 40, f"http://b.net/de/{k}yé{k * 7}") for k in range(40)]
     free = [(90, "http://c.io/1x1"), (91, "http://c.io/yé7"), (92, "zz"), (93, None)]
     df = spark.createDataFrame(known + free, "page_id long, url string")
@@ -361,8 +355,9 @@ def test_short_lines_share_a_bucket_exactly_when_alike():
     assert all(keys[x] & keys[y] for x in range(len(words)) for y in range(x) if max(len(words[x]), len(words[y])) <= lines.SHORT and similar(words[x], words[y]))
 
 
-@pytest.mark.parametrize(("n", "changed"), [(50, 2), (100, 3), (300, 10)])
-def test_near_duplicates_recall(spark, n, changed):
+@pytest.mark.parametrize(("n", "changed", "least"), [(50, 2, 36), (100, 3, 36), (300, 10, 36), (200, 20, 36), (200, 30, 32), (200, 36, 26)])
+def test_near_duplicates_recall(spark, n, changed, least):
+    """Of 40 pairs with so many of n words changed, so many are found; near the threshold of a fifth of the words fewer are."""
     r, rows = random.Random(n), []
     for k in range(40):
         words = sentence(77 * n + k, n).split()
@@ -371,7 +366,7 @@ def test_near_duplicates_recall(spark, n, changed):
             other[i] = "zz" + other[i]
         rows += [(2 * k, " ".join(words), "s"), (2 * k + 1, " ".join(other), "s")]
     got = {x.doc_id: x.class_id for x in neardup.classes(docs_of(spark, rows)).collect()}
-    assert sum(got[2 * k + 1] == 2 * k for k in range(40)) >= 36 and all(got[2 * k] == 2 * k for k in range(40))
+    assert sum(got[2 * k + 1] == 2 * k for k in range(40)) >= least and all(got[2 * k] == 2 * k for k in range(40))
 
 
 def test_near_duplicates(spark, odd):
