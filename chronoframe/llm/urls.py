@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from chronoframe.llm.common import materialize, read
 
-ORDER, CELLS, A = 5, 1 << 19, 2.0
+ORDER, A = 5, 2.0
 #: Parts into which the occurrences of a run of bytes are dealt.
 SALTS = 16
 #: Scores are calibrated in steps of 0.01 between -5 and 5.
@@ -38,11 +38,6 @@ class Rule(NamedTuple):
 RULES = (Rule("block", "com", "/en/"), Rule("allow", "example.com", "/en/7"), Rule("allow", "net", "/de/"), Rule("block", "example.net", "/de/8"), Rule("block", "org", "/es/"))
 
 
-def _mix(h: np.ndarray) -> np.ndarray:
-    h = (h ^ (h >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15)
-    return h ^ (h >> np.uint64(29))
-
-
 def runs(urls: Sequence[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """For every byte of every URL: the run of ORDER + 1 bytes that ends with it, zeros before the URL, as a number; and the URL it is in."""
     lead = bytes(ORDER)
@@ -63,40 +58,6 @@ def keys_of(run: Column) -> Column:
     return F.array(*grams, *contexts)
 
 
-def cells(urls: Sequence[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """For every byte of every URL: the cells of its n-grams and of their contexts, each bytes x (ORDER + 1); and the URL it is in."""
-    lead = bytes(ORDER + 1)
-    data = np.frombuffer(b"".join([lead + u for u in urls]), np.uint8).astype(np.uint64)
-    sizes = np.array([len(u) for u in urls], np.int64)
-    starts = np.cumsum(sizes + len(lead)) - sizes
-    owner = np.repeat(np.arange(len(urls)), sizes)
-    at = np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes) + np.repeat(starts, sizes)
-    grams, contexts = np.empty((len(at), ORDER + 1), np.int64), np.empty((len(at), ORDER + 1), np.int64)
-    h = np.full(len(at), 1, np.uint64)
-    c = np.full(len(at), 2, np.uint64)
-    for k in range(ORDER + 1):
-        # the n-gram grows backwards from the character itself, its context from the one before
-        h = _mix(h * np.uint64(1_000_003) + data[at - k] + np.uint64(1))
-        grams[:, k] = (_mix(h + np.uint64(2 * k)) >> np.uint64(40)) % np.uint64(CELLS)
-        contexts[:, k] = (_mix(c + np.uint64(2 * k + 1)) >> np.uint64(40)) % np.uint64(CELLS)
-        c = _mix(c * np.uint64(1_000_003) + data[at - k - 1] + np.uint64(1))
-    return grams, contexts, owner
-
-
-def log_ratio(urls: Sequence[bytes], counts: np.ndarray) -> np.ndarray:
-    """Mean over a URL's bytes of ln p(accepted) - ln p(rejected); 0 for an empty URL."""
-    grams, contexts, owner = cells(urls)
-    log_p = []
-    for n in counts:
-        p = np.full(len(grams), 1 / 256)
-        for k in range(ORDER + 1):
-            seen, before = n[grams[:, k]], np.maximum(n[contexts[:, k]], n[grams[:, k]])
-            p = (seen + A * p) / (before + A)
-        log_p.append(np.log(p))
-    total = np.bincount(owner, log_p[0] - log_p[1], len(urls))
-    return total / np.maximum(1, np.bincount(owner, minlength=len(urls)))
-
-
 def host_and_path(url: Column) -> tuple[Column, Column]:
     at = F.instr(url, "://")
     rest = F.when(at > 0, F.substring(url, at + 3, F.length(url))).otherwise(F.lit(""))
