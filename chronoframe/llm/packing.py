@@ -12,7 +12,7 @@ from __future__ import annotations
 import re
 import zlib
 from bisect import bisect_left, insort
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -26,6 +26,8 @@ CAPACITY, END = 4096, 1
 SHARD, GOOD = 8192, 0.995
 #: Words that a worker keeps the ids of.
 KEPT_WORDS = 300_000
+#: Unseen words that go to the tokenizer at once; characters of texts that are taken together.
+TOGETHER, AT_ONCE = 1000, 1 << 20
 
 _encoders: dict = {}
 
@@ -52,17 +54,29 @@ class _Words(dict):
         super().__init__()
         self.tokenizer = tokenizer
 
-    def __missing__(self, word: str) -> bytes:
-        if len(self) >= KEPT_WORDS:
-            for old in list(self)[: KEPT_WORDS // 2]:
+    def _encoded(self, words: list[str]) -> Iterator[bytes]:
+        """Each word's ids. Words are handed over many at once, with spaces between: most of a call's cost does not depend on its text."""
+        found = self.tokenizer.encode(" ".join(words), add_special_tokens=False)
+        ids, word = np.array(found.ids, "<u4").tobytes(), np.array(found.word_ids, np.int64)
+        cuts = [0, *(4 * (np.flatnonzero(np.diff(word)) + 1)).tolist(), len(ids)]
+        if len(cuts) == len(words) + 1:
+            return (ids[i:j] for i, j in zip(cuts, cuts[1:], strict=False))
+        return (np.array(self.tokenizer.encode(w, add_special_tokens=False).ids, "<u4").tobytes() for w in words)
+
+    def learn(self, words: list[str]) -> None:
+        """Make sure that all these words are here."""
+        new = [w for w in dict.fromkeys(words) if w not in self]
+        if len(self) + len(new) > KEPT_WORDS:
+            for old in list(self)[: max(len(self) // 2, len(self) + len(new) - KEPT_WORDS)]:
                 del self[old]
-        ids = np.array(self.tokenizer.encode(word, add_special_tokens=False).ids, "<u4").tobytes()
-        self[word] = ids
-        return ids
+            new = [w for w in dict.fromkeys(words) if w not in self]
+        for k in range(0, len(new), TOGETHER):
+            part = new[k : k + TOGETHER]
+            self.update(zip(part, self._encoded(part), strict=True))
 
 
 def encoder(path: str):
-    """A function text -> ids as little-endian unsigned 32-bit bytes, equal to the tokenizer's own for every text.
+    """A function texts -> ids of each as little-endian unsigned 32-bit bytes, equal to the tokenizer's own for every text.
 
     The tokenizer splits a text into words before it looks for merges, so a word's ids do not depend on its surroundings and are
     kept. Texts with characters outside plain Latin, or with a special token's spelling, go to the tokenizer whole.
@@ -73,10 +87,21 @@ def encoder(path: str):
         tokenizer = Tokenizer.from_file(path)
         plain, split, kept = re.compile(f"[{re.escape(_PLAIN)}]*").fullmatch, _splitter(), _Words(tokenizer)
 
-        def encode(text: str) -> bytes:
-            if "<|" in text or not plain(text):
-                return np.array(tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-            return b"".join(map(kept.__getitem__, split(text.lower())))
+        def together(texts: list[str]) -> Iterator[bytes]:
+            words = [None if "<|" in text or not plain(text) else split(text.lower()) for text in texts]
+            kept.learn([w for ws in words if ws for w in ws])
+            for text, ws in zip(texts, words, strict=True):
+                yield np.array(tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes() if ws is None else b"".join(map(kept.__getitem__, ws))
+
+        def encode(texts: Iterable[str]) -> Iterator[bytes]:
+            held, size = [], 0
+            for text in texts:
+                held.append(text)
+                size += len(text)
+                if size >= AT_ONCE:
+                    yield from together(held)
+                    held, size = [], 0
+            yield from together(held)
 
         _encoders[path] = encode
     return _encoders[path]
@@ -93,8 +118,8 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, id_col: st
         encode, end = encoder(tokenizer), np.array([END], "<u4").tobytes()
         for batch in batches:
             rows = []
-            for doc, text in zip(batch["doc_id"], batch["text"], strict=True):
-                ids = encode(text) + end
+            for doc, ids in zip(batch["doc_id"], encode(batch["text"]), strict=True):
+                ids += end
                 for k, at in enumerate(range(0, len(ids), 4 * capacity)):
                     part = ids[at : at + 4 * capacity]
                     rows.append((doc, k, at // 4, len(part) // 4, zlib.crc32(part), *[part] * with_ids))

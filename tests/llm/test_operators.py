@@ -73,7 +73,7 @@ def test_mixing(spark, odd):
     assert mixing.mix(df.limit(0)).count() == 0
 
 
-def test_packing(spark, odd):
+def test_packing(spark, odd, monkeypatch):
     import public_tokenizers
     from tokenizers import Tokenizer
 
@@ -94,8 +94,12 @@ def test_packing(spark, odd):
         assert end <= 512
     assert packing.packed_documents(df.limit(0), path).count() == 0
     encode = packing.encoder(path)
-    for x in ["It's 12² ½ x\x85y z İI Σας <|endoftext|> _a_b don'T é ﬁ", "\x1c a\x0bb", "''s'll"]:
-        assert encode(x) == np.array(t.encode(x, add_special_tokens=False).ids, "<u4").tobytes()
+    texts = ["It's 12² ½ x\x85y z İI Σας <|endoftext|> _a_b don'T é ﬁ", "\x1c a\x0bb", "''s'll", "", "it's 'tis ' s ''' -- 're-d", *(sentence(k, 300) for k in range(20))]
+    for kept, together in ((300_000, 1000), (700, 7)):
+        monkeypatch.setattr(packing, "KEPT_WORDS", kept)
+        monkeypatch.setattr(packing, "TOGETHER", together)
+        monkeypatch.setattr(packing, "AT_ONCE", 5 * kept // 100)
+        assert list(encode(texts)) == [np.array(t.encode(x, add_special_tokens=False).ids, "<u4").tobytes() for x in texts]
 
 
 def test_local_search_empties_bins():
