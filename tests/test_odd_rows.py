@@ -3,6 +3,7 @@
 import datetime
 
 import duckdb
+import pandas as pd
 import pytest
 
 from chronoframe.plans import registry
@@ -26,10 +27,10 @@ def events(spark, tmp_path_factory):
 
 
 def rows_of(frame, columns):
-    return sorted((tuple(None if x != x else x for x in r) for r in frame[columns].astype(object).values.tolist()), key=str)
+    return sorted((tuple(None if pd.isna(x) else x for x in r) for r in frame[columns].astype(object).values.tolist()), key=str)
 
 
-@pytest.mark.parametrize("name", ["window_pick"])
+@pytest.mark.parametrize("name", ["window_pick", "two_pass_plan"])
 def test_windows_without_length(spark, events, name):
     folder, con = events
     got, expected = registry.queries()[name](spark, str(folder)).toPandas(), con.execute(registry.oracle_sql()[name]).df()
