@@ -1,8 +1,9 @@
 """Approximate nearest neighbours: inverted file, product-quantised residuals, asymmetric distances, exact reranking.
 
 Coarse centroids and the quantisers of the residuals are fitted on a bounded sample; every row is indexed. A query visits its
-nearest cells, as many as held the neighbours of queries within the sample. There, a table of distances from its residual to every quantiser entry ranks the codes, and
-the best of them are ranked again by their exact distance. Spark deals index rows and queries out by cell; a cell with
+nearest cells, as many as held the neighbours of rows within the sample, and more where its own neighbours in the sample lie farther out. There, a table of distances from its
+residual to every quantiser entry ranks the codes, and the best of them are ranked again by their exact distance; so are all others that the code's error, kept with it,
+does not show to be farther. Spark deals index rows and queries out by cell; a cell with
 many rows is dealt out as several shards, and its queries as several batches, so that each task holds bounded blocks of both.
 """
 
@@ -23,7 +24,9 @@ from chronoframe.llm.common import read
 SAMPLE = 20_000
 #: Sample rows per cell at least, so many cells at most; share of sample neighbours that visited cells hold; queries of the sample that tell it.
 PER_CELL, HELD, TRIALS = 16, 0.96, 500
-#: Quantisers; codes that are reranked in a shard; rows of a shard and queries of a batch, on average by hash.
+#: How many times k of the nearest rows of a sample that is thinner than the table tell a query's cells.
+SAFE = 3
+#: Quantisers; codes that are reranked in a shard at first; rows of a shard and queries of a batch, on average by hash.
 QUANTISERS, RERANKED, SHARD, BATCH = 16, 100, 4096, 2048
 
 
@@ -40,7 +43,9 @@ def usable(vector: Column) -> Column:
 
 
 def nearest(points: np.ndarray, centres: np.ndarray) -> np.ndarray:
-    """Squared distances, points x centres."""
+    """Squared distances, points x centres; seen from amid the centres, as squares of what lies far off would swallow the differences."""
+    amid = np.median(centres[:1000], axis=0)
+    points, centres = points - amid, centres - amid
     return (points**2).sum(1)[:, None] - 2 * points @ centres.T + (centres**2).sum(1)
 
 
@@ -82,6 +87,20 @@ def cells_to_visit(sample: np.ndarray, centroids: np.ndarray, k: int, held: floa
     return int(np.quantile(np.concatenate(ranks), held, method="higher")) + 1
 
 
+def cells_of_own(index: Index, sample: np.ndarray, cell: np.ndarray, queries: np.ndarray, order: np.ndarray, k: int) -> np.ndarray:
+    """How many cells, in its order of cells, hold the k nearest rows of the sample for each query itself, whatever rows the sample's queries are.
+
+    Where the sample is thinner than the table, a row of the table is farther out than the farthest of k sample rows about once in k + 1 cases: k is to be larger then. A query that is in the sample is among its k + 1 nearest and lies in a cell that is visited anyway.
+    """
+    most, out = min(k + 1, len(sample)), []
+    for q, o in zip(np.array_split(queries, -(-len(queries) // 50)), np.array_split(order, -(-len(queries) // 50)), strict=True):
+        near = np.argpartition(nearest(q, sample), most - 1, axis=1)[:, :most]
+        place = np.empty(o.shape, int)
+        np.put_along_axis(place, o, np.arange(o.shape[1])[None], 1)
+        out.append(np.take_along_axis(place, cell[near], 1).max(1) + 1)
+    return np.maximum(np.concatenate(out), index.visited)
+
+
 def fit(sample: np.ndarray, cells: int, k: int = 10, quantisers: int = QUANTISERS, seed: int = 11) -> Index:
     rng = np.random.default_rng(seed)
     centroids = k_means(sample, cells, rng)
@@ -91,19 +110,22 @@ def fit(sample: np.ndarray, cells: int, k: int = 10, quantisers: int = QUANTISER
     return Index(centroids, np.stack([np.concatenate([e, np.repeat(e[-1:], most - len(e), 0)]) for e in entries]), cells_to_visit(sample, centroids, k))
 
 
-def encode(index: Index, vectors: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def encode(index: Index, vectors: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Cells, codes, and how far each vector lies from what its code stands for."""
     cell = nearest(vectors, index.centroids).argmin(1)
     residuals = parts(vectors - index.centroids[cell], len(index.entries))
     codes = np.stack([nearest(residuals[:, m], index.entries[m]).argmin(1) for m in range(len(index.entries))], 1)
-    return cell, codes.astype(np.uint8)
+    error = np.sqrt(sum(((residuals[:, m] - index.entries[m][codes[:, m]]) ** 2).sum(1) for m in range(len(index.entries))))
+    return cell, codes.astype(np.uint8), error
 
 
 def search_shard(index: Index, rows: pd.DataFrame, queries: pd.DataFrame, k: int) -> pd.DataFrame:
-    """The k nearest rows of one shard for each of its queries, by exact distance, after RERANKED by asymmetric distance."""
+    """The k nearest rows of one shard for each of its queries, by exact distance: of RERANKED by asymmetric distance, and of all that may be as near by it as the k-th of these."""
     order = np.argsort(rows["vec_id"].to_numpy(), kind="stable")
     ids = rows["vec_id"].to_numpy()[order]
     codes = np.frombuffer(b"".join(rows["codes"]), np.uint8).reshape(len(rows), -1)[order]
     vectors = np.stack(rows["vector"].to_numpy()).astype(np.float64)[order]
+    error = rows["error"].to_numpy()[order]
     centre = index.centroids[int(rows["cell"].iloc[0])]
     out = []
     for query, vector in zip(queries["vec_id"], queries["vector"], strict=True):
@@ -112,9 +134,13 @@ def search_shard(index: Index, rows: pd.DataFrame, queries: pd.DataFrame, k: int
         rough = table[np.arange(len(table)), codes].sum(1)
         own = ids == query
         rough[own] = np.inf
-        short = np.argsort(rough, kind="stable")[: RERANKED + int(own.sum())]  # stable: equal codes by ascending id
+        short = np.argsort(rough, kind="stable")[: RERANKED + int(own.sum())]
         short = short[~own[short]]
         exact = np.sqrt(((vectors[short] - q) ** 2).sum(1))
+        if len(exact) >= k:
+            limit, rough = np.partition(exact, k - 1)[k - 1], np.sqrt(rough)
+            short = np.flatnonzero(~own & (rough - error <= limit + 1e-9 * (limit + np.where(own, 0, rough) + error)))
+            exact = np.sqrt(((vectors[short] - q) ** 2).sum(1))
         best = np.lexsort((ids[short], exact))[:k]
         out.append(pd.DataFrame({"query_id": query, "vec_id": ids[short][best], "score": exact[best]}))
     return pd.concat(out) if out else pd.DataFrame({"query_id": [], "vec_id": [], "score": []})
@@ -137,16 +163,17 @@ def search(vectors: DataFrame, queries: Column, k: int = 10, id_col: str = "vec_
     v = v.where(F.size("vector") == dim)
     fitted = np.stack([np.asarray(x, np.float64) for x in sample if len(x) == dim])
     index = fit(fitted, max(1, min(round(n**0.5), len(fitted) // PER_CELL)), k)
-    cells, visited = len(index.centroids), index.visited
+    cells, cell_of = len(index.centroids), nearest(fitted, index.centroids).argmin(1)
+    looked_at = k if n <= len(sample) else SAFE * k
 
     def place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             if len(b):
-                cell, codes = encode(index, np.stack(b["vector"].to_numpy()).astype(np.float64))
-                yield b.assign(cell=cell, codes=[c.tobytes() for c in codes])
+                cell, codes, error = encode(index, np.stack(b["vector"].to_numpy()).astype(np.float64))
+                yield b.assign(cell=cell, codes=[c.tobytes() for c in codes], error=error)
 
     kind = dict(v.dtypes)["vector"]
-    placed = v.mapInPandas(place, f"vec_id long, vector {kind}, cell int, codes binary")
+    placed = v.mapInPandas(place, f"vec_id long, vector {kind}, cell int, codes binary, error double")
 
     def by_cell(d: DataFrame) -> np.ndarray:
         out = np.zeros(cells, np.int64)
@@ -159,7 +186,9 @@ def search(vectors: DataFrame, queries: Column, k: int = 10, id_col: str = "vec_
     def visit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             if len(b):
-                order = np.argsort(nearest(np.stack(b["vector"].to_numpy()).astype(np.float64), index.centroids), 1, kind="stable")
+                wanted = np.stack(b["vector"].to_numpy()).astype(np.float64)
+                order = np.argsort(nearest(wanted, index.centroids), 1, kind="stable")
+                visited = cells_of_own(index, fitted, cell_of, wanted, order, looked_at)[:, None]
                 # more cells where the nearest ones hold too few rows
                 before = np.cumsum(counts[order], 1) - counts[order]
                 row, place = np.nonzero((np.arange(cells) < visited) | (before <= k))

@@ -3,9 +3,12 @@
 import datetime
 
 import duckdb
+import numpy as np
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
+from chronoframe.llm import neighbours
 from chronoframe.plans import registry
 
 START = datetime.datetime(2024, 1, 1)
@@ -35,3 +38,27 @@ def test_windows_without_length(spark, events, name):
     folder, con = events
     got, expected = registry.queries()[name](spark, str(folder)).toPandas(), con.execute(registry.oracle_sql()[name]).df()
     assert len(expected) and rows_of(got, list(expected.columns)) == rows_of(expected, list(expected.columns))
+
+
+@pytest.mark.parametrize("kind", ["queries elsewhere", "lengths of all sizes", "far from zero", "copies of one code"])
+def test_nearest_on_other_rows(spark, kind):
+    """Queries that lie where few rows do, rows of very different lengths or far off, more equal codes than are reranked at first."""
+    rng = np.random.default_rng(5)
+    z, centres = rng.normal(size=(4000, 32)), rng.normal(size=(20, 32))
+    if kind == "queries elsewhere":
+        x = z * 0.05 + centres[rng.integers(0, 20, 4000)]
+        x[::100] = z[::100]
+    elif kind == "lengths of all sizes":
+        x = z * np.exp(2 * rng.normal(size=(4000, 1)))
+    elif kind == "far from zero":
+        x = z + 1e9
+    else:
+        x = z * np.array([1.0, 1e-6])[rng.integers(0, 2, 4000)][:, None] + centres[0]
+    rows = spark.createDataFrame(pd.DataFrame({"vec_id": np.arange(4000), "embedding": x.tolist()}), "vec_id long, embedding array<double>")
+    found = neighbours.search(rows, F.col("vec_id") % 100 == 0).toPandas().groupby("query_id")["vec_id"].apply(set)
+    hits = 0
+    for q in range(0, 4000, 100):
+        d = ((x - x[q]) ** 2).sum(1)
+        d[q] = np.inf
+        hits += len(found[q] & set(np.argsort(d, kind="stable")[:10].tolist()))
+    assert hits >= 0.97 * 400
