@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from chronoframe.operators import report
@@ -36,16 +35,11 @@ def caption_binary(spark, sf_dir):
     return media.caption_files(spark, f"{_caption_folder(spark, sf_dir)}/*/*.vtt").select("name", "value")
 
 
-def _whole(spark, path: str) -> DataFrame:
-    d = spark.read.text(path, wholetext=True).withColumn("name", F.element_at(F.split(F.input_file_name(), "/"), -1))
-    return d.select(F.substring_index("name", ".", 1).alias("video_id"), "value")
-
-
 @query("report_files", f"{_HEADS} SELECT video_id::VARCHAR AS video_id, string_agg(line, chr(10) ORDER BY section, idx) || chr(10) AS value FROM ({_REPORT}) GROUP BY 1")
 def report_files(spark, sf_dir):
     path = new_path(spark, "reports")
     files.save_files(whole_reports(spark, sf_dir), path, ["section", "idx"])
-    return _whole(spark, f"{path}/*/*.md")
+    return files.whole_files(spark, f"{path}/*/*.md")
 
 
 @query("text_files", r"""WITH q AS (SELECT lang AS video_id, doc_id, to_json(doc_id::VARCHAR)::VARCHAR || ': ' || to_json(text)::VARCHAR AS entry FROM documents WHERE lang IS NOT NULL)
@@ -54,7 +48,7 @@ def text_files(spark, sf_dir):
     d = table(spark, sf_dir, "documents").select(F.col("lang").alias("video_id"), F.col("doc_id").alias("idx"), F.col("doc_id").cast("string").alias("path"), "text")
     path = new_path(spark, "texts")
     files.save_files(report.text_map_lines(d), path, ["section", "idx"], extension="json")
-    return _whole(spark, f"{path}/*/*.json")
+    return files.whole_files(spark, f"{path}/*/*.json")
 
 
 @query("chat_parts", """WITH d AS (SELECT conv_id, turn, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS k, coalesce(text, '') AS text FROM conversations), n AS (SELECT conv_id, count(*) AS n, count(*) FILTER (turn % 3 <> 1) AS loaded FROM d GROUP BY 1),

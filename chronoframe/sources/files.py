@@ -13,6 +13,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 from urllib.parse import quote, unquote
 
+import pyarrow as pa
 from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, InputPartition, WriterCommitMessage
@@ -186,3 +187,44 @@ def save_files(rows: DataFrame, path: str, order: list[str], key: str = "video_i
 def read_captions(spark: SparkSession, path: str, pattern: str = "*.vtt", by: str = "folder") -> DataFrame:
     register(spark)
     return spark.read.format("captions").option("pattern", pattern).option("id", by).load(path)
+
+
+#: Bytes of small files that are handed over at once.
+_TOGETHER = 4 << 20
+
+
+def _text_batch(names: list[str], buffers: list[pa.Buffer]) -> pa.RecordBatch:
+    """Names and UTF-8 contents; the buffer of a single file is passed on as it is."""
+    ends = [0]
+    for b in buffers:
+        ends.append(ends[-1] + b.size)
+    data = buffers[0] if len(buffers) == 1 else pa.py_buffer(b"".join(buffers))
+    texts = pa.Array.from_buffers(pa.string(), len(buffers), [None, pa.py_buffer(pa.array(ends, pa.int32()).buffers()[1]), data])
+    return pa.record_batch([pa.array(names, pa.string()), texts], ["video_id", "value"])
+
+
+def whole_files(spark: SparkSession, path: str) -> DataFrame:
+    """video_id, value: the UTF-8 files that `save_files` wrote, each a row, found by a pattern of paths.
+
+    Spark lists the files and deals them out by size; their content goes from the file to its row without the copies that Spark's text reader
+    makes, which take several times a large file. A row, and so a file, can hold 2 GB less one byte at most.
+    """
+
+    def contents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            names, buffers = [], []
+            for uri in batch.column(0).to_pylist():
+                system, at = located(uri)
+                with system.open_input_file(at) as f:
+                    content = f.read_buffer()
+                if buffers and sum(b.size for b in buffers) + content.size > _TOGETHER:
+                    yield _text_batch(names, buffers)
+                    names, buffers = [], []
+                names.append(unquote(posixpath.basename(at).rpartition(".")[0]))
+                buffers.append(content)
+                del content
+            if buffers:
+                yield _text_batch(names, buffers)
+
+    listed = spark.read.format("binaryFile").load(path).select("path")
+    return listed.mapInArrow(contents, "video_id string, value string")

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from chronoframe.llm import neighbours
 from chronoframe.plans import registry
+from chronoframe.sources import files
 
 START = datetime.datetime(2024, 1, 1)
 #: event_id, hours, user_id, event_type, minutes: windows without length, alone and beside others, with and without a scene; an unknown user.
@@ -62,3 +63,12 @@ def test_nearest_on_other_rows(spark, kind):
         d[q] = np.inf
         hits += len(found[q] & set(np.argsort(d, kind="stable")[:10].tolist()))
     assert hits >= 0.97 * 400
+
+
+def test_whole_files(spark, tmp_path):
+    """Files come back as they were written, with names that dots and other signs are part of; small ones together, a large one alone."""
+    texts = {"a.b": ["é", "漢"], "x/y z%": [""], "large": ["0123456789" * 600_000], **{f"n{i}": [str(i)] for i in range(30)}}
+    rows = spark.createDataFrame([(k, i, line) for k, lines in texts.items() for i, line in enumerate(lines)], "video_id string, idx int, line string")
+    files.save_files(rows, str(tmp_path / "out"), ["idx"])
+    got = {r.video_id: r.value for r in files.whole_files(spark, f"{tmp_path}/out/*/*.md").collect()}
+    assert got == {k: "\n".join(lines) + "\n" for k, lines in texts.items()}
