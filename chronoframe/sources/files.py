@@ -214,7 +214,7 @@ def whole_files(spark: SparkSession, path: str) -> DataFrame:
         for batch in batches:
             names, buffers = [], []
             for uri in batch.column(0).to_pylist():
-                system, at = located(uri)
+                system, at = located(quote(uri, safe=":/"))  # Spark gives names as they are
                 with system.open_input_file(at) as f:
                     content = f.read_buffer()
                 if buffers and sum(b.size for b in buffers) + content.size > _TOGETHER:
