@@ -9,6 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from chronoframe.llm import neighbours
+from chronoframe.operators import frames
 from chronoframe.plans import registry
 from chronoframe.sources import files
 
@@ -72,3 +73,11 @@ def test_whole_files(spark, tmp_path):
     files.save_files(rows, str(tmp_path / "out"), ["idx"])
     got = {r.video_id: r.value for r in files.whole_files(spark, f"{tmp_path}/out/*/*.md").collect()}
     assert got == {k: "\n".join(lines) + "\n" for k, lines in texts.items()}
+
+
+def test_frame_times_are_generated_code(spark):
+    rows = spark.createDataFrame([("a", 2.675, 2.0, 3), ("b", 0.0, 2.0, 0), ("c", None, 2.0, 1)], "video_id string, start double, fps double, frames int")
+    got = frames.at_fixed_rate(rows, ["video_id"])
+    assert sorted(got.collect(), key=str) == [("a", 0, 2.67, "frame_0001.jpg"), ("a", 1, 3.17, "frame_0002.jpg"), ("a", 2, 3.67, "frame_0003.jpg"), ("c", 0, None, "frame_0001.jpg")]
+    assert "lambda" not in got._jdf.queryExecution().executedPlan().toString()
+    assert [r[0] for r in spark.range(9998, 10001).select(frames.frame_name(F.col("id"))).collect()] == ["frame_9999.jpg", "frame_10000.jpg", "frame_10001.jpg"]
