@@ -6,6 +6,8 @@ import numpy as np
 
 #: Words behind the furthest diagonal within which others are followed.
 BEHIND = 12
+#: Of many pairs at once: blocks of 64 that the shorter sequence has at most, pairs that are worth it, and places of longer sequences in memory.
+BLOCKS, WORTH, PLACES = 32, 16, 1 << 21
 
 
 def distance(a, b) -> int:
@@ -30,6 +32,94 @@ def distance(a, b) -> int:
     return out
 
 
+def distances(sequences: list[np.ndarray], xs: np.ndarray, ys: np.ndarray, allowed: np.ndarray | None = None) -> np.ndarray:
+    """Levenshtein distances of many pairs of sequences of numbers, given by position; -1 where a pair is too long, or in company too small, to be
+    measured so. The columns of distance(), those of all pairs of a batch at once, in blocks of 64 bits.
+
+    A distance over what is allowed may come out larger than it is: blocks that no way within it enters are left out."""
+    sizes = np.array([len(s) for s in sequences], np.int64)
+    swap = sizes[xs] > sizes[ys]
+    short, long = np.where(swap, ys, xs), np.where(swap, xs, ys)
+    out = np.where(sizes[short] == 0, sizes[long], -1)
+    todo = np.flatnonzero((out < 0) & (sizes[short] <= 64 * BLOCKS))
+    todo = todo[np.lexsort((sizes[long[todo]], -(-sizes[short[todo]] // 64)))]
+    begin = 0
+    while begin < len(todo):
+        end = begin + 1  # at most twice the blocks of the first, and no more places than memory is meant for
+        most = 2 * -(-sizes[short[todo[begin]]] // 64)
+        width = np.maximum.accumulate(sizes[long[todo[begin : begin + PLACES]]])
+        fits = (width * np.arange(1, len(width) + 1) <= PLACES) & (sizes[short[todo[begin : begin + PLACES]]] <= 64 * most)
+        end = begin + max(1, int(np.argmin(fits)) if not fits.all() else len(fits))
+        if end - begin >= WORTH:
+            out[todo[begin:end]] = _columns(sequences, short[todo[begin:end]], long[todo[begin:end]], sizes, None if allowed is None else int(allowed[todo[begin:end]].max()))
+        begin = end
+    return out
+
+
+def _columns(sequences: list[np.ndarray], short: np.ndarray, long: np.ndarray, sizes: np.ndarray, band: int | None) -> np.ndarray:
+    order = np.argsort(-sizes[long], kind="stable")  # pairs whose columns go on come first
+    short, long = short[order], long[order]
+    n, m = sizes[short], sizes[long]
+    used, at = np.unique(np.concatenate([short, long]), return_inverse=True)
+    codes = np.unique(np.concatenate([sequences[k] for k in used]), return_inverse=True)[1].astype(np.int64)
+    ends = np.cumsum(sizes[used])
+    begins, kinds = ends - sizes[used], int(codes.max()) + 1
+    row, column = at[: len(short)], at[len(short) :]
+    # where each element stands in each shorter sequence
+    own = np.unique(row)
+    places = np.concatenate([np.arange(sizes[used[k]]) for k in own])
+    keys, which = np.unique(np.concatenate([k * kinds + codes[begins[k] : ends[k]] for k in own]), return_inverse=True)
+    blocks = int(-(-n.max() // 64))
+    masks = np.zeros((blocks, len(keys) + 1), np.uint64)
+    np.bitwise_or.at(masks, (places >> 6, which), np.uint64(1) << (places & 63).astype(np.uint64))
+    steps = np.minimum(np.arange(m[0])[None, :], m[:, None] - 1)
+    wanted = row[:, None] * kinds + codes[begins[column][:, None] + steps]
+    found = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
+    found[keys[found] != wanted] = len(keys)
+    found = np.ascontiguousarray(found.T.astype(np.int32))
+    del wanted, steps
+    plus, minus = np.full((blocks, len(n)), ~np.uint64(0)), np.zeros((blocks, len(n)), np.uint64)
+    going = len(n) - np.searchsorted(m[::-1], np.arange(m[0]), "right")
+    one, last = np.uint64(1), np.uint64(63)
+    band = int(m[0]) if band is None else band
+    buffers = np.empty((7, len(n)), np.uint64)
+    for j, k in enumerate(going.tolist()):
+        eq, x, h, up, down, up_in, down_in = buffers[:, :k]
+        at_j = found[j, :k]
+        up_in[:], down_in[:] = 1, 0
+        for b in range(max(0, (j - band) // 64), min(blocks, (j + band) // 64 + 1)):
+            p, d = plus[b, :k], minus[b, :k]
+            np.take(masks[b], at_j, out=eq, mode="clip")
+            np.bitwise_or(eq, d, out=x)
+            np.bitwise_or(eq, down_in, out=eq)
+            np.bitwise_and(eq, p, out=h)
+            np.add(h, p, out=h)
+            np.bitwise_xor(h, p, out=h)
+            np.bitwise_or(h, eq, out=h)
+            np.bitwise_or(h, p, out=up)
+            np.invert(up, out=up)
+            np.bitwise_or(up, d, out=up)
+            np.bitwise_and(p, h, out=down)
+            # what goes on into the next block, before both move down by one
+            np.right_shift(up, last, out=eq)
+            np.right_shift(down, last, out=h)
+            np.left_shift(up, one, out=up)
+            np.bitwise_or(up, up_in, out=up)
+            np.left_shift(down, one, out=down)
+            np.bitwise_or(down, down_in, out=down)
+            np.bitwise_and(up, x, out=d)
+            np.bitwise_or(up, x, out=x)
+            np.invert(x, out=x)
+            np.bitwise_or(down, x, out=p)
+            eq, h, up_in, down_in = up_in, down_in, eq, h
+    # the last column: its top is m, the rest are steps of one
+    bits = np.clip(n[None, :] - 64 * np.arange(blocks)[:, None], 0, 64)
+    inside = np.where(bits == 64, ~np.uint64(0), (one << np.minimum(bits, 63).astype(np.uint64)) - one)
+    out = np.empty(len(n), np.int64)
+    out[order] = m + np.bitwise_count(plus & inside).astype(np.int64).sum(0) - np.bitwise_count(minus & inside).astype(np.int64).sum(0)
+    return out
+
+
 def some_alignment(a: list[str], b: list[str], allowed: int) -> int | None:
     """Characters that some way to edit the words a into the words b takes, if one within `allowed` is found; None tells nothing.
 

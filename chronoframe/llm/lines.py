@@ -161,6 +161,7 @@ class Lines:
     def __init__(self, lines):
         self.lines, self.words, self.sizes = lines, {}, np.array([len(x) for x in lines], int)
         codes = np.frombuffer("".join(lines).encode("utf-32-le", "surrogatepass"), np.uint32)
+        self.sequences = np.split(codes, np.cumsum(self.sizes)[:-1])
         at = np.repeat(np.arange(len(lines)) * self.BINS, self.sizes)
         self.bins = np.bincount(at + codes % self.BINS, minlength=len(lines) * self.BINS).reshape(-1, self.BINS).astype(np.int32)
 

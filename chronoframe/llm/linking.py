@@ -20,16 +20,20 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from chronoframe.llm.common import discard, give_back, materialize
+from chronoframe.llm.edits import distances
 
 #: Members of a bucket that a task compares at once, twice; pairs tested at once; ids up to this many are broadcast (8 bytes each) to filter a table.
-CHUNK, PAIRS, BROADCAST_IDS = 256, 8192, 1_000_000
+CHUNK, PAIRS, BROADCAST_IDS = 512, 8192, 1_000_000
 #: A distance that none exceeds.
 FAR = 1 << 30
 TASK = ["key", "i", "j", "id", "root", "rest", "chunk", "size", "low", "high"]
 
 
 class Values(Protocol):
-    """Values between which a metric of whole numbers is measured, prepared once each. What it keeps must be small next to the values."""
+    """Values between which a metric of whole numbers is measured, prepared once each. What it keeps must be small next to the values.
+
+    Where the metric is the edit distance of sequences of numbers, `sequences` may hold these: then pairs are measured many at once.
+    """
 
     def __init__(self, values: Sequence[str]): ...
 
@@ -83,6 +87,17 @@ def only(rows: DataFrame, ids: DataFrame, column: str) -> DataFrame:
     return rows.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, rows[column] == ids["_only"], "left_semi")
 
 
+def _bounds(values: Values, xs: np.ndarray, ys: np.ndarray, allowed: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Bounds of the distances of pairs of positions, from below and above: the distances themselves where many are measured at once.
+    With `allowed` only the upper one holds, and is within what is allowed if the distance is."""
+    sequences = getattr(values, "sequences", None)
+    low = np.full(len(xs), -1) if sequences is None else distances(sequences, xs, ys, allowed)
+    high = low.copy()
+    for k in np.flatnonzero(low < 0).tolist():
+        low[k], high[k] = values.measured(int(xs[k]), int(ys[k]))
+    return low, high
+
+
 def _verified(values_of: type[Values]):
     """Of rows a, b, size, hub_size, x, y the bounds of the distance from x to y, and whether it links a and b."""
 
@@ -94,8 +109,8 @@ def _verified(values_of: type[Values]):
                 values, n = values_of(list(texts)), len(part)
                 low, high = values.least(codes[:n], codes[n:]), np.full(n, FAR)
                 allowed = values_of.allowed(part["size"].to_numpy(), part["hub_size"].to_numpy())
-                for k in np.flatnonzero(low <= allowed).tolist():
-                    low[k], high[k] = values.measured(int(codes[k]), int(codes[n + k]))
+                k = np.flatnonzero(low <= allowed)
+                low[k], high[k] = _bounds(values, codes[k], codes[n + k])
                 yield pd.DataFrame({"a": part["a"], "b": part["b"], "low": low, "high": high, "linked": high <= allowed})
         give_back()
 
@@ -157,21 +172,28 @@ def _compared(values_of: type[Values]):
         codes, first = pd.factorize(group["id"])
         values = values_of(group["value"].iloc[np.unique(codes, return_index=True)[1]].tolist())
         roots, sizes, out = pd.factorize(group["root"])[0], group["size"].to_numpy(), []
-        above = list(range(len(roots)))
+        above = np.arange(len(roots))
 
-        def top(x: int) -> int:
-            while above[x] != x:
-                above[x] = above[above[x]]
-                x = above[x]
-            return x
+        def measure(xs: np.ndarray, ys: np.ndarray, allowed: np.ndarray) -> None:
+            linked = _bounds(values, codes[xs], codes[ys], allowed)[1] <= allowed
+            for x, y in zip(xs[linked].tolist(), ys[linked].tolist(), strict=True):
+                if (r := above[roots[x]]) != (s := above[roots[y]]):
+                    above[above == r] = s
+                    out.append((first[codes[x]], first[codes[y]]))
 
+        waiting, n = [], 0
         for xs, ys in _meeting(values_of, group, starts):
+            apart = above[roots[xs]] != above[roots[ys]]
+            xs, ys = xs[apart], ys[apart]
             allowed = values_of.allowed(sizes[xs], sizes[ys])
             met = values.least(codes[xs], codes[ys]) <= allowed
-            for x, y, most in zip(xs[met].tolist(), ys[met].tolist(), allowed[met].tolist(), strict=True):
-                if (r := top(roots[x])) != (s := top(roots[y])) and values.measured(int(codes[x]), int(codes[y]))[1] <= most:
-                    above[r] = s
-                    out.append((first[codes[x]], first[codes[y]]))
+            waiting.append((xs[met], ys[met], allowed[met]))
+            n += int(met.sum())
+            if n >= PAIRS // 2:  # many at once, but then their links spare the others
+                measure(*map(np.concatenate, zip(*waiting, strict=True)))
+                waiting, n = [], 0
+        if n:
+            measure(*map(np.concatenate, zip(*waiting, strict=True)))
         return pd.DataFrame(out, columns=["a", "b"])
 
     def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

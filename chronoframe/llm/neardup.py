@@ -95,7 +95,7 @@ class Texts:
     BINS = 1024
 
     def __init__(self, texts):
-        self.words = [word_hashes(t) for t in texts]
+        self.words = self.sequences = [word_hashes(t) for t in texts]
         self.sizes = np.array([len(h) for h in self.words], int)
         at = np.repeat(np.arange(len(texts)) * self.BINS, self.sizes)
         words = np.concatenate([*self.words, np.zeros(0, np.uint64)]) % np.uint64(self.BINS)
