@@ -7,16 +7,15 @@ from pyspark.sql import functions as F
 from chronoframe.functions import scalar
 from chronoframe.operators import budget, frames, intervals, report, sampling, selection
 from chronoframe.plans.registry import query
-from chronoframe.plans.timeline import _ISL, _SCENES, ranges, scenes, segments, table, windows
+from chronoframe.plans.timeline import _ISL, _SCENES, by_recording, ranged, ranges, scenes, segments, table, windows
 
 _REL = "w AS (SELECT win.video_id, win, n, (s - lo) / 1e6 AS a, (e - lo) / 1e6 AS z, (hi - lo) / 1e6 AS d FROM win JOIN rng USING (video_id))"
 
 
-def _relative(spark, sf_dir):
+def _relative(s):
     """Windows in seconds since their recording's begin, and its duration."""
-    s = segments(spark, sf_dir)
     at = lambda x: ((F.col(x) - F.col("lo")) / 1e6).alias({"start": "a", "end": "z", "hi": "d"}[x])
-    return windows(s).join(ranges(s), "video_id").select("video_id", "win", "n", at("start"), at("end"), at("hi"))
+    return ranged(windows(s)).select("video_id", "win", "n", at("start"), at("end"), at("hi"))
 
 
 def _time(x: str) -> str:
@@ -27,13 +26,13 @@ def _time(x: str) -> str:
 @query("fixed_rate_budget", f"WITH {_ISL}, {_REL} SELECT video_id, win, 0.01::DOUBLE AS fps, greatest(1, round_even(0.01::DOUBLE * (z - a), 0)::BIGINT) AS requested, least(100, greatest(1, round_even(0.01::DOUBLE * (z - a), 0)::BIGINT)) AS extracted FROM w")
 def fixed_rate_budget(spark, sf_dir):
     fps, n = budget.fixed_rate_budget(F.col("z") - F.col("a"), F.lit(0.01))
-    return _relative(spark, sf_dir).select("video_id", "win", fps.alias("fps"), n.alias("requested"), F.least(n, F.lit(budget.MAX_FRAMES)).alias("extracted"))
+    return _relative(segments(spark, sf_dir)).select("video_id", "win", fps.alias("fps"), n.alias("requested"), F.least(n, F.lit(budget.MAX_FRAMES)).alias("extracted"))
 
 
 @query("frame_times", f"""WITH {_ISL}, {_REL}, k AS (SELECT video_id, win, a, unnest(range(least(100, greatest(1, round_even(0.01::DOUBLE * (z - a), 0)::BIGINT)))) AS i FROM w)
 SELECT video_id, win, i::INT AS idx, round_even((a + i / 0.01::DOUBLE) * 100, 0) / 100 AS timestamp_seconds, printf('frame_%04d.jpg', i + 1) AS path FROM k""")
 def frame_times(spark, sf_dir):
-    w, (fps, n) = _relative(spark, sf_dir), budget.fixed_rate_budget(F.col("z") - F.col("a"), F.lit(0.01))
+    w, (fps, n) = _relative(segments(spark, sf_dir)), budget.fixed_rate_budget(F.col("z") - F.col("a"), F.lit(0.01))
     return frames.at_fixed_rate(w.select("video_id", "win", F.col("a").alias("start"), fps.alias("fps"), n.alias("frames")), ["video_id", "win"])
 
 
@@ -75,7 +74,7 @@ def backend_labels(spark, sf_dir):
 
 @query("scope_faults", f"""WITH {_ISL}, {_REL} SELECT video_id, win, CASE WHEN a - 3600 < 0 THEN 'start is negative' WHEN z - 7200 <= a - 3600 THEN 'end is not after start' WHEN d > 0 AND a - 3600 >= d THEN 'start is past the end' END AS fault FROM w""")
 def scope_faults(spark, sf_dir):
-    return _relative(spark, sf_dir).select("video_id", "win", selection.scope_fault(F.col("d"), F.col("a") - 3600, F.col("z") - 7200).alias("fault"))
+    return _relative(segments(spark, sf_dir)).select("video_id", "win", selection.scope_fault(F.col("d"), F.col("a") - 3600, F.col("z") - 7200).alias("fault"))
 
 
 @query("effective_scope", f"""WITH {_ISL}, {_REL}, q AS (SELECT *, CASE WHEN n > 1 THEN a END AS x, CASE WHEN n > 2 THEN z END AS y FROM w)
@@ -83,15 +82,15 @@ SELECT video_id, win, coalesce(x, 0.0::DOUBLE) AS "start", coalesce(y, d) AS "en
 CASE WHEN NOT (x IS NOT NULL OR y IS NOT NULL) AND d > 600 THEN '> **Warning:** This is a ' || floor(d / 60)::BIGINT::VARCHAR || '-minute video. Frame coverage is sparse at this length — accuracy degrades noticeably on anything over 10 minutes. For better results, re-run with `--start HH:MM:SS --end HH:MM:SS` to zoom into a specific section.' END AS warning FROM q""")
 def effective_scope(spark, sf_dir):
     s, e, length, focused = selection.scope(F.col("d"), F.when(F.col("n") > 1, F.col("a")), F.when(F.col("n") > 2, F.col("z")))
-    return _relative(spark, sf_dir).select("video_id", "win", s.alias("start"), e.alias("end"), length.alias("duration"), focused.alias("focused"), report.long_warning(F.col("d"), focused).alias("warning"))
+    return _relative(segments(spark, sf_dir)).select("video_id", "win", s.alias("start"), e.alias("end"), length.alias("duration"), focused.alias("focused"), report.long_warning(F.col("d"), focused).alias("warning"))
 
 
 @query("points_away", f"""WITH {_ISL}, {_REL}, {_SCENES}, m AS (SELECT sc.video_id, (mid - lo) / 1e6 AS mid FROM sc JOIN rng USING (video_id)), p AS (SELECT video_id, win, a + (z - a) / 11 * unnest(range(1, 11)) AS t, greatest(0.5, (z - a) * 0.05) AS tol FROM w WHERE z > a)
 SELECT video_id, win, t FROM p WHERE NOT EXISTS (SELECT 1 FROM m WHERE m.video_id = p.video_id AND abs(p.t - m.mid) <= tol)""")
 def points_away(spark, sf_dir):
-    s, a, z = segments(spark, sf_dir), F.col("a"), F.col("z")
-    mids = intervals.with_midpoints(scenes(s)).join(ranges(s), "video_id").select("video_id", ((F.col("midpoint") - F.col("lo")) / 1e6).alias("mid"))
-    points = _relative(spark, sf_dir).select("video_id", "win", F.greatest(F.lit(0.5), (z - a) * 0.05).alias("tolerance"), F.explode(sampling.evenly_spaced(a, z, F.lit(10))).alias("t"))
+    s, a, z = by_recording(segments(spark, sf_dir)), F.col("a"), F.col("z")
+    mids = intervals.with_midpoints(ranged(s).where("event_type = 'purchase'")).select("video_id", ((F.col("midpoint") - F.col("lo")) / 1e6).alias("mid"))
+    points = _relative(s).select("video_id", "win", F.greatest(F.lit(0.5), (z - a) * 0.05).alias("tolerance"), F.explode(sampling.evenly_spaced(a, z, F.lit(10))).alias("t"))
     return intervals.points_away(points, mids, "t", "mid", "tolerance").select("video_id", "win", "t")
 
 

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from chronoframe.functions import scalar, sql
 from chronoframe.operators import budget, captions, intervals, report, routing, sampling, stages
-from chronoframe.plans import registry
+from chronoframe.plans import registry, timeline
 from chronoframe.sources import files, media
 
 
@@ -39,6 +39,25 @@ def test_two_pass_plan_shuffles_little(spark):
     assert 0 < plan.count("Exchange hashpartitioning") <= 6
 
 
+def test_points_away_holds_little_in_a_task(spark, monkeypatch):
+    """One pass for each side, without joins, over as many tasks as the rows ask for."""
+    monkeypatch.setattr(timeline, "TASK_ROWS", 100)
+    d = registry.queries()["points_away"](spark, "/root/testdata/sf0.001")
+    plan = d._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and 0 < plan.count("Exchange hashpartitioning") <= 2
+    assert d.rdd.getNumPartitions() == 10
+
+
+def test_points_away_of_large_recordings(spark):
+    r = random.Random(8)
+    points = [(r.choice(["a", "a", "b", "d", None]), i, r.choice([r.randint(0, 900), None]) if i % 9 == 0 else r.randint(0, 900), r.choice([0, 1, 4, 90, None])) for i in range(400)]
+    others = [(r.choice(["a", "b", "c", None]), r.choice([r.randint(0, 900), None])) for _ in range(90)]
+    p, o = spark.createDataFrame(points, "video_id string, i long, t long, tolerance long"), spark.createDataFrame(others, "video_id string, o long")
+    far = sorted(i for k, i, t, by in points if k is None or t is None or by is None or all(x != k or s is None or abs(t - s) > by for x, s in others))
+    for parts in (None, 5):
+        assert sorted(x.i for x in intervals.points_away(p, o, "t", "o", "tolerance", parts=parts).collect()) == far
+
+
 def segments_of(spark, seed, n, keys):
     r = random.Random(seed)
     rows = [(r.choice(keys), i, (s := r.randint(0, 4 * n)), s + r.choice([0, 1, 2, 3, 40])) for i in range(n)]
