@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from chronoframe.functions import scalar
 from chronoframe.operators import budget, frames, intervals, report, sampling, selection
 from chronoframe.plans.registry import query
-from chronoframe.plans.timeline import _ISL, _SCENES, by_recording, ranged, ranges, scenes, segments, table, windows
+from chronoframe.plans.timeline import _ISL, _SCENES, by_recording, ranged, ranged_scenes, scenes, segments, table, windows
 
 _REL = "w AS (SELECT win.video_id, win, n, (s - lo) / 1e6 AS a, (e - lo) / 1e6 AS z, (hi - lo) / 1e6 AS d FROM win JOIN rng USING (video_id))"
 
@@ -41,7 +41,7 @@ SELECT video_id, i::INT AS idx, round_even(t * 100, 0) / 100 AS timestamp_second
 WHERE EXISTS (SELECT 1 FROM win WHERE n > 1 AND win.video_id = m.video_id AND m.mid BETWEEN win.s AND win.e)""")
 def frames_at_moments(spark, sf_dir):
     s = segments(spark, sf_dir)
-    tagged = intervals.tagged(intervals.with_midpoints(scenes(s)), windows(s).where("n > 1"), "midpoint").join(ranges(s), "video_id").select("video_id", "tag", ((F.col("midpoint") - F.col("lo")) / 1e6).alias("at"))
+    tagged = intervals.tagged(intervals.with_midpoints(ranged_scenes(s)), windows(s).where("n > 1"), "midpoint").select("video_id", "tag", ((F.col("midpoint") - F.col("lo")) / 1e6).alias("at"))
     return frames.at_moments(tagged, tagged.where("tag = '[speech]'"))
 
 
@@ -89,7 +89,7 @@ def effective_scope(spark, sf_dir):
 SELECT video_id, win, t FROM p WHERE NOT EXISTS (SELECT 1 FROM m WHERE m.video_id = p.video_id AND abs(p.t - m.mid) <= tol)""")
 def points_away(spark, sf_dir):
     s, a, z = by_recording(segments(spark, sf_dir)), F.col("a"), F.col("z")
-    mids = intervals.with_midpoints(ranged(s).where("event_type = 'purchase'")).select("video_id", ((F.col("midpoint") - F.col("lo")) / 1e6).alias("mid"))
+    mids = intervals.with_midpoints(ranged_scenes(s)).select("video_id", ((F.col("midpoint") - F.col("lo")) / 1e6).alias("mid"))
     points = _relative(s).select("video_id", "win", F.greatest(F.lit(0.5), (z - a) * 0.05).alias("tolerance"), F.explode(sampling.evenly_spaced(a, z, F.lit(10))).alias("t"))
     return intervals.points_away(points, mids, "t", "mid", "tolerance").select("video_id", "win", "t")
 

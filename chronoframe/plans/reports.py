@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from chronoframe.functions import scalar
 from chronoframe.operators import captions, intervals, report
 from chronoframe.plans.registry import query
-from chronoframe.plans.timeline import _ISL, _SCENES, _SPOKEN, ranges, scenes, segments, spoken, table, windows
+from chronoframe.plans.timeline import _ISL, _SCENES, _SPOKEN, by_recording, ranged_scenes, segments, spoken, table, windows
+from chronoframe.sources.shared import written
 
 #: A recording's microseconds become seconds; so long a time is worth a quarter of a second.
 UNIT = 4e9
@@ -42,15 +43,16 @@ _HEAD_LINES = [
 
 
 def _heads(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s, c = segments(spark, sf_dir), spoken(spark, sf_dir)
+    s, c = by_recording(segments(spark, sf_dir)), spoken(spark, sf_dir)
     v, d, n = F.col("video_id"), F.col("duration"), F.col("n_frames")
     null = F.lit(None).cast("string")
-    r = ranges(s).withColumn("duration", (F.col("hi") - F.col("lo")) / UNIT)
-    w = windows(s).where("n > 1").join(ranges(s), "video_id")
-    at = lambda x: (F.col(x) - F.col("lo")) / UNIT
-    w = w.groupBy("video_id").agg(F.array_sort(F.collect_list(F.struct("win", at("start").alias("start"), at("end").alias("end")))).alias("ws"), (F.sum(F.col("end") - F.col("start")) / UNIT).alias("covered"))
-    counts = [x.groupBy("video_id").agg(F.count("*").alias(name)) for x, name in ((scenes(s), "n_frames"), (c, "n_segments"))]
-    h = r.select("video_id", "duration").join(counts[0], "video_id", "left").join(counts[1], "video_id", "left").join(w, "video_id", "left").fillna(0, ["n_frames", "n_segments"])
+    w = windows(s, F.count_if(F.col("event_type") == "purchase").alias("n_frames"))
+    several = lambda x: F.when(F.col("n") > 1, x)
+    r = w.groupBy("video_id").agg(F.min("start").alias("lo"), F.max("end").alias("hi"), F.sum("n_frames").alias("n_frames"), F.collect_list(several(F.struct("win", "start", "end"))).alias("ws"), (F.sum(several(F.col("end") - F.col("start"))) / UNIT).alias("covered"))
+    at = lambda x: (x - F.col("lo")) / UNIT
+    ws = F.transform(F.array_sort("ws"), lambda x: F.struct(at(x["start"]).alias("start"), at(x["end"]).alias("end")))
+    h = r.select("video_id", at(F.col("hi")).alias("duration"), "n_frames", F.when(F.size("ws") > 0, ws).alias("ws"), "covered")
+    h = h.join(c.groupBy("video_id").agg(F.count("*").alias("n_segments")), "video_id", "left").fillna(0, ["n_segments"])
     h = h.withColumns({"start": F.when(v % 3 == 1, d / 4), "end": F.when(v % 6 == 1, d / 2), "mode": F.when(v % 4 == 0, "two-pass").when(v % 4 == 1, "scenes").otherwise("fps")})
     focused = F.col("start").isNotNull() | F.col("end").isNotNull()
     full = F.when(focused, F.greatest(F.lit(0.0), F.coalesce("end", d) - F.coalesce("start", F.lit(0.0)))).otherwise(d)
@@ -63,13 +65,14 @@ def _heads(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _frames(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s = segments(spark, sf_dir)
-    f = intervals.tagged(intervals.with_midpoints(scenes(s)), windows(s).where("n > 1"), "midpoint").join(ranges(s), "video_id")
+    s = by_recording(segments(spark, sf_dir))
+    f = intervals.tagged(intervals.with_midpoints(ranged_scenes(s)), windows(s).where("n > 1"), "midpoint")
     return f.select("video_id", F.col("scene_no").alias("idx"), F.format_string("/work/frames/frame_%d.jpg", "scene_no").alias("path"), scalar.exact_round(2)((F.col("midpoint") - F.col("lo")) / UNIT).alias("timestamp_seconds"), "tag", F.when(F.col("scene_no") % 2 == 0, F.concat(F.lit(" seen\n\t"), F.col("scene_no").cast("string"), F.lit(" "))).alias("text"))
 
 
 def whole_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return report.reports(_heads(spark, sf_dir), _frames(spark, sf_dir), captions.transcript_lines(spoken(spark, sf_dir)))
+    heads = written(_heads(spark, sf_dir), "heads")  # a row per recording, which most parts of a report read
+    return report.reports(heads, _frames(spark, sf_dir), captions.transcript_lines(spoken(spark, sf_dir)))
 
 
 @query("report_head", f"{_HEADS} {_sql_lines(0, _HEAD_LINES)}")

@@ -48,6 +48,25 @@ def test_points_away_holds_little_in_a_task(spark, monkeypatch):
     assert d.rdd.getNumPartitions() == 10
 
 
+def test_report_parts_share_their_heads(spark, monkeypatch):
+    """A report's parts read heads that are made once, in one pass, and tasks grow in number with the rows."""
+    monkeypatch.setattr(timeline, "TASK_ROWS", 100)
+    d = registry.queries()["report_text"](spark, "/root/testdata/sf0.001")
+    plan = d._jdf.queryExecution().executedPlan().toString()
+    assert "ObjectHashAggregate" not in plan and plan.count("Window ") <= 8
+    assert "hashpartitioning(video_id" in plan and ", 10)" in plan
+
+
+def test_windows_with_further_aggregates(spark):
+    segs, rows = segments_of(spark, 6, 500, [1, 2])
+    odd = F.count_if(F.col("seq") % 2 == 1).alias("odd")
+    for parts in (None, 5):
+        w = intervals.islands(segs, F.lit(2), parts=parts, more=[odd]).collect()
+        assert sorted(tuple(x)[:5] for x in w) == sorted(map(tuple, intervals.islands(segs, F.lit(2)).collect()))
+        for x in w:
+            assert x.odd == sum(k == x.video_id and i % 2 == 1 and x.start <= s <= x.end for k, i, s, _ in rows)
+
+
 def test_points_away_of_large_recordings(spark):
     r = random.Random(8)
     points = [(r.choice(["a", "a", "b", "d", None]), i, r.choice([r.randint(0, 900), None]) if i % 9 == 0 else r.randint(0, 900), r.choice([0, 1, 4, 90, None])) for i in range(400)]
