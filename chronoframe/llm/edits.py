@@ -6,7 +6,7 @@ import numpy as np
 
 #: Words behind the furthest diagonal within which others are followed.
 BEHIND = 12
-#: Of many pairs at once: blocks of 64 that the shorter sequence has at most, pairs that are worth it, and places of longer sequences in memory.
+#: Of many pairs at once: blocks of 64 that the shorter sequence has at most, pairs that are worth it at least, and places of longer sequences in memory.
 BLOCKS, WORTH, PLACES = 32, 16, 1 << 21
 
 
@@ -32,9 +32,9 @@ def distance(a, b) -> int:
     return out
 
 
-def distances(sequences: list[np.ndarray], xs: np.ndarray, ys: np.ndarray, allowed: np.ndarray | None = None) -> np.ndarray:
+def distances(sequences: list[np.ndarray], xs: np.ndarray, ys: np.ndarray, allowed: np.ndarray | None = None, worth: int = 0) -> np.ndarray:
     """Levenshtein distances of many pairs of sequences of numbers, given by position; -1 where a pair is too long, or in company too small, to be
-    measured so. The columns of distance(), those of all pairs of a batch at once, in blocks of 64 bits.
+    measured so: under WORTH pairs, or under `worth` for each block of the longest one. The columns of distance(), those of all pairs of a batch at once, in blocks of 64 bits.
 
     A distance over what is allowed may come out larger than it is: blocks that no way within it enters are left out."""
     sizes = np.array([len(s) for s in sequences], np.int64)
@@ -50,7 +50,7 @@ def distances(sequences: list[np.ndarray], xs: np.ndarray, ys: np.ndarray, allow
         width = np.maximum.accumulate(sizes[long[todo[begin : begin + PLACES]]])
         fits = (width * np.arange(1, len(width) + 1) <= PLACES) & (sizes[short[todo[begin : begin + PLACES]]] <= 64 * most)
         end = begin + max(1, int(np.argmin(fits)) if not fits.all() else len(fits))
-        if end - begin >= WORTH:
+        if end - begin >= max(WORTH, worth * int(-(-sizes[short[todo[end - 1]]] // 64))):
             out[todo[begin:end]] = _columns(sequences, short[todo[begin:end]], long[todo[begin:end]], sizes, None if allowed is None else int(allowed[todo[begin:end]].max()))
         begin = end
     return out

@@ -32,7 +32,9 @@ TASK = ["key", "i", "j", "id", "root", "rest", "chunk", "size", "low", "high"]
 class Values(Protocol):
     """Values between which a metric of whole numbers is measured, prepared once each. What it keeps must be small next to the values.
 
-    Where the metric is the edit distance of sequences of numbers, `sequences` may hold these: then pairs are measured many at once.
+    Where the metric is the edit distance of sequences of numbers, `sequences` may hold these: then pairs are measured many at once, where there
+    are `worth` of them for each block of 64 numbers (0, if there is no such attribute). `at_most(x, y)`, where there is one, is tried on each pair
+    before: a distance that two values have at most, if it is soon found and allowed, else None.
     """
 
     def __init__(self, values: Sequence[str]): ...
@@ -90,9 +92,15 @@ def only(rows: DataFrame, ids: DataFrame, column: str) -> DataFrame:
 def _bounds(values: Values, xs: np.ndarray, ys: np.ndarray, allowed: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Bounds of the distances of pairs of positions, from below and above: the distances themselves where many are measured at once.
     With `allowed` only the upper one holds, and is within what is allowed if the distance is."""
-    sequences = getattr(values, "sequences", None)
-    low = np.full(len(xs), -1) if sequences is None else distances(sequences, xs, ys, allowed)
-    high = low.copy()
+    sequences, at_most = getattr(values, "sequences", None), getattr(values, "at_most", None)
+    low, high = np.full(len(xs), -1), np.full(len(xs), -1)
+    if at_most is not None:
+        for k, (x, y) in enumerate(zip(xs.tolist(), ys.tolist(), strict=True)):
+            if (most := at_most(x, y)) is not None:
+                low[k], high[k] = 0, most
+    rest = np.flatnonzero(low < 0)
+    if sequences is not None and len(rest):
+        low[rest] = high[rest] = distances(sequences, xs[rest], ys[rest], None if allowed is None else allowed[rest], getattr(values, "worth", 0))
     for k in np.flatnonzero(low < 0).tolist():
         low[k], high[k] = values.measured(int(xs[k]), int(ys[k]))
     return low, high
@@ -217,8 +225,9 @@ def _tasks(split: DataFrame) -> DataFrame:
     return main.select(TASK).unionByName(with_main.select(TASK)).unionByName(with_rest.select(TASK))
 
 
-def link(members: DataFrame, payload: Callable[[DataFrame], DataFrame], values_of: type[Values]) -> DataFrame:
-    """members: key BIGINT, id BIGINT, size INT; a row may repeat. payload(ids) gives id, value for a table of ids.
+def link(members: DataFrame, payload: Callable[[DataFrame], DataFrame], values_of: type[Values], once: bool = False) -> DataFrame:
+    """members: key BIGINT, id BIGINT, size INT; a row may repeat. payload(ids) gives id, value for a table of ids; with `once` it is called
+    only once, for all members that may be compared at all.
 
     Returns id, root for all ids that are connected with another one by pairs that share a key and are the same.
     """
@@ -235,13 +244,14 @@ def link(members: DataFrame, payload: Callable[[DataFrame], DataFrame], values_o
     rows = materialize(rows, "different-members")
     discard(shared, buckets)
     pairs = materialize(rows.where("near").select(F.col("id").alias("a"), F.col("hub").alias("b"), "size", "hub_size").distinct(), "pairs")
-    ids = materialize(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct(), "pair-ids")
+    met = rows.select("id").union(rows.select("hub")) if once else pairs.select(F.col("a").alias("id")).union(pairs.select("b"))
+    ids = materialize(met.distinct(), "pair-ids")
     values = materialize(payload(ids), "values")
     with_values = pairs.join(values.toDF("b", "y"), "b").join(values.toDF("a", "x"), "a")
     star = materialize(with_values.select("a", "b", "size", "hub_size", "x", "y").mapInPandas(_verified(values_of), "a long, b long, low long, high long, linked boolean"), "star-distances")
     links = star.where("linked").select("a", "b")
     roots = components(links)
-    discard(pairs, ids, values)
+    discard(pairs, ids, *() if once else (values,))
     # buckets that still hold several groups besides their hub, which has met them all
     rooted = rows.join(roots, "id", "left").select("key", "hub", "id", "size", F.coalesce("root", "id").alias("root"))
     sizes = rooted.groupBy("key", "root").agg(F.count("*").alias("n"))
@@ -255,10 +265,11 @@ def link(members: DataFrame, payload: Callable[[DataFrame], DataFrame], values_o
     tasks = materialize(together(tasks).mapInPandas(_alone(values_of), tasks.schema), "tasks")
     discard(rows)
     if tasks.isEmpty():
-        discard(tasks, star)
+        discard(tasks, star, values)
         return roots
-    ids = materialize(tasks.select("id").distinct(), "task-ids")
-    values = materialize(payload(ids), "values")
+    if not once:
+        ids = materialize(tasks.select("id").distinct(), "task-ids")
+        values = materialize(payload(ids), "values")
     more = materialize(together(tasks.join(values, "id").select(*TASK, "value")).mapInPandas(_compared(values_of), "a long, b long"), "more-links")
     discard(tasks, ids, values)
     if more.isEmpty():

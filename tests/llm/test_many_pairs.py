@@ -53,3 +53,31 @@ def test_large_buckets_are_not_measured_pair_by_pair(monkeypatch):
 
         assert 0 < len(links) and group(links[["a", "b"]].to_numpy().tolist()) == group(near)
         assert len(alone) <= edits.WORTH * 4
+
+
+def test_pairs_that_words_align_are_not_measured(monkeypatch):
+    """Of long lines with some words changed the alignment of words is enough; distances are measured for the other pairs, the same links result."""
+    r = random.Random(3)
+    word = lambda: "".join(r.choice("abcdefgh") for _ in range(6))
+    rows = []
+    for k in range(80):
+        x = [word() for _ in range(60)]
+        y = [word() if r.random() < (0.05 if k % 4 else 0.5) else w for w in x]
+        rows.append((k, 1000 + k, len(" ".join(x)), len(" ".join(y)), " ".join(x), " ".join(y)))
+    part = pd.DataFrame(rows, columns=["a", "b", "size", "hub_size", "x", "y"])
+    measured, whole = [], linking.distances
+    monkeypatch.setattr(linking, "distances", lambda sequences, xs, ys, *more: measured.append(len(xs)) or whole(sequences, xs, ys, *more))
+    out = pd.concat(linking._verified(lines.Lines)(iter([part])))
+    exact = np.array([edits.distance(x, y) for x, y in zip(part["x"], part["y"], strict=True)])
+    allowed = lines.Lines.allowed(part["size"].to_numpy(), part["hub_size"].to_numpy())
+    assert (out["linked"].to_numpy() == (exact <= allowed)).all() and out["linked"].sum() == 60
+    assert (out["low"].to_numpy() <= exact).all() and (out["high"].to_numpy() >= exact).all()
+    assert sum(measured) <= 20
+
+
+def test_few_long_pairs_are_measured_alone():
+    """Blocks of bits pay for many pairs only: the longer the sequences, the more."""
+    r = np.random.default_rng(6)
+    sequences = [r.integers(0, 4, 600).astype(np.uint64) for _ in range(80)]
+    xs, ys = np.arange(0, 80, 2), np.arange(1, 80, 2)
+    assert (edits.distances(sequences, xs, ys, worth=12) == -1).all() and (edits.distances(sequences, xs, ys) > 0).all()
