@@ -81,3 +81,24 @@ def test_few_long_pairs_are_measured_alone():
     sequences = [r.integers(0, 4, 600).astype(np.uint64) for _ in range(80)]
     xs, ys = np.arange(0, 80, 2), np.arange(1, 80, 2)
     assert (edits.distances(sequences, xs, ys, worth=12) == -1).all() and (edits.distances(sequences, xs, ys) > 0).all()
+
+
+def test_lines_are_the_same_by_shuffle_and_by_broadcast(spark, monkeypatch):
+    """Texts that meet their lines by a shuffle, with or without a list of the wanted texts, keep the same lines; null ids and repeated rows too."""
+    r = random.Random(4)
+    pool = [" ".join("".join(r.choice("abcdefgh") for _ in range(5)) for _ in range(12)) for _ in range(8)]
+    rows = [(k if k % 9 else None, "\n".join(r.choice(pool) + r.choice(["", " x", " yy"]) for _ in range(4))) for k in range(40)]
+    docs = spark.createDataFrame([*rows, rows[3], (77, None)], "doc_id long, text string")
+    found, asked, link = [], [], lines.link
+
+    def counted(members, payload, values_of, **more):
+        return link(members, lambda ids: asked[-1].append(1) or payload(ids), values_of, **more)
+
+    monkeypatch.setattr(lines, "link", counted)
+    for places, ids in ((10**6, 10**6), (0, 10**6), (0, 0)):
+        monkeypatch.setattr(lines, "BROADCAST_LINES", places)
+        monkeypatch.setattr(lines, "BROADCAST_IDS", ids)
+        asked.append([])
+        found.append(sorted(map(repr, lines.deduplicated(docs).collect())))
+    assert found[0] == found[1] == found[2] and any("n_removed=0" not in x for x in found[0])
+    assert all(len(x) == 1 for x in asked)  # values are fetched once
