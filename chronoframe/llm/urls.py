@@ -95,9 +95,11 @@ def shares(counted: DataFrame, wanted: DataFrame) -> DataFrame:
     """run, share: ln p(accepted) - ln p(rejected) of the wanted runs' last bytes. counted: run, good, bad; wanted: run; both distinct."""
     counts = counted.select(F.explode(keys_of(F.col("run"))).alias("key"), "good", "bad").groupBy("key").agg(F.sum("good").alias("good"), F.sum("bad").alias("bad"))
     asked = wanted.select("run", F.posexplode(keys_of(F.col("run"))).alias("k", "key"))
-    # short keys are in most runs: what is joined is one row a key, and the runs of a key are dealt by salt
-    salted = counts.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    seen = asked.withColumn("salt", F.pmod(F.xxhash64("run"), F.lit(SALTS)).cast("int")).join(salted, ["key", "salt"], "left")
+    # short keys are in most runs: what is joined is one row a key, and the runs of a key are dealt by salt; n-grams of five bytes and
+    # contexts of four are in 65536 runs at most. Spark takes a table for as small as before explode, and would broadcast it
+    last = F.when(F.shiftright("key", 48) < 8, F.lit(SALTS - 1)).otherwise(F.lit(0))
+    salted = counts.withColumn("salt", F.explode(F.sequence(F.lit(0), last)))
+    seen = asked.withColumn("salt", F.pmod(F.xxhash64("run"), last + 1).cast("int")).join(salted.hint("merge"), ["key", "salt"], "left")
     at = [(F.coalesce(F.max(F.when(F.col("k") == k, F.col(c))), F.lit(0)).alias(f"{c}{k}")) for k in range(2 * (ORDER + 1)) for c in ("good", "bad")]
 
     def log_p(c: str) -> Column:
@@ -155,7 +157,7 @@ def judged(pages: DataFrame, rules: Sequence[Rule] = RULES, id_col: str = "page_
     asked = materialize(said(asked), "url-runs")
     share = shares(counted, asked.select("run").distinct())
     share = materialize(share, "url-shares").withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    found = asked.withColumn("salt", F.pmod(F.col("row"), F.lit(SALTS)).cast("int")).join(share, ["run", "salt"])
+    found = asked.withColumn("salt", F.pmod(F.col("row"), F.lit(SALTS)).cast("int")).join(share.hint("merge"), ["run", "salt"])
     scores = materialize(found.groupBy("row").agg((F.sum(F.col("share") * F.col("n")) / F.sum("n")).alias("score")), "url-scores")
     rest = d.where(~F.col("counted")).withColumn("row", F.xxhash64(free, F.lit(1))).join(scores, "row", "left").withColumn("score", F.coalesce("score", F.lit(0.0)))
     step = F.floor(F.greatest(F.lit(-LIMIT), F.least(F.lit(LIMIT), F.col("score"))) / STEP).cast("int")

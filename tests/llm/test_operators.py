@@ -178,6 +178,16 @@ def test_url_scores_from_exact_counts(spark):
     assert got[93].score == 0 and got[90].score < got[91].score
 
 
+def test_url_tables_are_not_broadcast_once_exploded(spark, monkeypatch):
+    """Spark takes a table that was exploded for as small as before; its salted rows are not for the driver to hold."""
+    plans, kept = {}, urls.materialize
+    monkeypatch.setattr(urls, "materialize", lambda df, name: plans.update({name: df._jdf.queryExecution().executedPlan().toString()}) or kept(df, name))
+    rows = [(k, f"http://{'a.com/en' if k % 2 else 'b.net/de'}/{k}") for k in range(40)] + [(40, "http://c.io/1x1")]
+    assert urls.judged(spark.createDataFrame(rows, "page_id long, url string")).count() == 41
+    for name in ("url-shares", "url-scores"):
+        assert "SortMergeJoin" in plans[name] and "Broadcast" not in plans[name]
+
+
 def test_personal(spark):
     t = ["+1 (476) 555-6291, +14765556291, Jo.Doe9@mail.example.com JO.DOE9@MAIL.EXAMPLE.COM 10.2.3.4. 4111 1111 1111 1111", "Mr. John Smith, Mrs Anna Smith, Mr Smith, госпожа Анна Иванова", "clean 12345 v1.2", None, ""]
     df = spark.createDataFrame(list(enumerate(t)), "doc_id long, text string")
