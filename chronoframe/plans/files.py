@@ -48,7 +48,7 @@ def text_files(spark, sf_dir):
     d = table(spark, sf_dir, "documents").select(F.col("lang").alias("video_id"), F.col("doc_id").alias("idx"), F.col("doc_id").cast("string").alias("path"), "text")
     path = new_path(spark, "texts")
     files.save_files(report.text_map_lines(d), path, ["section", "idx"], extension="json")
-    return files.whole_files(spark, f"{path}/*/*.json")
+    return files.whole_files(spark, f"{path}/*/*.json", large=True)
 
 
 @query("chat_parts", """WITH d AS (SELECT conv_id, turn, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS k, coalesce(text, '') AS text FROM conversations), n AS (SELECT conv_id, count(*) AS n, count(*) FILTER (turn % 3 <> 1) AS loaded FROM d GROUP BY 1),

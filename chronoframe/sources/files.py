@@ -16,6 +16,7 @@ from urllib.parse import quote, unquote
 import pyarrow as pa
 from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, InputPartition, WriterCommitMessage
 from pyspark.sql.types import Row, StructType
 
@@ -191,6 +192,25 @@ def read_captions(spark: SparkSession, path: str, pattern: str = "*.vtt", by: st
 
 #: Bytes of small files that are handed over at once.
 _TOGETHER = 4 << 20
+#: Bytes from which a file is large.
+_LARGE = 64 << 20
+
+
+def _stem(path: str) -> str:
+    """The name of a recording, from that of its file."""
+    return unquote(posixpath.basename(path).rpartition(".")[0])
+
+
+def groups(sizes: dict[str, int]) -> dict[str, int]:
+    """A group's number for each name: few groups, none larger than the largest size, the largest first."""
+    room, out = [], {}
+    for name, size in sorted(sizes.items(), key=lambda x: (-x[1], x[0])):
+        k = next((k for k, r in enumerate(room) if r >= size), len(room))
+        if k == len(room):
+            room.append(max(sizes.values()))
+        room[k] -= size
+        out[name] = k
+    return out
 
 
 def _text_batch(names: list[str], buffers: list[pa.Buffer]) -> pa.RecordBatch:
@@ -203,11 +223,13 @@ def _text_batch(names: list[str], buffers: list[pa.Buffer]) -> pa.RecordBatch:
     return pa.record_batch([pa.array(names, pa.string()), texts], ["video_id", "value"])
 
 
-def whole_files(spark: SparkSession, path: str) -> DataFrame:
+def whole_files(spark: SparkSession, path: str, large: bool = False) -> DataFrame:
     """video_id, value: the UTF-8 files that `save_files` wrote, each a row, found by a pattern of paths.
 
     Spark lists the files and deals them out by size; their content goes from the file to its row without the copies that Spark's text reader
-    makes, which take several times a large file. A row, and so a file, can hold 2 GB less one byte at most.
+    makes, which take several times a large file. A row, and so a file, can hold 2 GB less one byte at most. large: rows of large
+    files are dealt out anew once they are made, in as few groups as the largest row allows. What reads them then holds a row of the size that it
+    has, while one just made sits in a buffer of twice that size beside its content from Python, and few large rows are held at once.
     """
 
     def contents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -215,16 +237,25 @@ def whole_files(spark: SparkSession, path: str) -> DataFrame:
             names, buffers = [], []
             for uri in batch.column(0).to_pylist():
                 system, at = located(quote(uri, safe=":/"))  # Spark gives names as they are
+                if isinstance(system, fs.LocalFileSystem):
+                    system = fs.LocalFileSystem(use_mmap=True)
                 with system.open_input_file(at) as f:
                     content = f.read_buffer()
                 if buffers and sum(b.size for b in buffers) + content.size > _TOGETHER:
                     yield _text_batch(names, buffers)
                     names, buffers = [], []
-                names.append(unquote(posixpath.basename(at).rpartition(".")[0]))
+                names.append(_stem(at))
                 buffers.append(content)
                 del content
             if buffers:
                 yield _text_batch(names, buffers)
 
-    listed = spark.read.format("binaryFile").load(path).select("path")
-    return listed.mapInArrow(contents, "video_id string, value string")
+    listed = spark.read.format("binaryFile").load(path).select("path", "length")
+    whole = listed.select("path").mapInArrow(contents, "video_id string, value string")
+    sizes = {_stem(r["path"]): r["length"] for r in listed.where(F.col("length") >= _LARGE).collect()} if large else {}
+    if not sizes:
+        return whole
+    found = groups(sizes)
+    known = F.create_map(*[F.lit(x) for pair in found.items() for x in pair])
+    # without a column for its group, which would have to be taken out of each row and the row be copied
+    return whole.repartitionById(max(found.values()) + 1, F.coalesce(F.try_element_at(known, F.col("video_id")), F.hash("video_id")))

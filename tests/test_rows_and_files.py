@@ -366,3 +366,17 @@ def test_stream_of_runs_equals_batch(spark, tmp_path):
     got = sorted(map(tuple, spark.read.parquet(out).where("video_id <> 77").collect()))
     expected = sorted(map(tuple, captions.collapse_runs(spark.createDataFrame(rows, schema)).select("video_id", "seq", "start", "end", "text").collect()))
     assert got == expected and open_ == len(expected) - 6
+
+
+def test_large_files_are_dealt_out_in_few_groups(spark, tmp_path, monkeypatch):
+    """The largest row alone, others together as far as they are no larger than it, and nothing between their exchange and what reads them."""
+    monkeypatch.setattr(files, "_LARGE", 1000, raising=False)
+    texts = {"a": "é" * 2000, "b": "b" * 2500, "c": "c" * 1200, "d%/é": "d" * 3000, **{f"n{i}": str(i) for i in range(20)}}
+    files.save_files(spark.createDataFrame(list(texts.items()), "video_id string, line string"), str(tmp_path / "out"), ["line"])
+    d = files.whole_files(spark, f"{tmp_path}/out/*/*.md", large=True)
+    got = [[(r.video_id, r.value) for r in rows] for rows in d.rdd.glom().collect()]
+    assert {k: v for rows in got for k, v in rows} == {k: v + "\n" for k, v in texts.items()} and sum(map(len, got)) == len(texts)
+    large = [{k for k, v in rows if len(v.encode()) >= 1000} for rows in got]
+    assert large == [{"a"}, {"c", "b"}, {"d%/é"}] or large == [{"a"}, {"d%/é"}, {"c", "b"}]
+    plan = registry.queries()["text_files"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().sparkPlan().toString()
+    assert plan.startswith("Exchange shufflepartitionidpassthrough") and plan.count("Exchange") == 1
