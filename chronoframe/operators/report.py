@@ -173,16 +173,17 @@ def text_map(texts: DataFrame, key: str = "video_id") -> DataFrame:
 
 
 def text_map_lines(texts: DataFrame, key: str = "video_id") -> DataFrame:
-    """key, section, idx, line: one indented JSON object path -> text per recording, in the order of idx; ties come in any order.
+    """key, at, line: one indented JSON object path -> text per recording, in the order of idx; ties come in any order.
 
-    texts: key, idx, path, text. Null paths count as empty ones, a null text is null.
+    texts: key, idx, path, text. Null paths count as empty ones, a null text is null. A line for each entry, the brackets with the first and
+    the last. A recording's lines are in one task, as a window leaves them.
     """
     quoted = lambda x: F.regexp_extract(F.to_json(F.array(x), {"ignoreNullFields": "false"}), r"(?s)^\[(.*)\]$", 1)
-    last = F.lead(F.lit(1)).over(Window.partitionBy(key).orderBy("idx")).isNull()
-    entry = F.concat(F.lit("  "), quoted(F.coalesce("path", F.lit(""))), F.lit(": "), quoted(F.col("text")), F.when(last, F.lit("")).otherwise(F.lit(",")))
-    entries = texts.select(key, F.lit(1).alias("section"), F.col("idx").cast("long").alias("idx"), entry.alias("line"))
-    keys = texts.select(key).distinct()
-    return entries.unionByName(_listed(keys, key, 0, [F.lit("{")])).unionByName(_listed(keys, key, 2, [F.lit("}")]))
+    w = Window.partitionBy(key).orderBy("idx")
+    at, last = F.row_number().over(w), F.lead(F.lit(1)).over(w).isNull()
+    entry = F.concat(F.lit("  "), quoted(F.coalesce("path", F.lit(""))), F.lit(": "), quoted(F.col("text")))
+    line = F.concat(F.when(F.col("at") == 1, F.lit("{\n")).otherwise(F.lit("")), entry, F.when(F.col("_last"), F.lit("\n}")).otherwise(F.lit(",")))
+    return texts.withColumns({"at": at, "_last": last}).select(key, "at", line.alias("line"))
 
 
 def scene_report(scenes: DataFrame, key: str = "video_id") -> DataFrame:

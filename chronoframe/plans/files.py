@@ -47,7 +47,7 @@ SELECT video_id, '{' || chr(10) || '  ' || string_agg(entry, ',' || chr(10) || '
 def text_files(spark, sf_dir):
     d = table(spark, sf_dir, "documents").select(F.col("lang").alias("video_id"), F.col("doc_id").alias("idx"), F.col("doc_id").cast("string").alias("path"), "text")
     path = new_path(spark, "texts")
-    files.save_files(report.text_map_lines(d), path, ["section", "idx"], extension="json")
+    files.save_files(report.text_map_lines(d), path, ["at"], extension="json", together=True)
     return files.whole_files(spark, f"{path}/*/*.json", large=True)
 
 

@@ -173,15 +173,16 @@ def register(spark: SparkSession) -> None:
         spark.dataSource.register(source)
 
 
-def save_files(rows: DataFrame, path: str, order: list[str], key: str = "video_id", line: str = "line", extension: str = "md", separator: str = "\n", overwrite: bool = False) -> None:
+def save_files(rows: DataFrame, path: str, order: list[str], key: str = "video_id", line: str = "line", extension: str = "md", separator: str = "\n", overwrite: bool = False, together: bool = False) -> None:
     """A file of its lines, in order, for each recording: folders part-*/ under the path hold <recording>.<extension>.
 
     Recordings are dealt out by key and their rows sorted in their task, which writes one row after the other: no recording is held in memory.
-    Rows without a recording are left out; a null line is an empty one.
+    Rows without a recording are left out; a null line is an empty one. together: rows come from a window over the key, so each
+    recording's are in one task already and only sorted.
     """
     register(rows.sparkSession)
     kept = rows.where(rows[key].isNotNull())
-    dealt = kept.repartition(key).sortWithinPartitions(key, *order)
+    dealt = (kept if together else kept.repartition(key)).sortWithinPartitions(key, *order)
     dealt.select(dealt[key].cast("string").alias("recording"), dealt[line].alias("line")).write.format("recording_files").option("extension", extension).option("lineSep", separator).mode("overwrite" if overwrite else "append").save(path)
 
 

@@ -1,5 +1,6 @@
 """Rounding, range joins, large recordings, plans, reports, files, fallback, routing, SQL functions and streams, against plain folds."""
 
+import json
 import math
 import random
 
@@ -380,3 +381,14 @@ def test_large_files_are_dealt_out_in_few_groups(spark, tmp_path, monkeypatch):
     assert large == [{"a"}, {"c", "b"}, {"d%/é"}] or large == [{"a"}, {"d%/é"}, {"c", "b"}]
     plan = registry.queries()["text_files"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().sparkPlan().toString()
     assert plan.startswith("Exchange shufflepartitionidpassthrough") and plan.count("Exchange") == 1
+
+
+def test_text_maps_are_shuffled_once(spark, tmp_path):
+    """Ties and a single entry included, whole objects; lines go to their files from where a window left them."""
+    rows = [("a", i // 2, f"p{i}", f'x"{i}') for i in range(11)] + [("b", 5, None, None), (None, 1, "p", "x")]
+    lines = report.text_map_lines(spark.createDataFrame(rows, "video_id string, idx long, path string, text string"))
+    assert lines._jdf.queryExecution().executedPlan().toString().count("Exchange") == 1
+    files.save_files(lines, str(tmp_path / "out"), ["at"], extension="json", together=True)
+    got = {p.stem: json.loads(p.read_text()) for p in (tmp_path / "out").glob("*/*.json")}
+    assert got == {"a": {f"p{i}": f'x"{i}' for i in range(11)}, "b": {"": None}} and (tmp_path / "out" / "_SUCCESS").exists()
+    assert next((tmp_path / "out").glob("*/b.json")).read_text() == '{\n  "": null\n}\n'
